@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing
+from . import chunking, mixing, packing, quality, simhash
+from .common import doc_bucket, materialise
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,5 +20,56 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(slim)
 
 
-QUERIES = {"op1_best_fit_packing": op1_best_fit_packing}
-ORACLE_SQL: dict[str, str] = {}
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint and the component of every document, links at 4 or fewer bits."""
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), words=4, distance=4)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("simhash")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def labelled_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows (doc_id, text, quality) that may be learned from: crc32(doc_id) mod 5 is not 0."""
+    labels = _table(spark, sf_dir, "labels").where("quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    return docs.select("doc_id", "text").join(labels.where(doc_bucket(F.col("doc_id"), 5) != 0), "doc_id")
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score for every document, learned from the documents that aren't held out."""
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.fit(labelled_documents(spark, docs, sf_dir))
+    scored = quality.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", (doc_bucket(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document, for sources weighing 5, 2, 1 in turn."""
+    sized = materialise(mixing.with_sizes(_table(spark, sf_dir, "documents")).select("doc_id", "source", "size"), "sizes")
+    rows = mixing.schedule(sized)
+    return rows.select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP8_SQL = """
+with sized as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as size from documents),
+totals as (select source, sum(size)::bigint as source_size from sized group by source),
+weighed as (select source, source_size, 2.0::double * source_size as cap,
+    case (row_number() over (order by source is null, source) - 1) % 3 when 0 then 5.0::double when 1 then 2.0::double else 1.0::double end as w from totals),
+levels as (select *, (1.5::double * sum(source_size) over () - coalesce(sum(cap) over (order by cap / w, source is null, source rows between unbounded preceding and 1 preceding), 0))
+    / sum(w) over (order by cap / w, source is null, source rows between current row and unbounded following) as level from weighed),
+targets as (select source, source_size, least(cap, w * max(level) over ()) as target from levels),
+timed as (select d.doc_id, d.size, t.source_size, t.target,
+    sum(d.size) over (partition by d.source order by md5(coalesce(d.doc_id::varchar, '')), d.doc_id, d.size rows between unbounded preceding and current row) - d.size as start
+    from sized d join targets t on d.source is not distinct from t.source)
+select doc_id, size, source_size, target,
+    (greatest(0, least(size, round(target)::bigint - start)) + greatest(0, least(size, round(target)::bigint - start - source_size)))::bigint as taken
+from timed
+"""
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage of 20 words or more that a document of smaller doc_id, or the text before
+    it, has already: the document, its bytes, and the first document it was found in."""
+    spans = chunking.repeated_spans(_table(spark, sf_dir, "documents"), min_words=20)
+    return spans.select("doc_id", "span_start", "span_end", "words", "first_doc_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op4_simhash_near_dedup, op7_quality_classifier, op8_source_mixing, op9_substring_dedup)}
+ORACLE_SQL: dict[str, str] = {"op8_source_mixing": OP8_SQL}
