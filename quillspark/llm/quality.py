@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from .common import bounded_sample, spread
 
-LEVEL = 1
+LEVEL = 3
 
 
 @dataclass(frozen=True)
@@ -39,25 +39,33 @@ def _compressors(model: QualityModel) -> tuple:
 
 
 def features(model: QualityModel, texts: list[bytes]) -> np.ndarray:
-    """For each text: 1, the difference of sizes over their sum, the same times log length, and
-    the mean compressed share."""
+    """For each text: 1, then the difference of the two compressed sizes over their sum, the
+    mean compressed share, log length, and their products."""
     good, bad = _compressors(model)
-    out = np.zeros((len(texts), 4))
-    for k, raw in enumerate(texts):
-        a, b = len(good.compress(raw)), len(bad.compress(raw))
-        gap = (b - a) / (a + b)
-        out[k] = (1.0, 20 * gap, 2 * gap * np.log1p(len(raw)), (a + b) / (2 * len(raw) + 32))
-    return out
+    size = np.array([(len(good.compress(t)), len(bad.compress(t)), len(t)) for t in texts], float).reshape(-1, 3)
+    a, b, n = size.T
+    gap, share, length = (b - a) / (a + b), (a + b) / (2 * n + 32), np.log1p(n)
+    return np.c_[np.ones(len(texts)), gap, gap * length, gap * gap, gap * share, share, share * share, length, length * share]
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 40) -> np.ndarray:
-    """Newton's method for a ridge logistic regression; the constant is not shrunk."""
-    w, shrink = np.zeros(x.shape[1]), np.r_[0.0, np.full(x.shape[1] - 1, ridge)]
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 60) -> np.ndarray:
+    """Newton's method with halved steps for a ridge logistic regression; the constant, the
+    first column, is not shrunk."""
+    shrink = np.r_[0.0, np.full(x.shape[1] - 1, ridge)]
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float(np.logaddexp(0, z).sum() - y @ z + 0.5 * shrink @ w**2)
+
+    w = np.zeros(x.shape[1])
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        move = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + np.diag(shrink + 1e-9), x.T @ (y - p) - shrink * w)
-        w = w + move
-        if np.abs(move).max() < 1e-8:
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
+        move = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + np.diag(shrink + 1e-6), x.T @ (y - p) - shrink * w)
+        size = 1.0
+        while size > 1e-4 and loss(w + size * move) > loss(w):
+            size /= 2
+        w = w + size * move
+        if np.abs(size * move).max() < 1e-6:
             break
     return w
 
@@ -75,7 +83,7 @@ def _dictionary(texts: list[bytes], size: int) -> bytes:
     return b"\n".join(texts)[:size]
 
 
-def fit(labelled: DataFrame, rows_per_class: int = 1500, dictionary_bytes: int = 112 * 1024) -> QualityModel:
+def fit(labelled: DataFrame, rows_per_class: int = 3000, dictionary_bytes: int = 112 * 1024) -> QualityModel:
     """Learn from ``labelled`` (doc_id, text, quality 0 or 1).
 
     A bounded sample is used, ``rows_per_class`` documents of each label (at most 1.5 times as
@@ -92,12 +100,15 @@ def fit(labelled: DataFrame, rows_per_class: int = 1500, dictionary_bytes: int =
         halves[q, 0], halves[q, 1] = own[::2], own[1::2]
     good, bad = (_dictionary(halves[q, 0], dictionary_bytes) for q in (1, 0))
     share = (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)
-    prior = QualityModel(good, bad, (float(np.log(share / (1 - share))), 0.0, 0.0, 0.0))
+    prior = QualityModel(good, bad, (float(np.log(share / (1 - share))), *[0.0] * 8))
     if not halves[0, 1] or not halves[1, 1]:
         return prior
     x = np.vstack([features(prior, halves[0, 1]), features(prior, halves[1, 1])])
     y = np.r_[np.zeros(len(halves[0, 1])), np.ones(len(halves[1, 1]))]
-    w = _logistic(x, y)
+    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
+    mean[0], scale[0] = 0.0, 1.0
+    w = _logistic((x - mean) / scale, y) / scale
+    w[0] -= mean @ w
     w[0] += np.log(counts[1] / counts[0]) - np.log(len(halves[1, 1]) / len(halves[0, 1]))
     return QualityModel(good, bad, tuple(w.tolist()))
 
