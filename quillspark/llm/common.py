@@ -88,27 +88,43 @@ def bounded_sample(df: DataFrame, group: str, key: str, rows: int) -> DataFrame:
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Connected components of undirected ``links(a, b)``: rows (node, component), where the
-    component is its smallest node.  Isolated nodes do not appear.
-
-    Each round every node takes the smallest label among itself and its neighbours, then the
-    label's own label (pointer jumping), so rounds grow with the logarithm of the diameter.
-    Labels are written to the shared folder each round; nothing is collected but one count.
+    """Connected components of undirected ``links(a, b)`` of longs: rows (node, component),
+    where the component is one of its nodes.  Isolated nodes do not appear.
+
+    Each round every node points to its neighbour of the smallest hash, if that is smaller than
+    its own, and on to where that one points; links are then drawn between the ends alone, so
+    those within a group vanish at once and a group's links are met in about one round.  Hashes
+    change by round: no order of the ids makes long chains, and rounds grow with the logarithm
+    of the number of nodes.  Only whether any links are left reaches the driver.
     """
-    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    edges = materialise(both, "edges")
-    labels = materialise(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("component")), "labels")
-    for _ in range(max_rounds):
-        near = edges.join(labels, edges["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        stepped = labels.join(near, "node").select("node", F.least("component", "near").alias("step"), F.col("component").alias("was"))
-        jump = labels.select(F.col("node").alias("step"), F.col("component").alias("far"))
-        new = materialise(stepped.join(jump, "step", "left").select("node", F.least("step", F.coalesce("far", "step")).alias("component"), "was"), "labels")
-        changed = new.where("component <> was").limit(1).count()
-        release(labels)
-        labels = new
-        if not changed:
+    a, b = F.col("a"), F.col("b")
+    edges = materialise(links.where("a <> b").select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct(), "edges")
+    labels: DataFrame | None = None
+    for turn in range(max_rounds):
+        if edges.isEmpty():
             break
+        both = edges.union(edges.select("b", "a")).toDF("a", "b").withColumn("h", F.xxhash64("b", F.lit(turn)))
+        best = both.groupBy("a").agg(F.min_by("b", "h").alias("to"), F.min("h").alias("h"))
+        points = best.select(F.col("a").alias("node"), F.when(F.col("h") < F.xxhash64("a", F.lit(turn)), F.col("to")).otherwise(a).alias("to"))
+        points = materialise(points, "points")
+        step = points.select(F.col("node").alias("to"), F.col("to").alias("end"))
+        ends = materialise(points.join(step, "to").select("node", "end"), "ends")
+        left, right = ends.toDF("a", "x"), ends.toDF("b", "y")
+        moved = edges.join(left, "a").join(right, "b").where("x <> y")
+        fewer = materialise(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        if labels is None:
+            new = ends.toDF("node", "component")
+        else:
+            joined = labels.join(ends.toDF("component", "end"), "component", "left")
+            new = materialise(joined.select("node", F.coalesce("end", "component").alias("component")), "labels")
+            release(labels)
+            release(ends)
+        labels = new
+        release(edges)
+        release(points)
+        edges = fewer
     else:
         raise RuntimeError("components did not settle")
-    out = labels.select("node", "component")
-    return out
+    if labels is None:
+        return links.select(a.alias("node"), a.alias("component")).where("false")
+    return labels
