@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunking, mixing, packing, quality, simhash
+from . import chunking, knn, langid, mixing, packing, quality, simhash, urlfilter
 from .common import doc_bucket, materialise
 
 
@@ -71,5 +71,63 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.select("doc_id", "span_start", "span_end", "words", "first_doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op4_simhash_near_dedup, op7_quality_classifier, op8_source_mixing, op9_substring_dedup)}
-ORACLE_SQL: dict[str, str] = {"op8_source_mixing": OP8_SQL}
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those whose crc32(doc_id) mod 3 is not 1."""
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(doc_bucket(F.col("doc_id"), 3) != 1).select("doc_id", "text", "lang"))
+    found = langid.identify(docs, model)
+    return found.select("doc_id", (doc_bucket(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+#: The rules (verdict, host, path) of the URL query, and the host labels whose pages make its list.
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+LISTED_LABELS = "cheap-pills|casino-win|free-bets|spam-farm|adult-x|ads-track"
+
+
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's URL; the list holds the canonical URLs of unwanted hosts."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    host, path = urlfilter.host_of(F.col("url")), urlfilter.path_of(F.col("url"))
+    listed = pages.where(host.rlike(LISTED_LABELS)).select(urlfilter.canonical(host, path).alias("canonical"))
+    return urlfilter.judge(pages, URL_RULES, listed)
+
+
+OP3_SQL = """
+with parsed as (select page_id,
+    translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') as path from pages),
+keyed as (select *, case when host <> '' then concat(regexp_replace(host, '^www[.]', ''), regexp_replace(path, '/+$', '')) end as canonical,
+    case when (host = 'example.net' or host like '%.example.net') and path like '/en/%' then 'example.net/en/'
+         when (host = 'example.com' or host like '%.example.com') and path like '/de/%' then 'example.com/de/'
+         when (host = 'org' or host like '%.org') and path like '/fr/%' then 'org/fr/'
+         when (host = 'net' or host like '%.net') and path like '/%' then 'net/' end as rule from parsed),
+listed as (select distinct canonical from keyed where regexp_matches(host, 'cheap-pills|casino-win|free-bets|spam-farm|adult-x|ads-track'))
+select page_id, host, path, rule,
+    case when rule in ('net/', 'example.com/de/') then 'block' when rule is not null then 'allow'
+         when l.canonical is not null then 'block' else 'allow' end as verdict,
+    l.canonical is not null as listed
+from keyed k left join listed l on k.canonical = l.canonical
+"""
+
+
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best of all other vectors for every vector whose id is divisible by 100."""
+    rows = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("vec_id"), knn.quantised(F.col("embedding")).alias("vector"))
+    return knn.top_k(rows, F.col("vec_id") % 100 == 0, k=10)
+
+
+OP5_SQL = """
+with valid as (select vec_id, [floor(1024 * x::double)::bigint for x in embedding] as v from embeddings
+    where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (select q.vec_id as query_id, d.vec_id as vec_id, list_sum([q.v[i] * d.v[i] for i in range(1, len(q.v) + 1)])::bigint as score
+    from valid q join valid d on q.vec_id % 100 = 0 and d.vec_id <> q.vec_id),
+ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id)::integer as rank from scored)
+select query_id, rank, vec_id, score from ranked where rank <= 10
+"""
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_best_fit_packing, op2_language_id, op3_url_filters, op4_simhash_near_dedup, op5_exact_top_k, op7_quality_classifier, op8_source_mixing, op9_substring_dedup)
+}
+ORACLE_SQL: dict[str, str] = {"op3_url_filters": OP3_SQL, "op5_exact_top_k": OP5_SQL, "op8_source_mixing": OP8_SQL}
