@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
@@ -77,14 +77,25 @@ def doc_bucket(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def bounded_sample(df: DataFrame, group: str, key: str, rows: int) -> DataFrame:
-    """About ``rows`` rows of each group, at most 1.5 times as many: those with the lowest hash
-    of ``key``.  A count per group sets the hash threshold, so no group is sorted or gathered."""
-    share = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    unit = (F.xxhash64(F.lit(7), F.col(key)).bitwiseAND(F.lit((1 << 53) - 1))) / F.lit(float(1 << 53))
-    picked = df.join(share, group).where(unit * F.col("_n") < rows)
-    ranked = Window.partitionBy(group).orderBy(unit, F.col(key))
-    return picked.withColumn("_r", F.row_number().over(ranked)).where(F.col("_r") <= int(rows * 1.5)).drop("_n", "_r")
+def bounded_sample(docs: DataFrame, ids: DataFrame, group: str, rows: int) -> tuple[DataFrame, dict]:
+    """``docs`` of a sample of ``ids`` (doc_id, group), and the rows of each non-null group.
+
+    A doc_id is taken if its hash, as a share of all hashes, is below ``rows`` over its group's
+    rows: about ``rows`` of each group and never more than twice as many in all, chosen alike in
+    every run.  Their ids alone are broadcast, so a scan of ``docs`` moves only sampled texts.
+    Each doc_id comes once.  ``docs`` may have a column named as the group; the one of ``ids``
+    stays.
+    """
+    held = ids.where(F.col("doc_id").isNotNull() & F.col(group).isNotNull()).select("doc_id", group)
+    counts = {r[group]: r["n"] for r in held.groupBy(group).agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not counts:
+        return docs.drop(group).withColumn(group, F.lit(None).cast(ids.schema[group].dataType)).where("false"), counts
+    unit = F.xxhash64(F.lit(7), "doc_id").bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
+    taken = F.lit(False)
+    for g, n in counts.items():
+        taken = taken | ((F.col(group) == F.lit(g)) & (unit < rows / n))
+    picked = held.where(taken).distinct().limit(2 * rows * len(counts))
+    return docs.drop(group).join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]), counts
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -180,18 +180,17 @@ def _expected(edges: tuple[np.ndarray, ...], words: list[str], counts: np.ndarra
     return np.bincount(piece[piece >= 0], share[piece >= 0], len(logp))
 
 
-def fit(labelled: DataFrame, vocabulary_path: str | None = None, rows_per_language: int = 400, rounds: int = 4, most_words: int = 20_000) -> LanguageModel:
-    """Learn from ``labelled`` (doc_id, text, lang).
+def fit(docs: DataFrame, vocabulary_path: str | None = None, rows_per_language: int = 400, rounds: int = 4, most_words: int = 20_000) -> LanguageModel:
+    """Learn from ``docs`` (doc_id, text, lang).
 
-    A bounded sample of each language, ``rows_per_language`` documents (at most 1.5 times as
-    many) of lowest hash; Spark counts its words, of which the ``most_words`` most frequent of
-    up to 40 letters of each language serve the fit.  Every piece keeps some probability in
-    every language.
+    A bounded sample is used, about ``rows_per_language`` documents of each language, chosen by
+    a hash of their ids; Spark counts the words of their whole texts, of which the
+    ``most_words`` most frequent of up to 40 letters of each language serve the fit.  Every
+    piece keeps some probability in every language.
     """
     path = vocabulary_path or default_vocabulary()
     pieces = vocabulary(path)
-    usable = labelled.where("text is not null and lang is not null")
-    sample = bounded_sample(usable, "lang", "doc_id", rows_per_language)
+    sample, _ = bounded_sample(docs.select("doc_id", "text").where("text is not null"), docs.where("text is not null"), "lang", rows_per_language)
     words = spread(sample.select("lang", "text")).mapInArrow(_count_words, "lang string, word string, n long")
     totals = words.groupBy("lang", "word").agg(F.sum("n").alias("n"))
     languages = sorted(r["lang"] for r in totals.select("lang").distinct().collect())

@@ -83,16 +83,16 @@ def _dictionary(texts: list[bytes], size: int) -> bytes:
     return b"\n".join(texts)[:size]
 
 
-def fit(labelled: DataFrame, rows_per_class: int = 3000, dictionary_bytes: int = 112 * 1024) -> QualityModel:
-    """Learn from ``labelled`` (doc_id, text, quality 0 or 1).
+def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = 3000, dictionary_bytes: int = 112 * 1024) -> QualityModel:
+    """Learn from the texts of ``docs`` that ``labels`` (doc_id, quality 0 or 1) has.
 
-    A bounded sample is used, ``rows_per_class`` documents of each label (at most 1.5 times as
-    many), chosen by a hash of their ids; whole texts, even ones for the dictionaries and odd
-    ones for the calibration, which weighs documents as they occur.  With one label only the
-    model answers by the label's share.
+    A bounded sample is used, about ``rows_per_class`` documents of each label, chosen by a hash
+    of their ids; whole texts, every other one for the dictionaries and the rest for the
+    calibration, which weighs documents as labels occur.  Of several labels of a document the
+    lowest counts.  With one label only the model answers by the labels' share.
     """
-    counts = {r["quality"]: r["n"] for r in labelled.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
-    sample = bounded_sample(labelled, "quality", "doc_id", rows_per_class).select("doc_id", "quality", F.col("text").cast("binary").alias("text"))
+    known = labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    sample, counts = bounded_sample(docs.select("doc_id", F.col("text").cast("binary").alias("text")), known, "quality", rows_per_class)
     rows = sorted(sample.collect(), key=lambda r: (r["quality"], r["doc_id"]))
     halves: dict[tuple[int, int], list[bytes]] = {}
     for q in (0, 1):
