@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import chunking, mixing, packing, quality, simhash
 from quillspark.llm.common import materialise
-from quillspark.llm.queries import labelled_documents
+from quillspark.llm.queries import learnable_labels
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose calibrated quality is 0.3 or more; rejected ones go."""
-    model = quality.fit(labelled_documents(spark, docs, sf_dir))
+    model = quality.fit(docs, learnable_labels(spark, sf_dir))
     return quality.score(docs, model, threshold=0.3).where("predicted = 1").select(*docs.columns)
 
 

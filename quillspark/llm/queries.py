@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunking, knn, langid, mixing, packing, quality, simhash, urlfilter
+from . import chunking, knn, langid, media, mixing, packing, quality, simhash, urlfilter, warc
 from .common import doc_bucket, materialise
 
 
@@ -26,17 +26,15 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("simhash")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def labelled_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows (doc_id, text, quality) that may be learned from: crc32(doc_id) mod 5 is not 0."""
-    labels = _table(spark, sf_dir, "labels").where("quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    return docs.select("doc_id", "text").join(labels.where(doc_bucket(F.col("doc_id"), 5) != 0), "doc_id")
+def learnable_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels that may be learned from: crc32(doc_id) mod 5 is not 0."""
+    return _table(spark, sf_dir, "labels").where(doc_bucket(F.col("doc_id"), 5) != 0)
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A quality score for every document, learned from the documents that aren't held out."""
-    docs = _table(spark, sf_dir, "documents")
-    model = quality.fit(labelled_documents(spark, docs, sf_dir))
-    scored = quality.score(docs.select("doc_id", "text"), model)
+    """A quality score for every document, learned from the labels that aren't held out."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality.fit(docs, learnable_labels(spark, sf_dir)))
     return scored.select("doc_id", (doc_bucket(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
 
 
@@ -126,8 +124,74 @@ select query_id, rank, vec_id, score from ranked where rank <= 10
 """
 
 
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as media, sniffed, and read back from the stored bytes."""
+    found = media.inspect(media.store(_table(spark, sf_dir, "documents")))
+    feature = F.concat_ws(";", F.concat(F.lit("kind="), "kind"), F.concat(F.lit("corrected="), F.col("corrected").cast("string")), F.concat(F.lit("embedded="), F.size("embedded").cast("string")))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+
+
+def archive_records(pages: DataFrame) -> DataFrame:
+    """Archive records of ``pages``: a full response of each, a second one of every third, and a
+    revisit of each by another form of its URL; ids are 4 page_id + 0, 2, 1.
+
+    Times and validators follow from page_id and html: some revisits are as old as the response
+    or have another entity tag.
+    """
+    tag, at = F.md5(F.coalesce("html", F.lit("")).cast("binary")), F.lit(1_700_000_000) + F.col("page_id") * 37 % 1_000_000
+    first = F.struct((F.col("page_id") * 4).alias("record_id"), F.col("url"), at.alias("ts"), F.lit("response").alias("kind"),
+                     F.create_map(F.lit("etag"), tag, F.lit("content-length"), F.length("html").cast("string"), F.lit("content-type"), F.lit("text/html"), F.lit("server"), F.lit("a")).alias("headers"))
+    second = F.struct((F.col("page_id") * 4 + 2).alias("record_id"), F.col("url"), (at + 1800 * (F.col("page_id") % 4)).alias("ts"), F.lit("response").alias("kind"),
+                      F.create_map(F.lit("etag"), F.concat(F.lit("b"), tag), F.lit("content-length"), F.lit("1"), F.lit("content-type"), F.lit("text/html"), F.lit("server"), F.lit("b")).alias("headers"))
+    other = F.concat(F.regexp_replace("url", "^https?://", "HTTP://"), F.lit("#again"))
+    changed = F.when(F.col("page_id") % 7 == 0, F.concat(F.lit("x"), tag)).otherwise(tag)
+    revisit = F.struct((F.col("page_id") * 4 + 1).alias("record_id"), other.alias("url"), (at + 3600 * (F.col("page_id") % 5)).alias("ts"), F.lit("revisit").alias("kind"),
+                       F.create_map(F.lit("etag"), F.concat(F.lit("W/"), changed), F.lit("content-length"), F.lit("0"), F.lit("cache-control"), F.lit("max-age=60"), F.lit("server"), F.lit("c")).alias("headers"))
+    made = F.when(F.col("page_id") % 3 == 0, F.array(first, revisit, second)).otherwise(F.array(first, revisit))
+    return pages.select(F.explode(made).alias("r")).select("r.*")
+
+
+def op10_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every revisit of the pages' archive records with the response it stands for."""
+    # Records are written once: their digests of the pages are read more than once.
+    records = materialise(archive_records(_table(spark, sf_dir, "pages")), "records")
+    found = warc.resolve_revisits(records)
+    pairs = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return found.select("record_id", F.floor(F.col("record_id") / 4).alias("page_id"), "canonical_url", "ts", "status", "response_id", F.array_join(pairs, "; ").alias("headers"))
+
+
+OP10_SQL = """
+with base as (select page_id, url, html, md5(coalesce(html, '')) as tag, 1700000000 + page_id * 37 % 1000000 as born from pages),
+urls as (select *, regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '[?#](.|\n)*$', '') as rest from base),
+keyed as (select *, concat(regexp_replace(lower(regexp_extract(rest, '^[^/]*')), '^www[.]', ''), regexp_replace(regexp_extract(rest, '^[^/]*((.|\n)*)$', 1), '/+$', '')) as canonical_url from urls),
+responses as (
+    select page_id * 4 as record_id, canonical_url, born as ts, tag as etag, length(html)::varchar as size, 'a' as server from keyed
+    union all select page_id * 4 + 2, canonical_url, born + 1800 * (page_id % 4), 'b' || tag, '1', 'b' from keyed where page_id % 3 = 0),
+latest as (select * from (select *, row_number() over (partition by canonical_url, ts order by record_id desc) as n from responses) where n = 1),
+revisits as (select page_id * 4 + 1 as record_id, page_id, canonical_url, born + 3600 * (page_id % 5) as ts, case when page_id % 7 = 0 then 'x' || tag else tag end as etag from keyed),
+found as (select v.record_id, v.page_id, v.canonical_url, v.ts, v.etag, r.record_id as response_id, r.etag as stored, r.size from revisits v
+    asof left join latest r on v.canonical_url = r.canonical_url and v.ts > r.ts)
+select record_id, page_id, canonical_url, ts,
+    case when response_id is null then 'no_response' when stored = etag then 'resolved' else 'validator_mismatch' end as status, response_id,
+    case when stored = etag then 'cache-control=max-age=60; content-length=' || size || '; content-type=text/html; etag=W/' || etag || '; server=c'
+         else 'cache-control=max-age=60; content-length=0; etag=W/' || etag || '; server=c' end as headers
+from found
+"""
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op2_language_id, op3_url_filters, op4_simhash_near_dedup, op5_exact_top_k, op7_quality_classifier, op8_source_mixing, op9_substring_dedup)
+    for f in (
+        op1_best_fit_packing,
+        op2_language_id,
+        op3_url_filters,
+        op4_simhash_near_dedup,
+        op5_exact_top_k,
+        op6_media_columns,
+        op7_quality_classifier,
+        op8_source_mixing,
+        op9_substring_dedup,
+        op10_revisit_resolution,
+    )
 }
-ORACLE_SQL: dict[str, str] = {"op3_url_filters": OP3_SQL, "op5_exact_top_k": OP5_SQL, "op8_source_mixing": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_url_filters": OP3_SQL, "op5_exact_top_k": OP5_SQL, "op8_source_mixing": OP8_SQL, "op10_revisit_resolution": OP10_SQL}
