@@ -64,9 +64,17 @@ def _clean() -> None:
             return
 
 
+#: Rows of an Arrow batch of whole texts, at most; longer batches only take memory.
+BATCH_ROWS = 1000
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Deal a scan of very few files over all cores before CPU-heavy work on its rows."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
+    """Prepare ``df`` for Python work on whole texts: a scan of very few files is dealt over all
+    cores, and the session's Arrow batches get ``BATCH_ROWS`` rows unless they have fewer."""
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+    cores = spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() * 2 < cores:
         return df.repartition(cores)
     return df
