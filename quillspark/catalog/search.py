@@ -1,2 +1,307 @@
-QUERIES = {}
-ORACLE_SQL = {}
+"""Queries of query understanding, retrieval, canonical papers, quality and claims."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import search
+from ..storage import materialise
+from ..views import CURRENT_YEAR, duck, table, view
+
+#: The research question that ranking is measured against.
+KEYWORDS = ["placebo", "sleep", "quality", "small", "ring"]
+#: Questions are put together from these parts by part key.
+_QUESTIONS = """
+SELECT p_partkey AS query_id, concat(
+  CASE p_partkey % 4 WHEN 0 THEN 'What are the effects of ' WHEN 1 THEN 'how does ' WHEN 2 THEN 'Please show ' ELSE '' END,
+  CASE p_partkey % 5 WHEN 0 THEN 'sleep restriction ' WHEN 1 THEN 'Melatonin 10mg ' WHEN 2 THEN 'hypertension, anxiety ' WHEN 3 THEN concat(p_name, ' without stress ') ELSE 'BMI ' END,
+  CASE p_partkey % 3 WHEN 0 THEN 'better than placebo' WHEN 1 THEN 'versus insomnia treatment' ELSE 'on working memory;attention' END) AS query
+FROM part
+"""
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_QUESTIONS.replace("FROM part", "FROM {part}"), part=table(spark, sf_dir, "part"))
+
+
+def query_understanding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every question normalised, expanded and judged."""
+    q = search.understand(questions(spark, sf_dir))
+    lists = [F.array_join(c, "|").alias(c) for c in ("terms", "added", "reasons")]
+    return q.select("query_id", "normalized", *lists, "confidence")
+
+
+def query_compilation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every question in the languages of four sources."""
+    return search.understand(questions(spark, sf_dir)).select("query_id", *[f"{s}_query" for s in search.SOURCE_BUDGETS])
+
+
+def query_first_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first version's normaliser and the keyword extractors."""
+    from ..functions import text as T
+
+    q = questions(spark, sf_dir)
+    ui = T.ui_keywords(F.col("query"), ["the", "and", "for", "with", "from", "that", "this", "are", "was", "were", "what"])
+    return q.select("query_id", T.normalize_query_first(F.col("query")).alias("normalized"), F.array_join(T.retrieval_terms(F.col("query")), "|").alias("keywords"), F.array_join(ui, "|").alias("marked"))
+
+
+def query_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected and forbidden concepts in what became of every question."""
+    q = search.understand(questions(spark, sf_dir))
+    corpus = F.concat_ws(" ", "normalized", F.array_join("added", " "))
+    answers = q.select("query_id", corpus.alias("corpus"), F.array(F.lit("placebo"), F.lit("sleep")).alias("expected"), F.array(F.lit("sleep quality"), F.lit("better than")).alias("forbidden"))
+    return search.benchmark(answers).select("query_id", F.col("matched_expected").cast("long").alias("matched_expected"), F.col("matched_forbidden").cast("long").alias("matched_forbidden"), "passed")
+
+
+def search_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sources one after the other, with reciprocal ranks, eligible alone."""
+    papers = view(spark, sf_dir, "studies")
+    parts = [papers.where(F.col("source") == s).select("study_id", "source", "abstract") for s in ("semantic_scholar", "openalex", "pubmed", "arxiv")]
+    from pyspark.sql import Window
+
+    signal = F.round(1.0 / F.row_number().over(Window.partitionBy("source").orderBy("study_id")), 6)
+    return search.eligible(search.fan_out(parts)).withColumn("rank_signal", signal).select("study_id", "source", "provider_ordinal", "rank_signal")
+
+
+def search_rank_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best candidates of the question."""
+    return search.rank_candidates(view(spark, sf_dir, "studies"), KEYWORDS).select("study_id", "candidate_score")
+
+
+def search_expand_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the first 20 seeds with references lead to."""
+    edges = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("citing"), F.col("l_partkey").alias("cited"))
+    seeds = table(spark, sf_dir, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(20).select(F.col("o_orderkey").alias("citing"), F.rank().over(_by_price()).alias("seed_rank"))
+    found = view(spark, sf_dir, "studies").where(F.length("abstract") >= 50).select(F.col("study_id").alias("cited"))
+    return search.expand_citations(seeds, edges, found, most=60).select("cited", F.col("seed_rank").cast("long").alias("seed_rank"))
+
+
+def _by_price():
+    from pyspark.sql import Window
+
+    return Window.orderBy(F.desc("o_totalprice"), "o_orderkey")
+
+
+def citation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Citations of every cited work and the distinct works that cite it."""
+    edges = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("citing"), F.col("l_partkey").alias("cited"))
+    return edges.groupBy("cited").agg(F.count(F.lit(1)).alias("citations"), F.count_distinct("citing").alias("citing_works"))
+
+
+def provider_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return e.select(F.col("event_id").alias("call_id"), F.col("event_type").alias("provider"), "ts", (F.col("event_id") % 9 != 0).alias("ok"), (F.col("event_id") % 1000).cast("double").alias("latency_ms"))
+
+
+def provider_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C11: which providers failed."""
+    return search.coverage_report(provider_log(spark, sf_dir))
+
+
+def provider_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls, errors and latency by provider."""
+    return search.provider_health(provider_log(spark, sf_dir))
+
+
+def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Studies twice: as one source has them, and every third as another repeats it."""
+    s = view(spark, sf_dir, "studies")
+    own = s.select(F.concat(F.lit("p"), F.lpad(F.col("study_id").cast("string"), 7, "0")).alias("paper_id"), F.when(F.col("study_id") % 2 == 0, F.concat(F.lit("10.5555/"), F.col("study_id").cast("string"))).alias("doi"), "title", "abstract", "year", "source", "citation_count", "is_retracted", F.round(1.0 / (1 + F.col("study_id") % 25), 4).alias("rank_signal"), F.array(F.lit("Lee A"), F.concat(F.lit("Kim "), F.col("study_id").cast("string"))).alias("authors"))
+    again = own.where(F.substring("paper_id", 2, 7).cast("int") % 3 == 0)
+    again = again.withColumns({"paper_id": F.concat(F.lit("q"), F.substring("paper_id", 2, 7)), "doi": F.when(F.col("doi").isNotNull(), F.concat(F.lit("https://doi.org/"), F.upper("doi"))), "title": F.concat(F.upper("title"), F.lit(".")), "source": F.lit("crossref"), "citation_count": F.col("citation_count") + 5})
+    return own.unionByName(again)
+
+
+def search_canonicalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Papers merged by identifier or by text, transitively."""
+    merged = search.merge_groups(search.canonical_groups(materialise(papers(spark, sf_dir), "papers")))
+    return merged.select("group_id", "title", "year", F.col("citation_count").cast("long").alias("citation_count"), "is_retracted", "sources", "source_authority", "provenance", F.round("relevance", 3).alias("relevance"))
+
+
+def search_quality_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every paper and why it is rejected."""
+    s = search.score_papers(view(spark, sf_dir, "studies"), CURRENT_YEAR, 1995, 2020, exclude_preprints=True)
+    return s.select("study_id", "source_authority", "study_design_strength", "methods_transparency", "citation_impact", "recency_fit", "q_total", "reject_reason")
+
+
+def search_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kept papers, best first."""
+    return search.kept_papers(search.score_papers(view(spark, sf_dir, "studies"), CURRENT_YEAR)).select("study_id", F.col("rank").cast("long").alias("rank"), "citation_count")
+
+
+def claims_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every claim, its outcome and direction."""
+    return search.claims(view(spark, sf_dir, "studies")).select("study_id", F.col("at").cast("long").alias("at"), "sentence", "outcome", "direction")
+
+
+def claims_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dispositions of claims with one outcome."""
+    return search.claim_clusters(search.claims(view(spark, sf_dir, "studies")))
+
+
+def claims_propositions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every paper's stance."""
+    found = search.claims(view(spark, sf_dir, "studies"))
+    return search.propositions(found, search.claim_clusters(found))
+
+
+def claims_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order-dependent clusters of the claims of each search, 50 papers a search."""
+    found = search.claims(view(spark, sf_dir, "studies")).withColumn("batch", F.floor(F.col("study_id") / 50).cast("string"))
+    return search.greedy_clusters(found, "batch")
+
+
+def evidence_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The evidence table of the best 200 papers."""
+    studies = view(spark, sf_dir, "studies")
+    found = search.claims(studies)
+    ranked = search.kept_papers(search.score_papers(studies, CURRENT_YEAR))
+    rows = search.evidence_table(ranked, search.propositions(found, search.claim_clusters(found)))
+    return rows.select(F.col("rank").cast("long").alias("rank"), "study_id", "title", "year", "snippet", "proposition")
+
+
+def search_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many papers each step of a search leaves."""
+    scored = search.score_papers(view(spark, sf_dir, "studies"), CURRENT_YEAR)
+    return scored.agg(F.count(F.lit(1)).alias("retrieved"), F.count_if(F.length("abstract") > 50).alias("eligible"), F.count_if(F.col("reject_reason").isNull()).alias("kept"), F.count("reject_reason").alias("rejected"))
+
+
+STUDIES = duck("studies")
+_LIST = lambda items: "[" + ", ".join(f"'{x}'" for x in items) + "]"
+
+
+def _concepts(part: str) -> str:
+    """DuckDB text for the added terms (part='terms') or the number of concepts met."""
+    out = []
+    for _, preferred, synonyms, never, most in search.ONTOLOGY:
+        hit = "(" + " OR ".join(f"contains(normalized, '{t}')" for t in dict.fromkeys([preferred, *synonyms])) + ")"
+        usable = _LIST([t for t in dict.fromkeys([preferred, *synonyms]) if t not in never])
+        out.append(f"CASE WHEN {hit} THEN list_filter({usable}, lambda t: NOT list_contains(terms, t))[1:{most}] ELSE []::varchar[] END" if part == "terms" else f"{hit}::int")
+    return f"flatten([{', '.join(out)}])" if part == "terms" else "(" + " + ".join(out) + ")"
+
+
+def _distinct(sql: str) -> str:
+    """Distinct elements in order of first place."""
+    return f"list_filter({sql}, lambda x, i: list_position({sql}, x) = i)"
+
+
+def _questions_sql() -> str:
+    from ..functions import text as T
+
+    stop = _LIST(T.QUERY_STOP_WORDS)
+    strip = "unit"
+    for p in T.LOW_SIGNAL_PREFIXES:
+        strip = f"trim(regexp_replace({strip}, '{p}', '', 'i'))"
+    neutral = "text_"
+    for p, r, _ in T.COMPARATIVES:
+        neutral = f"regexp_replace({neutral}, '{p}', '{r}', 'gi')"
+    meets = lambda held: f"list_has_any(terms, {_LIST(held)})"
+    codes = ["CASE WHEN low <> plain THEN 'lowercased' END", "CASE WHEN unit <> low THEN 'dose_unit_normalized' END", "CASE WHEN bare <> unit THEN 'boilerplate_removed' END"]
+    codes += [f"CASE WHEN regexp_matches(text_, '{p}') THEN '{r}' END" for p, _, r in T.COMPARATIVES]
+    codes += ["CASE WHEN len(added) > 0 THEN 'ontology_expansion_applied' END", "CASE WHEN len(terms) < 2 THEN 'short_query_penalty' END", f"CASE WHEN {meets(search.AMBIGUOUS)} THEN 'ambiguity_penalty' END", f"CASE WHEN {meets(search.NEGATIONS)} THEN 'negation_preserved' END"]
+    codes += [f"CASE WHEN {meets(search.COMPARATORS)} THEN 'comparator_preserved' END", "CASE WHEN concepts > 0 THEN 'concept_match_bonus' END", "CASE WHEN len(added) > 6 THEN 'expansion_breadth_penalty' END"]
+    conf = f"0.82::double + CASE WHEN len(terms) < 2 THEN -0.20::double ELSE 0 END + CASE WHEN {meets(search.AMBIGUOUS)} THEN -0.14::double ELSE 0 END + CASE WHEN {meets(search.NEGATIONS)} THEN 0.06::double ELSE 0 END + CASE WHEN {meets(search.COMPARATORS)} THEN 0.05::double ELSE 0 END + least(0.12::double, concepts * 0.04::double) + CASE WHEN len(added) > 6 THEN -0.05::double ELSE 0 END"
+    return f"""WITH questions AS ({_QUESTIONS}),
+a AS (SELECT *, trim(regexp_replace(regexp_replace(query, '\\s*([,;:!?])\\s*', ' \\1 ', 'g'), '\\s+', ' ', 'g')) AS plain FROM questions),
+b AS (SELECT *, lower(plain) AS low FROM a),
+c AS (SELECT *, regexp_replace(low, '{T.UNITS}', '\\1 \\2', 'gi') AS unit FROM b),
+d AS (SELECT *, {strip} AS bare FROM c),
+e AS (SELECT *, regexp_replace(bare, '\\b(vs\\.?|versus)\\b', 'vs', 'g') AS text_ FROM d),
+f AS (SELECT *, trim(regexp_replace({neutral}, '\\s+', ' ', 'g')) AS normalized FROM e),
+g AS (SELECT *, list_filter(regexp_split_to_array(regexp_replace(normalized, '[^a-z0-9/%\\-\\s]', ' ', 'g'), '\\s+'), lambda w: length(w) > 1 AND NOT list_contains({stop}, w)) AS all_terms FROM f),
+h AS (SELECT *, {_distinct('all_terms')}[1:12] AS terms FROM g),
+i AS (SELECT *, {_concepts('terms')} AS all_added, {_concepts('count')} AS concepts FROM h),
+understood AS (SELECT *, {_distinct('all_added')} AS added FROM i),
+judged AS (SELECT *, round(greatest(0.05, least(0.99, {conf})), 3) AS confidence, list_filter([{', '.join(codes)}], lambda x: x IS NOT NULL) AS reasons FROM understood)
+"""
+
+
+def _source_sql(source: str) -> str:
+    own, more = search.SOURCE_BUDGETS[source]
+    quote = "CASE WHEN contains(t, ' ') THEN concat('\"', t, '\"') ELSE t END"
+    if source in ("openalex", "arxiv"):
+        both = f"list_concat(terms[1:{own}], added[1:{more}])"
+        return f"coalesce(nullif(array_to_string({_distinct(both)}, ' '), ''), normalized)"
+    field = "[Title/Abstract]" if source == "pubmed" else ""
+    word = " AND " if field else " OR "
+    left = f"array_to_string(list_transform(terms[1:{own}], lambda t: concat({quote}, '{field}')), '{word}')"
+    right = f"array_to_string(list_transform(added[1:{more}], lambda t: concat({quote}, '{field}')), ' OR ')"
+    both = f"concat({left}, ' AND (', {right}, ')')" if field else f"concat('(', {left}, ') OR (', {right}, ')')"
+    return f"CASE WHEN len(terms) > 0 AND len(added) > 0 THEN {both} WHEN len(terms) > 0 THEN {left} WHEN len(added) > 0 THEN {right} ELSE normalized END"
+
+
+def _any(column: str, terms: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({column}, '{t}')" for t in terms) + ")"
+
+
+def _count(column: str, terms: list[str]) -> str:
+    return "(" + " + ".join(f"contains({column}, '{t}')::int" for t in terms) + ")"
+
+
+def _quality_sql(first: int, last: int, preprints: bool) -> str:
+    from ..functions import scores as S
+
+    y = CURRENT_YEAR
+    return STUDIES + f""",
+t AS (SELECT *, lower(abstract) AS low, lower(concat(title, ' ', abstract)) AS both_, preprint_status = 'Preprint' AS is_preprint FROM studies),
+h AS (SELECT *, CASE WHEN contains(both_, 'meta-analysis') THEN 'meta-analysis' WHEN contains(both_, 'systematic review') THEN 'systematic' WHEN contains(both_, 'randomized') OR contains(both_, 'randomised') THEN 'rct' WHEN contains(both_, 'cohort') THEN 'cohort' WHEN contains(both_, 'cross-sectional') THEN 'cross' WHEN contains(both_, 'review') THEN 'review' ELSE 'other' END AS hint FROM t),
+p AS (SELECT *, CASE source WHEN 'pubmed' THEN 0.98 WHEN 'openalex' THEN 0.92 WHEN 'semantic_scholar' THEN 0.9 WHEN 'crossref' THEN 0.89 WHEN 'arxiv' THEN 0.84 ELSE 0.75 END::double AS source_authority,
+  CASE hint WHEN 'meta-analysis' THEN 0.9 WHEN 'systematic' THEN 0.9 WHEN 'rct' THEN 0.86 WHEN 'cohort' THEN 0.72 WHEN 'cross' THEN 0.64 WHEN 'review' THEN 0.62 ELSE CASE WHEN is_preprint THEN 0.45 ELSE 0.55 END END::double AS study_design_strength,
+  least(1, {_count('low', S.METHOD_SIGNALS)}::double / 7 * 0.75 + regexp_matches(low, '\\b\\d{{2,}}\\b')::int * 0.25::double) AS mt,
+  CASE WHEN citation_count <= 0 THEN 0 ELSE least(1, ln(1 + citation_count / (greatest(1, {y} - year + 1) * 10.0::double)) / ln(21.0::double)) END AS ci,
+  least(1, exp(-greatest(0, {y} - year) / 8.0::double) + CASE WHEN year BETWEEN {first} AND {last} THEN 0.15 ELSE 0 END::double) AS rf FROM h),
+scored AS (SELECT *, round(mt, 4) AS methods_transparency, round(ci, 4) AS citation_impact, round(rf, 4) AS recency_fit, round(source_authority * 0.3::double + study_design_strength * 0.25::double + mt * 0.2::double + ci * 0.15::double + rf * 0.1::double, 4) AS q_total FROM p),
+judged AS (SELECT *, CASE WHEN is_retracted THEN 'retracted_or_invalidated' WHEN {str(preprints).lower()} AND is_preprint THEN 'preprint_excluded' WHEN year < {first} OR year > {last} THEN 'outside_requested_timeframe'
+  WHEN {_any('both_', S.EMPIRICAL_SIGNALS)} AND NOT {_any('low', S.METHODS_PRESENT)} AND methods_transparency < 0.35 THEN 'missing_methodological_metadata' WHEN q_total < 0.6 THEN 'quality_below_threshold' END AS reject_reason FROM scored)
+"""
+
+
+def _claims_sql() -> str:
+    from ..functions import extraction as X
+    from ..functions.text import CLAIM_STOP_WORDS
+
+    return f""",
+cut AS (SELECT study_id, unnest(list_filter(list_transform(string_split(regexp_replace(abstract, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '')) AS sentence, generate_subscripts(list_filter(list_transform(string_split(regexp_replace(abstract, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> ''), 1) - 1 AS at_ FROM studies),
+lowered AS (SELECT *, lower(sentence) AS l FROM cut),
+claims AS (SELECT study_id, at_, sentence, coalesce(nullif(array_to_string(list_filter(regexp_split_to_array(regexp_replace(l, '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda w: length(w) > 2 AND NOT list_contains({_LIST(CLAIM_STOP_WORDS + X.EFFECT_TERMS)}, w))[1:6], ' '), ''), 'outcome') AS outcome,
+  CASE WHEN {_any('l', X.NULL_TERMS)} THEN 'neutral' WHEN {_count('l', X.POSITIVE_TERMS)} > {_count('l', X.NEGATIVE_TERMS)} THEN 'positive' WHEN {_count('l', X.NEGATIVE_TERMS)} > {_count('l', X.POSITIVE_TERMS)} THEN 'negative' ELSE 'neutral' END AS direction
+  FROM lowered WHERE {_any('l', X.EFFECT_TERMS)}),
+clusters AS (SELECT *, CASE WHEN positive > 0 AND negative > 0 THEN 'conflicting' WHEN positive > 0 AND neutral = 0 THEN 'consensus_positive' WHEN negative > 0 AND neutral = 0 THEN 'consensus_negative' ELSE 'mixed' END AS disposition FROM
+  (SELECT outcome, count(*) FILTER (direction = 'positive') AS positive, count(*) FILTER (direction = 'negative') AS negative, count(*) FILTER (direction = 'neutral') AS neutral, count(*) AS claims FROM claims GROUP BY outcome)),
+stances AS (SELECT study_id, CASE WHEN min(disposition) = max(disposition) THEN min(disposition) ELSE 'mixed' END AS proposition FROM claims JOIN clusters USING (outcome) GROUP BY study_id)"""
+
+
+UNDERSTOOD = _questions_sql()
+LOG = "WITH log AS (SELECT event_id AS call_id, event_type AS provider, ts, event_id % 9 <> 0 AS ok, (event_id % 1000)::double AS latency_ms FROM events)"
+QUERIES = {
+    f.__name__: f
+    for f in (
+        query_understanding, query_compilation, query_first_version, query_benchmark, search_fan_out, search_rank_candidates, search_expand_citations, citation_counts, provider_coverage,
+        provider_health, search_canonicalize, search_quality_filter, search_kept, claims_direction, claims_clusters, claims_propositions, claims_greedy, evidence_table, search_funnel,
+    )
+}
+ORACLE_SQL = {
+    "query_understanding": UNDERSTOOD + "SELECT query_id, normalized, array_to_string(terms, '|') AS terms, array_to_string(added, '|') AS added, array_to_string(reasons, '|') AS reasons, confidence FROM judged",
+    "query_compilation": UNDERSTOOD + "SELECT query_id, " + ", ".join(f"{_source_sql(s)} AS {s}_query" for s in search.SOURCE_BUDGETS) + " FROM understood",
+    "query_benchmark": UNDERSTOOD + """, q AS (SELECT query_id, concat(normalized, ' ', array_to_string(added, ' ')) AS corpus FROM understood),
+m AS (SELECT query_id, (contains(corpus, 'placebo')::int + contains(corpus, 'sleep')::int)::bigint AS matched_expected, (contains(corpus, 'sleep quality')::int + contains(corpus, 'better than')::int)::bigint AS matched_forbidden FROM q)
+SELECT *, matched_expected = 2 AND matched_forbidden = 0 AS passed FROM m""",
+    "search_fan_out": STUDIES + " SELECT study_id, source, CASE source WHEN 'semantic_scholar' THEN 0 WHEN 'openalex' THEN 1 WHEN 'pubmed' THEN 2 ELSE 3 END AS provider_ordinal, round(1.0::double / row_number() OVER (PARTITION BY source ORDER BY study_id), 6) AS rank_signal FROM studies WHERE length(abstract) > 50",
+    "search_rank_candidates": STUDIES + f" SELECT study_id, round(3.0::double * {_count('lower(concat(title, chr(32), abstract))', KEYWORDS)} + least(length(abstract) / 2000.0::double, 1) + least(log10(1.0::double + citation_count) / 3, 1), 4) AS candidate_score FROM studies ORDER BY candidate_score DESC, study_id LIMIT 2000",
+    "search_expand_citations": STUDIES + """, seeds AS (SELECT o_orderkey AS citing, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS seed_rank FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20),
+refs AS (SELECT seed_rank, l_partkey AS cited FROM lineitem JOIN seeds ON citing = l_orderkey ORDER BY seed_rank, cited LIMIT 60)
+SELECT cited, min(seed_rank) AS seed_rank FROM refs WHERE cited IN (SELECT study_id FROM studies WHERE length(abstract) >= 50) GROUP BY cited""",
+    "citation_counts": "SELECT l_partkey AS cited, count(*) AS citations, count(DISTINCT l_orderkey) AS citing_works FROM lineitem GROUP BY l_partkey",
+    "provider_coverage": LOG + " SELECT count(DISTINCT provider) AS queried, count(DISTINCT provider) FILTER (NOT ok) AS failed, array_to_string(list_sort(list(DISTINCT provider) FILTER (NOT ok)), ',') AS failed_providers, count(*) FILTER (NOT ok) > 0 AS degraded FROM log",
+    "provider_health": LOG + " SELECT provider, count(*) AS calls, round(avg((NOT ok)::int::double), 4) AS error_rate, round(avg(latency_ms), 2) AS latency_ms, arg_max(ok, (ts, call_id)) AS last_ok FROM log GROUP BY provider",
+    "search_quality_filter": _quality_sql(1995, 2020, True) + "SELECT study_id, source_authority, study_design_strength, methods_transparency, citation_impact, recency_fit, q_total, reject_reason FROM judged",
+    "search_kept": _quality_sql(1900, 2100, False) + "SELECT study_id, row_number() OVER (ORDER BY q_total DESC, citation_count DESC, study_id) AS rank, citation_count FROM judged WHERE reject_reason IS NULL QUALIFY rank <= 2000",
+    "claims_direction": STUDIES + _claims_sql() + " SELECT study_id, at_::bigint AS at, sentence, outcome, direction FROM claims".replace(" AS at,", ' AS "at",'),
+    "claims_clusters": STUDIES + _claims_sql() + " SELECT * FROM clusters",
+    "claims_propositions": STUDIES + _claims_sql() + " SELECT * FROM stances",
+    "evidence_table": _quality_sql(1900, 2100, False) + _claims_sql() + """, ranked AS (SELECT *, row_number() OVER (ORDER BY q_total DESC, citation_count DESC, study_id) AS rank FROM judged WHERE reject_reason IS NULL)
+SELECT rank, r.study_id, title, year, CASE WHEN length(s) <= 280 THEN s ELSE concat(substr(s, 1, 279), '...') END AS snippet, coalesce(proposition, 'mixed') AS proposition
+FROM (SELECT *, trim(regexp_replace(abstract, '\\s+', ' ', 'g')) AS s FROM ranked WHERE rank <= 200) r LEFT JOIN stances t ON t.study_id = r.study_id""",
+    "search_funnel": _quality_sql(1900, 2100, False) + "SELECT count(*) AS retrieved, count(*) FILTER (length(abstract) > 50) AS eligible, count(*) FILTER (reject_reason IS NULL) AS kept, count(reject_reason) AS rejected FROM judged",
+}
