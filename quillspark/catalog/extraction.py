@@ -1,2 +1,145 @@
-QUERIES = {}
-ORACLE_SQL = {}
+"""Queries of extraction from abstracts and pages."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import extraction as X
+from ..functions import text as T
+from ..operators import studies as S
+from ..sources import readers
+from ..views import duck, table, view
+
+
+def extract_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Design, review type, sample size and population of every study."""
+    text = F.concat_ws(" ", "title", "abstract")
+    return view(spark, sf_dir, "studies").select("study_id", X.study_design(text).alias("design"), X.review_type(text).alias("review_type"), X.sample_size(F.col("abstract")).alias("sample_size"), X.population(F.col("abstract")).alias("population"))
+
+
+def extract_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every result sentence with what it compares, measures and finds."""
+    found = S.outcomes(view(spark, sf_dir, "studies"))
+    return found.select("study_id", F.col("at").cast("long").alias("at"), "outcome_measured", "effect_size", "p_value", "intervention", "comparator", "confidence")
+
+
+def extract_studies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structured studies and their tier."""
+    tiered = S.tier(S.studies(view(spark, sf_dir, "studies")))
+    return tiered.select("study_id", "study_design", "sample_size", F.size("outcomes").cast("long").alias("outcomes"), "tier")
+
+
+def extraction_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Studies by tier and design."""
+    return S.extraction_stats(S.tier(S.studies(view(spark, sf_dir, "studies"))))
+
+
+def merged_studies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A10: studies that two extractions hold."""
+    s = view(spark, sf_dir, "studies").select("study_id", "title", "abstract", "study_design", "citation_count", "outcome_measured")
+    again = s.where("study_id % 2 = 0").withColumns({"study_design": F.lit("RCT"), "abstract": F.substring("abstract", 1, 40), "citation_count": F.col("citation_count") + 3, "outcome_measured": F.lit("mood")})
+    merged = S.merge_studies(s.withColumn("ordinal", F.lit(0)).unionByName(again.withColumn("ordinal", F.lit(1))))
+    return merged.select("study_id", "study_design", "title", F.length("abstract").cast("long").alias("chars"), "citation_count", "outcomes")
+
+
+def result_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results by direction."""
+    return view(spark, sf_dir, "studies").groupBy(X.result_direction(F.col("key_result")).alias("direction")).agg(F.count(F.lit(1)).alias("results"))
+
+
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PDF links of pages (a link is appended to two pages of three)."""
+    p = table(spark, sf_dir, "pages")
+    extra = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit('<iframe src="//host/'), F.col("page_id").cast("string"), F.lit('.pdf#view"></iframe>'))).when(F.col("page_id") % 3 == 1, F.concat(F.lit('<a class=x href="/d/'), F.col("page_id").cast("string"), F.lit('.pdf">get</a>'))).otherwise("")
+    return p.select("page_id", T.pdf_link(F.concat("html", extra)).alias("pdf"), F.length(T.without_tags(F.col("html"))).cast("long").alias("text_chars"))
+
+
+def text_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formatted citations, authors, groups and fields."""
+    authors = F.array(F.lit("Lee A"), F.concat(F.lit("Kim "), F.col("study_id").cast("string")), F.lit("Ng C"), F.lit("Roe D"))
+    named = F.slice(authors, 1, (F.col("study_id") % 5).cast("int"))
+    cited = T.citation(named, F.col("year"), F.col("title"), F.col("source"))
+    s = view(spark, sf_dir, "studies").withColumn("cited", cited)
+    return s.select("study_id", "cited", T.first_author(F.col("cited")).alias("lead"), T.shortened(F.col("abstract"), 60).alias("short"), T.without_causality(F.col("key_result")).alias("result"), T.population_type(F.col("population")).alias("population_type"), T.outcome_group(F.col("outcome_measured")).alias("outcome"), T.csv_field(F.concat(F.col("title"), F.lit(', "x"'))).alias("field"))
+
+
+def conversation_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation's answers put together from their stream events in order."""
+    return readers.joined_stream(readers.as_stream_events(table(spark, sf_dir, "conversations"))).select("conv_id", F.length("answer").cast("long").alias("chars"), F.md5("answer").alias("digest"))
+
+
+def inverted_abstracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Abstracts through their inverted index and back; words and digest."""
+    words = F.split(T.collapse(F.col("abstract")), " ")
+    pairs = F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i")))
+    index = F.map_from_entries(F.transform(F.array_distinct(words), lambda w: F.struct(w.alias("key"), F.transform(F.filter(pairs, lambda p: p["w"] == w), lambda p: p["i"]).alias("value"))))
+    return view(spark, sf_dir, "studies").select("study_id", T.abstract_of(index).alias("abstract"))
+
+
+STUDIES = duck("studies")
+
+
+def _outcomes_sql() -> str:
+    effect, p_value, interval = X.EFFECT.replace("(?i)", ""), X.P_VALUE.replace("(?i)", ""), X.INTERVAL.replace("(?i)", "")
+    effect = effect.replace("'", "''")
+    c1, c2 = (c.replace("(?i)", "") for c in X.COMPARISONS)
+    o1, o2 = (o.replace("(?i)", "") for o in X.OUTCOMES)
+    clean = lambda x: f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
+    side = lambda p, i: f"regexp_replace({clean(f'regexp_extract(sentence, $re${p}$re$, {i}, $q$i$q$)')}, '^the\\s+', '', 'i')"
+    named = lambda p: f"trim(regexp_replace({clean(f'regexp_extract(sentence, $re${p}$re$, 1, $q$i$q$)')}, '\\b(the|a|an)\\b', '', 'gi'))"
+    marks = " OR ".join(f"contains(lower(sentence), '{m}')" for m in X.RESULT_MARKERS)
+    parts = "list_filter(list_transform(string_split(regexp_replace(trim(regexp_replace(abstract, '\\s+', ' ', 'g')), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '')"
+    return STUDIES + f""",
+cut AS (SELECT study_id, unnest({parts}) AS sentence, generate_subscripts({parts}, 1) - 1 AS at_ FROM studies),
+raw AS (SELECT study_id, at_, sentence, nullif({clean(f"regexp_extract(sentence, $re${effect.replace("''", "'")}$re$, 0, 'i')")}, '') AS effect_size,
+  coalesce(nullif({clean(f"regexp_extract(sentence, $re${p_value}$re$, 0, 'i')")}, ''), nullif({clean(f"regexp_extract(sentence, $re${interval}$re$, 0, 'i')")}, '')) AS p_value,
+  {side(c1, 1)} AS i1, {side(c1, 2)} AS k1, {side(c2, 1)} AS i2, {side(c2, 2)} AS k2, {named(o1)} AS n1, {named(o2)} AS n2,
+  nullif(array_to_string(list_filter(regexp_split_to_array(regexp_replace(lower(sentence), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda w: length(w) > 2)[1:8], ' '), '') AS n3 FROM cut WHERE {marks}),
+outcomes AS (SELECT study_id, at_, sentence, effect_size, p_value, CASE WHEN i1 <> '' AND k1 <> '' THEN i1 WHEN i2 <> '' AND k2 <> '' THEN i2 END AS intervention, CASE WHEN i1 <> '' AND k1 <> '' THEN k1 WHEN i2 <> '' AND k2 <> '' THEN k2 END AS comparator,
+  CASE WHEN length(n1) >= 3 THEN substr(n1, 1, 120) WHEN length(n2) >= 3 THEN substr(n2, 1, 120) ELSE coalesce(n3, 'reported outcome') END AS outcome_measured FROM raw),
+judged AS (SELECT *, round(least(1, 0.2::double + 0.2::double + CASE WHEN effect_size <> '' THEN 0.25::double ELSE 0 END + CASE WHEN p_value <> '' THEN 0.2::double ELSE 0 END + CASE WHEN intervention <> '' THEN 0.15::double ELSE 0 END + CASE WHEN comparator <> '' THEN 0.15::double ELSE 0 END + CASE WHEN length(sentence) >= 20 THEN 0.1::double ELSE 0 END), 2) AS confidence FROM outcomes)"""
+
+
+def _fields_sql() -> str:
+    design = "CASE"
+    for name, pattern, _ in X.DESIGNS:
+        design += f" WHEN regexp_matches(lower(t), $re${pattern}$re$) THEN '{name}'"
+    design += " ELSE 'unknown' END"
+    sizes = ", ".join(f"try_cast(nullif(regexp_extract(abstract, $re${p.replace('(?i)', '')}$re$, 1, 'i'), '') AS int)" for p in X.SAMPLE_SIZES)
+    return STUDIES + f""", f AS (SELECT *, concat(title, ' ', abstract) AS t FROM studies)
+SELECT study_id, {design} AS design, CASE WHEN contains(lower(t), 'meta-analysis') OR contains(lower(t), 'meta analysis') THEN 'Meta-analysis' WHEN contains(lower(t), 'systematic review') THEN 'Systematic review' ELSE 'None' END AS review_type,
+  coalesce({sizes}) AS sample_size,
+  substr(list_filter(string_split(regexp_replace(trim(regexp_replace(abstract, '\\s+', ' ', 'g')), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: regexp_matches(s, $re${X.POPULATION.replace('(?i)', '')}$re$, 'i'))[1], 1, 220) AS population FROM f"""
+
+
+def _formats_sql() -> str:
+    causal = "key_result"
+    for old, new in T.CAUSAL:
+        causal = f"regexp_replace({causal}, '\\b{old}\\b', '{new}', 'gi')"
+    return STUDIES + f""", a AS (SELECT *, (['Lee A', concat('Kim ', study_id), 'Ng C', 'Roe D'])[1:study_id % 5] AS names FROM studies),
+b AS (SELECT *, trim(concat(CASE WHEN len(names) = 0 THEN 'Unknown' ELSE concat(array_to_string(names[1:3], ', '), CASE WHEN len(names) > 3 THEN ' et al.' ELSE '' END) END, ' (', year, '). ', title, '. ', source)) AS cited, trim(regexp_replace(abstract, '\\s+', ' ', 'g')) AS flat FROM a)
+SELECT study_id, cited, trim(regexp_replace(regexp_extract(cited, '^([^,(]+)', 1), '\\set al\\.?$', '', 'i')) AS lead, CASE WHEN length(flat) <= 60 THEN flat ELSE concat(substr(flat, 1, 59), '...') END AS short, {causal} AS result,
+  CASE WHEN regexp_matches(lower(population), 'child|adolescent') THEN 'pediatric' WHEN regexp_matches(lower(population), 'adult|elderly') THEN 'adult' WHEN regexp_matches(lower(population), 'patient|clinical') THEN 'clinical' ELSE 'general' END AS population_type,
+  trim(regexp_replace(lower(outcome_measured), '\\b(symptoms?|levels?|scores?|measures?|rates?)\\b', '', 'g')) AS outcome, concat('"', replace(concat(title, ', "x"'), '"', '""'), '"') AS field FROM b"""
+
+
+def _directions_sql() -> str:
+    up, down = "|".join(X.POSITIVE_RESULTS), "|".join(X.NEGATIVE_RESULTS)
+    return STUDIES + f""", m AS (SELECT regexp_matches(key_result, $re${up}$re$, 'i') AS up, regexp_matches(key_result, $re${down}$re$, 'i') AS down FROM studies)
+SELECT CASE WHEN up AND down THEN 'mixed' WHEN up THEN 'positive' WHEN down THEN 'negative' ELSE 'neutral' END AS direction, count(*) AS results FROM m GROUP BY 1"""
+
+
+QUERIES = {f.__name__: f for f in (extract_fields, extract_outcomes, extract_studies, extraction_stats, merged_studies, result_directions, page_links, text_formats, conversation_answers, inverted_abstracts)}
+ORACLE_SQL = {
+    "extract_fields": _fields_sql(),
+    "extract_outcomes": _outcomes_sql() + ' SELECT study_id, at_::bigint AS "at", outcome_measured, effect_size, p_value, intervention, comparator, confidence FROM judged',
+    "merged_studies": STUDIES + """ SELECT study_id, CASE WHEN study_id % 2 = 0 THEN 'RCT' ELSE study_design END AS study_design, title, length(abstract) AS chars, CASE WHEN study_id % 2 = 0 THEN citation_count + 3 ELSE citation_count END::integer AS citation_count,
+  CASE WHEN study_id % 2 = 0 THEN array_to_string(list_sort([outcome_measured, 'mood']), '|') ELSE outcome_measured END AS outcomes FROM studies""",
+    "result_directions": _directions_sql(),
+    "page_links": """WITH p AS (SELECT page_id, html, concat(html, CASE page_id % 3 WHEN 0 THEN concat('<iframe src="//host/', page_id, '.pdf#view"></iframe>') WHEN 1 THEN concat('<a class=x href="/d/', page_id, '.pdf">get</a>') ELSE '' END) AS h FROM pages)
+SELECT page_id, coalesce(nullif(regexp_extract(h, '<iframe[^>]+src=["'']([^"'']+\\.pdf[^"'']*)["'']', 1, 'i'), ''), nullif(regexp_extract(h, '<a[^>]+href=["'']([^"'']+\\.pdf[^"'']*)["'']', 1, 'i'), '')) AS pdf, length(regexp_replace(html, '<[^>]+>', '', 'g')) AS text_chars FROM p""",
+    "text_formats": _formats_sql(),
+    "conversation_answers": "WITH a AS (SELECT conv_id, string_agg(text, '' ORDER BY turn) AS answer FROM conversations WHERE role = 'assistant' GROUP BY conv_id) SELECT conv_id, length(answer) AS chars, md5(answer) AS digest FROM a",
+    "inverted_abstracts": STUDIES + " SELECT study_id, trim(regexp_replace(abstract, '\\s+', ' ', 'g')) AS abstract FROM studies",
+}
