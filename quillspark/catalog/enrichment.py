@@ -1,2 +1,91 @@
-QUERIES = {}
-ORACLE_SQL = {}
+"""Queries of metadata enrichment."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import hashing, text as T
+from ..functions import similarity as H
+from ..operators import enrich
+from ..views import duck, view
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate pairs of studies and of references that repeat two studies of three, slightly
+    changed; one in five has an identifier on both sides."""
+    s = view(spark, sf_dir, "studies")
+    doi = F.when(F.col("study_id") % 5 == 0, F.concat(F.lit("10.5555/"), F.col("study_id").cast("string")))
+    base = s.select(F.col("study_id").alias("id"), doi.alias("doi"), "title", F.array(F.lit("Lee A"), F.concat(F.lit("Kim "), F.col("study_id").cast("string"))).alias("authors"), "year", F.col("source").alias("venue"), "citation_count")
+    changed = base.where("id % 3 <> 0").withColumns(
+        {"title": F.when(F.col("id") % 2 == 0, F.upper("title")).otherwise(F.concat("title", F.lit(" revised"))), "year": (F.col("year") + F.col("id") % 3 - 1).cast("int"), "citation_count": F.col("citation_count") + 7, "provider": F.when(F.col("id") % 4 < 2, "crossref").otherwise("openalex")}
+    )
+    return enrich.candidates(base, changed)
+
+
+def enrich_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs by identifier, else by the two rarest title tokens."""
+    return pairs(spark, sf_dir).select("p_id", "r_id")
+
+
+def enrich_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best candidate of each study and what becomes of it."""
+    return enrich.best_candidates(pairs(spark, sf_dir)).select("p_id", "r_id", "confidence", "outcome")
+
+
+def enrich_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many studies each outcome has."""
+    return enrich.best_candidates(pairs(spark, sf_dir)).groupBy("outcome").agg(F.count(F.lit(1)).alias("papers"))
+
+
+def enrich_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What accepted candidates fill or replace."""
+    return enrich.merged_fields(enrich.best_candidates(pairs(spark, sf_dir)))
+
+
+def title_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lookup keys by title, lead author and year."""
+    s = view(spark, sf_dir, "studies")
+    return s.select("study_id", hashing.title_fingerprint(T.normalize_ascii(F.col("title")), F.lit("lee a"), F.when(F.col("study_id") % 7 > 0, F.col("year"))).alias("lookup_key"))
+
+
+def title_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H9: titles within a few edits, among those with one opening and year."""
+    s = view(spark, sf_dir, "studies").select("study_id", "title", "year", F.substring("title", 1, 12).alias("opening"))
+    a, b = s.alias("a"), s.alias("b")
+    near = a.join(b, (F.col("a.opening") == F.col("b.opening")) & (F.col("a.year") == F.col("b.year")) & (F.col("a.study_id") < F.col("b.study_id")))
+    return near.where(H.within_edits(F.col("a.title"), F.col("b.title"))).select(F.col("a.study_id").alias("left_id"), F.col("b.study_id").alias("right_id"))
+
+
+PAIRS = duck("studies") + """,
+base AS (SELECT study_id AS id, CASE WHEN study_id % 5 = 0 THEN concat('10.5555/', study_id) END AS doi, title, ['lee a', concat('kim ', study_id)] AS authors, year, source AS venue, citation_count FROM studies),
+ref AS (SELECT * REPLACE (CASE WHEN id % 2 = 0 THEN upper(title) ELSE concat(title, ' revised') END AS title, (year + id % 3 - 1)::int AS year, citation_count + 7 AS citation_count), CASE WHEN id % 4 < 2 THEN 'crossref' ELSE 'openalex' END AS provider FROM base WHERE id % 3 <> 0),
+by_doi AS (SELECT p.id AS p_id, r.id AS r_id FROM base p JOIN ref r ON p.doi = r.doi),
+rest AS (SELECT * FROM base WHERE doi IS NULL OR doi NOT IN (SELECT doi FROM ref WHERE doi IS NOT NULL)),
+rt AS (SELECT id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(title), '[^a-z0-9]+'), lambda w: length(w) > 2 AND NOT list_contains(['a','an','and','are','as','at','by','for','from','in','is','it','of','on','or','that','the','to','with'], w)))) AS token FROM ref),
+pt AS (SELECT id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(title), '[^a-z0-9]+'), lambda w: length(w) > 2 AND NOT list_contains(['a','an','and','are','as','at','by','for','from','in','is','it','of','on','or','that','the','to','with'], w)))) AS token FROM rest),
+uses AS (SELECT token, count(*) AS n FROM rt GROUP BY token),
+rare AS (SELECT id, array_to_string(list_sort(list(token)), '|') AS key FROM (SELECT pt.id, token, row_number() OVER (PARTITION BY pt.id ORDER BY n, token) AS k FROM pt JOIN uses USING (token)) WHERE k <= 2 GROUP BY id),
+keyed AS (SELECT id, token AS key FROM rt UNION ALL SELECT a.id, concat(a.token, '|', b.token) FROM rt a JOIN rt b ON a.id = b.id AND a.token < b.token),
+pairs AS (SELECT * FROM by_doi UNION ALL SELECT rare.id, keyed.id FROM rare JOIN keyed USING (key))"""
+BEST = PAIRS + """,
+texts AS (SELECT p_id, r_id, p.doi AS pd, r.doi AS rd, p.year AS py, r.year AS ry, p.citation_count AS pc, r.citation_count AS rc, r.provider, p.venue = r.venue AS same_venue,
+  trim(regexp_replace(regexp_replace(lower(p.title), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS a, trim(regexp_replace(regexp_replace(lower(r.title), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS b,
+  len(list_intersect(p.authors, r.authors))::double / 2 AS au, replace(p.venue, '_', ' ') AS va, replace(r.venue, '_', ' ') AS vb FROM pairs JOIN base p ON p.id = p_id JOIN ref r ON r.id = r_id),
+sets AS (SELECT *, list_distinct(list_filter(string_split(a, ' '), lambda w: length(w) > 1)) AS ta, list_distinct(list_filter(string_split(b, ' '), lambda w: length(w) > 1)) AS tb,
+  list_distinct(list_transform(range(1, length(a)), lambda i: substr(a, i, 2))) AS ga, list_distinct(list_transform(range(1, length(b)), lambda i: substr(b, i, 2))) AS gb,
+  list_distinct(string_split(va, ' ')) AS wa, list_distinct(string_split(vb, ' ')) AS wb, list_distinct(list_transform(range(1, length(va)), lambda i: substr(va, i, 2))) AS ha, list_distinct(list_transform(range(1, length(vb)), lambda i: substr(vb, i, 2))) AS hb FROM texts),
+sims AS (SELECT *, 0.6::double * (len(list_intersect(ta, tb))::double / (len(ta) + len(tb) - len(list_intersect(ta, tb)))) + 0.4::double * (2.0::double * len(list_intersect(ga, gb)) / (len(ga) + len(gb))) AS ts,
+  0.6::double * (len(list_intersect(wa, wb))::double / (len(wa) + len(wb) - len(list_intersect(wa, wb)))) + 0.4::double * (2.0::double * len(list_intersect(ha, hb)) / (len(ha) + len(hb))) AS vs FROM sets),
+scored AS (SELECT *, round((least(1, 0.55::double * ts + 0.20::double * au + 0.15::double * CASE abs(py - ry) WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0 END::double + 0.10::double * vs + CASE WHEN pd = rd THEN 0.1 ELSE 0 END::double))::decimal(18,10), 4)::double AS confidence, CASE provider WHEN 'crossref' THEN 0.89 ELSE 0.92 END::double AS trust FROM sims),
+best AS (SELECT *, CASE WHEN confidence >= 0.9 THEN 'accepted' WHEN confidence >= 0.75 THEN 'deferred' ELSE 'rejected' END AS outcome FROM (SELECT *, row_number() OVER (PARTITION BY p_id ORDER BY confidence DESC, trust DESC, r_id) AS place FROM scored) WHERE place = 1)"""
+QUERIES = {f.__name__: f for f in (enrich_candidates, enrich_best, enrich_outcomes, enrich_merge, title_fingerprints, title_edits)}
+ORACLE_SQL = {
+    "enrich_candidates": PAIRS + " SELECT p_id, r_id FROM pairs",
+    "enrich_best": BEST + " SELECT p_id, r_id, confidence, outcome FROM best",
+    "enrich_outcomes": BEST + " SELECT outcome, count(*) AS papers FROM best GROUP BY outcome",
+    "enrich_merge": BEST + """ SELECT p_id, outcome, CASE WHEN outcome = 'accepted' AND pd IS NULL THEN rd ELSE pd END AS doi, CASE WHEN outcome = 'accepted' AND abs(py - ry) = 1 AND trust * confidence >= 0.75::double * 0.8::double + 0.05::double THEN ry ELSE py END AS year,
+  CASE WHEN outcome = 'accepted' THEN greatest(pc, rc) ELSE pc END::integer AS citation_count, concat_ws('|', CASE WHEN pd <> rd THEN 'doi_conflict' END, CASE WHEN abs(py - ry) > 1 THEN 'year_out_of_range' END) AS reasons FROM best""",
+    "title_fingerprints": duck("studies") + " SELECT study_id, sha1(concat(trim(regexp_replace(regexp_replace(lower(title), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')), '|lee a|', CASE WHEN study_id % 7 > 0 THEN year::varchar ELSE 'na' END)) AS lookup_key FROM studies",
+    "title_edits": duck("studies") + " SELECT a.study_id AS left_id, b.study_id AS right_id FROM studies a JOIN studies b ON substr(a.title, 1, 12) = substr(b.title, 1, 12) AND a.year = b.year AND a.study_id < b.study_id WHERE levenshtein(a.title, b.title) <= CASE WHEN greatest(length(a.title), length(b.title)) <= 40 THEN 2 ELSE 3 END",
+}

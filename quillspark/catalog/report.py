@@ -1,2 +1,190 @@
-QUERIES = {}
-ORACLE_SQL = {}
+"""Queries of the report read path."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..operators import report, runs
+from ..views import duck, table, view
+
+KEYWORDS = ["sleep", "placebo", "standard"]
+QUERY = "Placebo and sleep quality"
+
+
+def reviewed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Studies with a review type."""
+    kind = F.when(F.col("study_id") % 10 == 3, "Meta-analysis").when(F.col("study_id") % 10 == 9, "Systematic review").otherwise("None")
+    return view(spark, sf_dir, "studies").withColumn("review_type", kind)
+
+
+def report_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts and total of every study's relevance."""
+    return report.relevance(reviewed(spark, sf_dir), KEYWORDS).select("study_id", "keyword_match", "design_weight", "penalty", "title_match", "sample_bonus", "relevance", "low_value")
+
+
+def report_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The third page of cohort studies that mention placebo."""
+    scored = report.relevance(reviewed(spark, sf_dir), KEYWORDS)
+    return report.page(scored, 3, 25, "placebo", "cohort").select(F.col("place").cast("long").alias("place"), "study_id", "relevance")
+
+
+def report_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strict and partial studies as one list, strict ones first in a conflict."""
+    s = view(spark, sf_dir, "studies")
+    both = s.where("study_id % 3 < 2").select("study_id", F.lit(0).alias("tier")).unionByName(s.where("study_id % 3 > 0").select("study_id", F.lit(1).alias("tier")))
+    order = Window.partitionBy("study_id").orderBy("tier")
+    return both.withColumn("place", F.row_number().over(order)).where("place = 1").select("study_id", F.when(F.col("tier") == 0, "strict").otherwise("partial").alias("tier"))
+
+
+def context_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The studies of a prompt, by themes of the year."""
+    s = reviewed(spark, sf_dir)
+    chosen = report.select_context(s.where("study_design = 'RCT' and year < 1992"), s.where("study_design <> 'unknown' and year < 1993"), KEYWORDS)
+    return chosen.select("study_id", "tier", F.col("place").cast("long").alias("place"), F.round("score", 4).alias("score"))
+
+
+def report_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What readers should know about the arXiv studies of one year's worth."""
+    return report.warnings(view(spark, sf_dir, "studies").where("source = 'arxiv' and study_design <> 'RCT'"))
+
+
+def report_merged_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Computed and suggested warnings without repeats."""
+    own = report.warnings(view(spark, sf_dir, "studies"))
+    more = table(spark, sf_dir, "part").groupBy(F.substring("p_type", 1, 5).alias("text")).agg(F.count(F.lit(1)).alias("n"))
+    suggested = more.select(F.col("n").cast("int").alias("position"), F.lit("suggested").alias("type"), F.concat(F.lit("Many studies are of kind "), "text").alias("text")).unionByName(own.withColumn("text", F.upper("text")))
+    return report.merge_warnings(own, suggested).select("type", "text")
+
+
+def report_themes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Studies by design and population."""
+    return report.themes(view(spark, sf_dir, "studies"))
+
+
+def report_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings by outcome in correlational wording."""
+    return report.findings(view(spark, sf_dir, "studies"))
+
+
+def report_opening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The opening sentence."""
+    return report.opening(view(spark, sf_dir, "studies"), QUERY)
+
+
+def report_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References numbered by first appearance, claims by order and parts as papers."""
+    lines = table(spark, sf_dir, "lineitem").where("l_orderkey < 2000").groupBy(F.col("l_orderkey").alias("position")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"]).alias("paper_ids"))
+    return report.reference_numbers(lines).select("paper_id", F.col("number").cast("long").alias("number"))
+
+
+def export_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K5, K6: lines of the CSV export."""
+    return report.outcome_csv(_exported(spark, sf_dir))
+
+
+def export_ris(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K7: RIS entries."""
+    return report.ris(_exported(spark, sf_dir))
+
+
+def _exported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = view(spark, sf_dir, "studies")
+    return s.withColumns({"doi": F.when(F.col("study_id") % 2 == 0, F.concat(F.lit("10.5555/"), F.col("study_id").cast("string"))), "title": F.concat(F.col("title"), F.when(F.col("study_id") % 4 == 0, F.lit(', "first"')).otherwise(""))})
+
+
+CELLS = ["title", "year", "abstract", "source", "study_design", "sample_size", "population", "outcome_measured", "effect_size"]
+
+
+def runs_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells of every evidence row."""
+    return runs.cells(view(spark, sf_dir, "studies"), ["study_id"], CELLS).select("study_id", "column_key", F.col("position").cast("long").alias("position"), "value", "status")
+
+
+def runs_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells back in columns."""
+    return runs.wide(runs.cells(view(spark, sf_dir, "studies"), ["study_id"], CELLS), ["study_id"], ["title", "year", "study_design", "effect_size"])
+
+
+def runs_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of a customer as the runs of a report."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("report_id"), F.col("o_orderkey").alias("run_id"), F.col("o_orderdate").alias("created_at"))
+    return runs.chain(o).select("report_id", "run_id", F.col("run_index").cast("long").alias("run_index"), "parent_run_id", "is_active")
+
+
+def typed_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of the events' JSON with their kinds."""
+    e = table(spark, sf_dir, "events").select("event_id", "props")
+    return runs.typed_cells(e, "event_id", "props")
+
+
+def recent_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last 50 reports."""
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(50).select("o_orderkey")
+
+
+STUDIES = duck("studies")
+RELEVANCE = STUDIES + """, r AS (SELECT *, CASE study_id % 10 WHEN 3 THEN 'Meta-analysis' WHEN 9 THEN 'Systematic review' ELSE 'None' END AS review_type, lower(concat(outcome_measured, ' ', coalesce(key_result, ''))) AS ot FROM studies),
+m AS (SELECT *, contains(ot, 'sleep')::int + contains(ot, 'placebo')::int + contains(ot, 'standard')::int AS met, contains(lower(title), 'sleep') OR contains(lower(title), 'placebo') OR contains(lower(title), 'standard') AS in_title FROM r),
+p AS (SELECT *, CASE WHEN outcome_measured = '' THEN 0 WHEN met >= 2 THEN 2 WHEN met >= 1 THEN 1 ELSE 0 END::double AS keyword_match, CASE WHEN review_type <> 'None' THEN 1 WHEN study_design <> 'unknown' THEN 0.5 ELSE 0 END::double AS design_weight,
+  CASE WHEN outcome_measured = '' OR contains(ot, 'no outcomes reported') THEN -2 ELSE 0 END::double AS penalty, CASE WHEN in_title THEN 0.5 ELSE 0 END::double AS title_match, CASE WHEN coalesce(sample_size, 0) <> 0 THEN 0.5 ELSE 0 END::double AS sample_bonus FROM m),
+scored AS (SELECT *, keyword_match + design_weight + penalty + title_match + sample_bonus AS relevance, keyword_match + design_weight + penalty + title_match + sample_bonus < 0 OR contains(ot, 'no outcomes reported') AS low_value FROM p)"""
+_CONTEXT = """, t AS (SELECT *, round(CASE WHEN met >= 2 THEN 2 WHEN met >= 1 THEN 1 ELSE 0 END + CASE WHEN review_type <> 'None' THEN 1 ELSE 0 END + CASE WHEN citation_count > 0 THEN least(3, log2(citation_count::double)) ELSE 0 END, 6) AS score FROM m),
+strict AS (SELECT study_id, 'strict' AS tier, score FROM t WHERE study_design = 'RCT' AND year < 1992),
+part_ AS (SELECT study_id, 'partial' AS tier, score FROM t WHERE study_design <> 'unknown' AND year < 1993 AND study_id NOT IN (SELECT study_id FROM strict)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY tier ORDER BY score DESC, study_id) AS place FROM (SELECT * FROM strict UNION ALL SELECT * FROM part_))
+SELECT study_id, tier, place, round(score, 4) AS score FROM placed WHERE place <= CASE WHEN tier = 'strict' THEN greatest(10, 15 - (SELECT count(*) FROM part_)) ELSE greatest(5, 15 - (SELECT count(*) FROM strict)) END"""
+
+
+def _warnings_sql(where: str = "true") -> str:
+    return f"""w0 AS (SELECT count(*) AS n, count(*) FILTER (preprint_status = 'Preprint') AS pre, count(*) FILTER (study_design = 'RCT') AS rct, count(*) FILTER (study_design = 'review') AS rev, count(DISTINCT source) AS sources, min(source) AS source, count(*) FILTER (sample_size < 50 AND sample_size <> 0) AS small FROM studies WHERE {where}),
+w AS (SELECT 0 AS position, 'quality' AS type, concat(pre, ' of ', n, ' studies (', floor(pre::double / n * 100 + 0.5)::bigint, '%) are preprints without peer review') AS text FROM w0 WHERE pre > 0
+  UNION ALL SELECT 1, 'gap', 'No randomized controlled trials (RCTs) found in this evidence corpus' FROM w0 WHERE rct = 0
+  UNION ALL SELECT 2, 'gap', 'No systematic reviews or meta-analyses found' FROM w0 WHERE rev = 0 AND n > 3
+  UNION ALL SELECT 3, 'quality', concat('All studies sourced from a single database (', source, ')') FROM w0 WHERE sources = 1
+  UNION ALL SELECT 4, 'quality', concat(small, ' of ', n, ' studies have small sample sizes (<50)') FROM w0 WHERE small > n / 2.0)"""
+
+
+def _findings_sql() -> str:
+    from ..functions import text as T
+
+    causal = "key_result"
+    for old, new in T.CAUSAL:
+        causal = f"regexp_replace({causal}, '\\b{old}\\b', '{new}', 'gi')"
+    return STUDIES + f""", f AS (SELECT study_id, trim(regexp_replace(lower(outcome_measured), '\\b(symptoms?|levels?|scores?|measures?|rates?)\\b', '', 'g')) AS outcome, {causal} AS result FROM studies WHERE key_result <> '')
+SELECT outcome, count(*) AS results, count(DISTINCT result) AS wordings, min(result) AS first_result, min(study_id) AS first_study FROM f GROUP BY outcome"""
+
+
+_FIELD = lambda c: f"CASE WHEN regexp_matches({c}, '[,\"\\n]') THEN concat('\"', replace({c}, '\"', '\"\"'), '\"') ELSE coalesce({c}, '') END"
+EXPORTED = STUDIES + """, x AS (SELECT * REPLACE (concat(title, CASE WHEN study_id % 4 = 0 THEN ', "first"' ELSE '' END) AS title), CASE WHEN study_id % 2 = 0 THEN concat('10.5555/', study_id) END AS doi FROM studies)"""
+_UNPIVOT = ", ".join(f"{{'column_key': '{c}', 'position': {i + 1}::bigint, 'value': {c}::varchar}}" for i, c in enumerate(CELLS))
+QUERIES = {
+    f.__name__: f
+    for f in (
+        report_relevance, report_page, report_tiers, context_select, report_warnings, report_merged_warnings, report_themes, report_findings, report_opening, report_references,
+        export_csv, export_ris, runs_cells, runs_wide, runs_chain, typed_cells, recent_reports,
+    )
+}
+ORACLE_SQL = {
+    "report_relevance": RELEVANCE + " SELECT study_id, keyword_match, design_weight, penalty, title_match, sample_bonus, relevance, low_value FROM scored",
+    "report_page": RELEVANCE + """, k AS (SELECT study_id, relevance, row_number() OVER (ORDER BY relevance DESC, year DESC, study_id) AS place FROM scored WHERE NOT low_value AND study_design = 'cohort' AND contains(lower(concat_ws(' ', title, abstract, outcome_measured, key_result)), 'placebo'))
+SELECT place, study_id, relevance FROM k WHERE place BETWEEN 51 AND 75""",
+    "report_tiers": STUDIES + " SELECT study_id, CASE WHEN study_id % 3 < 2 THEN 'strict' ELSE 'partial' END AS tier FROM studies",
+    "context_select": RELEVANCE.split("p AS (SELECT *, CASE WHEN outcome_measured = ''")[0].rstrip().rstrip(",") + _CONTEXT,
+    "report_warnings": STUDIES + ", " + _warnings_sql("source = 'arxiv' AND study_design <> 'RCT'") + " SELECT * FROM w",
+    "report_merged_warnings": STUDIES + ", " + _warnings_sql() + ", kinds AS (SELECT substr(p_type, 1, 5) AS k, count(*)::int AS n FROM part GROUP BY 1), both_ AS (SELECT 0 AS list, position, type, text FROM w UNION ALL SELECT 1, n, 'suggested', concat('Many studies are of kind ', k) FROM kinds UNION ALL SELECT 1, position, type, upper(text) FROM w), placed AS (SELECT *, row_number() OVER (PARTITION BY substr(lower(text), 1, 40) ORDER BY list, position) AS place FROM both_) SELECT type, text FROM placed WHERE place = 1",
+    "report_themes": STUDIES + """, g AS (SELECT study_design AS design, CASE WHEN regexp_matches(lower(population), 'child|adolescent') THEN 'pediatric' WHEN regexp_matches(lower(population), 'adult|elderly') THEN 'adult' WHEN regexp_matches(lower(population), 'patient|clinical') THEN 'clinical' ELSE 'general' END AS population_type,
+  CASE study_design WHEN 'cross-sectional' THEN 'Cross-sectional evidence' ELSE 'Evidence' END AS theme, count(*) AS studies, coalesce(sum(sample_size), 0)::bigint AS combined_n FROM studies GROUP BY ALL)
+SELECT *, CASE WHEN combined_n > 0 THEN concat(theme, ' across ', studies, ' studies (combined n=', combined_n, ')') ELSE concat(theme, ' from ', studies, ' studies') END AS lead FROM g""",
+    "report_findings": _findings_sql(),
+    "report_opening": STUDIES + f" SELECT concat('This synthesis draws from ', count(*), ' studies (', count(*) FILTER (preprint_status = 'Peer-reviewed'), ' peer-reviewed, ', count(*) FILTER (preprint_status = 'Preprint'), ' preprints) examining {QUERY.lower()}.') AS text FROM studies",
+    "report_references": "WITH l AS (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS at_ FROM lineitem WHERE l_orderkey < 2000), f AS (SELECT l_partkey AS paper_id, min((l_orderkey, at_)) AS seen FROM l GROUP BY l_partkey) SELECT paper_id, row_number() OVER (ORDER BY seen) AS number FROM f",
+    "export_csv": EXPORTED + f" SELECT study_id, concat_ws(',', {_FIELD('title')}, 'Unknown', year::varchar, coalesce(doi, ''), study_design, coalesce(sample_size::varchar, ''), {_FIELD('population')}, {_FIELD('outcome_measured')}, {_FIELD('effect_size')}, {_FIELD('key_result')}, preprint_status) AS line FROM x",
+    "export_ris": EXPORTED + r""" SELECT study_id, concat_ws(chr(10), 'TY  - JOUR', concat('TI  - ', title), concat('PY  - ', year), CASE WHEN doi IS NOT NULL THEN concat('DO  - ', doi) END, concat('AB  - ', substr(abstract, 1, 420)), concat('KW  - Study Design: ', study_design),
+  CASE WHEN coalesce(sample_size, 0) <> 0 THEN concat('KW  - Sample Size: ', sample_size) END, CASE WHEN outcome_measured <> '' THEN concat('KW  - Outcome 1: ', outcome_measured) END, 'ER  - ') AS entry FROM x""",
+    "runs_cells": STUDIES + f", u AS (SELECT study_id, unnest([{_UNPIVOT}]) AS c FROM studies) SELECT study_id, c.column_key AS column_key, c.position AS position, c.value AS value, CASE WHEN coalesce(c.value, '') = '' THEN 'missing' ELSE 'filled' END AS status FROM u",
+    "runs_wide": STUDIES + " SELECT study_id, title, year::varchar AS year, study_design, effect_size FROM studies",
+    "runs_chain": "WITH c AS (SELECT o_custkey AS report_id, o_orderkey AS run_id, row_number() OVER w AS run_index, lag(o_orderkey) OVER w AS parent_run_id FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)) SELECT *, run_index = max(run_index) OVER (PARTITION BY report_id) AS is_active FROM c",
+    "typed_cells": "WITH e AS (SELECT event_id, props, unnest(json_keys(props)) AS field FROM events) SELECT event_id, field, 'number' AS kind, json_extract_string(props, concat('$.', field)) AS value FROM e",
+    "recent_reports": "SELECT o_orderkey FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50",
+}

@@ -36,17 +36,26 @@ def match_tokens(normalized: Column) -> Column:
     return F.array_distinct(words(normalized, r"\s+", 1))
 
 
-def dice_bigrams(a: Column, b: Column) -> Column:
-    """Twice the shared over all distinct character pairs, spaces included; 0 if either is empty."""
-    grams = lambda t: F.when(F.length(t) > 1, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substring(t, i, F.lit(2))))).otherwise(F.array().cast("array<string>"))
-    x, y = grams(a), grams(b)
+def bigrams(text: Column) -> Column:
+    """Distinct pairs of neighbouring characters, spaces included."""
+    pairs = F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: F.substring(text, i, F.lit(2)))
+    return F.when(F.length(text) > 1, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
+
+
+def dice(x: Column, y: Column) -> Column:
+    """Twice the shared over all elements of two sets; 0 if either is empty."""
     total = F.size(x) + F.size(y)
     return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(2.0 * F.size(F.array_intersect(x, y)) / F.nullif(total, F.lit(0)))
 
 
+def combined(words_a: Column, words_b: Column, grams_a: Column, grams_b: Column) -> Column:
+    """0.6 of the token Jaccard and 0.4 of the bigram Dice of two texts' sets."""
+    return 0.6 * jaccard(words_a, words_b) + 0.4 * dice(grams_a, grams_b)
+
+
 def text_similarity(a: Column, b: Column) -> Column:
-    """0.6 of the token Jaccard and 0.4 of the bigram Dice of two normalised texts; 0 if either is empty."""
-    return F.when((a == "") | (b == ""), 0.0).otherwise(0.6 * jaccard(match_tokens(a), match_tokens(b)) + 0.4 * dice_bigrams(a, b))
+    """``combined`` of two normalised texts; 0 if either is empty."""
+    return F.when((a == "") | (b == ""), 0.0).otherwise(combined(match_tokens(a), match_tokens(b), bigrams(a), bigrams(b)))
 
 
 def author_overlap(a: Column, b: Column) -> Column:

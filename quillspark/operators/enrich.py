@@ -17,38 +17,54 @@ TTL_DAYS = {"doi": 30, "title": 7, "unresolved": 1}
 STALE_DAYS = 90
 
 
-def candidates(papers: DataFrame, references: DataFrame) -> DataFrame:
-    """Pairs of a paper and a reference that share an identifier, or a title token that is rare.
+def _features(df: DataFrame, side: str) -> DataFrame:
+    """What a comparison needs of each record, worked out once per record and not per pair."""
+    title, venue = T.normalize_ascii(F.col(f"{side}_title")), T.normalize_ascii(F.col(f"{side}_venue"))
+    made = df.withColumns({"_t": title, "_v": venue})
+    return made.withColumns(
+        {
+            f"{side}_words": H.match_tokens(F.col("_t")),
+            f"{side}_grams": H.bigrams(F.col("_t")),
+            f"{side}_venue_words": H.match_tokens(F.col("_v")),
+            f"{side}_venue_grams": H.bigrams(F.col("_v")),
+            f"{side}_names": F.transform(F.col(f"{side}_authors"), T.normalize_ascii),
+        }
+    ).drop("_t", "_v")
+
 
-    Both have id, doi, title, authors, year, venue.  Papers whose identifier is known to the
-    references are looked up by it; only the others go to the title block, by their rarest
-    token of three letters or more.
+def candidates(papers: DataFrame, references: DataFrame) -> DataFrame:
+    """Pairs of a paper and a reference that share an identifier, or the paper's two rarest title
+    tokens.
+
+    Both have id, doi, title, authors, year, venue, citation_count; references have provider.
+    Papers whose identifier is known to the references are looked up by it; only the others go
+    to the title block.  Tokens have three letters or more and are ranked among those of the
+    references; references stand under every pair of their tokens, so no frequent token alone
+    makes pairs.
     """
-    p = papers.select(*[F.col(c).alias(f"p_{c}") for c in ("id", "doi", "title", "authors", "year", "venue", "citation_count")])
-    r = references.select(*[F.col(c).alias(f"r_{c}") for c in ("id", "doi", "title", "authors", "year", "venue", "citation_count", "provider")])
+    p = _features(papers.select(*[F.col(c).alias(f"p_{c}") for c in ("id", "doi", "title", "authors", "year", "venue", "citation_count")]), "p")
+    r = _features(references.select(*[F.col(c).alias(f"r_{c}") for c in ("id", "doi", "title", "authors", "year", "venue", "citation_count", "provider")]), "r")
     by_doi = p.join(r, F.col("p_doi") == F.col("r_doi"))
     rest = p.join(references.select(F.col("doi").alias("p_doi")).where("doi is not null").distinct(), "p_doi", "left_anti").select(p.columns)
-    tokens = lambda df, c: df.withColumn("token", F.explode(H.claim_tokens(F.col(c))))
-    uses = tokens(r, "r_title").groupBy("token").agg(F.count(F.lit(1)).alias("uses"))
+    held = lambda df, c: df.withColumn("tokens", F.array_sort(H.claim_tokens(F.col(c))))
+    uses = held(r, "r_title").select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("uses"))
+    known = held(rest, "p_title").select("p_id", F.explode("tokens").alias("token")).join(uses, "token")
     order = Window.partitionBy("p_id").orderBy("uses", "token")
-    rare = tokens(rest, "p_title").join(uses, "token").withColumn("at", F.row_number().over(order)).where("at = 1").drop("at", "uses")
-    by_title = rare.join(tokens(r, "r_title"), "token").drop("token")
+    rare = known.withColumn("at", F.row_number().over(order)).where("at <= 2").groupBy("p_id").agg(F.array_join(F.array_sort(F.collect_list("token")), "|").alias("key"))
+    pairs = F.flatten(F.transform("tokens", lambda a: F.transform(F.filter("tokens", lambda b: b > a), lambda b: F.concat(a, F.lit("|"), b))))
+    keyed = held(r, "r_title").withColumn("key", F.explode(F.concat(F.col("tokens"), pairs))).drop("tokens")
+    by_title = rest.join(rare, "p_id").join(keyed, "key").drop("key")
     return by_doi.unionByName(by_title.select(by_doi.columns))
 
 
 def candidate_confidence() -> Column:
     """Score of a candidate pair, 0 to 1, four decimals."""
-    norm = lambda c: T.normalize_ascii(F.col(c))
-    names = lambda c: F.transform(F.col(c), T.normalize_ascii)
-    parts = (
-        H.text_similarity(norm("p_title"), norm("r_title")),
-        H.author_overlap(names("p_authors"), names("r_authors")),
-        H.year_similarity(F.col("p_year"), F.col("r_year")),
-        H.text_similarity(norm("p_venue"), norm("r_venue")),
-    )
+    text = lambda words, grams: H.combined(F.col(f"p_{words}"), F.col(f"r_{words}"), F.col(f"p_{grams}"), F.col(f"r_{grams}"))
+    parts = (text("words", "grams"), H.author_overlap(F.col("p_names"), F.col("r_names")), H.year_similarity(F.col("p_year"), F.col("r_year")), text("venue_words", "venue_grams"))
     total = sum((w * p for w, p in zip(WEIGHTS, parts, strict=True)), F.lit(0.0))
     bonus = F.when(F.coalesce(F.col("p_doi") == F.col("r_doi"), F.lit(False)), DOI_BONUS).otherwise(0.0)
-    return F.round(S.clamp(total + bonus), 4)
+    # Rounded as a decimal: sums of doubles end beside the ties.
+    return F.round(S.clamp(total + bonus).cast("decimal(18,10)"), 4).cast("double")
 
 
 def best_candidates(pairs: DataFrame) -> DataFrame:

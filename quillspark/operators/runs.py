@@ -34,7 +34,7 @@ def typed_cells(payloads: DataFrame, key: str, column: str) -> DataFrame:
     """
     names = F.explode(F.json_object_keys(F.col(column))).alias("field")
     each = payloads.select(key, column, names)
-    raw = F.get_json_object(F.col(column), F.concat(F.lit("$."), F.col("field")))
+    raw = F.call_function("get_json_object", F.col(column), F.concat(F.lit("$."), F.col("field")))
     number = F.coalesce(raw, F.lit("")).rlike(r"^-?\d+(\.\d+)?([eE][-+]?\d+)?$")
     kind = F.when(raw.isNull(), "null").when(number, "number").when(raw.isin("true", "false"), "boolean").when(raw.rlike(r"^[\[{]"), "json").otherwise("text")
     return each.select(key, "field", kind.alias("kind"), raw.alias("value"))
