@@ -1,68 +1,14 @@
-"""Shared helpers: tables in the cluster's shared folder, parallel scans, components."""
+"""Shared helpers: parallel scans of whole texts, held-out buckets, bounded samples."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where that is unset (tests on one machine) a temporary folder is chosen and recorded.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.conf.get("spark.quill.shared.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-quill-", dir="/tmp")
-        spark.conf.set("spark.quill.shared.dir", found)
-    return found.rstrip("/")
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
-
-    This cuts the lineage with storage that survives the loss of any executor; a retried task
-    rewrites only its own part, and the commit protocol keeps one attempt of each.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quill-{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
-    out = spark.read.schema(df.schema).parquet(path)
-    out._quill_path = path
-    return out
-
-
-def release(df: DataFrame) -> None:
-    """Delete a table that ``materialise`` wrote and nothing reads any more."""
-    path = getattr(df, "_quill_path", None)
-    if path:
-        _delete(df.sparkSession, path)
-        _written[:] = [x for x in _written if x[1] != path]
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    parent = jvm.org.apache.hadoop.fs.Path(path).getParent()
-    parent.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(parent, True)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _written:
-        try:
-            _delete(spark, path)
-        except Exception:  # the session may be gone; the folder's owner clears it then
-            return
+from ..operators.graph import components
+from ..storage import materialise, release, shared_dir
 
+__all__ = ["bounded_sample", "components", "doc_bucket", "materialise", "release", "shared_dir", "spread"]
 
 #: Rows of an Arrow batch of whole texts, at most; longer batches only take memory.
 BATCH_ROWS = 1000
@@ -104,46 +50,3 @@ def bounded_sample(docs: DataFrame, ids: DataFrame, group: str, rows: int) -> tu
         taken = taken | ((F.col(group) == F.lit(g)) & (unit < rows / n))
     picked = held.where(taken).distinct().limit(2 * rows * len(counts))
     return docs.drop(group).join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]), counts
-
-
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Connected components of undirected ``links(a, b)`` of longs: rows (node, component),
-    where the component is one of its nodes.  Isolated nodes do not appear.
-
-    Each round every node points to its neighbour of the smallest hash, if that is smaller than
-    its own, and on to where that one points; links are then drawn between the ends alone, so
-    those within a group vanish at once and a group's links are met in about one round.  Hashes
-    change by round: no order of the ids makes long chains, and rounds grow with the logarithm
-    of the number of nodes.  Only whether any links are left reaches the driver.
-    """
-    a, b = F.col("a"), F.col("b")
-    edges = materialise(links.where("a <> b").select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct(), "edges")
-    labels: DataFrame | None = None
-    for turn in range(max_rounds):
-        if edges.isEmpty():
-            break
-        both = edges.union(edges.select("b", "a")).toDF("a", "b").withColumn("h", F.xxhash64("b", F.lit(turn)))
-        best = both.groupBy("a").agg(F.min_by("b", "h").alias("to"), F.min("h").alias("h"))
-        points = best.select(F.col("a").alias("node"), F.when(F.col("h") < F.xxhash64("a", F.lit(turn)), F.col("to")).otherwise(a).alias("to"))
-        points = materialise(points, "points")
-        step = points.select(F.col("node").alias("to"), F.col("to").alias("end"))
-        ends = materialise(points.join(step, "to").select("node", "end"), "ends")
-        left, right = ends.toDF("a", "x"), ends.toDF("b", "y")
-        moved = edges.join(left, "a").join(right, "b").where("x <> y")
-        fewer = materialise(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
-        if labels is None:
-            new = ends.toDF("node", "component")
-        else:
-            joined = labels.join(ends.toDF("component", "end"), "component", "left")
-            new = materialise(joined.select("node", F.coalesce("end", "component").alias("component")), "labels")
-            release(labels)
-            release(ends)
-        labels = new
-        release(edges)
-        release(points)
-        edges = fewer
-    else:
-        raise RuntimeError("components did not settle")
-    if labels is None:
-        return links.select(a.alias("node"), a.alias("component")).where("false")
-    return labels

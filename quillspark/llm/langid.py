@@ -221,7 +221,7 @@ class _Scorer:
     """Word likelihoods of one model.  The first ``most`` words stay in a table; later new ones
     are worked out for the texts at hand and given up again."""
 
-    def __init__(self, model: LanguageModel, most: int = 400_000) -> None:
+    def __init__(self, model: LanguageModel, most: int = 300_000) -> None:
         self.model, self.pieces, self.most = model, vocabulary(model.path), most
         self.index: dict[str, int] = {}
         self.table = np.zeros((1 << 16, len(model.languages)))
@@ -261,8 +261,10 @@ def identify(docs: DataFrame, model: LanguageModel, temper: float = 0.2) -> Data
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
                 found, scores = [], []
-                for letters, loglik in scorer.texts([x or "" for x in part.column("text").to_pylist()]):
-                    if not letters or not names:
+                texts = [x or "" for x in part.column("text").to_pylist()] if names else []
+                found, scores = (found, scores) if names else (["und"] * part.num_rows, [0.0] * part.num_rows)
+                for letters, loglik in scorer.texts(texts):
+                    if not letters:
                         found.append("und")
                         scores.append(0.0)
                         continue
