@@ -21,16 +21,14 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that of the smallest doc_id; rows repeated
-    with that id count as copies, too, and one of them stays.
+    """One document of each group of near copies, that of the smallest doc_id; of rows that
+    repeat an id one stays.  Near copies share 0.8 of their runs of five words or more.
 
-    Five words a shingle.  At most 4 of 64 bits may differ, which holds for texts whose
-    shingles are 0.8 alike or more in nearly all cases and for hardly any others.
+    Documents without an id are kept, one row for each text's fingerprint.
     """
-    found = simhash.near_duplicates(docs, words=5, distance=4)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    one = docs.join(kept.withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return one.dropDuplicates(["doc_id"])
+    found = simhash.similar_documents(docs, words=5, similarity=0.8)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id"])
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
