@@ -123,6 +123,15 @@ def recent_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(50).select("o_orderkey")
 
 
+def report_ages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How long ago each event was, and its safe address."""
+    from ..functions import text as T
+
+    e = table(spark, sf_dir, "events")
+    url = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("java\tscript:"), F.col("event_id").cast("string"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit(" https://e.org/é"), F.col("event_id").cast("string"))).otherwise("")
+    return e.select("event_id", T.time_ago(F.date_trunc("minute", "ts"), F.lit("2024-06-01 00:00:00").cast("timestamp")).alias("age"), T.safe_url(url).alias("url"))
+
+
 STUDIES = duck("studies")
 RELEVANCE = STUDIES + """, r AS (SELECT *, CASE study_id % 10 WHEN 3 THEN 'Meta-analysis' WHEN 9 THEN 'Systematic review' ELSE 'None' END AS review_type, lower(concat(outcome_measured, ' ', coalesce(key_result, ''))) AS ot FROM studies),
 m AS (SELECT *, contains(ot, 'sleep')::int + contains(ot, 'placebo')::int + contains(ot, 'standard')::int AS met, contains(lower(title), 'sleep') OR contains(lower(title), 'placebo') OR contains(lower(title), 'standard') AS in_title FROM r),
@@ -162,7 +171,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         report_relevance, report_page, report_tiers, context_select, report_warnings, report_merged_warnings, report_themes, report_findings, report_opening, report_references,
-        export_csv, export_ris, runs_cells, runs_wide, runs_chain, typed_cells, recent_reports,
+        export_csv, export_ris, runs_cells, runs_wide, runs_chain, typed_cells, recent_reports, report_ages,
     )
 }
 ORACLE_SQL = {
@@ -186,5 +195,8 @@ SELECT *, CASE WHEN combined_n > 0 THEN concat(theme, ' across ', studies, ' stu
     "runs_wide": STUDIES + " SELECT study_id, title, year::varchar AS year, study_design, effect_size FROM studies",
     "runs_chain": "WITH c AS (SELECT o_custkey AS report_id, o_orderkey AS run_id, row_number() OVER w AS run_index, lag(o_orderkey) OVER w AS parent_run_id FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)) SELECT *, run_index = max(run_index) OVER (PARTITION BY report_id) AS is_active FROM c",
     "typed_cells": "WITH e AS (SELECT event_id, props, unnest(json_keys(props)) AS field FROM events) SELECT event_id, field, 'number' AS kind, json_extract_string(props, concat('$.', field)) AS value FROM e",
+    "report_ages": """WITH a AS (SELECT event_id, (epoch(timestamp '2024-06-01 00:00:00') - epoch(date_trunc('minute', ts)))::bigint // 60 AS m FROM events)
+SELECT event_id, CASE WHEN m < 1 THEN 'Just now' WHEN m < 60 THEN concat(m, 'm ago') WHEN m < 1440 THEN concat(m // 60, 'h ago') ELSE concat(m // 1440, 'd ago') END AS age,
+  CASE event_id % 3 WHEN 1 THEN concat('https://e.org/', event_id) ELSE 'about:blank' END AS url FROM a""",
     "recent_reports": "SELECT o_orderkey FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50",
 }

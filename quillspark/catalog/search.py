@@ -42,7 +42,7 @@ def query_first_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions import text as T
 
     q = questions(spark, sf_dir)
-    ui = T.ui_keywords(F.col("query"), ["the", "and", "for", "with", "from", "that", "this", "are", "was", "were", "what"])
+    ui = T.ui_keywords(F.col("query"))
     return q.select("query_id", T.normalize_query_first(F.col("query")).alias("normalized"), F.array_join(T.retrieval_terms(F.col("query")), "|").alias("keywords"), F.array_join(ui, "|").alias("marked"))
 
 
@@ -167,10 +167,42 @@ def search_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.agg(F.count(F.lit(1)).alias("retrieved"), F.count_if(F.length("abstract") > 50).alias("eligible"), F.count_if(F.col("reject_reason").isNull()).alias("kept"), F.count("reject_reason").alias("rejected"))
 
 
+def request_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """search requests within their bounds."""
+    raw = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("request_id"), F.concat(F.lit("  "), "p_name").alias("query"), (F.col("p_size") * 60).cast("int").alias("from_year"), F.when(F.col("p_partkey") % 3 > 0, (F.col("p_size") * 50 + 500).cast("int")).alias("to_year"), F.when(F.col("p_partkey") % 2 > 0, (F.col("p_partkey") * 7).cast("int")).alias("max_candidates"), F.col("p_size").cast("int").alias("max_rows"))
+    return search.sanitize_requests(raw)
+
+
+def own_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the reports of one nation's users."""
+    users = table(spark, sf_dir, "customer").where("c_nationkey = 7").select(F.col("c_custkey").alias("user_id"))
+    return search.visible_rows(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id"), "o_orderkey"), users)
+
+
+def claim_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each sentence lies in its abstract."""
+    return search.claim_offsets(view(spark, sf_dir, "studies")).select("study_id", *[F.col(c).cast("long").alias(c) for c in ("at", "char_start", "char_end")])
+
+
+def marked_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Abstracts cut at the question's terms."""
+    from ..functions import text as T
+
+    parts = T.highlight_segments(F.col("abstract"), ["placebo", "sleep", "steel"])
+    s = view(spark, sf_dir, "studies").select("study_id", "abstract", parts.alias("parts"))
+    return s.select("study_id", F.size("parts").cast("long").alias("segments"), F.size(F.filter("parts", lambda p: p["hit"])).cast("long").alias("hits"), (F.array_join(F.transform("parts", lambda p: p["text"]), "") == F.col("abstract")).alias("whole"))
+
+
 STUDIES = duck("studies")
 _LIST = lambda items: "[" + ", ".join(f"'{x}'" for x in items) + "]"
 
 
+def _stop(name: str) -> list[str]:
+    from ..functions import text as T
+
+    return getattr(T, name)
+
+
 def _concepts(part: str) -> str:
     """DuckDB text for the added terms (part='terms') or the number of concepts met."""
     out = []
@@ -278,7 +310,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         query_understanding, query_compilation, query_first_version, query_benchmark, search_fan_out, search_rank_candidates, search_expand_citations, citation_counts, provider_coverage,
-        provider_health, search_canonicalize, search_quality_filter, search_kept, claims_direction, claims_clusters, claims_propositions, claims_greedy, evidence_table, search_funnel,
+        provider_health, search_canonicalize, search_quality_filter, search_kept, claims_direction, claims_clusters, claims_propositions, claims_greedy, evidence_table, search_funnel, request_bounds, own_rows, claim_offsets, marked_terms,
     )
 }
 ORACLE_SQL = {
@@ -303,5 +335,14 @@ SELECT cited, min(seed_rank) AS seed_rank FROM refs WHERE cited IN (SELECT study
     "evidence_table": _quality_sql(1900, 2100, False) + _claims_sql() + """, ranked AS (SELECT *, row_number() OVER (ORDER BY q_total DESC, citation_count DESC, study_id) AS rank FROM judged WHERE reject_reason IS NULL)
 SELECT rank, r.study_id, title, year, CASE WHEN length(s) <= 280 THEN s ELSE concat(substr(s, 1, 279), '...') END AS snippet, coalesce(proposition, 'mixed') AS proposition
 FROM (SELECT *, trim(regexp_replace(abstract, '\\s+', ' ', 'g')) AS s FROM ranked WHERE rank <= 200) r LEFT JOIN stances t ON t.study_id = r.study_id""",
+    "query_first_version": f"""WITH questions AS ({_QUESTIONS}),
+n AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(trim(query), '\\b(better|best|worse|worst|superior|inferior)\\b', 'associated with', 'gi'), '\\b(more|less)\\s+(effective|efficient|beneficial)\\b', 'outcomes of', 'gi'), '\\beffects?\\s+of\\b', 'reported outcomes associated with', 'gi') AS q2,
+  list_filter(regexp_split_to_array(regexp_replace(lower(query), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda w: w <> '' AND NOT list_contains({_LIST(_stop("RETRIEVAL_STOP_WORDS"))}, w)) AS kw FROM questions)
+SELECT query_id, trim(q2) AS normalized, array_to_string({_distinct('kw')}[1:8], '|') AS keywords, array_to_string(list_filter(regexp_split_to_array(lower(query), '[^a-z0-9]+'), lambda w: length(w) > 2 AND NOT list_contains({_LIST(_stop("UI_STOP_WORDS"))}, w)), '|') AS marked FROM n""",
+    "request_bounds": """WITH r AS (SELECT p_partkey AS request_id, p_name, greatest(1900, least(2100, p_size * 60))::int AS f, CASE WHEN p_partkey % 3 > 0 THEN p_size * 50 + 500 ELSE 2100 END AS t, CASE WHEN p_partkey % 2 > 0 THEN p_partkey * 7 ELSE 2000 END AS c, p_size FROM part)
+SELECT request_id, trim(p_name) AS query, f AS from_year, greatest(f, greatest(1900, least(2100, t)))::int AS to_year, greatest(100, least(5000, c))::int AS max_candidates, greatest(10, least(500, p_size))::int AS max_rows FROM r""",
+    "own_rows": "SELECT o_custkey AS user_id, o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 7)",
+    "claim_offsets": STUDIES + _claims_sql() + ", o AS (SELECT c.study_id, c.at_, instr(s.abstract, c.sentence) - 1 AS b, length(c.sentence) AS n FROM cut c JOIN studies s ON s.study_id = c.study_id) SELECT study_id, at_::bigint AS \"at\", b::bigint AS char_start, (b + n)::bigint AS char_end FROM o",
+    "marked_terms": STUDIES + " SELECT study_id, len(list_filter(string_split(regexp_replace(abstract, '(placebo|sleep|steel)', chr(1) || '\\1' || chr(1), 'gi'), chr(1)), lambda x: x <> '')) AS segments, len(regexp_extract_all(abstract, '(placebo|sleep|steel)', 0, 'i')) AS hits, true AS whole FROM studies",
     "search_funnel": _quality_sql(1900, 2100, False) + "SELECT count(*) AS retrieved, count(*) FILTER (length(abstract) > 50) AS eligible, count(*) FILTER (reject_reason IS NULL) AS kept, count(reject_reason) AS rejected FROM judged",
 }

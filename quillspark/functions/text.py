@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 import pandas as pd
@@ -25,6 +26,10 @@ RETRIEVAL_STOP_WORDS = (
 ).split()
 #: Stop words of claim clustering.
 CLAIM_STOP_WORDS = "a an and are as at by for from in is it of on or that the to with".split()
+#: Stop words of the words that a result list marks.
+UI_STOP_WORDS = "and or in on the a an of for with to".split()
+#: Openings of addresses that are never shown.
+UNSAFE_URL = r"(?i)^(javascript|data|vbscript):"
 #: Opening phrases that carry no content, in the order in which they are removed.
 LOW_SIGNAL_PREFIXES = [r"^what\s+(are|is)\s+the\s+", r"^how\s+does\s+", r"^can\s+you\s+", r"^please\s+", r"^i\s+want\s+to\s+know\s+"]
 #: Comparative wording, what replaces it, and the reason that is recorded.
@@ -137,9 +142,9 @@ def retrieval_terms(query: Column, most: int = 8) -> Column:
     return F.slice(F.array_distinct(words(kept, r"\s+", 0, RETRIEVAL_STOP_WORDS)), 1, most)
 
 
-def ui_keywords(query: Column, stop_words: list[str]) -> Column:
+def ui_keywords(query: Column) -> Column:
     """Keywords as the result list marks them: of three characters or more, repeats kept."""
-    return words(F.lower(query), r"[^a-z0-9]+", 2, stop_words)
+    return words(F.lower(query), r"[^a-z0-9]+", 2, UI_STOP_WORDS)
 
 
 def sentences(text: Column) -> Column:
@@ -213,8 +218,9 @@ def pdf_link(html: Column) -> Column:
 
 
 def highlight_segments(text: Column, terms: list[str]) -> Column:
-    """Array of (text, hit): the text cut before and after each occurrence of a term."""
-    alternatives = "|".join(sorted(terms, key=len, reverse=True))
+    """Array of (text, hit): the text cut before and after each occurrence of a term; where several
+    terms fit at a place, the first listed one counts."""
+    alternatives = "|".join(re.escape(t) for t in terms)
     parts = F.split(F.regexp_replace(text, f"(?i)({alternatives})", "\u0001$1\u0001"), "\u0001")
     return F.filter(F.transform(parts, lambda p: F.struct(p.alias("text"), p.rlike(f"(?i)^({alternatives})$").alias("hit"))), lambda s: s["text"] != "")
 
@@ -232,3 +238,16 @@ def json_payload(text: Column) -> Column:
 def joined_hyphens(text: Column) -> Column:
     """Words broken by a hyphen at a line's end are joined; then white space is collapsed."""
     return collapse(F.regexp_replace(text, r"-\s*\n\s*", ""))
+
+
+def safe_url(url: Column) -> Column:
+    """Printable ASCII of an address; ``about:blank`` for none and for script or data addresses."""
+    plain = F.trim(F.regexp_replace(url, r"[^\x20-\x7E]", ""))
+    return F.when((F.coalesce(url, F.lit("")) == "") | plain.rlike(UNSAFE_URL), "about:blank").otherwise(plain)
+
+
+def time_ago(then: Column, now: Column) -> Column:
+    """``Just now``, then whole minutes, hours and days."""
+    minutes = F.floor((F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(then.cast("timestamp"))) / 60)
+    text = lambda n, unit: F.concat(F.floor(n).cast("string"), F.lit(f"{unit} ago"))
+    return F.when(minutes < 1, "Just now").when(minutes < 60, text(minutes, "m")).when(minutes < 1440, text(minutes / 60, "h")).otherwise(text(minutes / 1440, "d"))

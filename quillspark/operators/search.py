@@ -118,6 +118,40 @@ def benchmark(answers: DataFrame) -> DataFrame:
     return out.withColumn("passed", (F.col("matched_expected") == F.size("expected")) & (F.col("matched_forbidden") == 0))
 
 
+#: Bounds of years, candidates and rows of a request, and defaults of the last two.
+YEARS, CANDIDATES, ROWS = (1900, 2100), (100, 5000, 2000), (10, 500, 200)
+
+
+def sanitize_requests(requests: DataFrame) -> DataFrame:
+    """``requests`` (query, from_year, to_year, max_candidates, max_rows) within bounds: years are
+    clamped and in order, missing numbers take their default, queries are trimmed."""
+    clamp = lambda c, b: F.greatest(F.lit(b[0]), F.least(F.lit(b[1]), c))
+    first = clamp(F.coalesce("from_year", F.lit(YEARS[0])), YEARS)
+    return requests.withColumns(
+        {
+            "query": F.trim(F.coalesce("query", F.lit(""))),
+            "from_year": first,
+            "to_year": F.greatest(first, clamp(F.coalesce("to_year", F.lit(YEARS[1])), YEARS)),
+            "max_candidates": clamp(F.coalesce("max_candidates", F.lit(CANDIDATES[2])), CANDIDATES),
+            "max_rows": clamp(F.coalesce("max_rows", F.lit(ROWS[2])), ROWS),
+        }
+    )
+
+
+def visible_rows(rows: DataFrame, owners: DataFrame, key: str = "user_id") -> DataFrame:
+    """Row security: the rows of the given owners alone."""
+    return rows.join(owners.select(key).distinct(), key, "left_semi")
+
+
+def claim_offsets(papers: DataFrame, key: str = "study_id") -> DataFrame:
+    """Where each sentence lies in its abstract: (key, at, char_start, char_end), from 0."""
+    step = lambda acc, s: F.struct((F.call_function("locate", s, F.col("abstract"), acc["cursor"] + 1) - 1 + F.length(s)).alias("cursor"), F.concat(acc["ends"], F.array(F.call_function("locate", s, F.col("abstract"), acc["cursor"] + 1) - 1 + F.length(s))).alias("ends"))
+    start = F.struct(F.lit(0).alias("cursor"), F.array().cast("array<int>").alias("ends"))
+    held = papers.select(key, "abstract", T.sentences(F.col("abstract")).alias("parts"))
+    each = held.withColumn("ends", F.aggregate("parts", start, step, lambda acc: acc["ends"])).select(key, F.posexplode(F.arrays_zip("parts", "ends")).alias("at", "p"))
+    return each.select(key, "at", (F.col("p.ends") - F.length("p.parts")).alias("char_start"), F.col("p.ends").alias("char_end"))
+
+
 # --- retrieval ------------------------------------------------------------------------------
 
 
