@@ -113,6 +113,19 @@ SELECT study_id, {design} AS design, CASE WHEN contains(lower(t), 'meta-analysis
   substr(list_filter(string_split(regexp_replace(trim(regexp_replace(abstract, '\\s+', ' ', 'g')), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: regexp_matches(s, $re${X.POPULATION.replace('(?i)', '')}$re$, 'i'))[1], 1, 220) AS population FROM f"""
 
 
+def _tiers_sql() -> str:
+    design = "CASE"
+    for name, pattern, _ in X.DESIGNS:
+        design += f" WHEN regexp_matches(lower(concat(title, ' ', abstract)), $re${pattern}$re$) THEN '{name}'"
+    sizes = ", ".join(f"try_cast(nullif(regexp_extract(abstract, $re${p.replace('(?i)', '')}$re$, 1, 'i'), '') AS int)" for p in X.SAMPLE_SIZES)
+    return _outcomes_sql() + f""",
+one AS (SELECT *, row_number() OVER (PARTITION BY study_id, lower(trim(outcome_measured)) ORDER BY confidence DESC, at_) AS k FROM judged),
+placed AS (SELECT *, row_number() OVER (PARTITION BY study_id ORDER BY confidence DESC, at_) AS place FROM one WHERE k = 1),
+held AS (SELECT study_id, count(*) AS outcomes, bool_or(outcome_measured <> '' AND (coalesce(effect_size, '') <> '' OR coalesce(p_value, '') <> '' OR coalesce(intervention, '') <> '' OR coalesce(comparator, '') <> '')) AS measured FROM placed WHERE confidence >= 0.35 OR place = 1 GROUP BY study_id),
+d AS (SELECT study_id, title, year, abstract, {design} ELSE 'unknown' END AS study_design, coalesce({sizes}) AS sample_size FROM studies),
+tiered AS (SELECT d.study_id, d.study_design, d.sample_size, coalesce(h.outcomes, 0) AS outcomes, CASE WHEN d.title <> '' AND d.year <> 0 AND d.study_design <> 'unknown' AND length(trim(substr(d.abstract, 1, 420))) >= 50 AND coalesce(h.measured, false) THEN 'strict' WHEN d.title <> '' AND d.year <> 0 AND coalesce(h.outcomes, 0) > 0 THEN 'partial' ELSE 'incomplete' END AS tier FROM d LEFT JOIN held h USING (study_id))"""
+
+
 def _formats_sql() -> str:
     causal = "key_result"
     for old, new in T.CAUSAL:
@@ -134,6 +147,8 @@ QUERIES = {f.__name__: f for f in (extract_fields, extract_outcomes, extract_stu
 ORACLE_SQL = {
     "extract_fields": _fields_sql(),
     "extract_outcomes": _outcomes_sql() + ' SELECT study_id, at_::bigint AS "at", outcome_measured, effect_size, p_value, intervention, comparator, confidence FROM judged',
+    "extract_studies": _tiers_sql() + " SELECT * FROM tiered",
+    "extraction_stats": _tiers_sql() + " SELECT tier, study_design, count(*) AS studies, count(sample_size) AS with_sample_size, sum(outcomes)::bigint AS outcomes FROM tiered GROUP BY ALL",
     "merged_studies": STUDIES + """ SELECT study_id, CASE WHEN study_id % 2 = 0 THEN 'RCT' ELSE study_design END AS study_design, title, length(abstract) AS chars, CASE WHEN study_id % 2 = 0 THEN citation_count + 3 ELSE citation_count END::integer AS citation_count,
   CASE WHEN study_id % 2 = 0 THEN array_to_string(list_sort([outcome_measured, 'mood']), '|') ELSE outcome_measured END AS outcomes FROM studies""",
     "result_directions": _directions_sql(),

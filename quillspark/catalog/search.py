@@ -116,7 +116,7 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def search_canonicalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Papers merged by identifier or by text, transitively."""
     merged = search.merge_groups(search.canonical_groups(materialise(papers(spark, sf_dir), "papers")))
-    return merged.select("group_id", "title", "year", F.col("citation_count").cast("long").alias("citation_count"), "is_retracted", "sources", "source_authority", "provenance", F.round("relevance", 3).alias("relevance"))
+    return merged.select("group_id", "title", "year", F.col("citation_count").cast("long").alias("citation_count"), "is_retracted", "sources", "source_authority", "provenance", "relevance")
 
 
 def search_quality_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -327,6 +327,18 @@ SELECT cited, min(seed_rank) AS seed_rank FROM refs WHERE cited IN (SELECT study
     "citation_counts": "SELECT l_partkey AS cited, count(*) AS citations, count(DISTINCT l_orderkey) AS citing_works FROM lineitem GROUP BY l_partkey",
     "provider_coverage": LOG + " SELECT count(DISTINCT provider) AS queried, count(DISTINCT provider) FILTER (NOT ok) AS failed, array_to_string(list_sort(list(DISTINCT provider) FILTER (NOT ok)), ',') AS failed_providers, count(*) FILTER (NOT ok) > 0 AS degraded FROM log",
     "provider_health": LOG + " SELECT provider, count(*) AS calls, round(avg((NOT ok)::int::double), 4) AS error_rate, round(avg(latency_ms), 2) AS latency_ms, arg_max(ok, (ts, call_id)) AS last_ok FROM log GROUP BY provider",
+    "search_canonicalize": STUDIES.replace("WITH", "WITH RECURSIVE", 1) + f""",
+own AS (SELECT concat('p', lpad(study_id::varchar, 7, '0')) AS paper_id, CASE WHEN study_id % 2 = 0 THEN concat('10.5555/', study_id) END AS doi, title, year, source, citation_count, is_retracted, round(1.0::double / (1 + study_id % 25), 4) AS rank_signal, concat('Lee A Kim ', study_id) AS names, study_id FROM studies),
+papers AS (SELECT * EXCLUDE (study_id) FROM own UNION ALL SELECT concat('q', substr(paper_id, 2)), doi, concat(upper(title), '.'), year, 'crossref', citation_count + 5, is_retracted, rank_signal, names FROM own WHERE study_id % 3 = 0),
+sets AS (SELECT paper_id, doi, year, list_distinct(list_filter(regexp_split_to_array(lower(title), '[^a-z0-9]+'), lambda w: length(w) > 2 AND NOT list_contains({_LIST(_stop("CLAIM_STOP_WORDS"))}, w))) AS tk, list_distinct(list_filter(regexp_split_to_array(lower(names), '[^a-z0-9]+'), lambda w: length(w) > 2 AND NOT list_contains({_LIST(_stop("CLAIM_STOP_WORDS"))}, w))) AS nm FROM papers),
+pair AS (SELECT a.paper_id AS a, b.paper_id AS b, a.doi = b.doi AS same, len(list_intersect(a.tk, b.tk))::double AS t, len(a.tk) + len(b.tk) AS tn, len(list_intersect(a.nm, b.nm))::double AS n, len(a.nm) + len(b.nm) AS nn FROM sets a JOIN sets b ON a.paper_id < b.paper_id AND abs(a.year - b.year) <= 1),
+near AS (SELECT a, b FROM pair WHERE same OR (t / (tn - t) >= 0.78::double AND n / (nn - n) >= 0.2::double)),
+graph AS (SELECT a AS x, b AS y FROM near UNION ALL SELECT b, a FROM near),
+walk AS (SELECT paper_id AS node, paper_id AS root FROM papers UNION SELECT g.y, w.root FROM walk w JOIN graph g ON g.x = w.node),
+member AS (SELECT node AS paper_id, min(root) AS group_id FROM walk GROUP BY node)
+SELECT group_id, arg_min(title, paper_id) AS title, arg_min(year, paper_id) AS year, max(citation_count)::bigint AS citation_count, bool_or(is_retracted) AS is_retracted, array_to_string(list_sort(list(DISTINCT source)), ',') AS sources,
+  max(conf) AS source_authority, count(*) AS provenance, round(sum((rank_signal * conf)::decimal(18,8)), 4)::double AS relevance
+FROM (SELECT *, CASE source WHEN 'pubmed' THEN 0.98 WHEN 'openalex' THEN 0.92 WHEN 'semantic_scholar' THEN 0.9 WHEN 'crossref' THEN 0.89 ELSE 0.84 END::double AS conf FROM papers JOIN member USING (paper_id)) GROUP BY group_id""",
     "search_quality_filter": _quality_sql(1995, 2020, True) + "SELECT study_id, source_authority, study_design_strength, methods_transparency, citation_impact, recency_fit, q_total, reject_reason FROM judged",
     "search_kept": _quality_sql(1900, 2100, False) + "SELECT study_id, row_number() OVER (ORDER BY q_total DESC, citation_count DESC, study_id) AS rank, citation_count FROM judged WHERE reject_reason IS NULL QUALIFY rank <= 2000",
     "claims_direction": STUDIES + _claims_sql() + " SELECT study_id, at_::bigint AS at, sentence, outcome, direction FROM claims".replace(" AS at,", ' AS "at",'),

@@ -238,7 +238,8 @@ def merge_groups(papers: DataFrame) -> DataFrame:
         F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"),
         F.max(confidence).alias("source_authority"),
         F.count(F.lit(1)).alias("provenance"),
-        F.round(F.sum(F.col("rank_signal") * confidence), 4).alias("relevance"),
+        # Summed as decimals: the order of doubles would show.
+        F.round(F.sum((F.col("rank_signal") * confidence).cast("decimal(18,8)")), 4).cast("double").alias("relevance"),
     )
 
 
