@@ -269,9 +269,14 @@ def score_papers(papers: DataFrame, current_year: int, from_year: int = 1900, to
 
 
 def kept_papers(scored: DataFrame, most: int = 2000) -> DataFrame:
-    """Papers that aren't rejected, best first, with their rank; ties by id."""
-    kept = scored.where("reject_reason is null").orderBy(F.desc("q_total"), F.desc("citation_count"), "study_id").limit(most)
-    return kept.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("q_total"), F.desc("citation_count"), "study_id")))
+    """Papers that aren't rejected, best first, with their rank; ties by id.
+
+    Rejected papers sort last and go after the top-k: a filter before it would be pushed below
+    the scores and work each of them out several times.
+    """
+    order = [F.desc("q_total"), F.desc("citation_count"), F.col("study_id")]
+    kept = scored.orderBy(F.col("reject_reason").isNotNull(), *order).limit(most).where("reject_reason is null")
+    return kept.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
 # --- claims -----------------------------------------------------------------------------------
