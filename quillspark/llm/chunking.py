@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -160,7 +159,7 @@ def runs(hits: Iterator[tuple[int, object]], min_words: int) -> list[tuple[int,
 
 
 def _cut(raw: bytes, spans: list[dict]) -> bytes:
-    """The text without its spans; where both sides go on, a line break stands for the cut."""
+    """The text without its spans."""
     kept, last = [], 0
     for s in sorted(spans, key=lambda s: s["span_start"]):
         kept.append(raw[last : s["span_start"]])
@@ -176,11 +175,15 @@ def deduplicate(docs: DataFrame, min_words: int = 20) -> DataFrame:
     """
     spans = repeated_spans(docs, min_words)
     held = spans.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_held")).agg(F.collect_list(F.struct("span_start", "span_end")).alias("_spans"))
+    keyed = docs.withColumn("_hash", F.xxhash64("text"))
+    joined = keyed.join(held, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_held")), "left").select(*docs.columns, "_spans")
 
-    @F.pandas_udf("string")
-    def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([t if s is None else _cut(t.encode(), s).decode() for t, s in zip(text, spans, strict=True)])
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            texts = [t if t is None or s is None else _cut(t, s) for t, s in zip(batch.column(at).cast(pa.binary()).to_pylist(), batch.column("_spans").to_pylist(), strict=True)]
+            columns = batch.columns[:-1]
+            columns[at] = pa.array(texts, pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
-    keyed = docs.withColumn("_hash", F.xxhash64("text"))
-    joined = keyed.join(held, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_held")), "left")
-    return joined.withColumn("text", cut("text", "_spans")).select(*docs.columns)
+    return joined.mapInArrow(cut, docs.schema)

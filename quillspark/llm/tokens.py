@@ -34,7 +34,7 @@ def default_tokenizer() -> str:
 class WordTokenizer:
     """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, cache_words: int = 250_000) -> None:
+    def __init__(self, path: str, cache_words: int = 150_000) -> None:
         from tokenizers import Tokenizer
 
         self._tok = Tokenizer.from_file(path)
