@@ -38,14 +38,14 @@ def report_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def context_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The studies of a prompt, by themes of the year."""
+    """The studies of a prompt: trials are strict, all of a known design partial."""
     s = reviewed(spark, sf_dir)
-    chosen = report.select_context(s.where("study_design = 'RCT' and year < 1992"), s.where("study_design <> 'unknown' and year < 1993"), KEYWORDS)
+    chosen = report.select_context(s.where("study_design = 'RCT'"), s.where("study_design <> 'unknown'"), KEYWORDS)
     return chosen.select("study_id", "tier", F.col("place").cast("long").alias("place"), F.round("score", 4).alias("score"))
 
 
 def report_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What readers should know about the arXiv studies of one year's worth."""
+    """What readers should know about the preprints that are no trials."""
     return report.warnings(view(spark, sf_dir, "studies").where("source = 'arxiv' and study_design <> 'RCT'"))
 
 
@@ -73,9 +73,12 @@ def report_opening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def report_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """References numbered by first appearance, claims by order and parts as papers."""
-    lines = table(spark, sf_dir, "lineitem").where("l_orderkey < 2000").groupBy(F.col("l_orderkey").alias("position")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"]).alias("paper_ids"))
-    return report.reference_numbers(lines).select("paper_id", F.col("number").cast("long").alias("number"))
+    """References numbered by first appearance: customers' orders as the claims of reports,
+    their parts as papers."""
+    owner = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("report_id"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(owner, "l_orderkey")
+    claims = lines.groupBy("report_id", F.col("l_orderkey").alias("position")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"]).alias("paper_ids"))
+    return report.reference_numbers(claims).select("report_id", "paper_id", F.col("number").cast("long").alias("number"))
 
 
 def export_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,8 +142,8 @@ p AS (SELECT *, CASE WHEN outcome_measured = '' THEN 0 WHEN met >= 2 THEN 2 WHEN
   CASE WHEN outcome_measured = '' OR contains(ot, 'no outcomes reported') THEN -2 ELSE 0 END::double AS penalty, CASE WHEN in_title THEN 0.5 ELSE 0 END::double AS title_match, CASE WHEN coalesce(sample_size, 0) <> 0 THEN 0.5 ELSE 0 END::double AS sample_bonus FROM m),
 scored AS (SELECT *, keyword_match + design_weight + penalty + title_match + sample_bonus AS relevance, keyword_match + design_weight + penalty + title_match + sample_bonus < 0 OR contains(ot, 'no outcomes reported') AS low_value FROM p)"""
 _CONTEXT = """, t AS (SELECT *, round(CASE WHEN met >= 2 THEN 2 WHEN met >= 1 THEN 1 ELSE 0 END + CASE WHEN review_type <> 'None' THEN 1 ELSE 0 END + CASE WHEN citation_count > 0 THEN least(3, log2(citation_count::double)) ELSE 0 END, 6) AS score FROM m),
-strict AS (SELECT study_id, 'strict' AS tier, score FROM t WHERE study_design = 'RCT' AND year < 1992),
-part_ AS (SELECT study_id, 'partial' AS tier, score FROM t WHERE study_design <> 'unknown' AND year < 1993 AND study_id NOT IN (SELECT study_id FROM strict)),
+strict AS (SELECT study_id, 'strict' AS tier, score FROM t WHERE study_design = 'RCT'),
+part_ AS (SELECT study_id, 'partial' AS tier, score FROM t WHERE study_design <> 'unknown' AND study_id NOT IN (SELECT study_id FROM strict)),
 placed AS (SELECT *, row_number() OVER (PARTITION BY tier ORDER BY score DESC, study_id) AS place FROM (SELECT * FROM strict UNION ALL SELECT * FROM part_))
 SELECT study_id, tier, place, round(score, 4) AS score FROM placed WHERE place <= CASE WHEN tier = 'strict' THEN greatest(10, 15 - (SELECT count(*) FROM part_)) ELSE greatest(5, 15 - (SELECT count(*) FROM strict)) END"""
 
@@ -187,7 +190,8 @@ SELECT place, study_id, relevance FROM k WHERE place BETWEEN 51 AND 75""",
 SELECT *, CASE WHEN combined_n > 0 THEN concat(theme, ' across ', studies, ' studies (combined n=', combined_n, ')') ELSE concat(theme, ' from ', studies, ' studies') END AS lead FROM g""",
     "report_findings": _findings_sql(),
     "report_opening": STUDIES + f" SELECT concat('This synthesis draws from ', count(*), ' studies (', count(*) FILTER (preprint_status = 'Peer-reviewed'), ' peer-reviewed, ', count(*) FILTER (preprint_status = 'Preprint'), ' preprints) examining {QUERY.lower()}.') AS text FROM studies",
-    "report_references": "WITH l AS (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS at_ FROM lineitem WHERE l_orderkey < 2000), f AS (SELECT l_partkey AS paper_id, min((l_orderkey, at_)) AS seen FROM l GROUP BY l_partkey) SELECT paper_id, row_number() OVER (ORDER BY seen) AS number FROM f",
+    "report_references": """WITH l AS (SELECT o_custkey AS report_id, l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS at_ FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+f AS (SELECT report_id, l_partkey AS paper_id, min((l_orderkey, at_)) AS seen FROM l GROUP BY ALL) SELECT report_id, paper_id, row_number() OVER (PARTITION BY report_id ORDER BY seen) AS number FROM f""",
     "export_csv": EXPORTED + f" SELECT study_id, concat_ws(',', {_FIELD('title')}, 'Unknown', year::varchar, coalesce(doi, ''), study_design, coalesce(sample_size::varchar, ''), {_FIELD('population')}, {_FIELD('outcome_measured')}, {_FIELD('effect_size')}, {_FIELD('key_result')}, preprint_status) AS line FROM x",
     "export_ris": EXPORTED + r""" SELECT study_id, concat_ws(chr(10), 'TY  - JOUR', concat('TI  - ', title), concat('PY  - ', year), CASE WHEN doi IS NOT NULL THEN concat('DO  - ', doi) END, concat('AB  - ', substr(abstract, 1, 420)), concat('KW  - Study Design: ', study_design),
   CASE WHEN coalesce(sample_size, 0) <> 0 THEN concat('KW  - Sample Size: ', sample_size) END, CASE WHEN outcome_measured <> '' THEN concat('KW  - Outcome 1: ', outcome_measured) END, 'ER  - ') AS entry FROM x""",

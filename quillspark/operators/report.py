@@ -144,10 +144,12 @@ def opening(studies: DataFrame, query: str) -> DataFrame:
 
 
 def reference_numbers(claims: DataFrame) -> DataFrame:
-    """Papers numbered by their first appearance in ``claims`` (position, paper_ids)."""
-    each = claims.select("position", F.posexplode("paper_ids").alias("at", "paper_id"))
-    first = each.groupBy("paper_id").agg(F.min(F.struct("position", "at")).alias("seen"))
-    return first.select("paper_id", F.row_number().over(Window.orderBy("seen.position", "seen.at")).alias("number"))
+    """Papers of each report numbered by their first appearance in its ``claims`` (report_id,
+    position, paper_ids)."""
+    each = claims.select("report_id", "position", F.posexplode("paper_ids").alias("at", "paper_id"))
+    first = each.groupBy("report_id", "paper_id").agg(F.min(F.struct("position", "at")).alias("seen"))
+    order = Window.partitionBy("report_id").orderBy("seen.position", "seen.at")
+    return first.select("report_id", "paper_id", F.row_number().over(order).alias("number"))
 
 
 # --- exports ----------------------------------------------------------------------------------
