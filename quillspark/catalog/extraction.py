@@ -70,11 +70,9 @@ def conversation_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def inverted_abstracts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Abstracts through their inverted index and back; words and digest."""
-    words = F.split(T.collapse(F.col("abstract")), " ")
-    pairs = F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i")))
-    index = F.map_from_entries(F.transform(F.array_distinct(words), lambda w: F.struct(w.alias("key"), F.transform(F.filter(pairs, lambda p: p["w"] == w), lambda p: p["i"]).alias("value"))))
-    return view(spark, sf_dir, "studies").select("study_id", T.abstract_of(index).alias("abstract"))
+    """Abstracts through their inverted index and back."""
+    index = S.inverted_index(view(spark, sf_dir, "studies"))
+    return index.select("study_id", T.abstract_of(F.col("index")).alias("abstract"))
 
 
 STUDIES = duck("studies")

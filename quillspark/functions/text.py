@@ -163,8 +163,9 @@ def abstract_of(index: Column) -> Column:
     position that several claim, the last word in code point order stays."""
     pairs = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
     ordered = F.array_sort(pairs)
-    kept = F.filter(ordered, lambda x, i: F.coalesce(F.get(ordered, i + 1)["p"] != x["p"], F.lit(True)))
-    return F.array_join(F.transform(kept, lambda x: x["w"]), " ")
+    # Each pair beside the next one; the last stands beside null.
+    kept = F.zip_with(ordered, F.slice(ordered, 2, 2**31 - 1), lambda x, y: F.when(F.coalesce(y["p"] != x["p"], F.lit(True)), x["w"]))
+    return F.array_join(F.array_compact(kept), " ")
 
 
 def citation(authors: Column, year: Column, title: Column, venue: Column) -> Column:

@@ -19,6 +19,13 @@ def outcomes(papers: DataFrame, key: str = "study_id") -> DataFrame:
     return each.withColumn("confidence", X.outcome_confidence(F.col("sentence"), F.col("effect_size"), F.col("p_value"), F.col("intervention"), F.col("comparator"), F.col("sentence")))
 
 
+def inverted_index(papers: DataFrame, key: str = "study_id") -> DataFrame:
+    """Rows (key, index): each abstract as a map of its words to their positions, from 0."""
+    each = papers.select(key, F.posexplode(F.split(T.collapse(F.col("abstract")), " ")).alias("at", "word"))
+    words = each.groupBy(key, "word").agg(F.array_sort(F.collect_list("at")).alias("places"))
+    return words.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("word", "places"))).alias("index"))
+
+
 def best_outcomes(found: DataFrame, least: float = 0.35, key: str = "study_id") -> DataFrame:
     """Of outcomes with one name in a study the most confident; of a study those of at least
     ``least``, or the best one alone."""
