@@ -21,14 +21,18 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that of the smallest doc_id; of rows that
-    repeat an id one stays.  Near copies share 0.8 of their runs of five words or more.
+    """One document of each group of near copies; near copies share 0.8 of their runs of five
+    words or more.
 
-    Documents without an id are kept, one row for each text's fingerprint.
+    The one that stays is that of the smallest doc_id, rows without an id last; then the smallest
+    hash of the text, then that of the row.  Rows of the same id, or of none, are copies only if
+    their texts are.
     """
     found = simhash.similar_documents(docs, words=5, similarity=0.8)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id"])
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "row_key")
+    kept = found.groupBy("component").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.text_key").alias("_text"), F.col("k.row_key").alias("_row"))
+    mine = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_text")) & (F.col("row_key") == F.col("_row"))
+    return simhash.with_keys(docs).join(kept, mine, "left_semi").dropDuplicates(["doc_id", "text_key", "row_key"]).select(*docs.columns)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

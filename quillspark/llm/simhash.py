@@ -47,18 +47,20 @@ def text_fingerprint(raw: bytes, words: int = 4, seed: int = 42) -> int:
     return int(np.packbits(total * 2 > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """Rows (doc_id, simhash long) of whole texts, one for each row; a null text counts as empty."""
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("simhash", T.LongType())])
+def fingerprints(docs: DataFrame, words: int = 4, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (doc_id, simhash long) of whole texts, one for each row, with the columns ``carry``;
+    a null text counts as empty."""
+    rest = ["doc_id", *carry]
+    schema = T.StructType([*docs.select(*rest).schema.fields, T.StructField("simhash", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 raws = part.column("text").cast(pa.binary()).to_pylist()
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([text_fingerprint(x or b"", words) for x in raws], pa.int64())], names=["doc_id", "simhash"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), pa.array([text_fingerprint(x or b"", words) for x in raws], pa.int64())], names=[*rest, "simhash"])
 
-    return spread(docs.select("doc_id", "text")).mapInArrow(run, schema)
+    return spread(docs.select(*rest, "text")).mapInArrow(run, schema)
 
 
 # --- choosing partitions and thresholds ---------------------------------------------------
@@ -253,8 +255,16 @@ def alike(pairs: DataFrame, groups: DataFrame, docs: DataFrame, words: int, simi
     return both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
 
+def with_keys(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``text_key`` and ``row_key``, hashes of the text and of all columns, by which
+    rows without an id, or of the same id, are told apart."""
+    return docs.withColumns({"text_key": F.xxhash64("text"), "row_key": F.xxhash64(*docs.columns)})
+
+
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, distances: tuple[int, ...] = (4, 10)) -> DataFrame:
-    """Rows (doc_id, component_id), one for each row of ``docs``: near copies by shingle sets.
+    """Rows (doc_id, text_key, row_key, component, component_id), one for each row of ``docs``:
+    near copies by shingle sets.  ``component`` labels the group, with or without ids;
+    component_id is its smallest doc_id.
 
     Candidates are fingerprints within the last of ``distances``; every pair is compared by its
     shingle sets.  Two texts of similarity 0.8 differ in some ten of 64 bits, those of 0.9 in
@@ -262,7 +272,7 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     earlier ones have joined already, so that dense groups of copies are met once at the
     narrow distance and not as all their pairs.  Equal fingerprints count as copies.
     """
-    table = materialise(fingerprints(docs, words), "prints")
+    table = materialise(fingerprints(with_keys(docs), words, ("text_key", "row_key")), "prints")
     groups = materialise(table.groupBy("simhash").agg(F.min("doc_id").alias("least")), "groups")
     known: DataFrame | None = None
     labelled = groups.withColumn("component", F.col("simhash"))
@@ -274,4 +284,4 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
         labelled = groups.join(joined, groups["simhash"] == joined["node"], "left").select("simhash", "least", F.coalesce("component", "simhash").alias("component"))
         labelled = materialise(labelled, "labelled")
     owner = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    return table.join(labelled.join(owner, "component").select("simhash", "component_id"), "simhash").select("doc_id", "component_id")
+    return table.join(labelled.join(owner, "component").select("simhash", "component", "component_id"), "simhash").select("doc_id", "text_key", "row_key", "component", "component_id")

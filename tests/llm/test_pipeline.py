@@ -4,7 +4,7 @@ import corpus_pipeline as P
 from quillspark.llm import quality
 from quillspark.llm.queries import learnable_labels
 
-from .helpers import odd_documents
+from .helpers import odd_documents, prose
 
 
 def test_stages_do_their_work(spark, sf):
@@ -57,3 +57,10 @@ def test_odd_documents_pass_through(spark, sf):
 def test_run_ends_in_packed_sequences(spark, sf):
     rows = P.run(spark, sf)
     assert rows.where("length > 4096 or offset + length > 4096").count() == 0 and rows.count() > 0
+
+
+def test_rows_without_or_with_one_id_stay_by_their_texts(spark, sf):
+    texts = [(None, prose(31, 80)), (None, prose(32, 80)), (None, prose(32, 80)), (50, prose(33, 80)), (50, prose(34, 80)), (51, prose(34, 80))]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t), None, None, None) for i, t in texts], odd_documents(spark).schema)
+    kept = sorted((r["text"], str(r["doc_id"])) for r in P.keep_one_of_near_copies(spark, docs, sf).collect())
+    assert kept == sorted([(prose(31, 80), "None"), (prose(32, 80), "None"), (prose(33, 80), "50"), (prose(34, 80), "50")])
