@@ -10,57 +10,63 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb, exp, lgamma
+from math import ceil, comb, exp, lgamma
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, materialise, spread
+from .common import components, materialise, release, spread
 
 BITS = 64
 
 
-def text_fingerprint(raw: bytes, words: int = 4, seed: int = 42) -> int:
-    """The majority bits of XXH64 over all runs of ``words`` words, as a signed 64-bit integer.
+def run_hashes(raw: bytes, words: int = 4, seed: int = 42) -> np.ndarray:
+    """XXH64 of all runs of ``words`` words, in order, as unsigned 64-bit integers.
 
     A-Z are lower-cased; words are separated by bytes 9 to 13 and 32.  A text of fewer words
-    is one run; one of no words gives 0.
+    is one run; one of no words has none.
     """
     from xxhash import xxh64_intdigest
 
     held = raw.lower().split()
     if not held:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(held)
     if len(held) <= words:
-        hashes = np.array([xxh64_intdigest(joined, seed)], np.uint64)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, held), np.int64, len(held)) + 1) - 1
-        starts = np.r_[0, ends[:-1] + 1]
-        hashes = np.fromiter([xxh64_intdigest(joined[s:e], seed) for s, e in zip(starts[: len(held) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)], np.uint64)
+        return np.array([xxh64_intdigest(joined, seed)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, held), np.int64, len(held)) + 1) - 1
+    starts = np.r_[0, ends[:-1] + 1]
+    return np.fromiter([xxh64_intdigest(joined[s:e], seed) for s, e in zip(starts[: len(held) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes set, as a signed 64-bit integer; 0 of none."""
     total = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 32768):
         total += np.unpackbits(hashes[at : at + 32768].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
     return int(np.packbits(total * 2 > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 4, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Rows (doc_id, simhash long) of whole texts, one for each row, with the columns ``carry``;
-    a null text counts as empty."""
-    rest = ["doc_id", *carry]
-    schema = T.StructType([*docs.select(*rest).schema.fields, T.StructField("simhash", T.LongType())])
+def text_fingerprint(raw: bytes, words: int = 4, seed: int = 42) -> int:
+    """The majority bits of XXH64 over all runs of ``words`` words; a text of no words gives 0."""
+    return majority(run_hashes(raw, words, seed))
+
+
+def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
+    """Rows (doc_id, simhash long) of whole texts, one for each row; a null text counts as empty."""
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("simhash", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 raws = part.column("text").cast(pa.binary()).to_pylist()
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), pa.array([text_fingerprint(x or b"", words) for x in raws], pa.int64())], names=[*rest, "simhash"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([text_fingerprint(x or b"", words) for x in raws], pa.int64())], names=["doc_id", "simhash"])
 
-    return spread(docs.select(*rest, "text")).mapInArrow(run, schema)
+    return spread(docs.select("doc_id", "text")).mapInArrow(run, schema)
 
 
 # --- choosing partitions and thresholds ---------------------------------------------------
@@ -222,66 +228,205 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4) -> DataF
 
 # --- near copies by the similarity of shingle sets ----------------------------------------------
 
+#: Buckets in which uses of shingles are counted, and bits of a set's parity map.
+BUCKETS, PARITY = 1 << 16, 2048
+
+
+def with_keys(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``text_key`` and ``row_key``, hashes of the text and of all columns, by which
+    rows without an id, or of the same id, are told apart."""
+    return docs.withColumns({"text_key": F.xxhash64("text"), "row_key": F.xxhash64(*docs.columns)})
 
-def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """Rows (simhash, shingles): the distinct 64-bit hashes of each text's runs of words."""
-    schema = T.StructType([docs.schema["simhash"], T.StructField("shingles", T.ArrayType(T.LongType()))])
+
+def _set_id(shingles: np.ndarray) -> int:
+    """A 64-bit digest of a sorted shingle set, signed."""
+    from xxhash import xxh64_intdigest
+
+    return int(np.uint64(xxh64_intdigest(shingles.tobytes())).view(np.int64))
+
+
+def _sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Parts of a batch with the run hashes of their texts."""
+    for at in range(0, batch.num_rows, 256):
+        part = batch.slice(at, 256)
+        yield part, [run_hashes(x or b"", words) for x in part.column("text").cast(pa.binary()).to_pylist()]
+
+
+def set_digests(docs: DataFrame, words: int) -> DataFrame:
+    """Rows (doc_id, text_key, row_key, simhash, node, n, bits) of whole texts, and rows (bucket,
+    uses) that count their shingles, all other columns null.
+
+    ``node`` is the digest of a text's set of shingles, ``n`` its size.  ``bits`` has bit k set if
+    an odd number of its shingles fall on k: two sets differ in as many shingles at least as
+    their maps do in bits.
+    """
+    fields = [T.StructField("simhash", T.LongType()), T.StructField("node", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("bits", T.ArrayType(T.LongType())), T.StructField("bucket", T.IntegerType()), T.StructField("uses", T.LongType())]
+    rest = docs.select("doc_id", "text_key", "row_key")
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in rest.schema.fields), *fields])
+    names = schema.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest
+        uses, kind = np.zeros(BUCKETS, np.int64), None
+        for batch in batches:
+            kind = batch.column("doc_id").type
+            for part, runs in _sets(batch, words):
+                sets = [np.unique(h) for h in runs]
+                if sets:
+                    uses += np.bincount((np.concatenate(sets) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+                maps = [np.packbits((np.bincount((s >> np.uint64(40) & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1).astype(np.uint8)).view(np.int64) for s in sets]
+                none = part.num_rows
+                made = [pa.array([majority(h) for h in runs], pa.int64()), pa.array([_set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(maps, pa.list_(pa.int64())), pa.nulls(none, pa.int32()), pa.nulls(none, pa.int64())]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), part.column("row_key"), *made], names=names)
+        met = np.flatnonzero(uses)
+        if len(met):
+            blank = [pa.nulls(len(met), t) for t in (kind, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*blank, pa.array(met, pa.int32()), pa.array(uses[met], pa.int64())], names=names)
+
+    return spread(docs.select("doc_id", "text_key", "row_key", "text")).mapInArrow(run, schema)
+
+
+def bucket_ranks(digests: DataFrame) -> np.ndarray:
+    """The place of each of ``BUCKETS`` by how often its shingles are used; that many numbers
+    reach the driver.  Any order gives the same links, this one puts common shingles last."""
+    uses = np.zeros(BUCKETS, np.int64)
+    for r in digests.where("bucket is not null").groupBy("bucket").agg(F.sum("uses").alias("uses")).collect():
+        uses[r["bucket"]] = r["uses"]
+    ranks = np.empty(BUCKETS, np.uint64)
+    ranks[np.argsort(uses, kind="stable")] = np.arange(BUCKETS, dtype=np.uint64)
+    return ranks
+
+
+def prefixes(docs: DataFrame, ranks: np.ndarray, words: int, similarity: float) -> DataFrame:
+    """Rows (doc_id, text_key, node, n, prefix): the shingles of each text by which it can meet
+    all others of ``similarity``, the first n - ceil(similarity n) + 1 in the order of ``ranks``."""
+    rest = [T.StructField(c, docs.schema[c].dataType) for c in ("doc_id", "text_key")]
+    schema = T.StructType([*rest, T.StructField("node", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                sets = []
-                for raw in part.column("text").cast(pa.binary()).to_pylist():
-                    held = (raw or b"").lower().split()
-                    runs = {b" ".join(held[i : i + words]) for i in range(max(1, len(held) - words + 1))}
-                    sets.append(np.fromiter(map(xxh64_intdigest, runs), np.uint64, len(runs)).view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column("simhash"), pa.array(sets, pa.list_(pa.int64()))], names=["simhash", "shingles"])
-
-    return docs.select("simhash", "text").mapInArrow(run, schema)
-
-
-def alike(pairs: DataFrame, groups: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The ``pairs`` (a, b) of fingerprints whose texts' shingle sets have a Jaccard similarity of
-    at least ``similarity``.  A fingerprint stands for the text of its smallest doc_id."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("simhash")).distinct()
-    owners = groups.join(wanted, "simhash").select("simhash", F.col("least").alias("doc_id"))
-    texts = docs.select("doc_id", "text").join(owners, "doc_id").dropDuplicates(["simhash"])
+            for part, runs in _sets(batch, words):
+                sets = [np.unique(h) for h in runs]
+                firsts = []
+                for s in sets:
+                    # One number for a bucket's rank and the rest of the hash: another name of the shingle.
+                    key = np.sort(ranks[(s & np.uint64(BUCKETS - 1)).astype(np.int64)] << np.uint64(48) | s >> np.uint64(16))
+                    firsts.append(key[: len(s) - ceil(similarity * len(s) - 1e-9) + 1].view(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array([_set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], names=schema.fieldNames())
+
+    return spread(docs.select("doc_id", "text_key", "text")).mapInArrow(run, schema)
+
+
+def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+    """Rows (node, shingles): the distinct 64-bit hashes of each text's runs of words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, runs in _sets(batch, words):
+                sets = [np.unique(h) for h in runs]
+                yield pa.RecordBatch.from_arrays([pa.array([_set_id(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    return docs.select("text").mapInArrow(run, "node long, shingles array<long>")
+
+
+def alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The ``pairs`` (a, b) of nodes whose shingle sets have a Jaccard similarity of at least
+    ``similarity``.  Their sizes and parity maps rule most others out, then the sets are compared."""
+    slim = nodes.select("node", "n", "bits")
+    differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    most = (F.col("na") + F.col("nb")) * ((1 - similarity) / (1 + similarity)) + 1e-6
+    met = pairs.join(slim.toDF("a", "na", "bits_a"), "a").join(slim.toDF("b", "nb", "bits_b"), "b")
+    near = materialise(met.where((F.abs(F.col("na") - F.col("nb")) <= most) & (differ <= most)).select("a", "b"), "near")
+    wanted = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    owners = nodes.join(wanted, "node").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text"))
+    texts = docs.select("doc_id", "text_key", "text").join(owners, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_text"))).dropDuplicates(["doc_id", "text_key"])
     sets = materialise(shingle_sets(texts, words), "shingles")
-    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+    both = near.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
-    return both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+    found = materialise(both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b"), "alike")
+    release(sets)
+    release(near)
+    return found
 
 
-def with_keys(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``text_key`` and ``row_key``, hashes of the text and of all columns, by which
-    rows without an id, or of the same id, are told apart."""
-    return docs.withColumns({"text_key": F.xxhash64("text"), "row_key": F.xxhash64(*docs.columns)})
+def _can_reach(a: str, b: str, similarity: float) -> Column:
+    """Whether two postings may be the first that sets of ``similarity`` have in common: what
+    follows them in the shorter rest must make up the overlap that the sizes ask for."""
+    na, nb, at, bt = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.at"), F.col(f"{b}.at")
+    sizes = (na >= similarity * nb - 1e-6) & (nb >= similarity * na - 1e-6)
+    return sizes & (F.least(na - at, nb - bt) >= (na + nb) * (similarity / (1 + similarity)) - 1e-6)
+
+
+def _of_several(postings: DataFrame) -> DataFrame:
+    """Postings of keys that more than one component has."""
+    same = Window.partitionBy("key")
+    both = postings.withColumns({"_low": F.min("component").over(same), "_high": F.max("component").over(same)})
+    return both.where("_low <> _high").drop("_low", "_high")
+
+
+def shared_postings(docs: DataFrame, nodes: DataFrame, labelled: DataFrame, ranks: np.ndarray, words: int, similarity: float) -> DataFrame:
+    """Rows (key, at, node, n, component): prefix shingles that several components have."""
+    mine = nodes.join(labelled, "node").select(F.col("node").alias("_node"), F.col("doc_id").alias("_id"), F.col("text_key").alias("_text"), "component")
+    held = prefixes(docs, ranks, words, similarity)
+    held = held.join(mine, (F.col("node") == F.col("_node")) & (F.col("text_key") == F.col("_text")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    return materialise(_of_several(held.select("node", "n", "component", F.posexplode("prefix").alias("at", "key"))), "postings")
+
+
+def to_first(postings: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of each node and the smallest node of a key, if they can be alike and are of
+    different components: no more than there are postings, however many share a key."""
+    first = F.min(F.struct("node", "n", "at", "component")).over(Window.partitionBy("key"))
+    p = postings.withColumn("f", first).select(F.struct("node", "n", "at", "component").alias("p"), "f")
+    return p.where((F.col("p.component") != F.col("f.component")) & _can_reach("p", "f", similarity)).select(F.col("f.node").alias("a"), F.col("p.node").alias("b")).distinct()
+
+
+def prefix_pairs(postings: DataFrame, similarity: float) -> DataFrame:
+    """All pairs (a, b), a < b, of different components that share a key and can be alike."""
+    held = materialise(_of_several(postings), "left")
+    a, b = held.alias("a"), held.alias("b")
+    on = (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component"))
+    return a.join(b, on & _can_reach("a", "b", similarity)).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
 
 
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, distances: tuple[int, ...] = (4, 10)) -> DataFrame:
     """Rows (doc_id, text_key, row_key, component, component_id), one for each row of ``docs``:
-    near copies by shingle sets.  ``component`` labels the group, with or without ids;
+    near copies by shingle sets, exact.  ``component`` labels the group, with or without ids;
     component_id is its smallest doc_id.
 
-    Candidates are fingerprints within the last of ``distances``; every pair is compared by its
-    shingle sets.  Two texts of similarity 0.8 differ in some ten of 64 bits, those of 0.9 in
-    four or fewer.  Distances are searched in turn, and a later search leaves out pairs that
-    earlier ones have joined already, so that dense groups of copies are met once at the
-    narrow distance and not as all their pairs.  Equal fingerprints count as copies.
+    Fingerprints within each of ``distances`` in turn give candidates first, so that dense groups
+    of copies are met once and not as all their pairs.  Two texts of similarity 0.8 differ in some
+    ten of 64 bits, those of 0.9 in some seven, many in more; so a prefix filter then finds every
+    other pair: with shingles in one order, two sets of similarity t share one of their first
+    n - ceil(t n) + 1.  Each node of a key is compared with the key's first, then all that are
+    still in different components with each other.  Every pair is compared by its sets.
+    Equal fingerprints count as copies.
     """
-    table = materialise(fingerprints(with_keys(docs), words, ("text_key", "row_key")), "prints")
-    groups = materialise(table.groupBy("simhash").agg(F.min("doc_id").alias("least")), "groups")
-    known: DataFrame | None = None
-    labelled = groups.withColumn("component", F.col("simhash"))
-    for distance in distances:
-        pairs = materialise(links(labelled, distance, apart=True).distinct(), "pairs")
-        found = materialise(alike(pairs, groups, docs, words, similarity), "alike")
-        known = found if known is None else known.unionByName(found)
+    docs = with_keys(docs)
+    table = materialise(set_digests(docs, words), "prints")
+    rows = table.where("bucket is null")
+    owner = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("o")
+    grouped = rows.groupBy("node").agg(owner, F.min("simhash").alias("simhash"), F.min("n").alias("n"), F.first("bits").alias("bits"))
+    nodes = materialise(grouped.select("node", "simhash", "n", "bits", "o.doc_id", "o.text_key"), "nodes")
+    firsts = materialise(nodes.groupBy("simhash").agg(F.min("node").alias("first")), "firsts")
+
+    def label(known: DataFrame) -> DataFrame:
         joined = components(known)
-        labelled = groups.join(joined, groups["simhash"] == joined["node"], "left").select("simhash", "least", F.coalesce("component", "simhash").alias("component"))
-        labelled = materialise(labelled, "labelled")
-    owner = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    return table.join(labelled.join(owner, "component").select("simhash", "component", "component_id"), "simhash").select("doc_id", "text_key", "row_key", "component", "component_id")
+        return materialise(nodes.join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "labelled")
+
+    equal = nodes.join(firsts, "simhash").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    known = materialise(equal, "alike")
+    labelled = label(known)
+    for distance in distances:
+        prints = firsts.join(labelled, F.col("first") == F.col("node")).select("simhash", "component")
+        met = links(prints, distance, apart=True).distinct()
+        pairs = met.join(firsts.toDF("a", "first_a"), "a").join(firsts.toDF("b", "first_b"), "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
+        known = known.unionByName(alike(pairs, nodes, docs, words, similarity))
+        labelled = label(known)
+    postings = shared_postings(docs, nodes, labelled, bucket_ranks(table), words, similarity)
+    known = known.unionByName(alike(to_first(postings, similarity), nodes, docs, words, similarity))
+    labelled = label(known)
+    postings = postings.drop("component").join(labelled, "node")
+    known = known.unionByName(alike(prefix_pairs(postings, similarity), nodes, docs, words, similarity))
+    labelled = label(known)
+    final = rows.join(labelled, "node")
+    least = final.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return final.join(least, "component").select("doc_id", "text_key", "row_key", "component", "component_id")

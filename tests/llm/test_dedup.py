@@ -66,6 +66,42 @@ def test_similar_documents_keep_clean_ones_apart(spark):
     assert simhash.similar_documents(docs.where("false")).count() == 0
 
 
+def table_of(spark, texts):
+    return spark.createDataFrame([(k, t, "en", "a", len(t), None, None, None) for k, t in texts], odd_documents(spark).schema)
+
+
+def brute_similar(texts, similarity):
+    """The smallest id that each text is linked to, by all pairs."""
+    sets = {}
+    for k, t in texts:
+        w = t.lower().split()
+        sets[k] = {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    label = {k: k for k in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            shared = len(sets[a] & sets[b])
+            if a < b and shared >= similarity * len(sets[a] | sets[b]) and label[a] != label[b]:
+                old, new = max(label[a], label[b]), min(label[a], label[b])
+                label = {k: new if v == old else v for k, v in label.items()}
+    return label
+
+
+def test_every_pair_just_over_the_similarity_is_found(spark):
+    texts, rng = [], np.random.default_rng(5)
+    for k in range(60):
+        words = prose(500 + k, 200).split()
+        texts.append((10 * k, " ".join(words)))
+        for f in (2, 4, 5):  # 4 changes leave some 176 of 216 runs, just over 0.8; 5 just less
+            other = list(words)
+            for at in rng.choice(range(5, 195, 6), f, replace=False):
+                other[at] = f"changed{k}x{at}"
+            texts.append((10 * k + f, " ".join(other)))
+    want = brute_similar(texts, 0.8)
+    assert 60 < len(set(want.values())) < 180
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(table_of(spark, texts)).collect()}
+    assert got == want
+
+
 def test_boundaries_survive_insertions():
     text = prose(1, 400).encode()
     moved = b"some new words stand here " + text
