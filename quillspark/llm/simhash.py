@@ -398,7 +398,7 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     other pair: with shingles in one order, two sets of similarity t share one of their first
     n - ceil(t n) + 1.  Each node of a key is compared with the key's first, then all that are
     still in different components with each other.  Every pair is compared by its sets.
-    Equal fingerprints count as copies.
+    Texts of equal fingerprints are compared like any others.
     """
     docs = with_keys(docs)
     table = materialise(set_digests(docs, words), "prints")
@@ -413,7 +413,7 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
         return materialise(nodes.join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "labelled")
 
     equal = nodes.join(firsts, "simhash").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    known = materialise(equal, "alike")
+    known = alike(equal, nodes, docs, words, similarity)
     labelled = label(known)
     for distance in distances:
         prints = firsts.join(labelled, F.col("first") == F.col("node")).select("simhash", "component")

@@ -102,6 +102,14 @@ def test_every_pair_just_over_the_similarity_is_found(spark):
     assert got == want
 
 
+def test_equal_fingerprints_of_different_texts_stay_apart(spark):
+    line = "one two three four five\n" * 120
+    texts = [(k, line + prose(60 + k, 40)) for k in range(1, 6)] + [(9, line + prose(63, 40) + " end")]
+    assert len({simhash.text_fingerprint(t.encode(), 5) for _, t in texts}) == 1
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(table_of(spark, texts)).collect()}
+    assert got == brute_similar(texts, 0.8) == {1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 9: 3}
+
+
 def test_boundaries_survive_insertions():
     text = prose(1, 400).encode()
     moved = b"some new words stand here " + text
