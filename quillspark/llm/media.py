@@ -41,7 +41,7 @@ ROW = 192
 
 @dataclass(frozen=True)
 class Found:
-    """Confirmed media: bytes [start, end) of a blob, and its 8-bit samples [data, data_end)."""
+    """Confirmed media: bytes [start, end) of a blob, and its samples [data, data_end)."""
 
     kind: str
     start: int
@@ -95,7 +95,7 @@ def _riff(b: bytes, at: int) -> Found | None:
         if b[pos : pos + 4] == b"fmt " and size >= 16:
             bits = int.from_bytes(b[pos + 22 : pos + 24], "little")
         if b[pos : pos + 4] == b"data":
-            return Found("audio/wav", at, end, pos + 8, pos + 8 + size) if bits == 8 else None
+            return Found("audio/wav", at, end, pos + 8, pos + 8 + size) if bits else None
         pos += 8 + size + size % 2
     return None
 
@@ -226,14 +226,17 @@ def automaton():
 
 
 def sniff(blob: bytes) -> list[Found]:
-    """All confirmed media of a blob from left to right; none begins within another."""
+    """All confirmed media of a blob by where it begins, media within other media too; what begins
+    within another and ends beyond it is none."""
     out: list[Found] = []
-    free = 0
+    open_ends: list[int] = []
     for last, (size, kind) in automaton().iter(blob.decode("latin-1")):
         at = last - size + 1
-        if at >= free and (found := _CHECKS[kind](blob, at)):
+        while open_ends and at >= open_ends[-1]:
+            open_ends.pop()
+        if (found := _CHECKS[kind](blob, at)) and (not open_ends or found.end <= open_ends[-1]):
             out.append(found)
-            free = found.end
+            open_ends.append(found.end)
     return out
 
 

@@ -99,6 +99,17 @@ def test_every_container_is_sniffed_and_carved():
     assert [f.kind for f in media.sniff(mixed)] == [k for k, _ in blobs]
 
 
+def test_media_within_every_container_is_found():
+    inner = b"P5 2 2 255 abcd"
+    for kind, write in media.WRITERS.items():
+        blob = write(media.payload_of(b"some text " + inner + b" and more"))
+        at = blob.index(inner)
+        assert [(f.kind, f.start, f.end) for f in media.sniff(blob)] == [(kind, 0, len(blob)), ("image/x-portable-graymap", at, at + len(inner))]
+    wide = bytearray(media.wav(b"ab" * 96))
+    wide[34] = 16
+    assert [f.kind for f in media.sniff(bytes(wide))] == ["audio/wav"]
+
+
 def test_held_out_flags(spark, sf):
     import zlib
 
