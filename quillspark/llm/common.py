@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
 from ..storage import materialise, release, shared_dir
 
-__all__ = ["bounded_sample", "components", "doc_bucket", "materialise", "release", "shared_dir", "spread"]
+__all__ = ["bounded_sample", "by_bytes", "components", "doc_bucket", "materialise", "release", "shared_dir", "spread"]
 
 #: Rows of an Arrow batch of whole texts, at most; longer batches only take memory.
 BATCH_ROWS = 1000
@@ -26,6 +31,19 @@ def spread(df: DataFrame) -> DataFrame:
     return df
 
 
+def by_bytes(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in parts of about ``most`` bytes of ``column``; a longer value is a part alone."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    first, held = 0, 0
+    for k, n in enumerate(sizes.tolist()):
+        if held and held + n > most:
+            yield batch.slice(first, k - first)
+            first, held = k, 0
+        held += n
+    if first < batch.num_rows:
+        yield batch.slice(first)
+
+
 def doc_bucket(doc_id: Column, modulus: int) -> Column:
     """crc32 of the decimal text of ``doc_id``, modulo ``modulus``; a null id counts as ''."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, spread
+from .common import by_bytes, materialise, spread
 from .tokens import default_tokenizer, tokenizer
 
 #: A bin's filling: (length, how many) pairs; a plan: (how many such bins, filling).
@@ -37,26 +37,24 @@ def tokenise(docs: DataFrame, tokenizer_path: str | None = None, capacity: int =
     schema = T.StructType(
         [T.StructField("doc_id", id_type), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids", T.BinaryType())]
     )
-    end, width = np.uint32(end_id).astype("<u4").tobytes(), capacity * 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                rows: list[int] = []
-                pieces, starts, lengths, ids = [], [], [], []
-                for k, raw in enumerate(tok.encode([x or "" for x in part.column("text").to_pylist()])):
-                    raw += end
-                    for p, s in enumerate(range(0, len(raw), width)):
-                        piece = raw[s : s + width]
-                        rows.append(k)
-                        pieces.append(p)
-                        starts.append(s // 4)
-                        lengths.append(len(piece) // 4)
-                        ids.append(piece)
+            for part in by_bytes(batch, "text"):
+                ids, bounds = tok.encode_array(part.column("text"))
+                ids = np.insert(ids, bounds[1:], end_id)
+                bounds = bounds + np.arange(len(bounds))
+                lengths = np.diff(bounds)
+                pieces = -(-lengths // capacity)
+                row = np.repeat(np.arange(part.num_rows), pieces)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                start = piece * capacity
+                length = np.minimum(lengths[row] - start, capacity)
+                cuts = np.r_[0, np.cumsum(length)] * 4
+                raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(row), [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(ids)]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(pa.array(rows, pa.int32())), pa.array(pieces, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(ids, pa.binary())],
+                    [part.column("doc_id").take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), raw],
                     names=["doc_id", "piece", "start", "length", "ids"],
                 )
 

@@ -1,26 +1,33 @@
-"""Exact ids of a public word-level BPE tokenizer, with bounded caches of words.
+"""Exact ids of a public word-level BPE tokenizer, for Arrow arrays of whole texts.
 
 The tokenizer drops white space and none of its patterns crosses it, so the ids of a text are
-those of its space-separated words in turn, and those of a word are those of its runs of
-letters, digits and signs.  Frequent words are kept whole; rarer ones are put together from
-cached runs; only new runs reach the ``tokenizers`` library.
+those of its words in turn, and those of a word are those of its runs of letters, digits and
+signs.  Words are split, made distinct and cut into runs in Arrow; each distinct word of a batch
+is merged once, by ``tiktoken`` over the same file's merges; words of other characters than
+ASCII and Latin-1 letters go to the ``tokenizers`` library itself.  Nothing is kept between
+batches, so memory doesn't grow with the vocabulary of the corpus.
+
+``tiktoken`` merges the adjacent pieces whose concatenation has the lowest rank, while a BPE
+file names pairs.  Both agree if each token of the file, encoded by itself, is that token: pieces
+next to each other that make up a token have merged as they would in it alone.  A test holds
+this for the whole vocabulary.
 """
 
 from __future__ import annotations
 
 import functools
-import re
+import json
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Characters that Python's split() takes for white space and the tokenizer's pattern may not.
-_ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0]")
-#: Words with other characters, or with a special token's opening, are encoded by themselves.
-_ODD_WORD = re.compile("[^!-~\xc0-\xd6\xd8-\xf6\xf8-\xff]|<\\|")
+#: Words with other characters, with a special token's opening, or very long ones are encoded by themselves.
+_ODD_WORD = "[^!-~À-ÖØ-öø-ÿ]|<[|]"
+_LONGEST = 200
 #: The tokenizer's own split pattern, for lower-cased words of those characters.
-_RUN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿ]+")
-#: Texts without these may be lower-cased before the split: both lower-case Latin-1 alike.
-_BEYOND = re.compile("[^\x00-\xff]")
+_RUN = "('s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿ]+)"
 _END = "</w>"
 
 
@@ -31,73 +38,85 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _byte_names() -> dict[str, int]:
+    """The characters by which byte-level vocabularies name bytes: printable ones stand for
+    themselves, the others for those from 256 on, in order."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    names = {chr(b): b for b in plain}
+    return names | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in names.values())}
+
+
 class WordTokenizer:
-    """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit integers."""
+    """``encode_array(texts)`` gives the ids of all texts and where each text's begin and end."""
 
-    def __init__(self, path: str, cache_words: int = 150_000) -> None:
+    def __init__(self, path: str) -> None:
+        from tiktoken._tiktoken import CoreBPE
         from tokenizers import Tokenizer
 
         self._tok = Tokenizer.from_file(path)
-        vocab = self._tok.get_vocab(with_added_tokens=False)
-        self._ends = np.zeros(max(vocab.values()) + 1, bool)
-        self._ends[[i for w, i in vocab.items() if w.endswith(_END)]] = True
-        self._words: dict[str, bytes] = {}
-        self._runs: dict[str, bytes] = {}
-        self._most = cache_words
-
-    def _whole(self, text: str) -> bytes:
-        return np.asarray(self._tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _new_runs(self, runs: list[str]) -> dict[str, bytes]:
-        """Encode runs joined by spaces; a run's last id is the only one that ends a word."""
-        out: dict[str, bytes] = {}
-        for at in range(0, len(runs), 2000):
-            part = runs[at : at + 2000]
-            ids = np.asarray(self._tok.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
-            stops = ((np.flatnonzero(self._ends[ids]) + 1) * 4).tolist()
-            raw = ids.tobytes()
-            out.update((w, raw[s:e]) for w, s, e in zip(part, [0, *stops], stops, strict=False))
-        return out
-
-    def _new_words(self, words: list[str]) -> dict[str, bytes]:
-        out, split, missing = {}, [], set()
-        for w in words:
-            if _ODD_WORD.search(w):
-                out[w] = self._whole(w)
-            else:
-                split.append((w, runs := _RUN.findall(w.lower())))
-                missing.update(r for r in runs if r not in self._runs)
-        now = self._new_runs(sorted(missing))
-        if len(self._runs) + len(now) <= self._most:
-            self._runs.update(now)
-        now = self._runs | now if len(now) > len(self._runs) else now
-        for w, runs in split:
-            out[w] = b"".join([self._runs[r] if r in self._runs else now[r] for r in runs])
-        return out
+        model = json.loads(Path(path).read_text(encoding="utf-8"))["model"]
+        names, vocab = _byte_names(), model["vocab"]
+
+        def spelled(token: str) -> bytes:
+            """A token's bytes; a space, which no word holds, marks a word's end."""
+            ends = token.endswith(_END)
+            return bytes(names[c] for c in token.removesuffix(_END)) + b" " * ends
+
+        # A word's last byte and its end are one symbol from the start: those ranks come first.
+        order = [c + _END for c in names] + [*names] + ["".join(m) for m in model["merges"]]
+        ranks: dict[bytes, int] = {}
+        ids: list[int] = []
+        for token in order:
+            if ranks.setdefault(spelled(token), len(ids)) == len(ids):
+                ids.append(vocab[token])
+        self._ids = np.array(ids, dtype="<u4")
+        self._ends = np.array([b.endswith(b" ") for b in ranks])
+        self._bpe = CoreBPE(ranks, {}, "[^ ]+ ")
+
+    def _plain_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words without odd characters, one after the other, and how many each has."""
+        marked = pc.replace_substring_regex(pc.utf8_lower(words), _RUN, "\\1 ")
+        runs = pc.count_substring(marked, " ").to_numpy(zero_copy_only=False)
+        text = b"".join(marked.cast(pa.binary()).to_pylist()).decode()
+        ranks = np.frombuffer(self._bpe.encode_to_tiktoken_buffer(text, set()), dtype=np.uint32)
+        stops = np.flatnonzero(self._ends[ranks]) + 1
+        return self._ids[ranks], np.diff(np.r_[0, stops[np.cumsum(runs) - 1]])
+
+    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids (unsigned 32-bit) of all ``texts``, and the len(texts) + 1 offsets of each text in them.
+
+        Null texts have none, like empty ones.
+        """
+        split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+        # Outer white space leaves empty words; they have no ids.
+        coded = split.flatten().dictionary_encode()
+        words, uses = coded.dictionary, coded.indices.to_numpy()
+        odd = pc.or_(pc.match_substring_regex(words, _ODD_WORD), pc.greater(pc.binary_length(words), _LONGEST)).to_numpy(zero_copy_only=False)
+        empty = pc.equal(words, "").to_numpy(zero_copy_only=False)
+        counts, parts = np.zeros(len(words), np.int64), []
+        plain, rare = np.flatnonzero(~odd & ~empty), np.flatnonzero(odd)
+        if len(plain):
+            ids, counts[plain] = self._plain_words(words.take(pa.array(plain)))
+            parts.append(ids)
+        if len(rare):
+            held = [np.array(self._tok.encode(w, add_special_tokens=False).ids, np.uint32) for w in words.take(pa.array(rare)).to_pylist()]
+            counts[rare] = [len(h) for h in held]
+            parts += held
+        ids = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+        # Where each distinct word's ids begin: plain words come first, then the odd ones.
+        order = np.r_[plain, rare].astype(np.int64)
+        first = np.zeros(len(words), np.int64)
+        first[order] = np.cumsum(counts[order]) - counts[order]
+        lengths = counts[uses]
+        ends = np.cumsum(lengths)
+        at = np.repeat(first[uses] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
+        bounds = split.offsets.to_numpy()
+        return ids[at].astype("<u4"), np.r_[0, ends][bounds - bounds[0]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        get, split, missing = self._words.get, [], set()
-        for text in texts:
-            if _ODD_SPACE.search(text):
-                split.append(None)
-                continue
-            words = (text if _BEYOND.search(text) else text.lower()).split()
-            found = list(map(get, words))
-            split.append((words, found))
-            if None in found:
-                missing.update([w for w, x in zip(words, found, strict=True) if x is None])
-        now = self._new_words(list(missing))
-        out = []
-        for text, pair in zip(texts, split, strict=True):
-            if pair is None:
-                out.append(self._whole(text))
-            elif None in pair[1]:
-                out.append(b"".join([now[w] if x is None else x for w, x in zip(*pair, strict=True)]))
-            else:
-                out.append(b"".join(pair[1]))
-        if len(self._words) + len(now) <= self._most:
-            self._words.update(now)
-        return out
+        """Each text's ids as little-endian unsigned 32-bit integers."""
+        ids, bounds = self.encode_array(pa.array(texts, pa.string()))
+        return [ids[s:e].tobytes() for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
 @functools.lru_cache(maxsize=4)
