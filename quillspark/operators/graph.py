@@ -12,40 +12,43 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of undirected ``links(a, b)``: rows (node, component), where the
     component is one of its nodes.  Isolated nodes do not appear.
 
-    Each round every node points to its neighbour of the smallest hash, if that is smaller than
-    its own, and on to where that one points; links are then drawn between the ends alone, so
-    those within a group vanish at once and a group's links are met in about one round.  Hashes
-    change by round: no order of the ids makes long chains, and rounds grow with the logarithm
-    of the number of nodes.  Only whether any links are left reaches the driver.
+    Each round every node follows the link of the smallest hash that it has, and on from there
+    for a few steps; links are then drawn between the ends alone, so those within a group vanish
+    at once.  Every node moves, so at least half of the nodes go in each round, and hashes change
+    by round: no order of the ids makes long chains.  Only whether any links are left reaches the
+    driver.
     """
     a, b = F.col("a"), F.col("b")
     edges = materialise(links.where("a <> b").select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct(), "edges")
-    labels: DataFrame | None = None
+    steps: list[DataFrame] = []
     for turn in range(max_rounds):
         if edges.isEmpty():
             break
-        both = edges.union(edges.select("b", "a")).toDF("a", "b").withColumn("h", F.xxhash64("b", F.lit(turn)))
-        best = both.groupBy("a").agg(F.min_by("b", "h").alias("to"), F.min("h").alias("h"))
-        points = best.select(F.col("a").alias("node"), F.when(F.col("h") < F.xxhash64("a", F.lit(turn)), F.col("to")).otherwise(a).alias("to"))
-        points = materialise(points, "points")
-        step = points.select(F.col("node").alias("to"), F.col("to").alias("end"))
-        ends = materialise(points.join(step, "to").select("node", "end"), "ends")
+        hashed = edges.withColumn("h", F.xxhash64("a", "b", F.lit(turn)))
+        both = hashed.union(hashed.select("b", "a", "h"))
+        points = both.groupBy(a.alias("node")).agg(F.min_by("b", "h").alias("to"))
+        back = points.toDF("to", "back")
+        # Two nodes of one link that is the first of both: the smaller one is the end of all that point there.
+        end = F.when(F.col("back") == F.col("node"), F.least("node", "to")).otherwise(F.col("to"))
+        points = points.join(back, "to").select("node", end.alias("to"))
+        for _ in range(2):
+            points = points.join(points.toDF("to", "end"), "to").select("node", F.col("end").alias("to"))
+        ends = materialise(points.toDF("node", "end"), "ends")
         left, right = ends.toDF("a", "x"), ends.toDF("b", "y")
         moved = edges.join(left, "a").join(right, "b").where("x <> y")
         fewer = materialise(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
-        if labels is None:
-            new = ends.toDF("node", "component")
-        else:
-            joined = labels.join(ends.toDF("component", "end"), "component", "left")
-            new = materialise(joined.select("node", F.coalesce("end", "component").alias("component")), "labels")
-            release(labels)
-            release(ends)
-        labels = new
+        steps.append(ends)
         release(edges)
-        release(points)
         edges = fewer
     else:
         raise RuntimeError("components did not settle")
-    if labels is None:
+    release(edges)
+    if not steps:
         return links.select(a.alias("node"), a.alias("component")).where("false")
+    labels = steps[0].toDF("node", "component")
+    for ends in steps[1:]:
+        labels = labels.join(ends.toDF("component", "end"), "component", "left").select("node", F.coalesce("end", "component").alias("component"))
+    labels = materialise(labels, "labels")
+    for ends in steps:
+        release(ends)
     return labels
