@@ -179,12 +179,11 @@ def _gathered(value: Column, bits: list[int]) -> Column:
     return out
 
 
-def links(prints: DataFrame, distance: int = 4, apart: bool = False) -> DataFrame:
+def links(prints: DataFrame, distance: int = 4) -> DataFrame:
     """Pairs (a, b), a < b, of distinct fingerprints that differ in at most ``distance`` bits.
 
     ``prints`` holds each fingerprint once, in ``simhash``.  A pair may come from more than one
-    partition.  Verification is part of the join, so only true links leave it.  With ``apart``
-    pairs of one ``component`` (a column of ``prints``) are left out.
+    partition.  Verification is part of the join, so only true links leave it.
     """
     n, both = bit_statistics(prints)
     if n < 2:
@@ -199,12 +198,9 @@ def links(prints: DataFrame, distance: int = 4, apart: bool = False) -> DataFram
         masks = [sum(1 << k for k in c) for i in range(t + 1) for c in combinations(range(len(bits)), i)]
         own.append(F.array(key))
         probe.append(F.transform(F.lit(np.array(masks, np.int64)), lambda m, key=key: key.bitwiseXOR(m)) if len(masks) > 1 else F.array(key))
-    group = [F.col("component")] if apart else []
-    left = prints.select(F.col("simhash").alias("a"), *[c.alias("of_a") for c in group], F.explode(F.concat(*probe)).alias("key"))
-    right = prints.select(F.col("simhash").alias("b"), *[c.alias("of_b") for c in group], F.explode(F.concat(*own)).alias("key"))
+    left = prints.select(F.col("simhash").alias("a"), F.explode(F.concat(*probe)).alias("key"))
+    right = prints.select(F.col("simhash").alias("b"), F.explode(F.concat(*own)).alias("key"))
     near = (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
-    if apart:
-        near = near & (F.col("of_a") != F.col("of_b"))
     # The orientation a < b is found from a's probes: a partition's distance is the same both ways.
     return left.join(right, near).select("a", "b")
 
@@ -381,24 +377,23 @@ def to_first(postings: DataFrame, similarity: float) -> DataFrame:
 
 def prefix_pairs(postings: DataFrame, similarity: float) -> DataFrame:
     """All pairs (a, b), a < b, of different components that share a key and can be alike."""
-    held = materialise(_of_several(postings), "left")
-    a, b = held.alias("a"), held.alias("b")
+    a, b = postings.alias("a"), postings.alias("b")
     on = (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component"))
     return a.join(b, on & _can_reach("a", "b", similarity)).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
 
 
-def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, distances: tuple[int, ...] = (4, 10)) -> DataFrame:
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, distance: int = 4) -> DataFrame:
     """Rows (doc_id, text_key, row_key, component, component_id), one for each row of ``docs``:
     near copies by shingle sets, exact.  ``component`` labels the group, with or without ids;
     component_id is its smallest doc_id.
 
-    Fingerprints within each of ``distances`` in turn give candidates first, so that dense groups
-    of copies are met once and not as all their pairs.  Two texts of similarity 0.8 differ in some
-    ten of 64 bits, those of 0.9 in some seven, many in more; so a prefix filter then finds every
-    other pair: with shingles in one order, two sets of similarity t share one of their first
-    n - ceil(t n) + 1.  Each node of a key is compared with the key's first, then all that are
-    still in different components with each other.  Every pair is compared by its sets.
-    Texts of equal fingerprints are compared like any others.
+    Fingerprints within ``distance`` give candidates first, so that dense groups of copies are
+    met once and not as all their pairs.  Two texts of similarity 0.8 differ in some ten of 64
+    bits, those of 0.9 in some seven, many in more, and a search at such distances compares a
+    share of all pairs; so a prefix filter finds every other pair: with shingles in one order,
+    two sets of similarity t share one of their first n - ceil(t n) + 1.  Each node of a key is
+    compared with the key's first, then all that are still in different components with each
+    other.  Every pair is compared by its sets, those of equal fingerprints too.
     """
     docs = with_keys(docs)
     table = materialise(set_digests(docs, words), "prints")
@@ -410,23 +405,26 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
 
     def label(known: DataFrame) -> DataFrame:
         joined = components(known)
-        return materialise(nodes.join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "labelled")
+        made = materialise(nodes.select("node").join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "labelled")
+        release(joined)
+        return made
 
     equal = nodes.join(firsts, "simhash").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    known = alike(equal, nodes, docs, words, similarity)
+    met = links(firsts.select("simhash"), distance).distinct()
+    close = met.join(firsts.toDF("a", "first_a"), "a").join(firsts.toDF("b", "first_b"), "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
+    known = alike(equal.unionByName(close), nodes, docs, words, similarity)
     labelled = label(known)
-    for distance in distances:
-        prints = firsts.join(labelled, F.col("first") == F.col("node")).select("simhash", "component")
-        met = links(prints, distance, apart=True).distinct()
-        pairs = met.join(firsts.toDF("a", "first_a"), "a").join(firsts.toDF("b", "first_b"), "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
-        known = known.unionByName(alike(pairs, nodes, docs, words, similarity))
-        labelled = label(known)
     postings = shared_postings(docs, nodes, labelled, bucket_ranks(table), words, similarity)
     known = known.unionByName(alike(to_first(postings, similarity), nodes, docs, words, similarity))
+    release(labelled)
     labelled = label(known)
-    postings = postings.drop("component").join(labelled, "node")
-    known = known.unionByName(alike(prefix_pairs(postings, similarity), nodes, docs, words, similarity))
+    left = materialise(_of_several(postings.drop("component").join(labelled, "node")), "left")
+    release(postings)
+    known = known.unionByName(alike(prefix_pairs(left, similarity), nodes, docs, words, similarity))
+    release(labelled)
     labelled = label(known)
+    for done in (left, firsts, nodes):
+        release(done)
     final = rows.join(labelled, "node")
     least = final.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return final.join(least, "component").select("doc_id", "text_key", "row_key", "component", "component_id")
