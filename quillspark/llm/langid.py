@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,8 +23,10 @@ from pyspark.sql import types as T
 
 from .common import bounded_sample, spread
 
-#: Words are runs of letters, lower-cased; all else is passed over.
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Signs for numbers that aren't digits, such as fractions and Roman numerals: no letters.
+_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+#: Words are runs of letters (Unicode categories L), lower-cased; all else is passed over.
+_LETTERS = re.compile(rf"[^\W\d_{_NUMBERS}]+")
 _LONGEST = 16
 #: A character that no piece covers has this log probability in every language.
 _UNKNOWN = -18.0

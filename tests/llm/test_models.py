@@ -42,6 +42,8 @@ def test_languages_on_odd_and_held_out_texts(spark, sf):
     odd = {r["doc_id"]: r for r in langid.identify(odd_documents(spark), model).collect()}
     assert [odd[k]["lang_pred"] for k in (2, 3, 4, 7)] == ["und"] * 4
     assert all(0 <= r["score"] <= 1 for r in odd.values())
+    signs = spark.createDataFrame([(1, "½ ²"), (2, "①②"), (3, "Ⅷ"), (4, "١٢"), (5, "½ the")], "doc_id long, text string")
+    assert [r["lang_pred"] == "und" for r in langid.identify(signs, model).orderBy("doc_id").collect()] == [True] * 4 + [False]
     held = langid.identify(docs.where("doc_id % 2 = 1"), model).join(docs.select("doc_id", "lang"), "doc_id").collect()
     assert np.mean([r["lang_pred"] == r["lang"] for r in held]) > 0.97
     nothing = langid.fit(docs.where("false"))
