@@ -117,9 +117,16 @@ def repeated_spans(docs: DataFrame, min_words: int = 20) -> DataFrame:
     each = table.select("doc_id", "text_hash", F.explode(F.arrays_zip("digests", "places")).alias("c"))
     each = each.select(F.col("c.digests").alias("digest"), "doc_id", "text_hash", F.col("c.places").alias("place"))
     # Pre-aggregated before the shuffle; a digest in one document alone goes no further.
-    seen = each.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last"), F.bool_or(F.col("doc_id").isNull()).alias("null_too"))
-    shared = seen.where("first_doc_id is not null and (first_doc_id <> last or null_too)").select("digest", "first_doc_id")
-    across = each.join(shared, "digest").where(~F.col("first_doc_id").eqNullSafe(F.col("doc_id"))).select("doc_id", "text_hash", "place", "first_doc_id")
+    seen = each.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last"), F.bool_or(F.col("doc_id").isNull()).alias("null_too"), F.count(F.lit(1)).alias("n"))
+    shared = materialise(seen.where("first_doc_id is not null and (first_doc_id <> last or null_too)").select("digest", "first_doc_id", "n"), "shared")
+    # Digests of more than a thousandth of all shared chunks are less than a thousand: they are
+    # broadcast, so that no digest of any size makes a large task of the join.
+    least = (shared.agg(F.sum("n").alias("n")).first()["n"] or 0) / 1000
+    hot = F.broadcast(shared.where(F.col("n") > least).select("digest", F.col("first_doc_id").alias("hot_first")))
+    marked = each.join(hot, "digest", "left")
+    cold = marked.where("hot_first is null").drop("hot_first").join(shared.where(F.col("n") <= least).select("digest", "first_doc_id"), "digest")
+    hits = cold.unionByName(marked.where("hot_first is not null").withColumnRenamed("hot_first", "first_doc_id"))
+    across = hits.where(~F.col("first_doc_id").eqNullSafe(F.col("doc_id"))).select("doc_id", "text_hash", "place", "first_doc_id")
     inside = each.where("place % 2 = 1").select("doc_id", "text_hash", "place", F.col("doc_id").alias("first_doc_id"))
     hits = across.unionByName(inside).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("place", "first_doc_id")).alias("hits"))
     schema = T.StructType(

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..operators.graph import components
 from ..storage import materialise, release, shared_dir
 
-__all__ = ["bounded_sample", "by_bytes", "components", "doc_bucket", "materialise", "release", "shared_dir", "spread"]
+__all__ = ["bounded_sample", "by_bytes", "components", "doc_bucket", "lookup", "materialise", "release", "shared_dir", "spread"]
 
 #: Rows of an Arrow batch of whole texts, at most; longer batches only take memory.
 BATCH_ROWS = 1000
@@ -49,6 +49,22 @@ def doc_bucket(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def lookup(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner", shares: int = 1000) -> DataFrame:
+    """``rows`` joined to ``table``, which has at most one row for each value of ``keys``.
+
+    Keys that hold more than 1 / ``shares`` of the rows are less than ``shares`` in number: their
+    rows of ``table`` are broadcast, and all other keys are shuffled, so no key of any size makes
+    a large task.  ``how`` is inner or left; rows with a null key match nothing.
+    """
+    counts = rows.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    least = rows.count() / shares
+    heavy = materialise(counts.where(F.col("_n") > least).select(*keys), "heavy")
+    held = heavy.withColumn("_hot", F.lit(True))
+    marked = rows.join(F.broadcast(held), keys, "left")
+    hot = marked.where("_hot").drop("_hot").join(F.broadcast(table.join(F.broadcast(heavy), keys, "left_semi")), keys, how)
+    return hot.unionByName(marked.where("_hot is null").drop("_hot").join(table, keys, how))
+
+
 def bounded_sample(docs: DataFrame, ids: DataFrame, group: str, rows: int) -> tuple[DataFrame, dict]:
     """``docs`` of a sample of ``ids`` (doc_id, group), and the rows of each non-null group.
 

@@ -41,24 +41,27 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document, for sources weighing 5, 2, 1 in turn."""
     sized = materialise(mixing.with_sizes(_table(spark, sf_dir, "documents")).select("doc_id", "source", "size"), "sizes")
-    rows = mixing.schedule(sized)
-    return rows.select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.schedule(sized).select("doc_id", "size", "source_size", "target", "taken")
 
 
 OP8_SQL = """
-with sized as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as size from documents),
+with sized as (select row_number() over () as row_id, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as size from documents),
 totals as (select source, sum(size)::bigint as source_size from sized group by source),
-weighed as (select source, source_size, 2.0::double * source_size as cap,
-    case (row_number() over (order by source is null, source) - 1) % 3 when 0 then 5.0::double when 1 then 2.0::double else 1.0::double end as w from totals),
+weighed as (select *, row_number() over (order by source is null, source) - 1 as turn from totals),
+capped as (select *, 2.0::double * source_size as cap, case turn % 3 when 0 then 5.0::double when 1 then 2.0::double else 1.0::double end as w from weighed),
 levels as (select *, (1.5::double * sum(source_size) over () - coalesce(sum(cap) over (order by cap / w, source is null, source rows between unbounded preceding and 1 preceding), 0))
-    / sum(w) over (order by cap / w, source is null, source rows between current row and unbounded following) as level from weighed),
-targets as (select source, source_size, least(cap, w * max(level) over ()) as target from levels),
-timed as (select d.doc_id, d.size, t.source_size, t.target,
-    sum(d.size) over (partition by d.source order by md5(coalesce(d.doc_id::varchar, '')), d.doc_id, d.size rows between unbounded preceding and current row) - d.size as start
-    from sized d join targets t on d.source is not distinct from t.source)
-select doc_id, size, source_size, target,
-    (greatest(0, least(size, round(target)::bigint - start)) + greatest(0, least(size, round(target)::bigint - start - source_size)))::bigint as taken
-from timed
+    / sum(w) over (order by cap / w, source is null, source rows between current row and unbounded following) as level from capped),
+targets as (select source, source_size, turn, least(cap, w * max(level) over ()) as target from levels),
+timed as (select d.row_id, d.doc_id, d.size, t.source_size, t.target, t.turn,
+    (sum(d.size) over (partition by d.source order by md5(coalesce(d.doc_id::varchar, '')), d.doc_id, d.size rows between unbounded preceding and current row))::bigint as upto
+    from sized d join targets t on d.source is not distinct from t.source),
+copies as (select row_id, size, turn, target, upto - size as start from timed where size > 0
+    union all select row_id, size, turn, target, upto - size + source_size from timed where size > 0),
+packets as (select row_id, turn, target, start + least(64 * (k + 1), size) as ending, least(64 * (k + 1), size) - 64 * k as words from (select *, unnest(range(0, (size - 1) // 64 + 1)) as k from copies)),
+mixed as (select row_id, words as size, sum(words) over (order by ending::double / target, turn, ending rows between unbounded preceding and current row) - words as before from packets),
+budget as (select floor(1.5::double * sum(size) + 0.5)::bigint as words from sized),
+got as (select row_id, sum(greatest(0, least(size, words - before)))::bigint as taken from mixed, budget group by row_id)
+select doc_id, size, source_size, target, coalesce(taken, 0)::bigint as taken from timed left join got using (row_id)
 """
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, materialise, release, spread
+from .common import components, lookup, materialise, release, spread
 
 BITS = 64
 
@@ -179,16 +179,10 @@ def _gathered(value: Column, bits: list[int]) -> Column:
     return out
 
 
-def links(prints: DataFrame, distance: int = 4) -> DataFrame:
-    """Pairs (a, b), a < b, of distinct fingerprints that differ in at most ``distance`` bits.
-
-    ``prints`` holds each fingerprint once, in ``simhash``.  A pair may come from more than one
-    partition.  Verification is part of the join, so only true links leave it.
-    """
+def search_keys(prints: DataFrame, distance: int) -> tuple[Column, Column]:
+    """The keys that a fingerprint (column ``simhash``) probes, and those that it is found by."""
     n, both = bit_statistics(prints)
-    if n < 2:
-        return prints.select(F.col("simhash").alias("a"), F.col("simhash").alias("b")).where("false")
-    groups, thresholds = plan_search(n, both, distance)
+    groups, thresholds = plan_search(max(n, 1), both, distance)
     own, probe = [], []
     for g, (bits, t) in enumerate(zip(groups, thresholds, strict=True)):
         if t < 0:
@@ -198,13 +192,35 @@ def links(prints: DataFrame, distance: int = 4) -> DataFrame:
         masks = [sum(1 << k for k in c) for i in range(t + 1) for c in combinations(range(len(bits)), i)]
         own.append(F.array(key))
         probe.append(F.transform(F.lit(np.array(masks, np.int64)), lambda m, key=key: key.bitwiseXOR(m)) if len(masks) > 1 else F.array(key))
-    left = prints.select(F.col("simhash").alias("a"), F.explode(F.concat(*probe)).alias("key"))
-    right = prints.select(F.col("simhash").alias("b"), F.explode(F.concat(*own)).alias("key"))
+    return F.concat(*probe), F.concat(*own)
+
+
+def links(prints: DataFrame, keys: tuple[Column, Column], distance: int = 4, apart: bool = False) -> DataFrame:
+    """Pairs (a, b), a < b, of distinct fingerprints that differ in at most ``distance`` bits.
+
+    ``prints`` holds each fingerprint once, in ``simhash``.  A pair may come from more than one
+    partition.  Verification is part of the join, so only true links leave it.  With ``apart``
+    pairs of one ``component`` (a column of ``prints``) are left out.
+    """
+    group = [F.col("component")] if apart else []
+    left = prints.select(F.col("simhash").alias("a"), *[c.alias("of_a") for c in group], F.explode(keys[0]).alias("key"))
+    right = prints.select(F.col("simhash").alias("b"), *[c.alias("of_b") for c in group], F.explode(keys[1]).alias("key"))
     near = (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
+    if apart:
+        near = near & (F.col("of_a") != F.col("of_b"))
     # The orientation a < b is found from a's probes: a partition's distance is the same both ways.
     return left.join(right, near).select("a", "b")
 
 
+def first_links(prints: DataFrame, keys: tuple[Column, Column], distance: int = 4) -> DataFrame:
+    """Links (a, b) of fingerprints to the smallest one of a key that they probe: no more than
+    there are probes, however many share a key."""
+    firsts = prints.select(F.col("simhash").alias("a"), F.explode(keys[1]).alias("key")).groupBy("key").agg(F.min("a").alias("a"))
+    probes = prints.select(F.col("simhash").alias("b"), F.explode(keys[0]).alias("key"))
+    near = (probes["key"] == firsts["key"]) & (F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
+    return probes.join(firsts, near).select("a", "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFrame:
     """Rows (doc_id, simhash, component_id), one for each row of ``docs``.
 
@@ -215,7 +231,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4) -> DataF
     """
     table = materialise(fingerprints(docs, words), "prints")
     groups = materialise(table.groupBy("simhash").agg(F.min("doc_id").alias("least")), "groups")
-    linked = components(links(groups, distance))
+    linked = components(links(groups, search_keys(groups, distance), distance))
     labelled = groups.join(linked, groups["simhash"] == linked["node"], "left").select("simhash", "least", F.coalesce("component", "simhash").alias("component"))
     owner = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
     final = labelled.join(owner, "component").select("simhash", "component_id")
@@ -231,7 +247,8 @@ BUCKETS, PARITY = 1 << 16, 2048
 def with_keys(docs: DataFrame) -> DataFrame:
     """``docs`` with ``text_key`` and ``row_key``, hashes of the text and of all columns, by which
     rows without an id, or of the same id, are told apart."""
-    return docs.withColumns({"text_key": F.xxhash64("text"), "row_key": F.xxhash64(*docs.columns)})
+    nulls = [F.col(f"`{c}`").isNull() for c in docs.columns]
+    return docs.withColumns({"text_key": F.xxhash64("text"), "row_key": F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns], *nulls)})
 
 
 def _set_id(shingles: np.ndarray) -> int:
@@ -352,31 +369,26 @@ def _can_reach(a: str, b: str, similarity: float) -> Column:
     return sizes & (F.least(na - at, nb - bt) >= (na + nb) * (similarity / (1 + similarity)) - 1e-6)
 
 
-def _of_several(postings: DataFrame) -> DataFrame:
-    """Postings of keys that more than one component has."""
-    same = Window.partitionBy("key")
-    both = postings.withColumns({"_low": F.min("component").over(same), "_high": F.max("component").over(same)})
-    return both.where("_low <> _high").drop("_low", "_high")
-
-
-def shared_postings(docs: DataFrame, nodes: DataFrame, labelled: DataFrame, ranks: np.ndarray, words: int, similarity: float) -> DataFrame:
-    """Rows (key, at, node, n, component): prefix shingles that several components have."""
-    mine = nodes.join(labelled, "node").select(F.col("node").alias("_node"), F.col("doc_id").alias("_id"), F.col("text_key").alias("_text"), "component")
+def shared_postings(docs: DataFrame, nodes: DataFrame, ranks: np.ndarray, words: int, similarity: float) -> DataFrame:
+    """Rows (key, at, node, n): prefix shingles that several nodes have."""
+    mine = nodes.select(F.col("node").alias("_node"), F.col("doc_id").alias("_id"), F.col("text_key").alias("_text"))
     held = prefixes(docs, ranks, words, similarity)
     held = held.join(mine, (F.col("node") == F.col("_node")) & (F.col("text_key") == F.col("_text")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    return materialise(_of_several(held.select("node", "n", "component", F.posexplode("prefix").alias("at", "key"))), "postings")
+    same = Window.partitionBy("key")
+    each = held.select("node", "n", F.posexplode("prefix").alias("at", "key")).withColumns({"_low": F.min("node").over(same), "_high": F.max("node").over(same)})
+    return materialise(each.where("_low <> _high").drop("_low", "_high"), "postings")
 
 
 def to_first(postings: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of each node and the smallest node of a key, if they can be alike and are of
-    different components: no more than there are postings, however many share a key."""
-    first = F.min(F.struct("node", "n", "at", "component")).over(Window.partitionBy("key"))
-    p = postings.withColumn("f", first).select(F.struct("node", "n", "at", "component").alias("p"), "f")
-    return p.where((F.col("p.component") != F.col("f.component")) & _can_reach("p", "f", similarity)).select(F.col("f.node").alias("a"), F.col("p.node").alias("b")).distinct()
+    """Pairs (a, b) of each node and the smallest node of a key, if they can be alike: no more
+    than there are postings, however many share a key."""
+    first = F.min(F.struct("node", "n", "at")).over(Window.partitionBy("key"))
+    p = postings.withColumn("f", first).select(F.struct("node", "n", "at").alias("p"), "f")
+    return p.where((F.col("p.node") != F.col("f.node")) & _can_reach("p", "f", similarity)).select(F.col("f.node").alias("a"), F.col("p.node").alias("b")).distinct()
 
 
 def prefix_pairs(postings: DataFrame, similarity: float) -> DataFrame:
-    """All pairs (a, b), a < b, of different components that share a key and can be alike."""
+    """All pairs (a, b), a < b, of different components (a column) that share a key and can be alike."""
     a, b = postings.alias("a"), postings.alias("b")
     on = (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component"))
     return a.join(b, on & _can_reach("a", "b", similarity)).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
@@ -387,13 +399,15 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     near copies by shingle sets, exact.  ``component`` labels the group, with or without ids;
     component_id is its smallest doc_id.
 
-    Fingerprints within ``distance`` give candidates first, so that dense groups of copies are
-    met once and not as all their pairs.  Two texts of similarity 0.8 differ in some ten of 64
-    bits, those of 0.9 in some seven, many in more, and a search at such distances compares a
-    share of all pairs; so a prefix filter finds every other pair: with shingles in one order,
-    two sets of similarity t share one of their first n - ceil(t n) + 1.  Each node of a key is
-    compared with the key's first, then all that are still in different components with each
-    other.  Every pair is compared by its sets, those of equal fingerprints too.
+    Candidates are fingerprints within ``distance``.  Two texts of similarity 0.8 differ in some
+    ten of 64 bits, those of 0.9 in some seven, many in more, and a search at such distances
+    compares a share of all pairs; so a prefix filter finds every other pair: with shingles in
+    one order, two sets of similarity t share one of their first n - ceil(t n) + 1.  Every pair
+    is compared by its sets, those of equal fingerprints too.
+
+    Both searches run twice: each node is first compared with the smallest one that has a key
+    in common with it, which puts dense groups of copies together without their pairs; then
+    with all others that are still in a different component.
     """
     docs = with_keys(docs)
     table = materialise(set_digests(docs, words), "prints")
@@ -402,29 +416,28 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     grouped = rows.groupBy("node").agg(owner, F.min("simhash").alias("simhash"), F.min("n").alias("n"), F.first("bits").alias("bits"))
     nodes = materialise(grouped.select("node", "simhash", "n", "bits", "o.doc_id", "o.text_key"), "nodes")
     firsts = materialise(nodes.groupBy("simhash").agg(F.min("node").alias("first")), "firsts")
+    postings = shared_postings(docs, nodes, bucket_ranks(table), words, similarity)
+    keys = search_keys(firsts, distance)
 
     def label(known: DataFrame) -> DataFrame:
         joined = components(known)
-        made = materialise(nodes.select("node").join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "labelled")
-        release(joined)
-        return made
+        return materialise(nodes.select("node").join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "labelled")
+
+    def named(pairs: DataFrame) -> DataFrame:
+        """Pairs of fingerprints as pairs of nodes."""
+        return pairs.join(firsts.toDF("a", "x"), "a").join(firsts.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
 
     equal = nodes.join(firsts, "simhash").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    met = links(firsts.select("simhash"), distance).distinct()
-    close = met.join(firsts.toDF("a", "first_a"), "a").join(firsts.toDF("b", "first_b"), "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
-    known = alike(equal.unionByName(close), nodes, docs, words, similarity)
-    labelled = label(known)
-    postings = shared_postings(docs, nodes, labelled, bucket_ranks(table), words, similarity)
-    known = known.unionByName(alike(to_first(postings, similarity), nodes, docs, words, similarity))
-    release(labelled)
+    met = equal.unionByName(named(first_links(firsts.select("simhash"), keys, distance))).unionByName(to_first(postings, similarity))
+    known = alike(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), nodes, docs, words, similarity)
     labelled = label(known)
-    left = materialise(_of_several(postings.drop("component").join(labelled, "node")), "left")
-    release(postings)
-    known = known.unionByName(alike(prefix_pairs(left, similarity), nodes, docs, words, similarity))
+    prints = firsts.join(labelled, F.col("first") == F.col("node")).select("simhash", "component")
+    met = named(links(prints, keys, distance, apart=True)).unionByName(prefix_pairs(postings.join(labelled, "node"), similarity))
+    known = known.unionByName(alike(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), nodes, docs, words, similarity))
     release(labelled)
     labelled = label(known)
-    for done in (left, firsts, nodes):
+    for done in (postings, firsts, nodes):
         release(done)
-    final = rows.join(labelled, "node")
+    final = materialise(lookup(rows.select("doc_id", "text_key", "row_key", "node"), labelled, ["node"]).drop("node"), "final")
     least = final.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return final.join(least, "component").select("doc_id", "text_key", "row_key", "component", "component_id")
+    return lookup(final, least, ["component"]).select("doc_id", "text_key", "row_key", "component", "component_id")

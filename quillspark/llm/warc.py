@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import lookup, materialise
 
 #: Header fields of a 304 that never replace those of the stored response.
 BODY_FIELDS = ["content-encoding", "content-length", "content-range", "content-type", "transfer-encoding", "connection"]
@@ -74,20 +74,22 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     ``validator_mismatch`` (the latest earlier response has other validators) or ``no_response``;
     response_id names the earlier response where there is one, and headers are merged where it
     is resolved, else the revisit's own.  Of responses of one URL and time the one of the largest
-    record_id counts; record_id is one record's, however often its row comes.  Revisits with a null url or ts have no response; null headers count as
+    record_id counts, of rows that repeat it the one of the largest headers.  Revisits with a null url or ts have no response; null headers count as
     none; repeated rows come out as often as they came in.
     """
     held = records.where("kind in ('response', 'revisit')").select("record_id", "kind", canonical_url(F.col("url")).alias("url"), "ts", F.coalesce("headers", F.create_map().cast("map<string,string>")).alias("headers"))
     responses = held.where("kind = 'response' and url is not null and ts is not null")
     revisits = held.where("kind = 'revisit'")
-    # One row for each (url, ts): map columns can't be compared, so the id picks the record.
-    full = responses.groupBy("url", "ts").agg(F.max("record_id").alias("response_id"))
-    full = materialise(full, "full")
-    times = revisits.where("url is not null and ts is not null").select("url", "ts").distinct()
-    seen = as_of(times, full).where("found_ts is not null")
-    named = seen.join(full.select("url", F.col("ts").alias("found_ts"), "response_id"), ["url", "found_ts"]).select("url", "ts", "response_id")
-    known = responses.groupBy(F.col("record_id").alias("response_id")).agg(F.first("headers").alias("stored"))
-    found = revisits.join(named, ["url", "ts"], "left").join(known, "response_id", "left")
+    # One row for each (url, ts): maps can't be compared, so the largest (id, sorted entries) stands for it.
+    entries = F.array_sort(F.map_entries("headers"))
+    full = responses.groupBy("url", "ts").agg(F.max(F.struct(F.col("record_id").alias("response_id"), entries.alias("stored"))).alias("r"))
+    full = materialise(full.select("url", "ts", "r.response_id", F.map_from_entries("r.stored").alias("stored")), "full")
+    asked = revisits.where("url is not null and ts is not null")
+    seen = as_of(asked.select("url", "ts").distinct(), full.select("url", "ts")).where("found_ts is not null")
+    named = materialise(seen.join(full.withColumnRenamed("ts", "found_ts"), ["url", "found_ts"]).select("url", "ts", "response_id", "stored"), "named")
+    # Revisits meet their response by url and time; those of a popular pair, and those that can't have one, stay spread.
+    nothing = {"response_id": F.lit(None).cast(named.schema["response_id"].dataType), "stored": F.lit(None).cast(named.schema["stored"].dataType)}
+    found = lookup(asked, named, ["url", "ts"], "left").unionByName(revisits.where("url is null or ts is null").withColumns(nothing))
     same = F.col("response_id").isNotNull() & agrees(F.col("stored"), F.col("headers"))
     status = F.when(F.col("response_id").isNull(), "no_response").when(same, "resolved").otherwise("validator_mismatch")
     headers = F.when(same, merged_headers(F.col("stored"), F.col("headers"))).otherwise(F.col("headers"))

@@ -51,7 +51,7 @@ def test_links_at_any_distance_match_brute_force(spark):
     values = sorted({int(b) ^ sum(1 << int(k) for k in rng.choice(63, f, replace=False)) for b in base for f in (0, 1, 3, 5, 7)})
     prints = spark.createDataFrame([(v,) for v in values], "simhash long")
     for distance in (2, 4, 8):
-        got = {tuple(r) for r in simhash.links(prints, distance).distinct().collect()}
+        got = {tuple(r) for r in simhash.links(prints, simhash.search_keys(prints, distance), distance).distinct().collect()}
         want = {(a, b) for a in values for b in values if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= distance}
         assert got == want
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import knn, mixing, urlfilter, warc
 from quillspark.llm import queries as Q
+from quillspark.llm.common import lookup
 
 from ..oracle import assert_same
 from .helpers import odd_documents
@@ -68,7 +69,9 @@ def test_mix_meets_targets(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = mixing.schedule(mixing.with_sizes(docs))
     by = rows.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.sum("size").alias("size"), F.max("size").alias("most")).collect()
-    assert all(abs(r["taken"] - r["target"]) <= 1 and r["target"] <= 2 * r["size"] + 1e-6 for r in by)
+    total = sum(r["size"] for r in by)
+    assert sum(r["taken"] for r in by) == int(1.5 * total + 0.5)  # truncated at the budget
+    assert all(abs(r["taken"] - r["target"]) <= mixing.PACKET + 1 and r["target"] <= 2 * r["size"] + 1e-6 for r in by)
     assert abs(sum(r["target"] for r in by) - 1.5 * sum(r["size"] for r in by)) < 1
     assert rows.where("taken > 2 * size").count() == 0
     mixed = mixing.with_sizes(mixing.mix(docs)).groupBy("source").agg(F.sum("size").alias("n")).collect()
@@ -76,6 +79,38 @@ def test_mix_meets_targets(spark, sf):
     assert all(abs(r["n"] - want[r["source"]]["target"]) <= want[r["source"]]["most"] for r in mixed)
 
 
+def test_mix_is_ranged_by_finish_time(spark, sf):
+    """Against a plain queue: packets in order of finish time until the budget is used up."""
+    import hashlib
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = mixing.schedule(mixing.with_sizes(docs)).collect()
+    order = sorted({r["source"] for r in rows}, key=lambda s: (s is None, s))
+    packets = []
+    for turn, source in enumerate(order):
+        at, own = 0, sorted((r for r in rows if r["source"] == source), key=lambda r: (hashlib.md5(str(r["doc_id"]).encode()).hexdigest(), r["doc_id"]))
+        for r in own * 2:
+            for k in range(0, r["size"], mixing.PACKET):
+                n = min(mixing.PACKET, r["size"] - k)
+                packets.append(((at + k + n) / r["target"], turn, at + k + n, n, r["doc_id"]))
+            at += r["size"]
+    left, taken = int(1.5 * sum(r["size"] for r in rows) + 0.5), {r["doc_id"]: 0 for r in rows}
+    for *_, n, doc in sorted(packets):
+        taken[doc] += min(n, left)
+        left -= min(n, left)
+    assert {r["doc_id"]: r["taken"] for r in rows} == taken
+    finish = [r["finish_1"] for r in rows]
+    assert min(finish) > 0 and max(finish) <= 2
+
+
+def test_names_of_the_caller_stay(spark):
+    docs = spark.createDataFrame([(k, f"some words of text {k} " * 20, "ab"[k % 2], 99 + k, f"t{k}", -k, "end", "turn") for k in range(40)], "doc_id long, text string, source string, size long, target string, taken long, end string, turn string")
+    rows = mixing.mix(docs).collect()
+    assert len(rows) == 60 and all((r["size"], r["target"], r["taken"], r["end"], r["turn"]) == (99 + r["doc_id"], f"t{r['doc_id']}", -r["doc_id"], "end", "turn") for r in rows)
+    planned = mixing.schedule(mixing.with_sizes(docs))
+    assert planned.columns.count("target") == planned.columns.count("taken") == 1 and planned.agg(F.sum("taken")).first()[0] == 40 * 5 * 20 * 1.5
+
+
 def test_mix_of_odd_documents(spark):
     docs = odd_documents(spark)
     rows = mixing.schedule(mixing.with_sizes(docs))
@@ -111,3 +146,21 @@ def test_revisits(spark):
     assert by[4] == ("resolved", 1, h(etag="W/1", content_length="5", server="t"))
     assert by[5][:2] == ("validator_mismatch", 2) and by[6][:2] == ("resolved", 2)
     assert warc.resolve_revisits(table.where("false")).count() == 0
+
+
+def test_popular_responses_and_long_urls(spark):
+    """A third of all revisits of one response at one time, a very long and an empty URL."""
+    far = "http://a.com/" + "x" * 50_000
+    rows = [(1, "http://a.com/x", 10, "response", {"etag": "1"}), (1, "http://a.com/x", 10, "response", {"etag": "0"}), (2, far, 10, "response", {"etag": "2"}), (3, "", 1, "response", {"etag": "3"})]
+    rows += [(100 + k, "http://a.com/x" if k % 3 else far if k % 2 else "", 20, "revisit", {"etag": "1"}) for k in range(3000)]
+    rows += [(9000 + k, None, 20, "revisit", None) for k in range(50)]
+    out = warc.resolve_revisits(spark.createDataFrame(rows, "record_id long, url string, ts long, kind string, headers map<string,string>"))
+    got = {(r["status"], r["response_id"]): r["n"] for r in out.groupBy("status", "response_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert got == {("resolved", 1): 2000, ("validator_mismatch", 2): 500, ("validator_mismatch", 3): 500, ("no_response", None): 50}
+
+
+def test_lookup_of_hot_keys(spark):
+    rows = spark.range(5000).select(F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 11 == 0, None).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+    table = spark.range(0, 5000, 2).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w")).unionByName(spark.createDataFrame([(7, 1)], "k long, w long"))
+    for how in ("inner", "left"):
+        assert sorted(map(str, lookup(rows, table, ["k"], how, shares=50).collect())) == sorted(map(str, rows.join(table, "k", how).collect()))
