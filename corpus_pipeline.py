@@ -30,9 +30,10 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     """
     found = simhash.similar_documents(docs, words=5, similarity=0.8)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "row_key")
-    kept = found.groupBy("component").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.text_key").alias("_text"), F.col("k.row_key").alias("_row"))
-    mine = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_text")) & (F.col("row_key") == F.col("_row"))
-    return simhash.with_keys(docs).join(kept, mine, "left_semi").dropDuplicates(["doc_id", "text_key", "row_key"]).select(*docs.columns)
+    kept = found.groupBy("component").agg(F.min(order).alias("k")).select(F.col("k.text_key").alias("_text"), F.col("k.row_key").alias("_row"))
+    # Both keys are hashes, the row's covers its id: joined by them, whole texts are shuffled once.
+    mine = (F.col("text_key") == F.col("_text")) & (F.col("row_key") == F.col("_row"))
+    return simhash.with_keys(docs).join(kept, mine, "left_semi").dropDuplicates(["text_key", "row_key"]).select(*docs.columns)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +43,10 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sources by weights 5, 2, 1 in turn, 150 % of all words; a row for each copy taken."""
-    return mixing.mix(docs)
+    """The sources by weights 5, 2, 1 in turn, 150 % of all words; a row for each copy taken.
+
+    Packing goes by length alone, so the mix isn't put in its order."""
+    return mixing.mix(docs, ordered=False)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
