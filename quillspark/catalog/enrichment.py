@@ -16,9 +16,9 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     changed; one in five has an identifier on both sides."""
     s = view(spark, sf_dir, "studies")
     doi = F.when(F.col("study_id") % 5 == 0, F.concat(F.lit("10.5555/"), F.col("study_id").cast("string")))
-    base = s.select(F.col("study_id").alias("id"), doi.alias("doi"), "title", F.array(F.lit("Lee A"), F.concat(F.lit("Kim "), F.col("study_id").cast("string"))).alias("authors"), "year", F.col("source").alias("venue"), "citation_count")
+    base = s.select(F.col("study_id").alias("id"), doi.alias("doi"), "title", F.array(F.lit("Lee A"), F.concat(F.lit("Kim "), F.col("study_id").cast("string"))).alias("authors"), "year", F.col("source").alias("venue"), "citation_count", "source", F.when(F.col("study_id") % 4 > 0, "Journal of Sleep").alias("journal"))
     changed = base.where("id % 3 <> 0").withColumns(
-        {"title": F.when(F.col("id") % 2 == 0, F.upper("title")).otherwise(F.concat("title", F.lit(" revised"))), "year": (F.col("year") + F.col("id") % 3 - 1).cast("int"), "citation_count": F.col("citation_count") + 7, "provider": F.when(F.col("id") % 4 < 2, "crossref").otherwise("openalex")}
+        {"title": F.when(F.col("id") % 2 == 0, F.upper("title")).otherwise(F.concat("title", F.lit(" revised"))), "year": (F.col("year") + F.col("id") % 3 - 1).cast("int"), "citation_count": F.col("citation_count") + 7, "journal": F.when(F.col("id") % 2 == 0, "JOURNAL OF SLEEP").otherwise("Annals"), "provider": F.when(F.col("id") % 4 < 2, "crossref").otherwise("openalex")}
     )
     return enrich.candidates(base, changed)
 
@@ -58,8 +58,8 @@ def title_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PAIRS = duck("studies") + """,
-base AS (SELECT study_id AS id, CASE WHEN study_id % 5 = 0 THEN concat('10.5555/', study_id) END AS doi, title, ['lee a', concat('kim ', study_id)] AS authors, year, source AS venue, citation_count FROM studies),
-ref AS (SELECT * REPLACE (CASE WHEN id % 2 = 0 THEN upper(title) ELSE concat(title, ' revised') END AS title, (year + id % 3 - 1)::int AS year, citation_count + 7 AS citation_count), CASE WHEN id % 4 < 2 THEN 'crossref' ELSE 'openalex' END AS provider FROM base WHERE id % 3 <> 0),
+base AS (SELECT study_id AS id, CASE WHEN study_id % 5 = 0 THEN concat('10.5555/', study_id) END AS doi, title, ['lee a', concat('kim ', study_id)] AS authors, year, source AS venue, citation_count, source, CASE WHEN study_id % 4 > 0 THEN 'Journal of Sleep' END AS journal FROM studies),
+ref AS (SELECT * REPLACE (CASE WHEN id % 2 = 0 THEN 'JOURNAL OF SLEEP' ELSE 'Annals' END AS journal, CASE WHEN id % 2 = 0 THEN upper(title) ELSE concat(title, ' revised') END AS title, (year + id % 3 - 1)::int AS year, citation_count + 7 AS citation_count), CASE WHEN id % 4 < 2 THEN 'crossref' ELSE 'openalex' END AS provider FROM base WHERE id % 3 <> 0),
 by_doi AS (SELECT p.id AS p_id, r.id AS r_id FROM base p JOIN ref r ON p.doi = r.doi),
 rest AS (SELECT * FROM base WHERE doi IS NULL OR doi NOT IN (SELECT doi FROM ref WHERE doi IS NOT NULL)),
 rt AS (SELECT id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(title), '[^a-z0-9]+'), lambda w: length(w) > 2 AND NOT list_contains(['a','an','and','are','as','at','by','for','from','in','is','it','of','on','or','that','the','to','with'], w)))) AS token FROM ref),
@@ -69,7 +69,7 @@ rare AS (SELECT id, array_to_string(list_sort(list(token)), '|') AS key FROM (SE
 keyed AS (SELECT id, token AS key FROM rt UNION ALL SELECT a.id, concat(a.token, '|', b.token) FROM rt a JOIN rt b ON a.id = b.id AND a.token < b.token),
 pairs AS (SELECT * FROM by_doi UNION ALL SELECT rare.id, keyed.id FROM rare JOIN keyed USING (key))"""
 BEST = PAIRS + """,
-texts AS (SELECT p_id, r_id, p.doi AS pd, r.doi AS rd, p.year AS py, r.year AS ry, p.citation_count AS pc, r.citation_count AS rc, r.provider, p.venue = r.venue AS same_venue,
+texts AS (SELECT p_id, r_id, p.doi AS pd, r.doi AS rd, p.year AS py, r.year AS ry, p.citation_count AS pc, r.citation_count AS rc, r.provider, p.source AS ps, p.journal AS pj, r.journal AS rj, p.venue = r.venue AS same_venue,
   trim(regexp_replace(regexp_replace(lower(p.title), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS a, trim(regexp_replace(regexp_replace(lower(r.title), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS b,
   len(list_intersect(p.authors, r.authors))::double / 2 AS au, replace(p.venue, '_', ' ') AS va, replace(r.venue, '_', ' ') AS vb FROM pairs JOIN base p ON p.id = p_id JOIN ref r ON r.id = r_id),
 sets AS (SELECT *, list_distinct(list_filter(string_split(a, ' '), lambda w: length(w) > 1)) AS ta, list_distinct(list_filter(string_split(b, ' '), lambda w: length(w) > 1)) AS tb,
@@ -84,8 +84,11 @@ ORACLE_SQL = {
     "enrich_candidates": PAIRS + " SELECT p_id, r_id FROM pairs",
     "enrich_best": BEST + " SELECT p_id, r_id, confidence, outcome FROM best",
     "enrich_outcomes": BEST + " SELECT outcome, count(*) AS papers FROM best GROUP BY outcome",
-    "enrich_merge": BEST + """ SELECT p_id, outcome, CASE WHEN outcome = 'accepted' AND pd IS NULL THEN rd ELSE pd END AS doi, CASE WHEN outcome = 'accepted' AND abs(py - ry) = 1 AND trust * confidence >= 0.75::double * 0.8::double + 0.05::double THEN ry ELSE py END AS year,
-  CASE WHEN outcome = 'accepted' THEN greatest(pc, rc) ELSE pc END::integer AS citation_count, concat_ws('|', CASE WHEN pd <> rd THEN 'doi_conflict' END, CASE WHEN abs(py - ry) > 1 THEN 'year_out_of_range' END) AS reasons FROM best""",
+    "enrich_merge": BEST + """, ev AS (SELECT *, trust * confidence AS e, CASE ps WHEN 'pubmed' THEN 0.98 WHEN 'openalex' THEN 0.92 WHEN 'semantic_scholar' THEN 0.9 WHEN 'arxiv' THEN 0.84 END::double * 0.8::double AS own, outcome = 'accepted' AS ok FROM best),
+w AS (SELECT *, CASE WHEN ok AND pd IS NULL AND rd IS NOT NULL THEN 'filled' END AS wd, CASE WHEN ok AND abs(py - ry) = 1 AND e >= own + 0.05::double THEN 'higher_evidence' END AS wy,
+  CASE WHEN ok AND pj IS NULL THEN 'filled' WHEN ok AND lower(pj) = lower(rj) AND pj <> rj AND e >= own + 0.03::double THEN 'higher_evidence' END AS wj, CASE WHEN ok AND rc > pc THEN 'max_trusted' END AS wc FROM ev)
+SELECT p_id, outcome, CASE WHEN wd IS NOT NULL THEN rd ELSE pd END AS doi, CASE WHEN wy IS NOT NULL THEN ry ELSE py END AS year, CASE WHEN wj IS NOT NULL THEN rj ELSE pj END AS journal, CASE WHEN wc IS NOT NULL THEN greatest(pc, rc) ELSE pc END::integer AS citation_count,
+  concat_ws('|', 'doi=' || wd, 'year=' || wy, 'journal=' || wj, 'citation_count=' || wc, CASE WHEN pd <> rd THEN 'doi=doi_conflict' END) AS fields_applied, concat_ws('|', CASE WHEN pd <> rd THEN 'doi_conflict' END, CASE WHEN abs(py - ry) > 1 THEN 'year_out_of_range' END) AS reasons FROM w""",
     "title_fingerprints": duck("studies") + " SELECT study_id, sha1(concat(trim(regexp_replace(regexp_replace(lower(title), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')), '|lee a|', CASE WHEN study_id % 7 > 0 THEN year::varchar ELSE 'na' END)) AS lookup_key FROM studies",
     "title_edits": duck("studies") + " SELECT a.study_id AS left_id, b.study_id AS right_id FROM studies a JOIN studies b ON substr(a.title, 1, 12) = substr(b.title, 1, 12) AND a.year = b.year AND a.study_id < b.study_id WHERE levenshtein(a.title, b.title) <= CASE WHEN greatest(length(a.title), length(b.title)) <= 40 THEN 2 ELSE 3 END",
 }

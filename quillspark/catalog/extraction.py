@@ -9,7 +9,7 @@ from ..functions import extraction as X
 from ..functions import text as T
 from ..operators import studies as S
 from ..sources import readers
-from ..views import duck, table, view
+from ..views import CURRENT_YEAR, duck, table, view
 
 
 def extract_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +35,33 @@ def extraction_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.extraction_stats(S.tier(S.studies(view(spark, sf_dir, "studies"))))
 
 
+def extraction_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row about the extraction of all studies, with its reasons for falling back."""
+    papers = view(spark, sf_dir, "studies")
+    i = F.col("study_id")
+    reason = F.when(i % 3 == 1, "no_pdf_url").when(i % 6 == 2, "pdf_timeout")
+    results = S.tier(S.studies(papers.where("study_id % 13 > 0"))).withColumns({"used_pdf": i % 3 == 0, "fallback_reason": reason})
+    found = S.extraction_summary(results, papers.count())
+    reasons = F.array_join(F.transform(F.array_sort(F.map_entries("fallback_reasons")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), "|")
+    return found.withColumn("fallback_reasons", reasons)
+
+
+def fallback_studies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Studies of papers without an extraction, of which some lack abstract or year."""
+    i = F.col("study_id")
+    hint = F.when(i % 5 == 0, "Randomised trial").when(i % 5 == 1, "systematic review").when(i % 5 == 2, "cross-sectional meta-analysis").when(i % 5 == 3, "COHORT")
+    papers = view(spark, sf_dir, "studies").withColumns({"abstract": F.when(i % 4 > 0, F.col("abstract")), "year": F.when(i % 3 > 0, F.col("year")), "study_design_hint": hint, "is_preprint": F.col("preprint_status") == "Preprint"})
+    return S.fallback_studies(papers, CURRENT_YEAR)
+
+
+def paper_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of source records by id, else by identifier, the first of equal ones."""
+    s, i = view(spark, sf_dir, "studies"), F.col("study_id")
+    papers = s.select(i.alias("paper_id"), F.when(i % 3 > 0, F.concat(F.lit("https://doi.org/10.5555/K"), F.floor(i / 4).cast("string"))).alias("doi"))
+    sources = s.where("study_id % 5 > 0").select((i + F.when(i % 2 == 0, 0).otherwise(1_000_000)).alias("paper_id"), F.concat(F.lit("10.5555/k"), F.floor(i / 4).cast("string")).alias("doi"), i.alias("position"), F.concat(F.lit("https://e.org/p/"), i.cast("string")).alias("pdf_url"), F.concat(F.lit("https://e.org/l/"), i.cast("string")).alias("landing_page_url"))
+    return S.with_links(papers, sources).select("paper_id", "pdf_url", "landing_page_url")
+
+
 def merged_studies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A10: studies that two extractions hold."""
     s = view(spark, sf_dir, "studies").select("study_id", "title", "abstract", "study_design", "citation_count", "outcome_measured")
@@ -120,8 +147,9 @@ def _tiers_sql() -> str:
 one AS (SELECT *, row_number() OVER (PARTITION BY study_id, lower(trim(outcome_measured)) ORDER BY confidence DESC, at_) AS k FROM judged),
 placed AS (SELECT *, row_number() OVER (PARTITION BY study_id ORDER BY confidence DESC, at_) AS place FROM one WHERE k = 1),
 held AS (SELECT study_id, count(*) AS outcomes, bool_or(outcome_measured <> '' AND (coalesce(effect_size, '') <> '' OR coalesce(p_value, '') <> '' OR coalesce(intervention, '') <> '' OR coalesce(comparator, '') <> '')) AS measured FROM placed WHERE confidence >= 0.35 OR place = 1 GROUP BY study_id),
+opened AS (SELECT study_id FROM cut WHERE at_ = 0 AND study_id NOT IN (SELECT study_id FROM judged)),
 d AS (SELECT study_id, title, year, abstract, {design} ELSE 'unknown' END AS study_design, coalesce({sizes}) AS sample_size FROM studies),
-tiered AS (SELECT d.study_id, d.study_design, d.sample_size, coalesce(h.outcomes, 0) AS outcomes, CASE WHEN d.title <> '' AND d.year <> 0 AND d.study_design <> 'unknown' AND length(trim(substr(d.abstract, 1, 420))) >= 50 AND coalesce(h.measured, false) THEN 'strict' WHEN d.title <> '' AND d.year <> 0 AND coalesce(h.outcomes, 0) > 0 THEN 'partial' ELSE 'incomplete' END AS tier FROM d LEFT JOIN held h USING (study_id))"""
+tiered AS (SELECT d.study_id, d.study_design, d.sample_size, coalesce(h.outcomes, CASE WHEN o.study_id IS NOT NULL THEN 1 ELSE 0 END) AS outcomes, o.study_id IS NOT NULL AS opening, CASE WHEN d.title <> '' AND d.year <> 0 AND d.study_design <> 'unknown' AND length(trim(substr(d.abstract, 1, 420))) >= 50 AND coalesce(h.measured, false) THEN 'strict' WHEN d.title <> '' AND d.year <> 0 AND (coalesce(h.outcomes, 0) > 0 OR o.study_id IS NOT NULL) THEN 'partial' ELSE 'incomplete' END AS tier FROM d LEFT JOIN held h ON d.study_id = h.study_id LEFT JOIN opened o ON d.study_id = o.study_id)"""
 
 
 def _formats_sql() -> str:
@@ -141,12 +169,22 @@ def _directions_sql() -> str:
 SELECT CASE WHEN up AND down THEN 'mixed' WHEN up THEN 'positive' WHEN down THEN 'negative' ELSE 'neutral' END AS direction, count(*) AS results FROM m GROUP BY 1"""
 
 
-QUERIES = {f.__name__: f for f in (extract_fields, extract_outcomes, extract_studies, extraction_stats, merged_studies, result_directions, page_links, text_formats, conversation_answers, inverted_abstracts)}
+QUERIES = {f.__name__: f for f in (extract_fields, extract_outcomes, extract_studies, extraction_stats, extraction_summary, fallback_studies, paper_links, merged_studies, result_directions, page_links, text_formats, conversation_answers, inverted_abstracts)}
 ORACLE_SQL = {
     "extract_fields": _fields_sql(),
     "extract_outcomes": _outcomes_sql() + ' SELECT study_id, at_::bigint AS "at", outcome_measured, effect_size, p_value, intervention, comparator, confidence FROM judged',
-    "extract_studies": _tiers_sql() + " SELECT * FROM tiered",
+    "extract_studies": _tiers_sql() + " SELECT * EXCLUDE (opening) FROM tiered",
     "extraction_stats": _tiers_sql() + " SELECT tier, study_design, count(*) AS studies, count(sample_size) AS with_sample_size, sum(outcomes)::bigint AS outcomes FROM tiered GROUP BY ALL",
+    "extraction_summary": _tiers_sql() + """, r AS (SELECT *, CASE WHEN study_id % 3 = 1 THEN 'no_pdf_url' WHEN study_id % 6 = 2 THEN 'pdf_timeout' END AS reason FROM tiered WHERE study_id % 13 > 0), g AS (SELECT reason, count(*) AS n FROM r WHERE reason IS NOT NULL GROUP BY 1)
+SELECT count(*) AS extracted_total, count(*) FILTER (tier = 'strict') AS complete_total, count(*) FILTER (tier = 'partial') AS partial_total, count(*) FILTER (study_id % 3 = 0) AS used_pdf, count(*) FILTER (study_id % 3 <> 0) AS used_abstract_fallback,
+  (SELECT string_agg(reason || '=' || n, '|' ORDER BY reason) FROM g) AS fallback_reasons, (SELECT count(*) FROM studies) AS total_inputs, (SELECT count(*) FROM studies) - count(*) AS failures FROM r""",
+    "fallback_studies": STUDIES + f""", p AS (SELECT *, CASE WHEN study_id % 4 > 0 THEN regexp_extract(abstract, '^(.*?[.!?])(\\s|$)', 1) END AS s FROM studies)
+SELECT study_id, title, CASE WHEN study_id % 3 > 0 THEN year ELSE {CURRENT_YEAR} END AS year, CASE study_id % 5 WHEN 0 THEN 'RCT' WHEN 1 THEN 'review' WHEN 2 THEN 'cross-sectional' WHEN 3 THEN 'cohort' ELSE 'unknown' END AS study_design,
+  CASE study_id % 5 WHEN 1 THEN 'Systematic review' WHEN 2 THEN 'Meta-analysis' ELSE 'None' END AS review_type, 'Reported outcome' AS outcome_measured, s AS key_result, coalesce(s, title) AS citation_snippet, coalesce(s, title) AS abstract_excerpt, preprint_status, citation_count FROM p""",
+    "paper_links": STUDIES + """, src AS (SELECT study_id + CASE WHEN study_id % 2 = 0 THEN 0 ELSE 1000000 END AS paper_id, study_id // 4 AS k, study_id AS position FROM studies WHERE study_id % 5 > 0),
+f AS (SELECT k, min(position) AS position FROM src GROUP BY k)
+SELECT s.study_id AS paper_id, 'https://e.org/p/' || coalesce(a.position, f.position) AS pdf_url, 'https://e.org/l/' || coalesce(a.position, f.position) AS landing_page_url
+FROM (SELECT study_id, CASE WHEN study_id % 3 > 0 THEN study_id // 4 END AS k FROM studies) s LEFT JOIN src a ON a.paper_id = s.study_id LEFT JOIN f ON f.k = s.k""",
     "merged_studies": STUDIES + """ SELECT study_id, CASE WHEN study_id % 2 = 0 THEN 'RCT' ELSE study_design END AS study_design, title, length(abstract) AS chars, CASE WHEN study_id % 2 = 0 THEN citation_count + 3 ELSE citation_count END::integer AS citation_count,
   CASE WHEN study_id % 2 = 0 THEN array_to_string(list_sort([outcome_measured, 'mood']), '|') ELSE outcome_measured END AS outcomes FROM studies""",
     "result_directions": _directions_sql(),

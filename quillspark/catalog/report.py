@@ -10,6 +10,7 @@ from ..views import duck, table, view
 
 KEYWORDS = ["sleep", "placebo", "standard"]
 QUERY = "Placebo and sleep quality"
+OUTCOMES = "array<struct<outcome_measured:string,key_result:string,intervention:string,comparator:string,effect_size:string,p_value:string>>"
 
 
 def reviewed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,18 +83,55 @@ def report_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def export_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K5, K6: lines of the CSV export."""
-    return report.outcome_csv(_exported(spark, sf_dir))
+    """K5: lines of the outcome-grain CSV export."""
+    return report.outcome_csv(exported(spark, sf_dir)).select("study_id", F.col("place").cast("long").alias("place"), "line")
+
+
+def export_paper_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K6: lines of the paper-grain CSV export."""
+    return report.paper_csv(exported(spark, sf_dir))
 
 
 def export_ris(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K7: RIS entries."""
-    return report.ris(_exported(spark, sf_dir))
+    return report.ris(exported(spark, sf_dir))
+
+
+def exported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Studies with no, one or two outcomes, citations of several forms, identifiers and links."""
+    s, i = reviewed(spark, sf_dir), F.col("study_id")
+    text = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    none, number = F.lit(None).cast("string"), i.cast("string")
+    first = F.struct("outcome_measured", "key_result", F.lit("sleep aid").alias("intervention"), F.lit("placebo").alias("comparator"), "effect_size", none.alias("p_value"))
+    second = F.struct(F.lit("mood, daily").alias("outcome_measured"), none.alias("key_result"), none.alias("intervention"), none.alias("comparator"), none.alias("effect_size"), text("p = 0.0", (i % 9).cast("string")).alias("p_value"))
+    return s.withColumns(
+        {
+            "title": F.concat("title", F.when(i % 4 == 0, F.lit(', "first"')).otherwise("")),
+            "doi": F.when(i % 2 == 0, text("10.5555/", number)),
+            "outcomes": F.when(i % 7 == 0, F.array().cast(OUTCOMES)).when(i % 3 == 1, F.array(first, second)).otherwise(F.array(first)),
+            "formatted": F.when(i % 5 == 1, text("Lee A, Kim B et al. (", F.col("year").cast("string"), "). T.")).when(i % 5 == 2, F.lit("a note, no year")).when(i % 5 > 2, text("Ng C (", F.col("year").cast("string"), "). x")),
+            "openalex_id": F.when(i % 4 == 1, text("https://openalex.org/W", number)),
+            "pubmed_id": F.when(i % 6 == 0, number),
+            "pdf_url": F.when(i % 8 == 3, F.lit("https://e.org/x.pdf")),
+            "landing_page_url": F.when(i % 9 == 0, F.lit("https://e.org/l")),
+            "abstract_excerpt": F.substring("abstract", 1, 420),
+        }
+    )
 
 
-def _exported(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = view(spark, sf_dir, "studies")
-    return s.withColumns({"doi": F.when(F.col("study_id") % 2 == 0, F.concat(F.lit("10.5555/"), F.col("study_id").cast("string"))), "title": F.concat(F.col("title"), F.when(F.col("study_id") % 4 == 0, F.lit(', "first"')).otherwise(""))})
+def design_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """studies that pass each design filter."""
+    modes = ["all", "meta", "review", "rct", "cohort", "cross-sectional", "unknown"]
+    s = reviewed(spark, sf_dir)
+    held = F.array_compact(F.array(*[F.when(report.of_design(m), m) for m in modes]))
+    return s.select(F.explode(held).alias("mode")).groupBy("mode").agg(F.count(F.lit(1)).alias("studies"))
+
+
+def search_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far a search begun at each event's second is, half a minute into the minute after."""
+    e = table(spark, sf_dir, "events").select("event_id", F.date_trunc("second", "ts").cast("timestamp").alias("created_at"))
+    now = F.date_trunc("minute", "created_at") + F.expr("INTERVAL 75 SECONDS")
+    return report.progress(e, now).select("event_id", "stage", "percent", "seconds_left")
 
 
 CELLS = ["title", "year", "abstract", "source", "study_design", "sample_size", "population", "outcome_measured", "effect_size"]
@@ -168,13 +206,17 @@ SELECT outcome, count(*) AS results, count(DISTINCT result) AS wordings, min(res
 
 
 _FIELD = lambda c: f"CASE WHEN regexp_matches({c}, '[,\"\\n]') THEN concat('\"', replace({c}, '\"', '\"\"'), '\"') ELSE coalesce({c}, '') END"
-EXPORTED = STUDIES + """, x AS (SELECT * REPLACE (concat(title, CASE WHEN study_id % 4 = 0 THEN ', "first"' ELSE '' END) AS title), CASE WHEN study_id % 2 = 0 THEN concat('10.5555/', study_id) END AS doi FROM studies)"""
+EXPORTED = STUDIES + """, x AS (SELECT * REPLACE (concat(title, CASE WHEN study_id % 4 = 0 THEN ', "first"' ELSE '' END) AS title), CASE WHEN study_id % 2 = 0 THEN concat('10.5555/', study_id) END AS doi,
+  CASE study_id % 10 WHEN 3 THEN 'Meta-analysis' WHEN 9 THEN 'Systematic review' ELSE 'None' END AS review_type,
+  CASE study_id % 5 WHEN 1 THEN concat('Lee A, Kim B et al. (', year, '). T.') WHEN 2 THEN 'a note, no year' WHEN 0 THEN NULL ELSE concat('Ng C (', year, '). x') END AS formatted,
+  CASE study_id % 5 WHEN 1 THEN '"Lee A, Kim B et al."' WHEN 2 THEN '"a note, no year"' WHEN 0 THEN 'Unknown' ELSE 'Ng C' END AS authors,
+  CASE WHEN study_id % 4 = 1 THEN concat('https://openalex.org/W', study_id) ELSE '' END AS openalex_id, study_id % 7 > 0 AS one, study_id % 7 > 0 AND study_id % 3 = 1 AS two FROM studies)"""
 _UNPIVOT = ", ".join(f"{{'column_key': '{c}', 'position': {i + 1}::bigint, 'value': {c}::varchar}}" for i, c in enumerate(CELLS))
 QUERIES = {
     f.__name__: f
     for f in (
         report_relevance, report_page, report_tiers, context_select, report_warnings, report_merged_warnings, report_themes, report_findings, report_opening, report_references,
-        export_csv, export_ris, runs_cells, runs_wide, runs_chain, typed_cells, recent_reports, report_ages,
+        export_csv, export_paper_csv, export_ris, design_filters, search_progress, runs_cells, runs_wide, runs_chain, typed_cells, recent_reports, report_ages,
     )
 }
 ORACLE_SQL = {
@@ -192,9 +234,20 @@ SELECT *, CASE WHEN combined_n > 0 THEN concat(theme, ' across ', studies, ' stu
     "report_opening": STUDIES + f" SELECT concat('This synthesis draws from ', count(*), ' studies (', count(*) FILTER (preprint_status = 'Peer-reviewed'), ' peer-reviewed, ', count(*) FILTER (preprint_status = 'Preprint'), ' preprints) examining {QUERY.lower()}.') AS text FROM studies",
     "report_references": """WITH l AS (SELECT o_custkey AS report_id, l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS at_ FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
 f AS (SELECT report_id, l_partkey AS paper_id, min((l_orderkey, at_)) AS seen FROM l GROUP BY ALL) SELECT report_id, paper_id, row_number() OVER (PARTITION BY report_id ORDER BY seen) AS number FROM f""",
-    "export_csv": EXPORTED + f" SELECT study_id, concat_ws(',', {_FIELD('title')}, 'Unknown', year::varchar, coalesce(doi, ''), study_design, coalesce(sample_size::varchar, ''), {_FIELD('population')}, {_FIELD('outcome_measured')}, {_FIELD('effect_size')}, {_FIELD('key_result')}, preprint_status) AS line FROM x",
-    "export_ris": EXPORTED + r""" SELECT study_id, concat_ws(chr(10), 'TY  - JOUR', concat('TI  - ', title), concat('PY  - ', year), CASE WHEN doi IS NOT NULL THEN concat('DO  - ', doi) END, concat('AB  - ', substr(abstract, 1, 420)), concat('KW  - Study Design: ', study_design),
-  CASE WHEN coalesce(sample_size, 0) <> 0 THEN concat('KW  - Sample Size: ', sample_size) END, CASE WHEN outcome_measured <> '' THEN concat('KW  - Outcome 1: ', outcome_measured) END, 'ER  - ') AS entry FROM x""",
+    "export_csv": EXPORTED + f""", l AS (SELECT *, 0 AS place FROM x UNION ALL SELECT *, 1 FROM x WHERE two)
+SELECT study_id, place::bigint AS place, concat_ws(',', {_FIELD('title')}, authors, year::varchar, coalesce(doi, ''), study_design, coalesce(sample_size::varchar, ''), {_FIELD('population')}, CASE WHEN one AND place = 0 THEN 'sleep aid' ELSE '' END, CASE WHEN one AND place = 0 THEN 'placebo' ELSE '' END,
+  CASE WHEN place = 1 THEN '"mood, daily"' WHEN one THEN {_FIELD('outcome_measured')} ELSE '' END, CASE WHEN one AND place = 0 THEN {_FIELD('effect_size')} ELSE '' END, CASE WHEN place = 1 THEN concat('p = 0.0', study_id % 9) ELSE '' END, CASE WHEN one AND place = 0 THEN {_FIELD('key_result')} ELSE '' END, review_type, preprint_status, openalex_id) AS line FROM l""",
+    "export_paper_csv": EXPORTED + f""", t AS (SELECT *, CASE WHEN two THEN concat(outcome_measured, '; mood, daily') WHEN one THEN outcome_measured ELSE '' END AS names, CASE WHEN one THEN key_result ELSE '' END AS results, CASE WHEN one THEN coalesce(effect_size, '') ELSE '' END AS effects, CASE WHEN two THEN concat('p = 0.0', study_id % 9) ELSE '' END AS ps FROM x)
+SELECT study_id, concat_ws(',', {_FIELD('title')}, authors, year::varchar, coalesce(doi, ''), citation_count::varchar, study_design, coalesce(sample_size::varchar, ''), {_FIELD('population')}, {_FIELD('names')}, {_FIELD('results')}, {_FIELD('effects')}, ps, review_type, preprint_status,
+  CASE WHEN study_id % 8 = 3 THEN 'https://e.org/x.pdf' WHEN source = 'arxiv' THEN concat('https://arxiv.org/pdf/', study_id) ELSE '' END, CASE WHEN study_id % 9 = 0 THEN 'https://e.org/l' ELSE '' END, openalex_id) AS line FROM t""",
+    "export_ris": EXPORTED + r""" SELECT study_id, concat_ws(chr(10), 'TY  - JOUR', concat('TI  - ', title), CASE study_id % 5 WHEN 1 THEN concat('AU  - Lee A', chr(10), 'AU  - Kim B') WHEN 3 THEN 'AU  - Ng C' WHEN 4 THEN 'AU  - Ng C' END, concat('PY  - ', year), CASE WHEN doi IS NOT NULL THEN concat('DO  - ', doi) END,
+  CASE WHEN openalex_id <> '' THEN concat('UR  - ', openalex_id) END, CASE WHEN study_id % 6 = 0 THEN concat('PM  - ', study_id) END, concat('AB  - ', substr(abstract, 1, 420)), concat('KW  - Study Design: ', study_design), CASE WHEN coalesce(sample_size, 0) <> 0 THEN concat('KW  - Sample Size: ', sample_size) END,
+  CASE WHEN one THEN concat('KW  - Outcome 1: ', outcome_measured) END, CASE WHEN two THEN 'KW  - Outcome 2: mood, daily' END, 'ER  - ') AS entry FROM x""",
+    "design_filters": STUDIES + """, r AS (SELECT study_design AS d, CASE study_id % 10 WHEN 3 THEN 'Meta-analysis' WHEN 9 THEN 'Systematic review' ELSE 'None' END AS k FROM studies)
+SELECT mode, count(*) AS studies FROM (SELECT 'all' AS mode FROM r UNION ALL SELECT 'meta' FROM r WHERE k = 'Meta-analysis' UNION ALL SELECT 'review' FROM r WHERE d = 'review' OR k = 'Systematic review' UNION ALL SELECT 'rct' FROM r WHERE d = 'RCT'
+  UNION ALL SELECT d FROM r WHERE d IN ('cohort', 'cross-sectional', 'unknown')) GROUP BY mode""",
+    "search_progress": """WITH e AS (SELECT event_id, 75 - extract(second FROM ts) AS s FROM events)
+SELECT event_id, CASE WHEN s < 10 THEN 'searching' WHEN s < 30 THEN 'extracting' ELSE 'synthesising' END AS stage, round(least(s::double / 50 * 95, 95), 4) AS percent, greatest(0, 50 - s)::bigint AS seconds_left FROM e""",
     "runs_cells": STUDIES + f", u AS (SELECT study_id, unnest([{_UNPIVOT}]) AS c FROM studies) SELECT study_id, c.column_key AS column_key, c.position AS position, c.value AS value, CASE WHEN coalesce(c.value, '') = '' THEN 'missing' ELSE 'filled' END AS status FROM u",
     "runs_wide": STUDIES + " SELECT study_id, title, year::varchar AS year, study_design, effect_size FROM studies",
     "runs_chain": "WITH c AS (SELECT o_custkey AS report_id, o_orderkey AS run_id, row_number() OVER w AS run_index, lag(o_orderkey) OVER w AS parent_run_id FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)) SELECT *, run_index = max(run_index) OVER (PARTITION BY report_id) AS is_active FROM c",

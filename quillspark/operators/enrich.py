@@ -20,13 +20,16 @@ STALE_DAYS = 90
 def _features(df: DataFrame, side: str) -> DataFrame:
     """What a comparison needs of each record, worked out once per record and not per pair."""
     title, venue = T.normalize_ascii(F.col(f"{side}_title")), T.normalize_ascii(F.col(f"{side}_venue"))
-    made = df.withColumns({"_t": title, "_v": venue})
+    publication = F.coalesce(F.nullif(f"{side}_journal", F.lit("")), F.nullif(f"{side}_venue", F.lit("")))
+    made = df.withColumns({"_t": title, "_v": venue, f"{side}_publication": publication})
     return made.withColumns(
         {
             f"{side}_words": H.match_tokens(F.col("_t")),
             f"{side}_grams": H.bigrams(F.col("_t")),
             f"{side}_venue_words": H.match_tokens(F.col("_v")),
             f"{side}_venue_grams": H.bigrams(F.col("_v")),
+            f"{side}_journal_words": H.match_tokens(T.normalize_ascii(F.col(f"{side}_publication"))),
+            f"{side}_journal_grams": H.bigrams(T.normalize_ascii(F.col(f"{side}_publication"))),
             f"{side}_names": F.transform(F.col(f"{side}_authors"), T.normalize_ascii),
         }
     ).drop("_t", "_v")
@@ -36,14 +39,15 @@ def candidates(papers: DataFrame, references: DataFrame) -> DataFrame:
     """Pairs of a paper and a reference that share an identifier, or the paper's two rarest title
     tokens.
 
-    Both have id, doi, title, authors, year, venue, citation_count; references have provider.
+    Both have id, doi, title, authors, year, venue, journal, citation_count; papers have source,
+    references provider.
     Papers whose identifier is known to the references are looked up by it; only the others go
     to the title block.  Tokens have three letters or more and are ranked among those of the
     references; references stand under every pair of their tokens, so no frequent token alone
     makes pairs.
     """
-    p = _features(papers.select(*[F.col(c).alias(f"p_{c}") for c in ("id", "doi", "title", "authors", "year", "venue", "citation_count")]), "p")
-    r = _features(references.select(*[F.col(c).alias(f"r_{c}") for c in ("id", "doi", "title", "authors", "year", "venue", "citation_count", "provider")]), "r")
+    p = _features(papers.select(*[F.col(c).alias(f"p_{c}") for c in ("id", "doi", "title", "authors", "year", "venue", "citation_count", "source", "journal")]), "p")
+    r = _features(references.select(*[F.col(c).alias(f"r_{c}") for c in ("id", "doi", "title", "authors", "year", "venue", "citation_count", "provider", "journal")]), "r")
     by_doi = p.join(r, F.col("p_doi") == F.col("r_doi"))
     rest = p.join(references.select(F.col("doi").alias("p_doi")).where("doi is not null").distinct(), "p_doi", "left_anti").select(p.columns)
     held = lambda df, c: df.withColumn("tokens", F.array_sort(H.claim_tokens(F.col(c))))
@@ -67,32 +71,58 @@ def candidate_confidence() -> Column:
     return F.round(S.clamp(total + bonus).cast("decimal(18,10)"), 4).cast("double")
 
 
+def trust(source: Column) -> Column:
+    """The trust in a source; 0.5 in unknown ones."""
+    return F.when(source.isin(*S.PROVIDER_CONFIDENCE), S.provider_confidence(source)).otherwise(0.5)
+
+
 def best_candidates(pairs: DataFrame) -> DataFrame:
     """The best candidate of each paper: confidence, then trust in its provider, then id."""
-    scored = pairs.withColumn("confidence", candidate_confidence()).withColumn("trust", S.provider_confidence(F.col("r_provider")))
+    scored = pairs.withColumn("confidence", candidate_confidence()).withColumn("trust", trust(F.col("r_provider")))
     order = Window.partitionBy("p_id").orderBy(F.desc("confidence"), F.desc("trust"), "r_id")
     best = scored.withColumn("place", F.row_number().over(order)).where("place = 1").drop("place")
     return best.withColumn("outcome", S.enrichment_outcome(F.col("confidence")))
 
 
 def merged_fields(best: DataFrame) -> DataFrame:
-    """What an accepted candidate fills or replaces, with the reasons.
+    """What an accepted candidate fills or replaces, field by field, with the reasons.
 
-    A missing field is filled; a year one off is replaced on clearly higher evidence; citations
-    grow to the larger number; differing identifiers and years far apart are recorded.
+    A missing field is filled.  A year one off is replaced on evidence clearly above that of the
+    paper's own source, a journal if the two names are alike too; citations grow to the larger
+    number; differing identifiers and years far apart are recorded.
     """
     accepted = F.col("outcome") == "accepted"
-    evidence, own = F.col("trust") * F.col("confidence"), F.lit(0.75 * 0.8)
-    conflict = F.col("p_doi").isNotNull() & F.col("r_doi").isNotNull() & (F.col("p_doi") != F.col("r_doi"))
+    evidence, own = F.col("trust") * F.col("confidence"), trust(F.lower(F.coalesce("p_source", F.lit("unknown")))) * 0.8
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) == ""
+    missing = lambda c: F.coalesce(F.col(c), F.lit(0)) == 0
+    conflict = ~blank("p_doi") & ~blank("r_doi") & (F.col("p_doi") != F.col("r_doi"))
     gap = F.abs(F.col("p_year") - F.col("r_year"))
-    newer = (gap == 1) & (evidence >= own + 0.05)
-    reasons = F.array_compact(F.array(F.when(conflict, "doi_conflict"), F.when(gap > 1, "year_out_of_range")))
+    alike = H.combined(F.col("p_journal_words"), F.col("r_journal_words"), F.col("p_journal_grams"), F.col("r_journal_grams"))
+    known = ~blank("r_publication")
+    citations = F.greatest(F.coalesce("p_citation_count", F.lit(0)), F.coalesce("r_citation_count", F.lit(0)))
+    applied = {
+        "doi": [(blank("p_doi") & ~blank("r_doi"), "filled")],
+        "year": [(missing("p_year") & ~missing("r_year"), "filled"), (~missing("p_year") & (gap == 1) & (evidence >= own + 0.05), "higher_evidence")],
+        "journal": [(blank("p_journal") & known, "filled"), (~blank("p_journal") & known & (alike >= 0.85) & (evidence >= own + 0.03) & (F.col("p_publication") != F.col("r_publication")), "higher_evidence")],
+        "citation_count": [(F.col("r_citation_count").isNotNull() & (citations != F.coalesce("p_citation_count", F.lit(0))), "max_trusted")],
+    }
+    why = {}
+    for field, rules in applied.items():
+        found = F.lit(None).cast("string")
+        for condition, reason in reversed(rules):
+            found = F.when(accepted & F.coalesce(condition, F.lit(False)), reason).otherwise(found)
+        why[field] = found
+    pick = lambda field, new, old: F.when(why[field].isNotNull(), new).otherwise(old)
+    held = F.array_compact(F.array(*[F.concat(F.lit(f"{field}="), reason) for field, reason in why.items()], F.when(conflict, "doi=doi_conflict")))
+    reasons = F.array_compact(F.array(F.when(conflict, "doi_conflict"), F.when(~missing("p_year") & ~missing("r_year") & (gap > 1), "year_out_of_range")))
     return best.select(
         "p_id",
         "outcome",
-        F.when(accepted & F.col("p_doi").isNull(), F.col("r_doi")).otherwise(F.col("p_doi")).alias("doi"),
-        F.when(accepted & (F.col("p_year").isNull() | newer), F.col("r_year")).otherwise(F.col("p_year")).alias("year"),
-        F.when(accepted, F.greatest(F.coalesce("p_citation_count", F.lit(0)), F.coalesce("r_citation_count", F.lit(0)))).otherwise(F.col("p_citation_count")).alias("citation_count"),
+        pick("doi", F.col("r_doi"), F.col("p_doi")).alias("doi"),
+        pick("year", F.col("r_year"), F.col("p_year")).alias("year"),
+        pick("journal", F.col("r_publication"), F.col("p_journal")).alias("journal"),
+        pick("citation_count", citations, F.col("p_citation_count")).alias("citation_count"),
+        F.array_join(held, "|").alias("fields_applied"),
         F.array_join(reasons, "|").alias("reasons"),
     )
 

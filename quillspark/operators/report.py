@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.scores import has_year, how_many
+from ..functions.scores import how_many
 from .studies import has
 
 #: How many studies of each tier a context aims at, and how many it holds.
@@ -46,14 +46,30 @@ def relevance(studies: DataFrame, keywords: list[str]) -> DataFrame:
     return scored.withColumn("low_value", (F.col("relevance") < 0) | outcome_text().contains("no outcomes reported"))
 
 
+def of_design(mode: str) -> Column:
+    """Whether a study passes one of the report's design filters."""
+    design, kind = F.col("study_design"), F.col("review_type")
+    modes = {
+        "all": F.lit(True),
+        "meta": kind == "Meta-analysis",
+        "review": (design == "review") | (kind == "Systematic review"),
+        "rct": F.lower(design).contains("rct"),
+        "cohort": design == "cohort",
+        "cross-sectional": design == "cross-sectional",
+        "unknown": design == "unknown",
+    }
+    return F.coalesce(modes[mode], F.lit(False))
+
+
 def page(scored: DataFrame, number: int, size: int = 25, text: str | None = None, design: str | None = None) -> DataFrame:
-    """One page of the studies worth showing, most relevant first; ``text`` and ``design`` filter.
+    """One page of the studies worth showing, most relevant first; ``text`` and ``design`` (a mode of
+    ``of_design``) filter.
 
     The first pages are a top-k; no more than page rows reach one task.
     """
     kept = scored.where("not low_value")
     if design:
-        kept = kept.where(F.col("study_design") == design)
+        kept = kept.where(of_design(design))
     if text:
         kept = kept.where(F.lower(F.concat_ws(" ", "title", "abstract", "outcome_measured", "key_result")).contains(text.lower()))
     top = kept.orderBy(F.desc("relevance"), F.desc("year"), "study_id").limit(number * size)
@@ -155,18 +171,88 @@ def reference_numbers(claims: DataFrame) -> DataFrame:
 # --- exports ----------------------------------------------------------------------------------
 
 
+#: Headers of the two CSV exports.
+OUTCOME_HEADER = "Title,Authors,Year,DOI,Study Design,Sample Size,Population,Intervention,Comparator,Outcome,Effect Size,P-value,Key Result,Review Type,Preprint Status,OpenAlex ID"
+PAPER_HEADER = "Title,Authors,Year,DOI,Citation Count,Study Design,Sample Size,Population,Outcomes,Results,Effect Sizes,P-values,Review Type,Preprint Status,PDF URL,Landing Page URL,OpenAlex ID"
+
+
+def _text(c: Column) -> Column:
+    return F.coalesce(c.cast("string"), F.lit(""))
+
+
+def _number(c: Column) -> Column:
+    """A number's text; none for 0."""
+    return F.when(F.coalesce(c, F.lit(0)) != 0, c.cast("string")).otherwise("")
+
+
+def cited_authors(formatted: Column) -> Column:
+    """What a formatted citation names before its bracketed year; all of it without one."""
+    before = F.trim(F.regexp_extract(formatted, r"^(.+?)\s*\(", 1))
+    return F.when(_text(formatted) == "", "Unknown").otherwise(F.coalesce(F.nullif(before, F.lit("")), formatted))
+
+
 def outcome_csv(studies: DataFrame) -> DataFrame:
-    """Lines of the CSV export, one for each study's outcome; ``study_id`` orders them."""
+    """Lines (study_id, place, line) of the CSV export below ``OUTCOME_HEADER``, one for each
+    outcome of a study, and one with empty cells for a study without any.
+
+    Studies have title, formatted, year, doi, study_design, sample_size, population, outcomes
+    (structs), review_type, preprint_status and openalex_id.
+    """
     f = T.csv_field
-    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    cells = [f(F.col("title")), f(F.lit("Unknown")), blank("year"), blank("doi"), blank("study_design"), blank("sample_size"), f(F.col("population")), f(F.col("outcome_measured")), f(F.col("effect_size")), f(F.col("key_result")), blank("preprint_status")]
+    each = studies.select("*", F.posexplode_outer("outcomes").alias("at", "o"))
+    cells = [f(F.col("title")), f(cited_authors(F.col("formatted"))), _number(F.col("year")), _text(F.col("doi")), _text(F.col("study_design")), _number(F.col("sample_size")), f(F.col("population"))]
+    cells += [f(F.col("o")[name]) for name in ("intervention", "comparator", "outcome_measured", "effect_size", "p_value", "key_result")]
+    cells += [_text(F.col(c)) for c in ("review_type", "preprint_status", "openalex_id")]
+    return each.select("study_id", F.coalesce("at", F.lit(0)).alias("place"), F.concat_ws(",", *cells).alias("line"))
+
+
+def paper_csv(studies: DataFrame) -> DataFrame:
+    """Lines (study_id, line) of the CSV export below ``PAPER_HEADER``, one for each study.
+
+    Studies have the columns of ``outcome_csv`` and citation_count, source, pdf_url and
+    landing_page_url; one of arXiv without a link gets that of its id.
+    """
+    f = T.csv_field
+    listed = lambda name: F.filter(F.transform("outcomes", lambda o: _text(o[name])), lambda x: x != "")
+    arxiv = F.concat(F.lit("https://arxiv.org/pdf/"), F.regexp_replace(F.col("study_id").cast("string"), "^arxiv-", ""))
+    pdf = F.when(_text(F.col("pdf_url")) != "", F.col("pdf_url")).when(F.col("source") == "arxiv", arxiv).otherwise("")
+    cells = [f(F.col("title")), f(cited_authors(F.col("formatted"))), _number(F.col("year")), _text(F.col("doi")), _text(F.col("citation_count")), _text(F.col("study_design")), _number(F.col("sample_size")), f(F.col("population"))]
+    cells += [f(F.array_join(F.transform("outcomes", lambda o: _text(o["outcome_measured"])), "; ")), *[f(F.array_join(listed(name), "; ")) for name in ("key_result", "effect_size", "p_value")]]
+    cells += [_text(F.col("review_type")), _text(F.col("preprint_status")), pdf, _text(F.col("landing_page_url")), _text(F.col("openalex_id"))]
     return studies.select("study_id", F.concat_ws(",", *cells).alias("line"))
 
 
 def ris(studies: DataFrame) -> DataFrame:
-    """RIS entries: tagged lines from TY to ER, empty fields left out."""
-    line = lambda tag, c: F.when(F.coalesce(c.cast("string"), F.lit("")) != "", F.concat(F.lit(f"{tag}  - "), c.cast("string")))
-    size = F.when(has_year(F.col("sample_size")), F.concat(F.lit("KW  - Sample Size: "), F.col("sample_size").cast("string")))
-    outcome = F.when(F.col("outcome_measured") != "", F.concat(F.lit("KW  - Outcome 1: "), F.col("outcome_measured")))
-    lines = [F.lit("TY  - JOUR"), line("TI", F.col("title")), line("PY", F.col("year")), line("DO", F.col("doi")), line("AB", F.substring("abstract", 1, 420)), F.concat(F.lit("KW  - Study Design: "), F.col("study_design")), size, outcome, F.lit("ER  - ")]
-    return studies.select("study_id", F.array_join(F.array_compact(F.array(*lines)), "\n").alias("entry"))
+    """RIS entries (study_id, entry): tagged lines from TY to ER, empty fields left out.
+
+    Studies have the columns of ``outcome_csv`` and pubmed_id and abstract_excerpt.
+    """
+    tagged = lambda tag, c: F.concat(F.lit(f"{tag}  - "), c.cast("string"))
+    line = lambda tag, c: F.filter(F.array(c.cast("string")), lambda x: _text(x) != "")
+    tags = lambda tag, c: F.transform(line(tag, c), lambda x: tagged(tag, x))
+    before = F.trim(F.regexp_extract("formatted", r"^([^(]+)\(", 1))
+    names = F.filter(F.transform(F.split(F.coalesce(before, F.lit("")), r",|\set al\."), lambda n: F.trim(n)), lambda n: (n != "") & (n != "et al."))
+    outcomes = F.transform("outcomes", lambda o, i: F.concat(F.lit("KW  - Outcome "), (i + 1).cast("string"), F.lit(": "), _text(o["outcome_measured"])))
+    lines = F.concat(
+        F.array(F.lit("TY  - JOUR")), tags("TI", F.col("title")), F.transform(names, lambda n: tagged("AU", n)), tags("PY", _number(F.col("year"))), tags("DO", F.col("doi")), tags("UR", F.col("openalex_id")),
+        tags("PM", F.col("pubmed_id")), tags("AB", F.col("abstract_excerpt")), F.array(tagged("KW", F.concat(F.lit("Study Design: "), _text(F.col("study_design"))))),
+        F.transform(line("KW", _number(F.col("sample_size"))), lambda n: F.concat(F.lit("KW  - Sample Size: "), n)), outcomes, F.array(F.lit("ER  - ")),
+    )
+    return studies.select("study_id", F.array_join(lines, "\n").alias("entry"))
+
+
+# --- progress -----------------------------------------------------------------------------------
+
+#: Seconds that the stages of a search are expected to take.
+STAGES = {"searching": 10, "extracting": 20, "synthesising": 20}
+
+
+def progress(jobs: DataFrame, now: Column) -> DataFrame:
+    """``jobs`` (created_at) with stage, percent (95 at most before the end) and seconds_left."""
+    elapsed = (F.unix_millis(now) - F.unix_millis("created_at")) / 1000
+    total, upto, stage = sum(STAGES.values()), 0, F
+    for name, seconds in STAGES.items():
+        upto += seconds
+        stage = stage.when(elapsed < upto, name)
+    percent = F.least(elapsed / total * 95, F.lit(95.0))
+    return jobs.withColumns({"stage": stage.otherwise([*STAGES][-1]), "percent": F.round(percent, 4), "seconds_left": F.greatest(F.lit(0), F.ceil(total - elapsed)).cast("long")})

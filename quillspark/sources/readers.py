@@ -88,16 +88,23 @@ def extracted_texts(spark: SparkSession, path: str, most_bytes: int = 15_000_000
 
 
 def as_stream_events(turns: DataFrame) -> DataFrame:
-    """Conversation answers as the events of a token stream: two ``data:`` lines a turn."""
+    """Conversation answers as the events of a token stream: two ``data:`` lines a turn, then the
+    one that ends it, and a late one that nobody reads."""
     half = F.floor(F.length("text") / 2).cast("int")
     parts = F.array(F.substring(F.col("text"), F.lit(1), half), F.substring(F.col("text"), half + 1, F.length("text")))
     line = lambda t: F.concat(F.lit("data: "), F.to_json(F.struct(t.alias("delta"))))
-    return turns.where("role = 'assistant'").select("conv_id", "turn", F.posexplode(F.transform(parts, line)).alias("seq", "line"))
+    lines = F.concat(F.transform(parts, line), F.array(F.lit("data: [DONE]"), line(F.lit("late"))))
+    return turns.where("role = 'assistant'").select("conv_id", "turn", F.posexplode(lines).alias("seq", "line"))
 
 
 def joined_stream(events: DataFrame) -> DataFrame:
-    """Deltas of ``data:`` lines (conv_id, turn, seq, line) in order, up to ``[DONE]``, as one answer."""
+    """Deltas of ``data:`` lines (conv_id, turn, seq, line) in order as one answer; a turn ends at
+    its ``[DONE]``, whatever comes after it."""
     payload = F.regexp_extract("line", r"(?s)^data:\s*(.*)$", 1)
-    held = events.where((payload != "") & (payload != "[DONE]")).select("conv_id", F.struct("turn", "seq", F.from_json(payload, "delta string")["delta"].alias("delta")).alias("e"))
-    parts = held.groupBy("conv_id").agg(F.array_sort(F.collect_list("e")).alias("es"))
-    return parts.select("conv_id", F.array_join(F.transform("es", lambda e: e["delta"]), "").alias("answer"))
+    held = events.select("conv_id", "turn", F.struct("seq", payload.alias("payload")).alias("e")).where("e.payload <> ''")
+    turns = held.groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list("e")).alias("es"))
+    stop = F.array_position(F.transform("es", lambda e: e["payload"]), "[DONE]").cast("int")
+    sent = F.when(stop > 0, F.slice("es", F.lit(1), stop - 1)).otherwise(F.col("es"))
+    deltas = F.transform(sent, lambda e: F.coalesce(F.from_json(e["payload"], "delta string")["delta"], F.lit("")))
+    parts = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.array_join(deltas, "").alias("said")))).alias("ts"))
+    return parts.select("conv_id", F.array_join(F.transform("ts", lambda t: t["said"]), "").alias("answer"))

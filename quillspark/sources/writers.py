@@ -3,13 +3,25 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import report
 
 
 def write_outcome_csv(studies: DataFrame, path: str) -> None:
-    """The outcome-grain CSV as text parts in order of study."""
-    report.outcome_csv(studies).orderBy("study_id").select("line").write.mode("overwrite").text(path)
+    """The outcome-grain CSV as text parts in order of study, the header before all."""
+    _write_lines(report.outcome_csv(studies), report.OUTCOME_HEADER, path)
+
+
+def write_paper_csv(studies: DataFrame, path: str) -> None:
+    """The paper-grain CSV in the same form."""
+    _write_lines(report.paper_csv(studies).withColumn("place", F.lit(0)), report.PAPER_HEADER, path)
+
+
+def _write_lines(lines: DataFrame, header: str, path: str) -> None:
+    rows = lines.select(F.lit(1).alias("kind"), "study_id", "place", "line")
+    head = rows.sparkSession.range(1).select(F.lit(0).alias("kind"), F.lit(None).cast(rows.schema["study_id"].dataType).alias("study_id"), F.lit(0).alias("place"), F.lit(header).alias("line"))
+    head.unionByName(rows).orderBy("kind", "study_id", "place").select("line").write.mode("overwrite").text(path)
 
 
 def write_ris(studies: DataFrame, path: str) -> None:

@@ -26,10 +26,17 @@ def test_xml_mappers(spark, tmp_path):
 def test_exports_and_snapshots(spark, sf, tmp_path):
     from pyspark.sql import functions as F
 
-    rows = view(spark, sf, "studies").withColumn("doi", F.lit("10.1/x"))
+    from quillspark.catalog.report import exported
+    from quillspark.operators import report
+
+    rows = exported(spark, sf)
     writers.write_outcome_csv(rows, f"{tmp_path}/csv")
+    writers.write_paper_csv(rows, f"{tmp_path}/papers")
     writers.write_ris(rows, f"{tmp_path}/ris")
-    assert spark.read.text(f"{tmp_path}/csv").count() == rows.count()
+    assert spark.read.text(f"{tmp_path}/csv").count() == rows.agg(F.sum(F.greatest(F.size("outcomes"), F.lit(1)))).first()[0] + 1
+    parts = sorted(p for p in (tmp_path / "papers").iterdir() if p.name.startswith("part"))
+    lines = "".join(p.read_text() for p in parts).splitlines()
+    assert lines[0] == report.PAPER_HEADER and len(lines) == rows.count() + 1
     base = f"file://{tmp_path}/snap"
     writers.publish(rows, base, "r1")
     writers.publish(rows.limit(3), base, "r2")
