@@ -107,16 +107,28 @@ def provider_health(spark: SparkSession, sf_dir: str) -> DataFrame:
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Studies twice: as one source has them, and every third as another repeats it."""
     s = view(spark, sf_dir, "studies")
-    own = s.select(F.concat(F.lit("p"), F.lpad(F.col("study_id").cast("string"), 7, "0")).alias("paper_id"), F.when(F.col("study_id") % 2 == 0, F.concat(F.lit("10.5555/"), F.col("study_id").cast("string"))).alias("doi"), "title", "abstract", "year", "source", "citation_count", "is_retracted", F.round(1.0 / (1 + F.col("study_id") % 25), 4).alias("rank_signal"), F.array(F.lit("Lee A"), F.concat(F.lit("Kim "), F.col("study_id").cast("string"))).alias("authors"))
-    again = own.where(F.substring("paper_id", 2, 7).cast("int") % 3 == 0)
-    again = again.withColumns({"paper_id": F.concat(F.lit("q"), F.substring("paper_id", 2, 7)), "doi": F.when(F.col("doi").isNotNull(), F.concat(F.lit("https://doi.org/"), F.upper("doi"))), "title": F.concat(F.upper("title"), F.lit(".")), "source": F.lit("crossref"), "citation_count": F.col("citation_count") + 5})
-    return own.unionByName(again)
+    i, number = F.col("study_id"), F.col("study_id").cast("string")
+    own = s.select(
+        i, F.concat(F.lit("p"), F.lpad(number, 7, "0")).alias("paper_id"), F.when(i % 2 == 0, F.concat(F.lit("10.5555/"), number)).alias("doi"), F.when(i % 5 == 1, F.concat(F.lit("pm"), number)).alias("pubmed_id"), F.when(i % 5 == 2, number).alias("arxiv_id"),
+        "title", F.when(i % 9 == 0, "").otherwise(F.col("abstract")).alias("abstract"), F.when(i % 17 > 0, F.col("year")).alias("year"), F.when(i % 2 == 1, F.lit("Journal")).alias("venue"), "source", "citation_count", "is_retracted",
+        F.round(1.0 / (1 + i % 25), 4).alias("rank_signal"), F.array(F.lit("Lee A"), F.concat(F.lit("Kim "), number)).alias("authors"), F.array(F.concat(F.lit("r"), (i % 10).cast("string"))).alias("referenced_ids"),
+    )
+    again = own.where("study_id % 3 = 0").withColumns(
+        {
+            "paper_id": F.concat(F.lit("q"), F.substring("paper_id", 2, 7)),
+            "doi": F.when(i % 5 != 1, F.concat(F.lit("https://doi.org/"), F.upper("doi"))),
+            "title": F.when(i % 5 == 1, "Untitled").otherwise(F.concat(F.upper("title"), F.lit("."))),
+            "abstract": F.lit("A later abstract."), "year": F.when(i % 17 != 3, F.coalesce("year", F.lit(2001))), "venue": F.lit("Other"), "source": F.lit("crossref"), "citation_count": F.col("citation_count") + 5, "referenced_ids": F.array(F.concat(F.lit("s"), (i % 10).cast("string"))),
+        }
+    )
+    return own.unionByName(again).drop("study_id")
 
 
 def search_canonicalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Papers merged by identifier or by text, transitively."""
+    """Papers merged by any identifier or by text, transitively."""
     merged = search.merge_groups(search.canonical_groups(materialise(papers(spark, sf_dir), "papers")))
-    return merged.select("group_id", "title", "year", F.col("citation_count").cast("long").alias("citation_count"), "is_retracted", "sources", "source_authority", "provenance", "relevance")
+    came = F.array_join(F.transform("provenance", lambda p: F.concat(p["paper_id"], F.lit(":"), p["provider"])), ",")
+    return merged.select("group_id", "title", "year", F.md5("abstract").alias("abstract"), "venue", "doi", "pubmed_id", "arxiv_id", F.col("citation_count").cast("long").alias("citation_count"), "is_retracted", "sources", "source_authority", came.alias("provenance"), F.array_join("referenced_ids", ",").alias("referenced"), "relevance")
 
 
 def search_quality_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,6 +173,15 @@ def evidence_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("rank").cast("long").alias("rank"), "study_id", "title", "year", "snippet", "proposition")
 
 
+def evidence_brief(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P5: the brief of all kept papers, claims clustered by their outcome."""
+    studies = view(spark, sf_dir, "studies")
+    ranked = search.kept_papers(search.score_papers(studies, CURRENT_YEAR))
+    brief = search.evidence_brief(ranked, search.claims(studies))
+    cited = F.array_join(F.transform("citations", lambda c: F.concat(c["paper"].cast("string"), F.lit(":"), F.coalesce(c["at"].cast("string"), F.lit("-")))), ",")
+    return brief.select(F.col("position").cast("long").alias("position"), "text", "stance", cited.alias("citations"))
+
+
 def search_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many papers each step of a search leaves."""
     scored = search.score_papers(view(spark, sf_dir, "studies"), CURRENT_YEAR)
@@ -310,7 +331,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         query_understanding, query_compilation, query_first_version, query_benchmark, search_fan_out, search_rank_candidates, search_expand_citations, citation_counts, provider_coverage,
-        provider_health, search_canonicalize, search_quality_filter, search_kept, claims_direction, claims_clusters, claims_propositions, claims_greedy, evidence_table, search_funnel, request_bounds, own_rows, claim_offsets, marked_terms,
+        provider_health, search_canonicalize, search_quality_filter, search_kept, claims_direction, claims_clusters, claims_propositions, claims_greedy, evidence_table, evidence_brief, search_funnel, request_bounds, own_rows, claim_offsets, marked_terms,
     )
 }
 ORACLE_SQL = {
@@ -328,16 +349,19 @@ SELECT cited, min(seed_rank) AS seed_rank FROM refs WHERE cited IN (SELECT study
     "provider_coverage": LOG + " SELECT count(DISTINCT provider) AS queried, count(DISTINCT provider) FILTER (NOT ok) AS failed, array_to_string(list_sort(list(DISTINCT provider) FILTER (NOT ok)), ',') AS failed_providers, count(*) FILTER (NOT ok) > 0 AS degraded FROM log",
     "provider_health": LOG + " SELECT provider, count(*) AS calls, round(avg((NOT ok)::int::double), 4) AS error_rate, round(avg(latency_ms), 2) AS latency_ms, arg_max(ok, (ts, call_id)) AS last_ok FROM log GROUP BY provider",
     "search_canonicalize": STUDIES.replace("WITH", "WITH RECURSIVE", 1) + f""",
-own AS (SELECT concat('p', lpad(study_id::varchar, 7, '0')) AS paper_id, CASE WHEN study_id % 2 = 0 THEN concat('10.5555/', study_id) END AS doi, title, year, source, citation_count, is_retracted, round(1.0::double / (1 + study_id % 25), 4) AS rank_signal, concat('Lee A Kim ', study_id) AS names, study_id FROM studies),
-papers AS (SELECT * EXCLUDE (study_id) FROM own UNION ALL SELECT concat('q', substr(paper_id, 2)), doi, concat(upper(title), '.'), year, 'crossref', citation_count + 5, is_retracted, rank_signal, names FROM own WHERE study_id % 3 = 0),
-sets AS (SELECT paper_id, doi, year, list_distinct(list_filter(regexp_split_to_array(lower(title), '[^a-z0-9]+'), lambda w: length(w) > 2 AND NOT list_contains({_LIST(_stop("CLAIM_STOP_WORDS"))}, w))) AS tk, list_distinct(list_filter(regexp_split_to_array(lower(names), '[^a-z0-9]+'), lambda w: length(w) > 2 AND NOT list_contains({_LIST(_stop("CLAIM_STOP_WORDS"))}, w))) AS nm FROM papers),
-pair AS (SELECT a.paper_id AS a, b.paper_id AS b, a.doi = b.doi AS same, len(list_intersect(a.tk, b.tk))::double AS t, len(a.tk) + len(b.tk) AS tn, len(list_intersect(a.nm, b.nm))::double AS n, len(a.nm) + len(b.nm) AS nn FROM sets a JOIN sets b ON a.paper_id < b.paper_id AND abs(a.year - b.year) <= 1),
-near AS (SELECT a, b FROM pair WHERE same OR (t / (tn - t) >= 0.78::double AND n / (nn - n) >= 0.2::double)),
+own AS (SELECT concat('p', lpad(study_id::varchar, 7, '0')) AS paper_id, CASE WHEN study_id % 2 = 0 THEN concat('10.5555/', study_id) END AS doi, CASE WHEN study_id % 5 = 1 THEN concat('pm', study_id) END AS pubmed_id, CASE WHEN study_id % 5 = 2 THEN study_id::varchar END AS arxiv_id, title,
+  CASE WHEN study_id % 9 = 0 THEN '' ELSE abstract END AS abstract, CASE WHEN study_id % 17 > 0 THEN year END AS year, CASE WHEN study_id % 2 = 1 THEN 'Journal' END AS venue, source, citation_count, is_retracted, round(1.0::double / (1 + study_id % 25), 4) AS rank_signal, concat('Lee A Kim ', study_id) AS names, concat('r', study_id % 10) AS refs, study_id FROM studies),
+papers AS (SELECT * EXCLUDE (study_id), doi AS given FROM own UNION ALL SELECT concat('q', substr(paper_id, 2)), CASE WHEN study_id % 5 <> 1 THEN doi END, pubmed_id, arxiv_id, CASE WHEN study_id % 5 = 1 THEN 'Untitled' ELSE concat(upper(title), '.') END, 'A later abstract.', CASE WHEN study_id % 17 <> 3 THEN coalesce(year, 2001) END, 'Other', 'crossref', citation_count + 5, is_retracted, rank_signal, names, concat('s', study_id % 10),
+  CASE WHEN study_id % 5 <> 1 THEN 'https://doi.org/' || upper(doi) END FROM own WHERE study_id % 3 = 0),
+sets AS (SELECT paper_id, doi, pubmed_id, arxiv_id, year, list_distinct(list_filter(regexp_split_to_array(lower(title), '[^a-z0-9]+'), lambda w: length(w) > 2 AND NOT list_contains({_LIST(_stop("CLAIM_STOP_WORDS"))}, w))) AS tk, list_distinct(list_filter(regexp_split_to_array(lower(names), '[^a-z0-9]+'), lambda w: length(w) > 2 AND NOT list_contains({_LIST(_stop("CLAIM_STOP_WORDS"))}, w))) AS nm FROM papers),
+pair AS (SELECT a.paper_id AS a, b.paper_id AS b, len(list_intersect(a.tk, b.tk))::double AS t, len(a.tk) + len(b.tk) AS tn, len(list_intersect(a.nm, b.nm))::double AS n, len(a.nm) + len(b.nm) AS nn FROM sets a JOIN sets b ON a.paper_id < b.paper_id AND (a.year IS NULL OR b.year IS NULL OR abs(a.year - b.year) <= 1)),
+near AS (SELECT a, b FROM pair WHERE t / (tn - t) >= 0.78::double AND n / (nn - n) >= 0.2::double UNION SELECT a.paper_id, b.paper_id FROM sets a JOIN sets b ON a.paper_id < b.paper_id AND (a.doi = b.doi OR a.pubmed_id = b.pubmed_id OR a.arxiv_id = b.arxiv_id)),
 graph AS (SELECT a AS x, b AS y FROM near UNION ALL SELECT b, a FROM near),
 walk AS (SELECT paper_id AS node, paper_id AS root FROM papers UNION SELECT g.y, w.root FROM walk w JOIN graph g ON g.x = w.node),
 member AS (SELECT node AS paper_id, min(root) AS group_id FROM walk GROUP BY node)
-SELECT group_id, arg_min(title, paper_id) AS title, arg_min(year, paper_id) AS year, max(citation_count)::bigint AS citation_count, bool_or(is_retracted) AS is_retracted, array_to_string(list_sort(list(DISTINCT source)), ',') AS sources,
-  max(conf) AS source_authority, count(*) AS provenance, round(sum((rank_signal * conf)::decimal(18,8)), 4)::double AS relevance
+SELECT group_id, arg_min(title, paper_id) AS title, arg_min(year, paper_id) FILTER (year IS NOT NULL) AS year, md5(arg_min(abstract, paper_id) FILTER (abstract <> '')) AS abstract, arg_min(venue, paper_id) FILTER (venue IS NOT NULL) AS venue, arg_min(given, paper_id) FILTER (given IS NOT NULL) AS doi, arg_min(pubmed_id, paper_id) FILTER (pubmed_id IS NOT NULL) AS pubmed_id,
+  arg_min(arxiv_id, paper_id) FILTER (arxiv_id IS NOT NULL) AS arxiv_id, max(citation_count)::bigint AS citation_count, bool_or(is_retracted) AS is_retracted, array_to_string(list_sort(list(DISTINCT source)), ',') AS sources, max(conf) AS source_authority, string_agg(concat(paper_id, ':', source), ',' ORDER BY paper_id) AS provenance,
+  array_to_string(list_sort(list(DISTINCT refs)), ',') AS referenced, round(sum((rank_signal * conf)::decimal(18,8)), 4)::double AS relevance
 FROM (SELECT *, CASE source WHEN 'pubmed' THEN 0.98 WHEN 'openalex' THEN 0.92 WHEN 'semantic_scholar' THEN 0.9 WHEN 'crossref' THEN 0.89 ELSE 0.84 END::double AS conf FROM papers JOIN member USING (paper_id)) GROUP BY group_id""",
     "search_quality_filter": _quality_sql(1995, 2020, True) + "SELECT study_id, source_authority, study_design_strength, methods_transparency, citation_impact, recency_fit, q_total, reject_reason FROM judged",
     "search_kept": _quality_sql(1900, 2100, False) + "SELECT study_id, row_number() OVER (ORDER BY q_total DESC, citation_count DESC, study_id) AS rank, citation_count FROM judged WHERE reject_reason IS NULL QUALIFY rank <= 2000",
@@ -347,6 +371,16 @@ FROM (SELECT *, CASE source WHEN 'pubmed' THEN 0.98 WHEN 'openalex' THEN 0.92 WH
     "evidence_table": _quality_sql(1900, 2100, False) + _claims_sql() + """, ranked AS (SELECT *, row_number() OVER (ORDER BY q_total DESC, citation_count DESC, study_id) AS rank FROM judged WHERE reject_reason IS NULL)
 SELECT rank, r.study_id, title, year, CASE WHEN length(s) <= 280 THEN s ELSE concat(substr(s, 1, 279), '...') END AS snippet, coalesce(proposition, 'mixed') AS proposition
 FROM (SELECT *, trim(regexp_replace(abstract, '\\s+', ' ', 'g')) AS s FROM ranked WHERE rank <= 200) r LEFT JOIN stances t ON t.study_id = r.study_id""",
+    "evidence_brief": _quality_sql(1900, 2100, False) + _claims_sql() + """, ranked AS (SELECT *, row_number() OVER (ORDER BY q_total DESC, citation_count DESC, study_id) AS rank FROM judged WHERE reject_reason IS NULL),
+o AS (SELECT string_agg(concat(study_id, ':-'), ',' ORDER BY rank) AS cited FROM ranked WHERE rank <= 3),
+nth AS (SELECT *, row_number() OVER (PARTITION BY outcome ORDER BY study_id, at_) AS k FROM claims),
+heads AS (SELECT outcome, string_agg(concat(study_id, ':', at_), ',' ORDER BY k) AS cited, string_agg(concat(study_id, ':', at_), ',' ORDER BY k) FILTER (k <= 2) AS two FROM nth WHERE k <= 3 GROUP BY outcome),
+placed AS (SELECT c.*, h.cited, h.two, row_number() OVER (ORDER BY claims DESC, f.study_id, f.at_) AS place, row_number() OVER (PARTITION BY disposition ORDER BY claims DESC, f.study_id, f.at_) AS torn FROM clusters c JOIN heads h USING (outcome) JOIN nth f ON f.outcome = c.outcome AND f.k = 1)
+SELECT 0::bigint AS position, concat('The search retained ', (SELECT count(*) FROM ranked), ' quality-screened studies after multi-source retrieval and strict filtering.') AS text, 'neutral' AS stance, coalesce((SELECT cited FROM o), '') AS citations
+UNION ALL SELECT place, CASE disposition WHEN 'conflicting' THEN concat('Evidence for ', outcome, ' is conflicting across the retrieved studies, with both positive and negative directions reported.') WHEN 'consensus_positive' THEN concat('Most studies indicate a positive association for ', outcome, '.')
+  WHEN 'consensus_negative' THEN concat('Most studies indicate a negative association for ', outcome, '.') ELSE concat('Findings related to ', outcome, ' are mixed and likely context-dependent.') END, CASE disposition WHEN 'conflicting' THEN 'conflicting' WHEN 'consensus_positive' THEN 'positive' WHEN 'consensus_negative' THEN 'negative' ELSE 'mixed' END, cited FROM placed WHERE place <= 3
+UNION ALL SELECT 4, 'At least one major proposition remains unresolved, so conclusions should be interpreted with explicit uncertainty.', 'conflicting', array_to_string(string_split(string_agg(two, ',' ORDER BY torn), ',')[1:3], ',') FROM placed WHERE disposition = 'conflicting' AND torn <= 3 HAVING count(*) > 0
+UNION ALL SELECT 1, 'No high-confidence effect statements were extractable from abstracts, so interpretation remains limited.', 'neutral', coalesce((SELECT cited FROM o), '') WHERE NOT EXISTS (SELECT 1 FROM claims)""",
     "query_first_version": f"""WITH questions AS ({_QUESTIONS}),
 n AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(trim(query), '\\b(better|best|worse|worst|superior|inferior)\\b', 'associated with', 'gi'), '\\b(more|less)\\s+(effective|efficient|beneficial)\\b', 'outcomes of', 'gi'), '\\beffects?\\s+of\\b', 'reported outcomes associated with', 'gi') AS q2,
   list_filter(regexp_split_to_array(regexp_replace(lower(query), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda w: w <> '' AND NOT list_contains({_LIST(_stop("RETRIEVAL_STOP_WORDS"))}, w)) AS kw FROM questions)

@@ -67,17 +67,19 @@ def fuzzy_edges(normalized: DataFrame, title_similarity: float = TITLE_SIMILARIT
     identifier: same year (or none), titles alike by trigrams, authors in common.
 
     Exact prefix filter instead of all pairs of a year: with the grams of a title in order of
-    rarity, two titles of Jaccard t share one of their first n - ceil(t n) + 1 grams.  Records
-    meet by (year, such a gram) and by a length that allows t, then the whole sets are compared.
+    rarity, two titles of Jaccard t share one of their first n - ceil(t n) + 1 grams, and
+    authors in common share a name.  Records meet by (year, name, such a gram) and by a length
+    that allows t, then the whole sets are compared.
     """
     held = normalized.where("key_type = 'fingerprint' and not is_deleted").select("record_id", "pub_year", "authors_norm", H.trigrams(F.coalesce("title_norm", F.lit(""))).alias("grams"))
     held = materialise(held.where(F.size("grams") > 0).withColumn("n", F.size("grams")), "grams")
-    each = held.select("record_id", "pub_year", "n", F.explode("grams").alias("gram"))
+    each = held.select("record_id", "pub_year", "n", "authors_norm", F.explode("grams").alias("gram"))
     rarity = each.groupBy("gram").agg(F.count(F.lit(1)).alias("uses"))
-    ranked = each.join(rarity, "gram").groupBy("record_id", "pub_year", "n").agg(F.array_sort(F.collect_list(F.struct("uses", "gram"))).alias("ordered"))
+    ranked = each.join(rarity, "gram").groupBy("record_id", "pub_year", "n", "authors_norm").agg(F.array_sort(F.collect_list(F.struct("uses", "gram"))).alias("ordered"))
     prefix = F.slice("ordered", F.lit(1), F.col("n") - F.ceil(F.lit(title_similarity) * F.col("n")).cast("int") + 1)
-    keys = ranked.select("record_id", "pub_year", "n", F.explode(prefix).alias("k")).select("record_id", "pub_year", "n", F.col("k.gram").alias("gram"))
-    keys = keys.withColumn("block", F.xxhash64(F.coalesce(F.col("pub_year"), F.lit(-1)), "gram"))
+    names = F.array_distinct(T.words(F.coalesce("authors_norm", F.lit("")), r"\|"))
+    keys = ranked.select("record_id", "pub_year", "n", F.explode(names).alias("name"), prefix.alias("firsts")).select("record_id", "pub_year", "n", "name", F.explode("firsts").alias("k"))
+    keys = keys.select("record_id", "pub_year", "n", F.xxhash64(F.coalesce(F.col("pub_year"), F.lit(-1)), "name", "k.gram").alias("block"))
     a, b = keys.alias("a"), keys.alias("b")
     # A length of at least t times the other's is needed for a Jaccard of t.
     lengths = (F.col("a.n") >= title_similarity * F.col("b.n")) & (F.col("b.n") >= title_similarity * F.col("a.n"))

@@ -200,22 +200,27 @@ def provider_health(log: DataFrame) -> DataFrame:
 
 
 def canonical_groups(papers: DataFrame) -> DataFrame:
-    """``papers`` (paper_id, doi, title, authors, year) with ``group_id``: equal identifiers, or
-    neighbouring years, title Jaccard of 0.78 and author Jaccard of 0.2, taken transitively.
+    """``papers`` (paper_id, doi, pubmed_id, arxiv_id, title, authors, year) with ``group_id``: an
+    equal identifier of any kind, or years at most one apart or missing, title Jaccard of 0.78
+    and author Jaccard of 0.2, taken transitively.
 
-    Text matches meet by (year, title token) of the tokens that a Jaccard of 0.78 needs one of,
-    the rarest first, so common words make no pairs.
+    Text matches meet by year and title token, of the tokens that a Jaccard of 0.78 needs one of,
+    the rarest first, so common words make no pairs; papers without a year meet all.
     """
-    base = papers.select("paper_id", "year", D.retrieval_doi(F.col("doi")).alias("doi"), H.claim_tokens(F.col("title")).alias("tokens"), H.claim_tokens(F.array_join("authors", " ")).alias("names"))
-    keys = base.where("doi <> ''").groupBy("doi").agg(F.min("paper_id").alias("a"))
-    by_key = base.join(keys, "doi").select("a", F.col("paper_id").alias("b")).where("a <> b")
+    kinds = {"doi": D.retrieval_doi(F.col("doi")), "pmid": F.col("pubmed_id").cast("string"), "arxiv": F.col("arxiv_id").cast("string")}
+    ids = papers.select("paper_id", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in kinds.items()])).alias("i")).where("i.value <> ''")
+    firsts = ids.groupBy("i").agg(F.min("paper_id").alias("a"))
+    by_key = ids.join(firsts, "i").select("a", F.col("paper_id").alias("b")).where("a <> b").distinct()
+    base = papers.select("paper_id", F.nullif("year", F.lit(0)).alias("year"), H.claim_tokens(F.col("title")).alias("tokens"), H.claim_tokens(F.array_join("authors", " ")).alias("names"))
     each = base.where(F.size("tokens") > 0).select("paper_id", "year", "tokens", "names", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     rarity = each.groupBy("token").agg(F.count(F.lit(1)).alias("uses"))
     order = Window.partitionBy("paper_id").orderBy("uses", "token")
     # A Jaccard of t with n tokens shares one of the first n - ceil(t n) + 1 in any fixed order.
     rare = each.join(rarity, "token").withColumn("at", F.row_number().over(order)).where(F.col("at") <= F.col("n") - F.ceil(0.78 * F.col("n")) + 1)
-    left = rare.select("token", F.col("paper_id").alias("a"), F.col("year").alias("year_a"), F.col("tokens").alias("tokens_a"), F.col("names").alias("names_a"), F.explode(F.array(F.col("year") - 1, F.col("year"), F.col("year") + 1)).alias("meet"))
-    right = rare.select("token", F.col("paper_id").alias("b"), F.col("year").alias("meet"), F.col("tokens").alias("tokens_b"), F.col("names").alias("names_b"))
+    year, none, any_year = F.col("year"), F.lit(-1), F.lit(-2)
+    asks = F.when(year.isNull(), F.array(any_year)).otherwise(F.array(year - 1, year, year + 1, none))
+    left = rare.select("token", F.col("paper_id").alias("a"), F.col("tokens").alias("tokens_a"), F.col("names").alias("names_a"), F.explode(asks).alias("meet"))
+    right = rare.select("token", F.col("paper_id").alias("b"), F.col("tokens").alias("tokens_b"), F.col("names").alias("names_b"), F.explode(F.array(F.coalesce(year, none), any_year)).alias("meet"))
     alike = (H.jaccard(F.col("tokens_a"), F.col("tokens_b")) >= 0.78) & (H.jaccard(F.col("names_a"), F.col("names_b")) >= 0.2)
     by_text = left.join(right, ["token", "meet"]).where((F.col("a") < F.col("b")) & alike).select("a", "b")
     found = components(by_key.union(by_text))
@@ -225,19 +230,22 @@ def canonical_groups(papers: DataFrame) -> DataFrame:
 
 
 def merge_groups(papers: DataFrame) -> DataFrame:
-    """One paper per ``group_id``: title, year and authors of the first; longest abstract; most
-    citations; any retraction; every source; rank signals times confidence, summed."""
+    """One paper per ``group_id``: title and authors of the first; of abstract, venue, year and
+    identifiers the first that is there; most citations; any retraction; every source and
+    reference; where each part came from; rank signals times confidence, summed."""
     first = F.col("paper_id")
     confidence = S.provider_confidence(F.col("source"))
+    there = lambda c: F.min_by(c, F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) != "", first)).alias(c)
+    part = F.struct("paper_id", F.col("source").alias("provider"), "rank_signal", confidence.alias("metadata_confidence"))
     return papers.groupBy("group_id").agg(
         F.min_by("title", first).alias("title"),
-        F.min_by("year", first).alias("year"),
-        F.max_by("abstract", F.struct(F.length("abstract"), F.col("paper_id"))).alias("abstract"),
+        *[there(c) for c in ("year", "abstract", "venue", "doi", "pubmed_id", "arxiv_id")],
         F.max("citation_count").alias("citation_count"),
         F.bool_or("is_retracted").alias("is_retracted"),
         F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("referenced_ids")))).alias("referenced_ids"),
         F.max(confidence).alias("source_authority"),
-        F.count(F.lit(1)).alias("provenance"),
+        F.array_sort(F.collect_list(part)).alias("provenance"),
         # Summed as decimals: the order of doubles would show.
         F.round(F.sum((F.col("rank_signal") * confidence).cast("decimal(18,8)")), 4).cast("double").alias("relevance"),
     )
@@ -334,3 +342,52 @@ def greedy_clusters(found: DataFrame, batch: str, key: str = "study_id", thresho
 def evidence_table(ranked: DataFrame, stances: DataFrame, most: int = 200, key: str = "study_id") -> DataFrame:
     """The first ``most`` ranked papers with their snippet and proposition."""
     return ranked.where(F.col("rank") <= most).join(stances, key, "left").select("rank", key, "title", "year", "q_total", T.shortened(F.col("abstract"), 280).alias("snippet"), F.coalesce("proposition", F.lit("mixed")).alias("proposition"))
+
+
+# --- the brief --------------------------------------------------------------------------------
+
+#: A brief's sentence and stance by disposition, and its other sentences.
+BRIEF = {
+    "conflicting": ("Evidence for %s is conflicting across the retrieved studies, with both positive and negative directions reported.", "conflicting"),
+    "consensus_positive": ("Most studies indicate a positive association for %s.", "positive"),
+    "consensus_negative": ("Most studies indicate a negative association for %s.", "negative"),
+    "mixed": ("Findings related to %s are mixed and likely context-dependent.", "mixed"),
+}
+OVERVIEW = "The search retained %d quality-screened studies after multi-source retrieval and strict filtering."
+UNRESOLVED = "At least one major proposition remains unresolved, so conclusions should be interpreted with explicit uncertainty."
+NOTHING = "No high-confidence effect statements were extractable from abstracts, so interpretation remains limited."
+
+
+def evidence_brief(ranked: DataFrame, found: DataFrame, by: str = "outcome", key: str = "study_id") -> DataFrame:
+    """Rows (position, text, stance, citations): a brief of ``ranked`` papers (key, rank) and the
+    claims found in them (key, at, outcome, direction), clustered by the column ``by``.
+
+    An overview that cites the three best papers; a sentence for each of the three largest
+    clusters (ties by first claim) with its first three claims; a warning if any cluster is
+    conflicting, with two claims of each of these and three in all; one sentence of its own if
+    there are no claims.  Citations are (paper, number of the sentence, null for the overview).
+    """
+    cite = F.struct(F.col(key).alias("paper"), F.col("at").cast("int").alias("at"))
+    kind = "array<struct<paper:long,at:int>>"
+    best = ranked.where("rank <= 3").agg(F.array_sort(F.collect_list(F.struct("rank", F.col(key).cast("long").alias("paper")))).alias("c"))
+    overview = F.transform("c", lambda x: F.struct(x["paper"].alias("paper"), F.lit(None).cast("int").alias("at"))).cast(kind)
+    counts = {d: F.count_if(F.col("direction") == d).alias(d) for d in ("positive", "negative", "neutral")}
+    clusters = found.groupBy(by).agg(*counts.values(), F.count(F.lit(1)).alias("claims"), F.min(F.struct(key, "at", "outcome")).alias("first"))
+    clusters = clusters.withColumn("disposition", disposition(F.col("positive"), F.col("negative"), F.col("neutral")))
+    order = [F.desc("claims"), F.col(f"first.{key}"), F.col("first.at")]
+    # The first claims of every cluster are kept where they are made; no cluster meets whole.
+    early = found.withColumn("nth", F.row_number().over(Window.partitionBy(by).orderBy(key, "at"))).where("nth <= 3")
+    numbered = lambda rows: rows.orderBy(*order).limit(3).withColumn("position", F.row_number().over(Window.orderBy(*order)))
+    anchors = early.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", cite.alias("c")))), lambda x: x["c"]).cast(kind).alias("citations"))
+    top = numbered(clusters).join(anchors, by)
+    text, stance = F, F
+    for name, (sentence, word) in BRIEF.items():
+        text, stance = text.when(F.col("disposition") == name, F.format_string(sentence, "first.outcome")), stance.when(F.col("disposition") == name, word)
+    said = top.select("position", text.alias("text"), stance.alias("stance"), "citations")
+    torn = numbered(clusters.where("disposition = 'conflicting'")).join(anchors, by)
+    pairs = F.slice(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("position", "citations"))), lambda x: F.slice(x["citations"], 1, 2))), 1, 3)
+    warning = torn.agg(F.count(F.lit(1)).alias("n"), pairs.alias("citations")).where("n > 0").select(F.lit(4).alias("position"), F.lit(UNRESOLVED).alias("text"), F.lit("conflicting").alias("stance"), "citations")
+    number = ranked.agg(F.count(F.lit(1)).alias("n")).withColumn("k", F.lit(1)).join(best.withColumn("k", F.lit(1)), "k").join(found.limit(1).agg(F.count(F.lit(1)).alias("some")).withColumn("k", F.lit(1)), "k")
+    opened = number.select(F.lit(0).alias("position"), F.format_string(OVERVIEW, "n").alias("text"), F.lit("neutral").alias("stance"), overview.alias("citations"))
+    silent = number.where("some = 0").select(F.lit(1).alias("position"), F.lit(NOTHING).alias("text"), F.lit("neutral").alias("stance"), overview.alias("citations"))
+    return opened.unionByName(said).unionByName(warning).unionByName(silent)
