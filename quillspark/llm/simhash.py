@@ -242,6 +242,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4) -> DataF
 
 #: Buckets in which uses of shingles are counted, and bits of a set's parity map.
 BUCKETS, PARITY = 1 << 16, 2048
+#: Remainders of text keys that may be broadcast to pick the texts to compare.
+FILTER = 1 << 20
 
 
 def with_keys(docs: DataFrame) -> DataFrame:
@@ -350,14 +352,18 @@ def alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, simil
     met = pairs.join(slim.toDF("a", "na", "bits_a"), "a").join(slim.toDF("b", "nb", "bits_b"), "b")
     near = materialise(met.where((F.abs(F.col("na") - F.col("nb")) <= most) & (differ <= most)).select("a", "b"), "near")
     wanted = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    owners = nodes.join(wanted, "node").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text"))
-    texts = docs.select("doc_id", "text_key", "text").join(owners, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_text"))).dropDuplicates(["doc_id", "text_key"])
+    owners = materialise(nodes.join(wanted, "node").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text")), "owners")
+    # Most texts fall out by the remainders of the wanted keys, at most FILTER numbers, before any text is shuffled.
+    remainder = lambda key: F.pmod(F.col(key), F.lit(FILTER)).alias("_r")
+    few = F.broadcast(owners.select(remainder("_text")).distinct())
+    possible = docs.select("doc_id", "text_key", "text", remainder("text_key")).join(few, "_r", "left_semi")
+    texts = possible.select("doc_id", "text_key", "text").join(owners, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_text"))).dropDuplicates(["doc_id", "text_key"])
     sets = materialise(shingle_sets(texts, words), "shingles")
     both = near.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     found = materialise(both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b"), "alike")
-    release(sets)
-    release(near)
+    for done in (sets, owners, near):
+        release(done)
     return found
 
 
