@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from ..operators.graph import components
 from ..storage import materialise, release, shared_dir
 
-__all__ = ["bounded_sample", "by_bytes", "components", "doc_bucket", "lookup", "materialise", "release", "shared_dir", "spread"]
+__all__ = ["bounded_sample", "by_bytes", "components", "doc_bucket", "gathered", "lookup", "materialise", "release", "shared_dir", "spread"]
 
 #: Rows of an Arrow batch of whole texts, at most; longer batches only take memory.
-BATCH_ROWS = 1000
+BATCH_ROWS = 250
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -31,6 +31,25 @@ def spread(df: DataFrame) -> DataFrame:
     return df
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Successive batches put together up to about ``most`` bytes of ``column``; longer ones are parted."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        n = batch.column(column).nbytes
+        if held and size + n > most:
+            yield from _joined(held, column, most)
+            held, size = [], 0
+        held.append(batch)
+        size += n
+    yield from _joined(held, column, most)
+
+
+def _joined(held: list[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
+    for batch in pa.Table.from_batches(held).combine_chunks().to_batches() if held else []:
+        yield from by_bytes(batch, column, most)
+
+
 def by_bytes(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The rows of a batch in parts of about ``most`` bytes of ``column``; a longer value is a part alone."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_bytes, materialise, spread
+from .common import gathered, materialise, spread
 from .tokens import default_tokenizer, tokenizer
 
 #: A bin's filling: (length, how many) pairs; a plan: (how many such bins, filling).
@@ -40,23 +40,22 @@ def tokenise(docs: DataFrame, tokenizer_path: str | None = None, capacity: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path)
-        for batch in batches:
-            for part in by_bytes(batch, "text"):
-                ids, bounds = tok.encode_array(part.column("text"))
-                ids = np.insert(ids, bounds[1:], end_id)
-                bounds = bounds + np.arange(len(bounds))
-                lengths = np.diff(bounds)
-                pieces = -(-lengths // capacity)
-                row = np.repeat(np.arange(part.num_rows), pieces)
-                piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-                start = piece * capacity
-                length = np.minimum(lengths[row] - start, capacity)
-                cuts = np.r_[0, np.cumsum(length)] * 4
-                raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(row), [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(ids)]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), raw],
-                    names=["doc_id", "piece", "start", "length", "ids"],
-                )
+        for part in gathered(batches, "text"):
+            ids, bounds = tok.encode_array(part.column("text"))
+            ids = np.insert(ids, bounds[1:], end_id)
+            bounds = bounds + np.arange(len(bounds))
+            lengths = np.diff(bounds)
+            pieces = -(-lengths // capacity)
+            row = np.repeat(np.arange(part.num_rows), pieces)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            start = piece * capacity
+            length = np.minimum(lengths[row] - start, capacity)
+            cuts = np.r_[0, np.cumsum(length)] * 4
+            raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(row), [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(ids)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id").take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), raw],
+                names=["doc_id", "piece", "start", "length", "ids"],
+            )
 
     return spread(docs.select("doc_id", "text")).mapInArrow(run, schema)
 
