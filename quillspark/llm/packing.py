@@ -24,18 +24,40 @@ Filling = tuple[tuple[int, int], ...]
 Plan = list[tuple[int, Filling]]
 
 
-def tokenise(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = 4096, end_id: int = 1) -> DataFrame:
+#: A piece's part of the table and its rank among the part's pieces of its length.
+_RANK_FIELDS = [T.StructField("_part", T.LongType()), T.StructField("_rank", T.LongType())]
+
+
+def _with_ranks(batches: Iterator[pa.RecordBatch], capacity: int) -> Iterator[pa.RecordBatch]:
+    """A task's batches of pieces with the columns of ``_RANK_FIELDS``."""
+    from pyspark import TaskContext
+
+    part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+    for batch in batches:
+        lengths = batch.column("length").to_numpy(zero_copy_only=False)
+        order = np.argsort(lengths, kind="stable")
+        ranks = np.empty(len(lengths), np.int64)
+        held = lengths[order]
+        starts = np.flatnonzero(np.r_[True, held[1:] != held[:-1]]) if len(held) else np.zeros(0, np.int64)
+        sizes = np.diff(np.r_[starts, len(held)])
+        ranks[order] = np.arange(len(held)) - np.repeat(starts, sizes) + seen[held]
+        np.add.at(seen, lengths, 1)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(lengths), part, np.int64)), pa.array(ranks)], names=[*batch.schema.names, "_part", "_rank"])
+
+
+def tokenise(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = 4096, end_id: int = 1, ranked: bool = False) -> DataFrame:
     """Rows (doc_id, piece, start, length, ids): the tokens of each text, then ``end_id``.
 
     Texts of more than ``capacity`` ids are cut into pieces of ``capacity``; the last may be
     shorter.  ``ids`` holds little-endian unsigned 32-bit integers.  A null text counts as
     empty and gives one piece of the end id alone.  Repeated rows give repeated pieces; other
-    columns are not read.
+    columns are not read.  With ``ranked`` the rows have the ranks that ``pack_ranked`` needs,
+    made in the same pass.
     """
     path = tokenizer_path or default_tokenizer()
     id_type = docs.schema["doc_id"].dataType
     schema = T.StructType(
-        [T.StructField("doc_id", id_type), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids", T.BinaryType())]
+        [T.StructField("doc_id", id_type), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids", T.BinaryType()), *(_RANK_FIELDS if ranked else [])]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,7 +79,10 @@ def tokenise(docs: DataFrame, tokenizer_path: str | None = None, capacity: int =
                 names=["doc_id", "piece", "start", "length", "ids"],
             )
 
-    return spread(docs.select("doc_id", "text")).mapInArrow(run, schema)
+    def run_ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _with_ranks(run(batches), capacity)
+
+    return spread(docs.select("doc_id", "text")).mapInArrow(run_ranked if ranked else run, schema)
 
 
 # --- the planner: bin completion over {length: count} -------------------------------------
@@ -241,37 +266,30 @@ def _slots(plan: Plan) -> dict[str, np.ndarray]:
 def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     """``pieces`` (any columns with ``length``, 1 to ``capacity``) with sequence_id and offset.
 
+    Columns named sequence_id, offset, ``_part`` or ``_rank`` are replaced.  An empty table gives
+    an empty result; rows with a null length raise.
+    """
+    plain = pieces.drop("sequence_id", "offset", "_part", "_rank")
+    return pack_ranked(plain.mapInArrow(lambda batches: _with_ranks(batches, capacity), T.StructType([*plain.schema.fields, *_RANK_FIELDS])), capacity)
+
+
+def pack_ranked(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
+    """``pack`` for pieces that ``tokenise`` has ranked.
+
     One pass writes the pieces with their rank among equal lengths of the same part; counts
     per (length, part) give each part its first rank.  Only the histogram reaches the driver,
     at most ``capacity`` rows, and the plan that the tasks get has at most a few rows for each
-    of its entries.  Columns named ``_part`` and ``_rank`` are not allowed.  An empty table
-    gives an empty result; rows with a null length raise.
+    of its entries.
     """
-    named = T.StructType([*pieces.schema.fields, T.StructField("_part", T.LongType()), T.StructField("_rank", T.LongType())])
-
-    def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for batch in batches:
-            lengths = batch.column("length").to_numpy(zero_copy_only=False)
-            order = np.argsort(lengths, kind="stable")
-            ranks = np.empty(len(lengths), np.int64)
-            held = lengths[order]
-            starts = np.flatnonzero(np.r_[True, held[1:] != held[:-1]]) if len(held) else np.zeros(0, np.int64)
-            sizes = np.diff(np.r_[starts, len(held)])
-            ranks[order] = np.arange(len(held)) - np.repeat(starts, sizes) + seen[held]
-            np.add.at(seen, lengths, 1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(lengths), part, np.int64)), pa.array(ranks)], names=[*batch.schema.names, "_part", "_rank"])
-
-    table = materialise(pieces.mapInArrow(tag, named), "pieces")
+    table = materialise(pieces, "pieces")
+    rest = [f for f in pieces.schema.fields if f.name not in ("_part", "_rank")]
     counts = table.groupBy("length", "_part").agg(F.count(F.lit(1)).alias("_n"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
     slots = _slots(bin_completion(histogram, capacity))
     before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.select("length", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    ranked = table.join(firsts, ["length", "_part"]).select(*pieces.columns, (F.col("_first") + F.col("_rank")).alias("_rank"))
-    placed = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    ranked = table.join(firsts, ["length", "_part"]).select(*[F.col(f"`{f.name}`") for f in rest], (F.col("_first") + F.col("_rank")).alias("_rank"))
+    placed = T.StructType([*rest, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = (slots["length"] << 48) + slots["start"] if slots["length"].size else np.zeros(0, np.int64)
@@ -289,4 +307,4 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
 
 def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = 4096) -> DataFrame:
     """Documents to packed pieces with their ids: (doc_id, piece, start, length, ids, sequence_id, offset)."""
-    return pack(tokenise(docs, tokenizer_path, capacity), capacity)
+    return pack_ranked(tokenise(docs, tokenizer_path, capacity, ranked=True), capacity)

@@ -136,3 +136,17 @@ def test_bin_completion_beats_best_fit():
 
 def test_empty_table(spark):
     assert packing.pack_documents(odd_documents(spark).where("false")).count() == 0
+
+
+def test_pack_keeps_columns_and_replaces_its_own(spark):
+    rows = [(k, 1 + k % 7, -1, -1, -1, -1, "x") for k in range(50)]
+    pieces = spark.createDataFrame(rows, "doc_id long, length long, sequence_id long, offset long, _part long, _rank long, note string")
+    out = packing.pack(pieces, 10)
+    assert out.columns == ["doc_id", "length", "note", "sequence_id", "offset"]
+    bins = {}
+    for r in out.collect():
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert sum(map(len, bins.values())) == 50 and len(bins) == packing.lower_bound(Counter(r[1] for r in rows), 10)
+    for held in bins.values():
+        ends = np.cumsum([n for _, n in sorted(held)])
+        assert ends[-1] <= 10 and [o for o, _ in sorted(held)] == [0, *ends[:-1].tolist()]
