@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunking, knn, langid, media, mixing, packing, quality, simhash, urlfilter, warc
+from . import bpe, chunking, fim, knn, langid, media, mixing, packing, quality, simhash, urlfilter, warc, whitening
 from .common import doc_bucket, materialise
 
 
@@ -182,6 +182,40 @@ from found
 """
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the 8 leading components of all vectors' covariance, scaled to unit variance."""
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", whitening.quantised(F.col("embedding")).alias("x"))
+    blocks = whitening.blocks_of(rows, "vec_id", "x")
+    return whitening.project(blocks, whitening.fit(blocks, components=8)).withColumnRenamed("id", "vec_id")
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The byte-level BPE ids of every whole text and the bytes they decode to, as digests."""
+    found = bpe.encode(_table(spark, sf_dir, "documents"), decoded=True)
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text cut at two drawn places and rearranged, and the text rebuilt from that."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = fim.transform(docs, F.concat(F.lit("1:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).select("doc_id", "fim.*")
+    digests = (F.sha2(c.cast("binary"), 256) for c in (F.col("output"), fim.restore(F.col("output"), F.col("form"))))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *[d.alias(name) for d, name in zip(digests, ("output_sha256", "restored_sha256"), strict=True)])
+
+
+OP13_SQL = """
+with units as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as u, sha256('1:' || coalesce(doc_id::varchar, '')) as h from documents),
+drawn as (select *, len(u)::bigint as n, ('0x' || h[1:8])::bigint as h1, ('0x' || h[9:16])::bigint as h2, ('0x' || h[17:24])::bigint as h3, ('0x' || h[25:32])::bigint as h4 from units),
+cut as (select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+    case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 90 then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end as form from drawn),
+parts as (select *, coalesce(array_to_string(u[1:a], ''), '') as prefix, coalesce(array_to_string(u[a + 1:b], ''), '') as middle, coalesce(array_to_string(u[b + 1:n], ''), '') as suffix from cut)
+select doc_id, n, form, case when form <> 'plain' then length(prefix) end as prefix_chars, case when form <> 'plain' then length(middle) end as middle_chars,
+    sha256(case form when 'plain' then text when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+    sha256(case form when 'plain' then text else prefix || middle || suffix end) as restored_sha256
+from parts
+"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -195,6 +229,9 @@ QUERIES = {
         op8_source_mixing,
         op9_substring_dedup,
         op10_revisit_resolution,
+        op11_embedding_whitening,
+        op12_byte_bpe,
+        op13_fill_in_middle,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op3_url_filters": OP3_SQL, "op5_exact_top_k": OP5_SQL, "op8_source_mixing": OP8_SQL, "op10_revisit_resolution": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_url_filters": OP3_SQL, "op5_exact_top_k": OP5_SQL, "op8_source_mixing": OP8_SQL, "op10_revisit_resolution": OP10_SQL, "op13_fill_in_middle": OP13_SQL}
