@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hashing, text as T
-from ..functions import similarity as H
-from ..operators import enrich
+from ..operators import enrich, titles
 from ..views import duck, view
+from .search import PAPERS, papers
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,11 +50,30 @@ def title_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def title_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """H9: titles within a few edits, among those with one opening and year."""
-    s = view(spark, sf_dir, "studies").select("study_id", "title", "year", F.substring("title", 1, 12).alias("opening"))
-    a, b = s.alias("a"), s.alias("b")
-    near = a.join(b, (F.col("a.opening") == F.col("b.opening")) & (F.col("a.year") == F.col("b.year")) & (F.col("a.study_id") < F.col("b.study_id")))
-    return near.where(H.within_edits(F.col("a.title"), F.col("b.title"))).select(F.col("a.study_id").alias("left_id"), F.col("b.study_id").alias("right_id"))
+    """H9: titles of one year within a few edits."""
+    s = view(spark, sf_dir, "studies").select(F.col("study_id").alias("id"), F.col("year").alias("block"), "title")
+    near = titles.edit_pairs(s, s).where("probe_id <> known_id")
+    # The longer title of two decides how many edits are allowed, so each pair is found from it.
+    return near.select(F.least("probe_id", "known_id").alias("left_id"), F.greatest("probe_id", "known_id").alias("right_id")).distinct()
+
+
+def arriving(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Studies and their repeats by another source, in order of arrival."""
+    held = papers(spark, sf_dir)
+    number = F.substring("paper_id", 2, 7).cast("long")
+    again = F.col("paper_id").startswith("q")
+    return held.select((number * 2 + F.when(again, 1 + number % 3 * 2000).otherwise(0)).alias("arrival"), "paper_id", F.when(number % 4 > 0, F.regexp_replace("doi", "^https://doi.org/", "")).alias("doi"), "title", "abstract", "citation_count", "pubmed_id", F.when(again, F.col("paper_id")).alias("openalex_id"))
+
+
+def legacy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Papers merged in order of arrival by identifier, sorted-word title or fewest edits."""
+    merged = titles.arrival_merge(arriving(spark, sf_dir))
+    return merged.select("arrival", "paper_id", "title", "doi", "pubmed_id", "openalex_id", F.md5("abstract").alias("abstract"), F.col("citation_count").cast("long").alias("citation_count"), "papers")
+
+
+def legacy_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each paper was merged by, and into which."""
+    return titles.arrival_parents(arriving(spark, sf_dir)).where("parent is not null").select("arrival", "parent", "reason")
 
 
 PAIRS = duck("studies") + """,
@@ -79,7 +98,15 @@ sims AS (SELECT *, 0.6::double * (len(list_intersect(ta, tb))::double / (len(ta)
   0.6::double * (len(list_intersect(wa, wb))::double / (len(wa) + len(wb) - len(list_intersect(wa, wb)))) + 0.4::double * (2.0::double * len(list_intersect(ha, hb)) / (len(ha) + len(hb))) AS vs FROM sets),
 scored AS (SELECT *, round((least(1, 0.55::double * ts + 0.20::double * au + 0.15::double * CASE abs(py - ry) WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0 END::double + 0.10::double * vs + CASE WHEN pd = rd THEN 0.1 ELSE 0 END::double))::decimal(18,10), 4)::double AS confidence, CASE provider WHEN 'crossref' THEN 0.89 ELSE 0.92 END::double AS trust FROM sims),
 best AS (SELECT *, CASE WHEN confidence >= 0.9 THEN 'accepted' WHEN confidence >= 0.75 THEN 'deferred' ELSE 'rejected' END AS outcome FROM (SELECT *, row_number() OVER (PARTITION BY p_id ORDER BY confidence DESC, trust DESC, r_id) AS place FROM scored) WHERE place = 1)"""
-QUERIES = {f.__name__: f for f in (enrich_candidates, enrich_best, enrich_outcomes, enrich_merge, title_fingerprints, title_edits)}
+LEGACY = PAPERS.replace("WITH ", "WITH RECURSIVE ", 1) + """,
+arriving AS (SELECT substr(paper_id, 2, 7)::bigint * 2 + CASE WHEN paper_id LIKE 'q%' THEN 1 + substr(paper_id, 2, 7)::bigint % 3 * 2000 ELSE 0 END AS arrival, paper_id, CASE WHEN substr(paper_id, 2, 7)::bigint % 4 > 0 THEN doi END AS doi, title, abstract, citation_count, pubmed_id, CASE WHEN paper_id LIKE 'q%' THEN paper_id END AS openalex_id FROM papers),
+keys AS (SELECT arrival, nullif(trim(lower(doi)), '') AS doi, array_to_string(list_sort(list_filter(string_split_regex(regexp_replace(lower(title), '[^\\p{L}\\p{N}\\s]', ' ', 'g'), '\\s+'), lambda w: w <> '')), ' ') AS key FROM arriving),
+known AS (SELECT key, min(arrival) AS first FROM keys GROUP BY key),
+exact AS (SELECT *, lag(arrival) OVER (PARTITION BY key ORDER BY arrival) AS by_title, CASE WHEN doi IS NOT NULL THEN lag(arrival) OVER (PARTITION BY doi ORDER BY arrival) END AS by_doi FROM keys),
+fuzzy AS (SELECT e.arrival, arg_min(k.key, {'d': levenshtein(e.key, k.key), 'first': k.first}) AS key FROM exact e JOIN known k ON k.first < e.arrival WHERE e.by_doi IS NULL AND e.by_title IS NULL AND levenshtein(e.key, k.key) <= CASE WHEN length(e.key) <= 40 THEN 2 ELSE 3 END GROUP BY e.arrival),
+edited AS (SELECT f.arrival, max(k.arrival) AS by_edits FROM fuzzy f JOIN keys k ON k.key = f.key AND k.arrival < f.arrival GROUP BY f.arrival),
+parents AS (SELECT arrival, coalesce(by_doi, by_title, by_edits) AS parent, CASE WHEN by_doi IS NOT NULL THEN 'doi_match' WHEN by_title IS NOT NULL THEN 'title_exact' WHEN by_edits IS NOT NULL THEN 'title_fuzzy' END AS reason FROM exact LEFT JOIN edited USING (arrival))"""
+QUERIES = {f.__name__: f for f in (enrich_candidates, enrich_best, enrich_outcomes, enrich_merge, title_fingerprints, title_edits, legacy_dedup, legacy_reasons)}
 ORACLE_SQL = {
     "enrich_candidates": PAIRS + " SELECT p_id, r_id FROM pairs",
     "enrich_best": BEST + " SELECT p_id, r_id, confidence, outcome FROM best",
@@ -90,5 +117,11 @@ w AS (SELECT *, CASE WHEN ok AND pd IS NULL AND rd IS NOT NULL THEN 'filled' END
 SELECT p_id, outcome, CASE WHEN wd IS NOT NULL THEN rd ELSE pd END AS doi, CASE WHEN wy IS NOT NULL THEN ry ELSE py END AS year, CASE WHEN wj IS NOT NULL THEN rj ELSE pj END AS journal, CASE WHEN wc IS NOT NULL THEN greatest(pc, rc) ELSE pc END::integer AS citation_count,
   concat_ws('|', 'doi=' || wd, 'year=' || wy, 'journal=' || wj, 'citation_count=' || wc, CASE WHEN pd <> rd THEN 'doi=doi_conflict' END) AS fields_applied, concat_ws('|', CASE WHEN pd <> rd THEN 'doi_conflict' END, CASE WHEN abs(py - ry) > 1 THEN 'year_out_of_range' END) AS reasons FROM w""",
     "title_fingerprints": duck("studies") + " SELECT study_id, sha1(concat(trim(regexp_replace(regexp_replace(lower(title), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')), '|lee a|', CASE WHEN study_id % 7 > 0 THEN year::varchar ELSE 'na' END)) AS lookup_key FROM studies",
-    "title_edits": duck("studies") + " SELECT a.study_id AS left_id, b.study_id AS right_id FROM studies a JOIN studies b ON substr(a.title, 1, 12) = substr(b.title, 1, 12) AND a.year = b.year AND a.study_id < b.study_id WHERE levenshtein(a.title, b.title) <= CASE WHEN greatest(length(a.title), length(b.title)) <= 40 THEN 2 ELSE 3 END",
+    "title_edits": duck("studies") + " SELECT a.study_id AS left_id, b.study_id AS right_id FROM studies a JOIN studies b ON a.year = b.year AND a.study_id < b.study_id WHERE levenshtein(a.title, b.title) <= CASE WHEN greatest(length(a.title), length(b.title)) <= 40 THEN 2 ELSE 3 END",
+    "legacy_dedup": LEGACY + """,
+walk AS (SELECT arrival, parent AS at FROM parents WHERE parent IS NOT NULL UNION ALL SELECT w.arrival, p.parent FROM walk w JOIN parents p ON p.arrival = w.at WHERE p.parent IS NOT NULL),
+roots AS (SELECT a.arrival, coalesce(min(w.at), a.arrival) AS root FROM arriving a LEFT JOIN walk w USING (arrival) GROUP BY a.arrival)
+SELECT root AS arrival, arg_min(paper_id, arrival) AS paper_id, arg_min(title, arrival) AS title, arg_min(doi, arrival) FILTER (doi <> '') AS doi, arg_min(pubmed_id, arrival) FILTER (pubmed_id <> '') AS pubmed_id, arg_min(openalex_id, arrival) FILTER (openalex_id <> '') AS openalex_id,
+  md5(arg_max(abstract, {'n': length(abstract), 'first': -arrival}) FILTER (abstract <> '')) AS abstract, max(citation_count)::bigint AS citation_count, count(*) AS papers FROM arriving JOIN roots USING (arrival) GROUP BY root""",
+    "legacy_reasons": LEGACY + " SELECT arrival, parent, reason FROM parents WHERE parent IS NOT NULL",
 }

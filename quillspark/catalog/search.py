@@ -215,6 +215,12 @@ def marked_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 STUDIES = duck("studies")
+#: The papers of ``papers``; doi in its plain form, ``given`` as it came.
+PAPERS = STUDIES + """,
+own AS (SELECT concat('p', lpad(study_id::varchar, 7, '0')) AS paper_id, CASE WHEN study_id % 2 = 0 THEN concat('10.5555/', study_id) END AS doi, CASE WHEN study_id % 5 = 1 THEN concat('pm', study_id) END AS pubmed_id, CASE WHEN study_id % 5 = 2 THEN study_id::varchar END AS arxiv_id, title,
+  CASE WHEN study_id % 9 = 0 THEN '' ELSE abstract END AS abstract, CASE WHEN study_id % 17 > 0 THEN year END AS year, CASE WHEN study_id % 2 = 1 THEN 'Journal' END AS venue, source, citation_count, is_retracted, round(1.0::double / (1 + study_id % 25), 4) AS rank_signal, concat('Lee A Kim ', study_id) AS names, concat('r', study_id % 10) AS refs, study_id FROM studies),
+papers AS (SELECT * EXCLUDE (study_id), doi AS given FROM own UNION ALL SELECT concat('q', substr(paper_id, 2)), CASE WHEN study_id % 5 <> 1 THEN doi END, pubmed_id, arxiv_id, CASE WHEN study_id % 5 = 1 THEN 'Untitled' ELSE concat(upper(title), '.') END, 'A later abstract.', CASE WHEN study_id % 17 <> 3 THEN coalesce(year, 2001) END, 'Other', 'crossref', citation_count + 5, is_retracted, rank_signal, names, concat('s', study_id % 10),
+  CASE WHEN study_id % 5 <> 1 THEN 'https://doi.org/' || upper(doi) END FROM own WHERE study_id % 3 = 0)"""
 _LIST = lambda items: "[" + ", ".join(f"'{x}'" for x in items) + "]"
 
 
@@ -348,11 +354,7 @@ SELECT cited, min(seed_rank) AS seed_rank FROM refs WHERE cited IN (SELECT study
     "citation_counts": "SELECT l_partkey AS cited, count(*) AS citations, count(DISTINCT l_orderkey) AS citing_works FROM lineitem GROUP BY l_partkey",
     "provider_coverage": LOG + " SELECT count(DISTINCT provider) AS queried, count(DISTINCT provider) FILTER (NOT ok) AS failed, array_to_string(list_sort(list(DISTINCT provider) FILTER (NOT ok)), ',') AS failed_providers, count(*) FILTER (NOT ok) > 0 AS degraded FROM log",
     "provider_health": LOG + " SELECT provider, count(*) AS calls, round(avg((NOT ok)::int::double), 4) AS error_rate, round(avg(latency_ms), 2) AS latency_ms, arg_max(ok, (ts, call_id)) AS last_ok FROM log GROUP BY provider",
-    "search_canonicalize": STUDIES.replace("WITH", "WITH RECURSIVE", 1) + f""",
-own AS (SELECT concat('p', lpad(study_id::varchar, 7, '0')) AS paper_id, CASE WHEN study_id % 2 = 0 THEN concat('10.5555/', study_id) END AS doi, CASE WHEN study_id % 5 = 1 THEN concat('pm', study_id) END AS pubmed_id, CASE WHEN study_id % 5 = 2 THEN study_id::varchar END AS arxiv_id, title,
-  CASE WHEN study_id % 9 = 0 THEN '' ELSE abstract END AS abstract, CASE WHEN study_id % 17 > 0 THEN year END AS year, CASE WHEN study_id % 2 = 1 THEN 'Journal' END AS venue, source, citation_count, is_retracted, round(1.0::double / (1 + study_id % 25), 4) AS rank_signal, concat('Lee A Kim ', study_id) AS names, concat('r', study_id % 10) AS refs, study_id FROM studies),
-papers AS (SELECT * EXCLUDE (study_id), doi AS given FROM own UNION ALL SELECT concat('q', substr(paper_id, 2)), CASE WHEN study_id % 5 <> 1 THEN doi END, pubmed_id, arxiv_id, CASE WHEN study_id % 5 = 1 THEN 'Untitled' ELSE concat(upper(title), '.') END, 'A later abstract.', CASE WHEN study_id % 17 <> 3 THEN coalesce(year, 2001) END, 'Other', 'crossref', citation_count + 5, is_retracted, rank_signal, names, concat('s', study_id % 10),
-  CASE WHEN study_id % 5 <> 1 THEN 'https://doi.org/' || upper(doi) END FROM own WHERE study_id % 3 = 0),
+    "search_canonicalize": PAPERS.replace("WITH", "WITH RECURSIVE", 1) + f""",
 sets AS (SELECT paper_id, doi, pubmed_id, arxiv_id, year, list_distinct(list_filter(regexp_split_to_array(lower(title), '[^a-z0-9]+'), lambda w: length(w) > 2 AND NOT list_contains({_LIST(_stop("CLAIM_STOP_WORDS"))}, w))) AS tk, list_distinct(list_filter(regexp_split_to_array(lower(names), '[^a-z0-9]+'), lambda w: length(w) > 2 AND NOT list_contains({_LIST(_stop("CLAIM_STOP_WORDS"))}, w))) AS nm FROM papers),
 pair AS (SELECT a.paper_id AS a, b.paper_id AS b, len(list_intersect(a.tk, b.tk))::double AS t, len(a.tk) + len(b.tk) AS tn, len(list_intersect(a.nm, b.nm))::double AS n, len(a.nm) + len(b.nm) AS nn FROM sets a JOIN sets b ON a.paper_id < b.paper_id AND (a.year IS NULL OR b.year IS NULL OR abs(a.year - b.year) <= 1)),
 near AS (SELECT a, b FROM pair WHERE t / (tn - t) >= 0.78::double AND n / (nn - n) >= 0.2::double UNION SELECT a.paper_id, b.paper_id FROM sets a JOIN sets b ON a.paper_id < b.paper_id AND (a.doi = b.doi OR a.pubmed_id = b.pubmed_id OR a.arxiv_id = b.arxiv_id)),
