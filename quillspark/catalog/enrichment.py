@@ -11,21 +11,31 @@ from ..views import duck, view
 from .search import PAPERS, papers
 
 
-def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidate pairs of studies and of references that repeat two studies of three, slightly
-    changed; one in five has an identifier on both sides."""
+def records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Studies, and references of two sources that repeat two studies of three, slightly changed,
+    one in seven in both; one in five has an identifier on both sides."""
     s = view(spark, sf_dir, "studies")
     doi = F.when(F.col("study_id") % 5 == 0, F.concat(F.lit("10.5555/"), F.col("study_id").cast("string")))
     base = s.select(F.col("study_id").alias("id"), doi.alias("doi"), "title", F.array(F.lit("Lee A"), F.concat(F.lit("Kim "), F.col("study_id").cast("string"))).alias("authors"), "year", F.col("source").alias("venue"), "citation_count", "source", F.when(F.col("study_id") % 4 > 0, "Journal of Sleep").alias("journal"))
-    changed = base.where("id % 3 <> 0").withColumns(
-        {"title": F.when(F.col("id") % 2 == 0, F.upper("title")).otherwise(F.concat("title", F.lit(" revised"))), "year": (F.col("year") + F.col("id") % 3 - 1).cast("int"), "citation_count": F.col("citation_count") + 7, "journal": F.when(F.col("id") % 2 == 0, "JOURNAL OF SLEEP").otherwise("Annals"), "provider": F.when(F.col("id") % 4 < 2, "crossref").otherwise("openalex")}
+    of = F.when(F.col("id") % 7 == 0, F.array(F.lit("crossref"), F.lit("openalex"))).when(F.col("id") % 4 < 2, F.array(F.lit("crossref"))).otherwise(F.array(F.lit("openalex")))
+    changed = base.where("id % 3 <> 0").withColumn("provider", F.explode(of)).withColumns(
+        {"title": F.when(F.col("id") % 2 == 0, F.upper("title")).otherwise(F.concat("title", F.lit(" revised"))), "year": (F.col("year") + F.col("id") % 3 - 1).cast("int"), "citation_count": F.col("citation_count") + 7, "journal": F.when(F.col("id") % 2 == 0, "JOURNAL OF SLEEP").otherwise("Annals"), "id": F.col("id") * 2 + (F.col("provider") == "openalex").cast("long")}
     )
-    return enrich.candidates(base, changed)
+    return base, changed
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enrich.candidates(*records(spark, sf_dir))
+
+
+def enrich_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five references of each source whose titles share most with a study's."""
+    return enrich.best_titles(*records(spark, sf_dir))
 
 
 def enrich_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs by identifier, else by the two rarest title tokens."""
-    return pairs(spark, sf_dir).select("p_id", "r_id")
+    """By identifier, else the five best titles; the second source where the first stays below 0.9."""
+    return pairs(spark, sf_dir).select("p_id", "r_id", F.col("r_provider").alias("provider"))
 
 
 def enrich_best(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,8 +44,10 @@ def enrich_best(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def enrich_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many studies each outcome has."""
-    return enrich.best_candidates(pairs(spark, sf_dir)).groupBy("outcome").agg(F.count(F.lit(1)).alias("papers"))
+    """How many studies each outcome has, not_found where no source has a candidate."""
+    best = enrich.best_candidates(pairs(spark, sf_dir)).select(F.col("p_id").alias("id"), "outcome")
+    every = records(spark, sf_dir)[0].select("id").join(best, "id", "left")
+    return every.groupBy(F.coalesce("outcome", F.lit("not_found")).alias("outcome")).agg(F.count(F.lit(1)).alias("papers"))
 
 
 def enrich_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,26 +90,33 @@ def legacy_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PAIRS = duck("studies") + """,
 base AS (SELECT study_id AS id, CASE WHEN study_id % 5 = 0 THEN concat('10.5555/', study_id) END AS doi, title, ['lee a', concat('kim ', study_id)] AS authors, year, source AS venue, citation_count, source, CASE WHEN study_id % 4 > 0 THEN 'Journal of Sleep' END AS journal FROM studies),
-ref AS (SELECT * REPLACE (CASE WHEN id % 2 = 0 THEN 'JOURNAL OF SLEEP' ELSE 'Annals' END AS journal, CASE WHEN id % 2 = 0 THEN upper(title) ELSE concat(title, ' revised') END AS title, (year + id % 3 - 1)::int AS year, citation_count + 7 AS citation_count), CASE WHEN id % 4 < 2 THEN 'crossref' ELSE 'openalex' END AS provider FROM base WHERE id % 3 <> 0),
-by_doi AS (SELECT p.id AS p_id, r.id AS r_id FROM base p JOIN ref r ON p.doi = r.doi),
-rest AS (SELECT * FROM base WHERE doi IS NULL OR doi NOT IN (SELECT doi FROM ref WHERE doi IS NOT NULL)),
-rt AS (SELECT id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(title), '[^a-z0-9]+'), lambda w: length(w) > 2 AND NOT list_contains(['a','an','and','are','as','at','by','for','from','in','is','it','of','on','or','that','the','to','with'], w)))) AS token FROM ref),
-pt AS (SELECT id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(title), '[^a-z0-9]+'), lambda w: length(w) > 2 AND NOT list_contains(['a','an','and','are','as','at','by','for','from','in','is','it','of','on','or','that','the','to','with'], w)))) AS token FROM rest),
+of AS (SELECT *, unnest(CASE WHEN id % 7 = 0 THEN ['crossref', 'openalex'] WHEN id % 4 < 2 THEN ['crossref'] ELSE ['openalex'] END) AS provider FROM base WHERE id % 3 <> 0),
+ref AS (SELECT * REPLACE (CASE WHEN id % 2 = 0 THEN 'JOURNAL OF SLEEP' ELSE 'Annals' END AS journal, CASE WHEN id % 2 = 0 THEN upper(title) ELSE concat(title, ' revised') END AS title, (year + id % 3 - 1)::int AS year, citation_count + 7 AS citation_count, id * 2 + (provider = 'openalex')::bigint AS id) FROM of),
+rt AS (SELECT id, provider, unnest(list_distinct(list_filter(regexp_split_to_array(lower(title), '[^a-z0-9]+'), lambda w: length(w) > 2 AND NOT list_contains(['a','an','and','are','as','at','by','for','from','in','is','it','of','on','or','that','the','to','with'], w)))) AS token FROM ref),
+pt AS (SELECT id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(title), '[^a-z0-9]+'), lambda w: length(w) > 2 AND NOT list_contains(['a','an','and','are','as','at','by','for','from','in','is','it','of','on','or','that','the','to','with'], w)))) AS token FROM base),
 uses AS (SELECT token, count(*) AS n FROM rt GROUP BY token),
-rare AS (SELECT id, array_to_string(list_sort(list(token)), '|') AS key FROM (SELECT pt.id, token, row_number() OVER (PARTITION BY pt.id ORDER BY n, token) AS k FROM pt JOIN uses USING (token)) WHERE k <= 2 GROUP BY id),
-keyed AS (SELECT id, token AS key FROM rt UNION ALL SELECT a.id, concat(a.token, '|', b.token) FROM rt a JOIN rt b ON a.id = b.id AND a.token < b.token),
-pairs AS (SELECT * FROM by_doi UNION ALL SELECT rare.id, keyed.id FROM rare JOIN keyed USING (key))"""
-BEST = PAIRS + """,
+weights AS (SELECT pt.id, pt.token, round(ln(1.0::double + (SELECT count(*) FROM ref) / coalesce(n, 1)::double), 6)::decimal(18,6) AS w FROM pt LEFT JOIN uses USING (token)),
+whole AS (SELECT id, sum(w) AS total FROM weights GROUP BY id),
+sizes AS (SELECT id, count(*) AS size FROM rt GROUP BY id),
+met AS (SELECT w.id AS p_id, r.id AS r_id, r.provider, sum(w.w) AS score FROM weights w JOIN rt r USING (token) GROUP BY ALL),
+by_title AS (SELECT p_id, r_id, provider FROM met JOIN whole h ON h.id = p_id JOIN sizes z ON z.id = r_id WHERE score >= total * 0.5 QUALIFY row_number() OVER (PARTITION BY p_id, provider ORDER BY score DESC, size, r_id) <= 5)"""
+FOUND = """,
+by_doi AS (SELECT p.id AS p_id, r.id AS r_id, provider FROM base p JOIN ref r ON p.doi = r.doi),
+crossref AS (SELECT * FROM by_doi WHERE provider = 'crossref' UNION ALL SELECT * FROM by_title WHERE provider = 'crossref' AND p_id NOT IN (SELECT p_id FROM by_doi WHERE provider = 'crossref')),
+openalex AS (SELECT * FROM by_doi WHERE provider = 'openalex' UNION ALL SELECT * FROM by_title WHERE provider = 'openalex' AND p_id IN (SELECT id FROM base WHERE doi IS NULL)),
+all_pairs AS (SELECT p_id, r_id FROM crossref UNION ALL SELECT p_id, r_id FROM openalex)"""
+BEST = PAIRS + FOUND + """,
 texts AS (SELECT p_id, r_id, p.doi AS pd, r.doi AS rd, p.year AS py, r.year AS ry, p.citation_count AS pc, r.citation_count AS rc, r.provider, p.source AS ps, p.journal AS pj, r.journal AS rj, p.venue = r.venue AS same_venue,
   trim(regexp_replace(regexp_replace(lower(p.title), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS a, trim(regexp_replace(regexp_replace(lower(r.title), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS b,
-  len(list_intersect(p.authors, r.authors))::double / 2 AS au, replace(p.venue, '_', ' ') AS va, replace(r.venue, '_', ' ') AS vb FROM pairs JOIN base p ON p.id = p_id JOIN ref r ON r.id = r_id),
+  len(list_intersect(p.authors, r.authors))::double / 2 AS au, replace(p.venue, '_', ' ') AS va, replace(r.venue, '_', ' ') AS vb FROM all_pairs JOIN base p ON p.id = p_id JOIN ref r ON r.id = r_id),
 sets AS (SELECT *, list_distinct(list_filter(string_split(a, ' '), lambda w: length(w) > 1)) AS ta, list_distinct(list_filter(string_split(b, ' '), lambda w: length(w) > 1)) AS tb,
   list_distinct(list_transform(range(1, length(a)), lambda i: substr(a, i, 2))) AS ga, list_distinct(list_transform(range(1, length(b)), lambda i: substr(b, i, 2))) AS gb,
   list_distinct(string_split(va, ' ')) AS wa, list_distinct(string_split(vb, ' ')) AS wb, list_distinct(list_transform(range(1, length(va)), lambda i: substr(va, i, 2))) AS ha, list_distinct(list_transform(range(1, length(vb)), lambda i: substr(vb, i, 2))) AS hb FROM texts),
 sims AS (SELECT *, 0.6::double * (len(list_intersect(ta, tb))::double / (len(ta) + len(tb) - len(list_intersect(ta, tb)))) + 0.4::double * (2.0::double * len(list_intersect(ga, gb)) / (len(ga) + len(gb))) AS ts,
   0.6::double * (len(list_intersect(wa, wb))::double / (len(wa) + len(wb) - len(list_intersect(wa, wb)))) + 0.4::double * (2.0::double * len(list_intersect(ha, hb)) / (len(ha) + len(hb))) AS vs FROM sets),
 scored AS (SELECT *, round((least(1, 0.55::double * ts + 0.20::double * au + 0.15::double * CASE abs(py - ry) WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0 END::double + 0.10::double * vs + CASE WHEN pd = rd THEN 0.1 ELSE 0 END::double))::decimal(18,10), 4)::double AS confidence, CASE provider WHEN 'crossref' THEN 0.89 ELSE 0.92 END::double AS trust FROM sims),
-best AS (SELECT *, CASE WHEN confidence >= 0.9 THEN 'accepted' WHEN confidence >= 0.75 THEN 'deferred' ELSE 'rejected' END AS outcome FROM (SELECT *, row_number() OVER (PARTITION BY p_id ORDER BY confidence DESC, trust DESC, r_id) AS place FROM scored) WHERE place = 1)"""
+pairs AS (SELECT * FROM scored WHERE provider = 'crossref' OR p_id NOT IN (SELECT p_id FROM scored WHERE provider = 'crossref' AND confidence >= 0.9)),
+best AS (SELECT *, CASE WHEN confidence >= 0.9 THEN 'accepted' WHEN confidence >= 0.75 THEN 'deferred' ELSE 'rejected' END AS outcome FROM (SELECT *, row_number() OVER (PARTITION BY p_id ORDER BY confidence DESC, trust DESC, r_id) AS place FROM pairs) WHERE place = 1)"""
 LEGACY = PAPERS.replace("WITH ", "WITH RECURSIVE ", 1) + """,
 arriving AS (SELECT substr(paper_id, 2, 7)::bigint * 2 + CASE WHEN paper_id LIKE 'q%' THEN 1 + substr(paper_id, 2, 7)::bigint % 3 * 2000 ELSE 0 END AS arrival, paper_id, CASE WHEN substr(paper_id, 2, 7)::bigint % 4 > 0 THEN doi END AS doi, title, abstract, citation_count, pubmed_id, CASE WHEN paper_id LIKE 'q%' THEN paper_id END AS openalex_id FROM papers),
 keys AS (SELECT arrival, nullif(trim(lower(doi)), '') AS doi, array_to_string(list_sort(list_filter(string_split_regex(regexp_replace(lower(title), '[^\\p{L}\\p{N}\\s]', ' ', 'g'), '\\s+'), lambda w: w <> '')), ' ') AS key FROM arriving),
@@ -106,11 +125,12 @@ exact AS (SELECT *, lag(arrival) OVER (PARTITION BY key ORDER BY arrival) AS by_
 fuzzy AS (SELECT e.arrival, arg_min(k.key, {'d': levenshtein(e.key, k.key), 'first': k.first}) AS key FROM exact e JOIN known k ON k.first < e.arrival WHERE e.by_doi IS NULL AND e.by_title IS NULL AND levenshtein(e.key, k.key) <= CASE WHEN length(e.key) <= 40 THEN 2 ELSE 3 END GROUP BY e.arrival),
 edited AS (SELECT f.arrival, max(k.arrival) AS by_edits FROM fuzzy f JOIN keys k ON k.key = f.key AND k.arrival < f.arrival GROUP BY f.arrival),
 parents AS (SELECT arrival, coalesce(by_doi, by_title, by_edits) AS parent, CASE WHEN by_doi IS NOT NULL THEN 'doi_match' WHEN by_title IS NOT NULL THEN 'title_exact' WHEN by_edits IS NOT NULL THEN 'title_fuzzy' END AS reason FROM exact LEFT JOIN edited USING (arrival))"""
-QUERIES = {f.__name__: f for f in (enrich_candidates, enrich_best, enrich_outcomes, enrich_merge, title_fingerprints, title_edits, legacy_dedup, legacy_reasons)}
+QUERIES = {f.__name__: f for f in (enrich_titles, enrich_candidates, enrich_best, enrich_outcomes, enrich_merge, title_fingerprints, title_edits, legacy_dedup, legacy_reasons)}
 ORACLE_SQL = {
-    "enrich_candidates": PAIRS + " SELECT p_id, r_id FROM pairs",
+    "enrich_titles": PAIRS + " SELECT * FROM by_title",
+    "enrich_candidates": BEST + " SELECT p_id, r_id, provider FROM pairs",
     "enrich_best": BEST + " SELECT p_id, r_id, confidence, outcome FROM best",
-    "enrich_outcomes": BEST + " SELECT outcome, count(*) AS papers FROM best GROUP BY outcome",
+    "enrich_outcomes": BEST + " SELECT coalesce(outcome, 'not_found') AS outcome, count(*) AS papers FROM base LEFT JOIN best ON id = p_id GROUP BY ALL",
     "enrich_merge": BEST + """, ev AS (SELECT *, trust * confidence AS e, CASE ps WHEN 'pubmed' THEN 0.98 WHEN 'openalex' THEN 0.92 WHEN 'semantic_scholar' THEN 0.9 WHEN 'arxiv' THEN 0.84 END::double * 0.8::double AS own, outcome = 'accepted' AS ok FROM best),
 w AS (SELECT *, CASE WHEN ok AND pd IS NULL AND rd IS NOT NULL THEN 'filled' END AS wd, CASE WHEN ok AND abs(py - ry) = 1 AND e >= own + 0.05::double THEN 'higher_evidence' END AS wy,
   CASE WHEN ok AND pj IS NULL THEN 'filled' WHEN ok AND lower(pj) = lower(rj) AND pj <> rj AND e >= own + 0.03::double THEN 'higher_evidence' END AS wj, CASE WHEN ok AND rc > pc THEN 'max_trusted' END AS wc FROM ev)

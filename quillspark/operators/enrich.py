@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from ..functions import scores as S
 from ..functions import similarity as H
 from ..functions import text as T
+from ..storage import materialise
 
 #: Weights of title, authors, year and venue, and the bonus of equal identifiers.
 WEIGHTS = (0.55, 0.20, 0.15, 0.10)
 DOI_BONUS = 0.1
+#: Fixed value: the confidence from which a candidate is accepted, and no second source is asked.
+ACCEPTED = 0.9
 #: Days that a cached answer is good for, by kind; and days it may be served stale.
 TTL_DAYS = {"doi": 30, "title": 7, "unresolved": 1}
 STALE_DAYS = 90
@@ -35,30 +38,84 @@ def _features(df: DataFrame, side: str) -> DataFrame:
     ).drop("_t", "_v")
 
 
-def candidates(papers: DataFrame, references: DataFrame) -> DataFrame:
-    """Pairs of a paper and a reference that share an identifier, or the paper's two rarest title
-    tokens.
+def title_sets(df: DataFrame) -> DataFrame:
+    """Rows (id, provider, tokens, of_set) of ``df``: the sorted distinct title tokens of three
+    letters or more, stop words aside, and the hash of the set."""
+    tokens = F.array_sort(H.claim_tokens(F.coalesce("title", F.lit(""))))
+    return df.select("id", "provider", tokens.alias("tokens")).where(F.size("tokens") > 0).withColumn("of_set", F.xxhash64(F.array_join("tokens", " ")))
+
+
+def _first_of_sets(sets: DataFrame, k: int, salts: int = 64) -> DataFrame:
+    """The k smallest ids of each provider's rows of one token set: rows (provider, of_set, ids).
+
+    First within shares of the ids, then over the shares, so a set of any size is no task's."""
+    def first(rows: DataFrame, *by: str) -> DataFrame:
+        return rows.withColumn("nth", F.row_number().over(Window.partitionBy(*by).orderBy("id"))).where(F.col("nth") <= k).drop("nth")
+
+    salted = sets.select("provider", "of_set", "id", (F.xxhash64("id") % salts).alias("salt"))
+    return first(first(salted, "provider", "of_set", "salt"), "provider", "of_set").groupBy("provider", "of_set").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+
+
+def best_titles(papers: DataFrame, references: DataFrame, k: int = 5, least: float = 0.5) -> DataFrame:
+    """Rows (p_id, r_id, provider): the ``k`` references of each provider whose titles share most
+    with the paper's, by the weight of the shared tokens.
+
+    A token weighs ln(1 + references / its references), one that no reference has as if one had.
+    Only references that share ``least`` of the weight of the paper's title count; ties go to the
+    title of fewer tokens, then to the smaller id.  A paper's tokens are looked up from the
+    heaviest on, as long as those that are left weigh enough to reach ``least``: titles without
+    any of these can't.  Equal token sets are looked up once and stand in the index once, with
+    their k smallest ids, so copies of a title make no pairs.
+    """
+    asked, held = title_sets(papers.withColumn("provider", F.lit(None).cast("string"))), materialise(title_sets(references), "held")
+    size = held.count()
+    known = held.select("of_set", "tokens").dropDuplicates(["of_set"])
+    uses = held.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("uses"))
+    each = asked.select("of_set", "tokens").dropDuplicates(["of_set"]).select("of_set", F.posexplode("tokens").alias("at", "token"))
+    # Rounded as decimals, so that sums don't depend on their order.
+    weight = F.round(F.log(1.0 + size / F.coalesce("uses", F.lit(1))), 6).cast("decimal(18,6)")
+    weighed = each.join(uses, "token", "left").select("of_set", "token", "uses", weight.alias("w"))
+    order = Window.partitionBy("of_set").orderBy(F.desc("w"), "token")
+    rest = F.sum("w").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    total = F.sum("w").over(Window.partitionBy("of_set"))
+    ranged = materialise(weighed.withColumns({"rest": rest, "total": total}), "weighed")
+    asks = ranged.where((F.col("rest") >= F.col("total") * least) & F.col("uses").isNotNull()).select(F.col("of_set").alias("p_set"), "token")
+    index = known.select(F.col("of_set").alias("r_set"), F.explode("tokens").alias("token"))
+    met = asks.join(index, "token").select("p_set", "r_set").distinct()
+    mine = ranged.groupBy(F.col("of_set").alias("p_set")).agg(F.collect_list(F.struct("token", "w")).alias("weights"), F.max("total").alias("total"))
+    both = met.join(mine, "p_set").join(known.select(F.col("of_set").alias("r_set"), F.col("tokens").alias("r_tokens")), "r_set")
+    shared = F.aggregate(F.filter("weights", lambda x: F.array_contains(F.col("r_tokens"), x["token"])), F.lit(0).cast("decimal(28,6)"), lambda s, x: (s + x["w"]).cast("decimal(28,6)"))
+    scored = both.select("p_set", "r_set", shared.alias("score"), F.size("r_tokens").alias("n"), "total").where(F.col("score") >= F.col("total") * least)
+    rows = scored.join(_first_of_sets(held, k).withColumnRenamed("of_set", "r_set"), "r_set").select("p_set", "provider", "score", "n", F.explode("ids").alias("r_id"))
+    best = Window.partitionBy("p_set", "provider").orderBy(F.desc("score"), "n", "r_id")
+    top = rows.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).select("p_set", "provider", "r_id")
+    return asked.select(F.col("id").alias("p_id"), F.col("of_set").alias("p_set")).join(top, "p_set").select("p_id", "r_id", "provider")
+
+
+def candidates(papers: DataFrame, references: DataFrame, sources: tuple[str, str] = ("crossref", "openalex"), k: int = 5) -> DataFrame:
+    """Pairs of a paper and a reference, with what their comparison needs.
 
     Both have id, doi, title, authors, year, venue, journal, citation_count; papers have source,
-    references provider.
-    Papers whose identifier is known to the references are looked up by it; only the others go
-    to the title block.  Tokens have three letters or more and are ranked among those of the
-    references; references stand under every pair of their tokens, so no frequent token alone
-    makes pairs.
+    references provider.  Of the first source a paper gets the references of its identifier, or
+    if there are none the ``k`` best titles.  The second is asked only for papers whose best
+    candidate stays below the confidence that is accepted: by the identifier if the paper has
+    one, else by its title.  (A paper as its own candidate would always win, and is left out.)
     """
-    p = _features(papers.select(*[F.col(c).alias(f"p_{c}") for c in ("id", "doi", "title", "authors", "year", "venue", "citation_count", "source", "journal")]), "p")
-    r = _features(references.select(*[F.col(c).alias(f"r_{c}") for c in ("id", "doi", "title", "authors", "year", "venue", "citation_count", "provider", "journal")]), "r")
-    by_doi = p.join(r, F.col("p_doi") == F.col("r_doi"))
-    rest = p.join(references.select(F.col("doi").alias("p_doi")).where("doi is not null").distinct(), "p_doi", "left_anti").select(p.columns)
-    held = lambda df, c: df.withColumn("tokens", F.array_sort(H.claim_tokens(F.col(c))))
-    uses = held(r, "r_title").select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("uses"))
-    known = held(rest, "p_title").select("p_id", F.explode("tokens").alias("token")).join(uses, "token")
-    order = Window.partitionBy("p_id").orderBy("uses", "token")
-    rare = known.withColumn("at", F.row_number().over(order)).where("at <= 2").groupBy("p_id").agg(F.array_join(F.array_sort(F.collect_list("token")), "|").alias("key"))
-    pairs = F.flatten(F.transform("tokens", lambda a: F.transform(F.filter("tokens", lambda b: b > a), lambda b: F.concat(a, F.lit("|"), b))))
-    keyed = held(r, "r_title").withColumn("key", F.explode(F.concat(F.col("tokens"), pairs))).drop("tokens")
-    by_title = rest.join(rare, "p_id").join(keyed, "key").drop("key")
-    return by_doi.unionByName(by_title.select(by_doi.columns))
+    named = ("id", "doi", "title", "authors", "year", "venue", "citation_count", "journal")
+    p = materialise(_features(papers.select(*[F.col(c).alias(f"p_{c}") for c in (*named, "source")]), "p"), "p")
+    r = materialise(_features(references.select(*[F.col(c).alias(f"r_{c}") for c in (*named, "provider")]), "r"), "r")
+    first, second = sources
+    keys = p.select(F.col("p_id"), F.col("p_doi").alias("doi")).where("doi <> ''")
+    by_doi = materialise(keys.join(r.select("r_id", F.col("r_doi").alias("doi"), F.col("r_provider").alias("provider")), "doi").select("p_id", "r_id", "provider"), "by_doi")
+    by_title = materialise(best_titles(papers, references.where(F.col("provider").isin(first, second)), k), "by_title")
+    of = lambda pairs, source: pairs.where(F.col("provider") == source).select("p_id", "r_id")
+    known = of(by_doi, first)
+    asked = known.unionByName(of(by_title, first).join(known.select("p_id"), "p_id", "left_anti"))
+    featured = lambda pairs: pairs.join(p, "p_id").join(r, "r_id")
+    one = materialise(featured(asked), "first")
+    sure = one.where(candidate_confidence() >= ACCEPTED).select("p_id").distinct()
+    more = of(by_doi, second).unionByName(of(by_title, second).join(keys.select("p_id"), "p_id", "left_anti")).join(sure, "p_id", "left_anti")
+    return one.unionByName(featured(more))
 
 
 def candidate_confidence() -> Column:
