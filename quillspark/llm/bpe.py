@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from .common import gathered, spread
 
 #: Words a worker remembers, bytes that one query contracts, rows that a query over long words keeps.
-MEMO_WORDS, QUERY_BYTES, LONG_ROWS = 400_000, 500_000, 4_000_000
+MEMO_WORDS, QUERY_BYTES, LONG_ROWS = 800_000, 500_000, 4_000_000
 #: Words of more bytes are cut where no token can reach across, and contracted by all pairs of a rank at once.
 LONG_WORD = 256
 #: Matches of a text that are taken at a time, and ids that are decoded at a time.
@@ -77,7 +77,7 @@ select s.key, s.token, s.step from steps s join ended e on e.word = s.key >> 32
 """
 
 _DECODE = """
-select text, section, unhex(array_to_string(list(hex order by position), '')) as bytes
+select text, section, unhex(array_to_string(list(hex order by position), '')) as bytes, count(*) as known
 from ids join vocabulary using (id) group by text, section order by text, section
 """
 
@@ -104,7 +104,7 @@ class ByteBpe:
 
     def __init__(self, path: str, pattern: str) -> None:
         lines = (line.split() for line in Path(path).read_bytes().splitlines() if line.strip())
-        ranks = {base64.b64decode(token): int(rank) for token, rank in lines}
+        ranks = self._ranks = {base64.b64decode(token): int(rank) for token, rank in lines}
         # White space is Unicode's property, as in the library that the files are for.
         self._pattern = regex.compile(pattern.replace("[^\\s", "[^\\p{White_Space}").replace("\\S", "\\P{White_Space}").replace("\\s", "\\p{White_Space}"))
         self._of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
@@ -162,10 +162,12 @@ class ByteBpe:
     def _learn(self, words: list[str]) -> None:
         """Contract words that the memo doesn't hold."""
         spelled = [w.encode() for w in words]
-        parts = [[s] if len(s) <= LONG_WORD else self._pieces(s) for s in spelled]
-        distinct = [*dict.fromkeys(p for held in parts for p in held)]
+        # A word that is a token is its id, as in the library; all others are contracted.
+        tokens = {s: k for k, s in enumerate(s for s in spelled if s in self._ranks)}
+        parts = [[s] if len(s) <= LONG_WORD or s in tokens else self._pieces(s) for s in spelled]
+        distinct = [*dict.fromkeys(p for s, held in zip(spelled, parts, strict=True) if s not in tokens for p in held)]
         at: dict[bytes, int] = {}
-        ids, counts = [np.zeros(0, np.int32)], []
+        ids, counts = [np.array([self._ranks[s] for s in tokens], np.int32)], [np.ones(len(tokens), np.int64)]
         for long, sql in ((False, _LEFTMOST), (True, _EQUAL_RANKS)):
             todo, size = [], 0
             chosen = [p for p in distinct if (len(p) > LONG_WORD) == long]
@@ -174,12 +176,12 @@ class ByteBpe:
                 size += len(piece)
                 if size >= QUERY_BYTES or k == len(chosen) - 1:
                     got, many = self._contract(todo, sql)
-                    at.update(zip(todo, range(len(at), len(at) + len(todo)), strict=True))
+                    at.update(zip(todo, range(len(tokens) + len(at), len(tokens) + len(at) + len(todo)), strict=True))
                     ids.append(got)
                     counts.append(many)
                     todo, size = [], 0
-        ends = np.r_[0, np.cumsum(np.concatenate([np.zeros(0, np.int64), *counts]))].astype(np.int64)
-        flat, many = _gather(np.concatenate(ids), ends, np.array([at[p] for held in parts for p in held], np.int64))
+        ends = np.r_[0, np.cumsum(np.concatenate(counts))].astype(np.int64)
+        flat, many = _gather(np.concatenate(ids), ends, np.array([tokens[s] if s in tokens else at[p] for s, held in zip(spelled, parts, strict=True) for p in held], np.int64))
         of_word = np.add.reduceat(many, np.cumsum([0, *map(len, parts[:-1])])) if parts else np.zeros(0, np.int64)
         self._known.update(zip(words, range(len(self._known), len(self._known) + len(words)), strict=True))
         self._ids = np.r_[self._ids, flat]
@@ -187,16 +189,13 @@ class ByteBpe:
 
     def _encode_matches(self, matches: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of successive words, and how many each has."""
-        coded = pa.array(matches, pa.large_string()).dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        new = [w for w in words if w not in self._known]
+        new = [w for w in dict.fromkeys(matches) if w not in self._known]
         if len(self._known) + len(new) > MEMO_WORDS:
             self._forget()
-            new = words
+            new = [*dict.fromkeys(matches)]
         if new:
             self._learn(new)
-        at = np.array([self._known[w] for w in words], np.int64)
-        return _gather(self._ids, self._ends, at[coded.indices.to_numpy()] if len(at) else at)
+        return _gather(self._ids, self._ends, np.fromiter(map(self._known.__getitem__, matches), np.int64, len(matches)))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and how many each has."""
@@ -240,9 +239,8 @@ class ByteBpe:
             found = self._db.sql(_DECODE).to_arrow_table()
             for row, raw in zip(found.column("text").to_pylist(), found.column("bytes").to_pylist(), strict=True):
                 out[row].append(raw)
-            known = self._db.sql("select count(*) from ids semi join vocabulary using (id)").fetchall()[0][0]
             self._db.unregister("ids")
-            if known < len(position):
+            if sum(found.column("known").to_pylist()) < len(position):
                 raise ValueError("ids must be in the vocabulary")
         return [b"".join(parts) for parts in out]
 

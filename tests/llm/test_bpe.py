@@ -42,6 +42,10 @@ def test_every_character(own, library):
     held(own, library, [" ".join(f"a{c}{c}1 {c}" for c in chars[k : k + 1000]) for k in range(0, len(chars), 1000)])
 
 
+def test_every_token_as_a_word(own, library):
+    held(own, library, [t.decode() for t in own._ranks if t.decode(errors="ignore").encode() == t])
+
+
 def test_long_words(own, library):
     rng = random.Random(1)
     mixed = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3000))
