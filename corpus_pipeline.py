@@ -33,7 +33,7 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     kept = found.groupBy("component").agg(F.min(order).alias("k")).select(F.col("k.text_key").alias("_text"), F.col("k.row_key").alias("_row"))
     # Both keys are hashes, the row's covers its id: joined by them, whole texts are shuffled once.
     mine = (F.col("text_key") == F.col("_text")) & (F.col("row_key") == F.col("_row"))
-    return simhash.with_keys(docs).join(kept, mine, "left_semi").dropDuplicates(["text_key", "row_key"]).select(*docs.columns)
+    return simhash.with_keys(docs).select("text_key", "row_key", "doc").join(kept, mine, "left_semi").dropDuplicates(["text_key", "row_key"]).select("doc.*")
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -178,19 +178,22 @@ def _cut(raw: bytes, spans: list[dict]) -> bytes:
 def deduplicate(docs: DataFrame, min_words: int = 20) -> DataFrame:
     """``docs`` with repeated spans removed from ``text``; all rows and columns stay.
 
-    A document of which nothing is left keeps an empty text; callers may drop it.
+    A document of which nothing is left keeps an empty text; callers may drop it.  Columns of any
+    other names come back as they were: inside they go by their place.
     """
     spans = repeated_spans(docs, min_words)
-    held = spans.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_held")).agg(F.collect_list(F.struct("span_start", "span_end")).alias("_spans"))
-    keyed = docs.withColumn("_hash", F.xxhash64("text"))
-    joined = keyed.join(held, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_held")), "left").select(*docs.columns, "_spans")
+    held = spans.groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("held")).agg(F.collect_list(F.struct("span_start", "span_end")).alias("spans"))
+    own = [f"c{k}" for k in range(len(docs.columns))]
+    at, id_at = docs.columns.index("text"), docs.columns.index("doc_id")
+    keyed = docs.toDF(*own).withColumn("hash", F.xxhash64(own[at]))
+    joined = keyed.join(held, F.col(own[id_at]).eqNullSafe(F.col("id")) & (F.col("hash") == F.col("held")), "left").select(*own, "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index("text")
-            texts = [t if t is None or s is None else _cut(t, s) for t, s in zip(batch.column(at).cast(pa.binary()).to_pylist(), batch.column("_spans").to_pylist(), strict=True)]
+            texts = [t if t is None or s is None else _cut(t, s) for t, s in zip(batch.column(at).cast(pa.binary()).to_pylist(), batch.column("spans").to_pylist(), strict=True)]
             columns = batch.columns[:-1]
             columns[at] = pa.array(texts, pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+            yield pa.RecordBatch.from_arrays(columns, names=own)
 
-    return joined.mapInArrow(cut, docs.schema)
+    schema = T.StructType([T.StructField(c, f.dataType) for c, f in zip(own, docs.schema.fields, strict=True)])
+    return joined.mapInArrow(cut, schema).toDF(*docs.columns)

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import functools
 import re
-import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,16 +22,23 @@ from pyspark.sql import types as T
 
 from .common import bounded_sample, spread
 
-#: Signs for numbers that aren't digits, such as fractions and Roman numerals: no letters.
-_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
 #: Words are runs of letters (Unicode categories L), lower-cased; all else is passed over.
-_LETTERS = re.compile(rf"[^\W\d_{_NUMBERS}]+")
+_RUNS = re.compile(r"[^\W\d_]+")
 _LONGEST = 16
 #: A character that no piece covers has this log probability in every language.
 _UNKNOWN = -18.0
 _START = "▁"
 
 
+def letter_words(text: str) -> list[str]:
+    """The words of a text.  Runs also hold signs for numbers that aren't digits, such as fractions
+    and Roman numerals; in the few texts that have any, these part words like spaces."""
+    words = _RUNS.findall(text.lower())
+    if words and not "".join(words).isalpha():
+        words = "".join(c if c.isalpha() else " " for c in " ".join(words)).split()
+    return words
+
+
 def default_vocabulary() -> str:
     """Path of the public 32k piece vocabulary."""
     import public_tokenizers
@@ -79,7 +85,7 @@ def vocabulary(path: str) -> Vocabulary:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     held = (model.id_to_piece(i) for i in range(model.get_piece_size()))
-    return index_pieces([*sorted({p.lower() for p in held if len(p) <= _LONGEST and p != _START and _LETTERS.fullmatch(p.removeprefix(_START))}), _START])
+    return index_pieces([*sorted({p.lower() for p in held if len(p) <= _LONGEST and p.removeprefix(_START).isalpha()}), _START])
 
 
 @dataclass(frozen=True)
@@ -215,7 +221,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found: Counter[tuple[str, str]] = Counter()
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            found.update((lang, w) for w in _LETTERS.findall(text.lower()) if len(w) <= 40)
+            found.update((lang, w) for w in letter_words(text) if len(w) <= 40)
         keys = list(found)
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(list(found.values()), pa.int64())], names=["lang", "word", "n"])
 
@@ -231,7 +237,7 @@ class _Scorer:
 
     def texts(self, texts: list[str]) -> list[tuple[int, np.ndarray]]:
         """For each text its number of letters and its log likelihoods."""
-        split = [_LETTERS.findall(t.lower()) for t in texts]
+        split = [letter_words(t) for t in texts]
         index, held = self.index, len(self.index)
         fresh = sorted({w for words in split for w in words if w not in index}, key=len)  # even lengths advance together
         while held + len(fresh) > len(self.table):

@@ -168,16 +168,18 @@ def schedule(sized: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: fl
     stays empty.  Columns of the names that are added here are replaced.
     """
     sized = sized.drop(*MADE)
+    packed = sized.select("doc_id", "source", "size", F.struct(*[F.col(f"`{c}`") for c in sized.columns]).alias("mix_doc"))
     slim = materialise(sized.select("doc_id", "source", "size"), "slim")
     rows, words = _measured(slim)
     timed = materialise(_clocked(slim, slim, rows, weights, share, most), "timed")
     cut = _cut(timed, rows, words, share, most)
     release(timed)
-    full = _clocked(sized, slim, rows, weights, share, most)
+    full = _clocked(packed, slim, rows, weights, share, most)
     first = F.col("mix_end") - F.col("size")
     taken = _taken(cut, first) + _taken(cut, first + F.col("source_size"))
     clocks = _clock(F.col("mix_end")).alias("finish_1"), _clock(F.col("mix_end") + F.col("source_size")).alias("finish_2")
-    return full.select(*sized.columns, "source_size", "target", *clocks, taken.cast("long").alias("taken"))
+    made = F.struct("source_size", "target", *clocks, taken.cast("long").alias("taken")).alias("mix_made")
+    return full.select("mix_doc", made).select("mix_doc.*", "mix_made.*")
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, ordered: bool = True) -> DataFrame:

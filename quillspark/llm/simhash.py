@@ -247,10 +247,14 @@ FILTER = 1 << 20
 
 
 def with_keys(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``text_key`` and ``row_key``, hashes of the text and of all columns, by which
-    rows without an id, or of the same id, are told apart."""
-    nulls = [F.col(f"`{c}`").isNull() for c in docs.columns]
-    return docs.withColumns({"text_key": F.xxhash64("text"), "row_key": F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns], *nulls)})
+    """Rows (doc_id, text, text_key, row_key, doc) of ``docs``: hashes of the text and of all
+    columns, by which rows without an id, or of the same id, are told apart; ``doc`` holds the
+    row as it came, whatever its columns are named."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    # Maps have no hash; their sorted entries do.
+    held = [F.array_sort(F.map_entries(c)) if isinstance(f.dataType, T.MapType) else c for c, f in zip(columns, docs.schema.fields, strict=True)]
+    keys = F.xxhash64("text").alias("text_key"), F.xxhash64(*held, *[c.isNull() for c in columns]).alias("row_key")
+    return docs.select("doc_id", "text", *keys, F.struct(*columns).alias("doc"))
 
 
 def _set_id(shingles: np.ndarray) -> int:
@@ -415,7 +419,7 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     in common with it, which puts dense groups of copies together without their pairs; then
     with all others that are still in a different component.
     """
-    docs = with_keys(docs)
+    docs = with_keys(docs).drop("doc")
     table = materialise(set_digests(docs, words), "prints")
     rows = table.where("bucket is null")
     owner = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("o")
