@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import search
+from ..operators import canonical, search
 from ..storage import materialise
 from ..views import CURRENT_YEAR, duck, table, view
 
@@ -125,8 +125,9 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_canonicalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Papers merged by any identifier or by text, transitively."""
-    merged = search.merge_groups(search.canonical_groups(materialise(papers(spark, sf_dir), "papers")))
+    """Papers merged in order of arrival, by an identifier or by text."""
+    arrival = F.substring("paper_id", 2, 7).cast("long") + F.when(F.col("paper_id").startswith("q"), 10_000_000).otherwise(0)
+    merged = search.merge_groups(canonical.arrival_groups(materialise(papers(spark, sf_dir).withColumn("arrival", arrival), "papers")))
     came = F.array_join(F.transform("provenance", lambda p: F.concat(p["paper_id"], F.lit(":"), p["provider"])), ",")
     return merged.select("group_id", "title", "year", F.md5("abstract").alias("abstract"), "venue", "doi", "pubmed_id", "arxiv_id", F.col("citation_count").cast("long").alias("citation_count"), "is_retracted", "sources", "source_authority", came.alias("provenance"), F.array_join("referenced_ids", ",").alias("referenced"), "relevance")
 
@@ -356,11 +357,18 @@ SELECT cited, min(seed_rank) AS seed_rank FROM refs WHERE cited IN (SELECT study
     "provider_health": LOG + " SELECT provider, count(*) AS calls, round(avg((NOT ok)::int::double), 4) AS error_rate, round(avg(latency_ms), 2) AS latency_ms, arg_max(ok, (ts, call_id)) AS last_ok FROM log GROUP BY provider",
     "search_canonicalize": PAPERS.replace("WITH", "WITH RECURSIVE", 1) + f""",
 sets AS (SELECT paper_id, doi, pubmed_id, arxiv_id, year, list_distinct(list_filter(regexp_split_to_array(lower(title), '[^a-z0-9]+'), lambda w: length(w) > 2 AND NOT list_contains({_LIST(_stop("CLAIM_STOP_WORDS"))}, w))) AS tk, list_distinct(list_filter(regexp_split_to_array(lower(names), '[^a-z0-9]+'), lambda w: length(w) > 2 AND NOT list_contains({_LIST(_stop("CLAIM_STOP_WORDS"))}, w))) AS nm FROM papers),
-pair AS (SELECT a.paper_id AS a, b.paper_id AS b, len(list_intersect(a.tk, b.tk))::double AS t, len(a.tk) + len(b.tk) AS tn, len(list_intersect(a.nm, b.nm))::double AS n, len(a.nm) + len(b.nm) AS nn FROM sets a JOIN sets b ON a.paper_id < b.paper_id AND (a.year IS NULL OR b.year IS NULL OR abs(a.year - b.year) <= 1)),
-near AS (SELECT a, b FROM pair WHERE t / (tn - t) >= 0.78::double AND n / (nn - n) >= 0.2::double UNION SELECT a.paper_id, b.paper_id FROM sets a JOIN sets b ON a.paper_id < b.paper_id AND (a.doi = b.doi OR a.pubmed_id = b.pubmed_id OR a.arxiv_id = b.arxiv_id)),
-graph AS (SELECT a AS x, b AS y FROM near UNION ALL SELECT b, a FROM near),
-walk AS (SELECT paper_id AS node, paper_id AS root FROM papers UNION SELECT g.y, w.root FROM walk w JOIN graph g ON g.x = w.node),
-member AS (SELECT node AS paper_id, min(root) AS group_id FROM walk GROUP BY node)
+numbered AS (SELECT *, row_number() OVER (ORDER BY paper_id)::int AS k FROM sets),
+keyed AS (SELECT k, 0 AS kind, doi AS key FROM numbered UNION ALL SELECT k, 1, pubmed_id FROM numbered UNION ALL SELECT k, 2, arxiv_id FROM numbered),
+before AS (SELECT k, kind, lag(k) OVER (PARTITION BY kind, key ORDER BY k) AS prev FROM keyed WHERE key <> ''),
+parents AS (SELECT k, arg_min(prev, kind) AS parent FROM before WHERE prev IS NOT NULL GROUP BY k),
+pair AS (SELECT a.k AS r, b.k AS t, len(list_intersect(a.tk, b.tk))::double AS s, len(a.tk) + len(b.tk) AS sn, len(list_intersect(a.nm, b.nm))::double AS n, len(a.nm) + len(b.nm) AS nn FROM numbered a JOIN numbered b ON a.k < b.k AND (a.year IS NULL OR b.year IS NULL OR abs(a.year - b.year) <= 1)),
+likely AS (SELECT t AS k, list(r ORDER BY r) AS near FROM pair WHERE s / (sn - s) >= 0.78::double AND n / (nn - n) >= 0.2::double GROUP BY t),
+steps AS (SELECT k, paper_id, year, parent, coalesce(near, []) AS near FROM numbered LEFT JOIN parents USING (k) LEFT JOIN likely USING (k)),
+fold AS (SELECT 0 AS k, []::int[] AS roots, []::int[] AS years UNION ALL
+  SELECT k, list_append(roots, root), CASE WHEN root = k THEN list_append(years, year) WHEN years[root] IS NULL AND year IS NOT NULL THEN list_append(list_transform(years, lambda y, i: CASE WHEN i = root THEN year ELSE y END), NULL) ELSE list_append(years, NULL) END
+  FROM (SELECT s.k, s.year, f.roots, f.years, coalesce(f.roots[s.parent], list_filter(s.near, lambda r: f.roots[r] = r AND (f.years[r] IS NULL OR s.year IS NULL OR abs(f.years[r] - s.year) <= 1))[1], s.k) AS root FROM fold f JOIN steps s ON s.k = f.k + 1)),
+found AS (SELECT unnest(roots) AS root, generate_subscripts(roots, 1) AS k FROM fold WHERE k = (SELECT count(*) FROM papers)),
+member AS (SELECT s.paper_id, g.paper_id AS group_id FROM found JOIN steps s USING (k) JOIN steps g ON g.k = found.root)
 SELECT group_id, arg_min(title, paper_id) AS title, arg_min(year, paper_id) FILTER (year IS NOT NULL) AS year, md5(arg_min(abstract, paper_id) FILTER (abstract <> '')) AS abstract, arg_min(venue, paper_id) FILTER (venue IS NOT NULL) AS venue, arg_min(given, paper_id) FILTER (given IS NOT NULL) AS doi, arg_min(pubmed_id, paper_id) FILTER (pubmed_id IS NOT NULL) AS pubmed_id,
   arg_min(arxiv_id, paper_id) FILTER (arxiv_id IS NOT NULL) AS arxiv_id, max(citation_count)::bigint AS citation_count, bool_or(is_retracted) AS is_retracted, array_to_string(list_sort(list(DISTINCT source)), ',') AS sources, max(conf) AS source_authority, string_agg(concat(paper_id, ':', source), ',' ORDER BY paper_id) AS provenance,
   array_to_string(list_sort(list(DISTINCT refs)), ',') AS referenced, round(sum((rank_signal * conf)::decimal(18,8)), 4)::double AS relevance

@@ -199,36 +199,6 @@ def provider_health(log: DataFrame) -> DataFrame:
 # --- canonical papers -----------------------------------------------------------------------
 
 
-def canonical_groups(papers: DataFrame) -> DataFrame:
-    """``papers`` (paper_id, doi, pubmed_id, arxiv_id, title, authors, year) with ``group_id``: an
-    equal identifier of any kind, or years at most one apart or missing, title Jaccard of 0.78
-    and author Jaccard of 0.2, taken transitively.
-
-    Text matches meet by year and title token, of the tokens that a Jaccard of 0.78 needs one of,
-    the rarest first, so common words make no pairs; papers without a year meet all.
-    """
-    kinds = {"doi": D.retrieval_doi(F.col("doi")), "pmid": F.col("pubmed_id").cast("string"), "arxiv": F.col("arxiv_id").cast("string")}
-    ids = papers.select("paper_id", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in kinds.items()])).alias("i")).where("i.value <> ''")
-    firsts = ids.groupBy("i").agg(F.min("paper_id").alias("a"))
-    by_key = ids.join(firsts, "i").select("a", F.col("paper_id").alias("b")).where("a <> b").distinct()
-    base = papers.select("paper_id", F.nullif("year", F.lit(0)).alias("year"), H.claim_tokens(F.col("title")).alias("tokens"), H.claim_tokens(F.array_join("authors", " ")).alias("names"))
-    each = base.where(F.size("tokens") > 0).select("paper_id", "year", "tokens", "names", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    rarity = each.groupBy("token").agg(F.count(F.lit(1)).alias("uses"))
-    order = Window.partitionBy("paper_id").orderBy("uses", "token")
-    # A Jaccard of t with n tokens shares one of the first n - ceil(t n) + 1 in any fixed order.
-    rare = each.join(rarity, "token").withColumn("at", F.row_number().over(order)).where(F.col("at") <= F.col("n") - F.ceil(0.78 * F.col("n")) + 1)
-    year, none, any_year = F.col("year"), F.lit(-1), F.lit(-2)
-    asks = F.when(year.isNull(), F.array(any_year)).otherwise(F.array(year - 1, year, year + 1, none))
-    left = rare.select("token", F.col("paper_id").alias("a"), F.col("tokens").alias("tokens_a"), F.col("names").alias("names_a"), F.explode(asks).alias("meet"))
-    right = rare.select("token", F.col("paper_id").alias("b"), F.col("tokens").alias("tokens_b"), F.col("names").alias("names_b"), F.explode(F.array(F.coalesce(year, none), any_year)).alias("meet"))
-    alike = (H.jaccard(F.col("tokens_a"), F.col("tokens_b")) >= 0.78) & (H.jaccard(F.col("names_a"), F.col("names_b")) >= 0.2)
-    by_text = left.join(right, ["token", "meet"]).where((F.col("a") < F.col("b")) & alike).select("a", "b")
-    found = components(by_key.union(by_text))
-    labelled = papers.join(found.withColumnRenamed("node", "paper_id"), "paper_id", "left").withColumn("label", F.coalesce("component", "paper_id")).drop("component")
-    names = labelled.groupBy("label").agg(F.min("paper_id").alias("group_id"))
-    return labelled.join(names, "label").drop("label")
-
-
 def merge_groups(papers: DataFrame) -> DataFrame:
     """One paper per ``group_id``: title and authors of the first; of abstract, venue, year and
     identifiers the first that is there; most citations; any retraction; every source and
