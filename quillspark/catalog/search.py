@@ -148,15 +148,25 @@ def claims_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.claims(view(spark, sf_dir, "studies")).select("study_id", F.col("at").cast("long").alias("at"), "sentence", "outcome", "direction")
 
 
+def searched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The kept papers of each search (50 studies a search), ranked; their claims with clusters;
+    and the clusters."""
+    i, number = F.col("study_id"), F.col("study_id").cast("string")
+    s = view(spark, sf_dir, "studies").withColumns({"search": F.floor(i / 50).cast("string"), "doi": F.when(i % 2 == 0, F.concat(F.lit("10.5555/"), number)), "pubmed_id": F.when(i % 5 == 1, F.concat(F.lit("pm"), number)), "arxiv_id": F.when(i % 5 == 2, number)})
+    ranked = materialise(search.kept_by_search(search.score_papers(s, CURRENT_YEAR), "search"), "ranked")
+    clustered = materialise(search.clustered_claims(search.anchored_claims(ranked, "search"), "search"), "clustered")
+    return ranked, clustered, search.claim_clusters(clustered, "search")
+
+
 def claims_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dispositions of claims with one outcome."""
-    return search.claim_clusters(search.claims(view(spark, sf_dir, "studies")))
+    """Every search's clusters of claims and their dispositions."""
+    return searched(spark, sf_dir)[2].withColumn("cluster", F.col("cluster").cast("long"))
 
 
 def claims_propositions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every paper's stance."""
-    found = search.claims(view(spark, sf_dir, "studies"))
-    return search.propositions(found, search.claim_clusters(found))
+    """Every paper's stance over the clusters of its claims."""
+    _, clustered, clusters = searched(spark, sf_dir)
+    return search.propositions(clustered, clusters, "search")
 
 
 def claims_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,21 +176,18 @@ def claims_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def evidence_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The evidence table of the best 200 papers."""
-    studies = view(spark, sf_dir, "studies")
-    found = search.claims(studies)
-    ranked = search.kept_papers(search.score_papers(studies, CURRENT_YEAR))
-    rows = search.evidence_table(ranked, search.propositions(found, search.claim_clusters(found)))
-    return rows.select(F.col("rank").cast("long").alias("rank"), "study_id", "title", "year", "snippet", "proposition")
+    """Every search's evidence table."""
+    ranked, clustered, clusters = searched(spark, sf_dir)
+    rows = search.evidence_table(ranked, search.propositions(clustered, clusters, "search"), "search")
+    came = F.concat_ws(":", "provenance.provider", "provenance.external_id", F.col("provenance.metadata_confidence").cast("string"))
+    return rows.withColumn("rank", F.col("rank").cast("long")).withColumn("provenance", came)
 
 
 def evidence_brief(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P5: the brief of all kept papers, claims clustered by their outcome."""
-    studies = view(spark, sf_dir, "studies")
-    ranked = search.kept_papers(search.score_papers(studies, CURRENT_YEAR))
-    brief = search.evidence_brief(ranked, search.claims(studies))
-    cited = F.array_join(F.transform("citations", lambda c: F.concat(c["paper"].cast("string"), F.lit(":"), F.coalesce(c["at"].cast("string"), F.lit("-")))), ",")
-    return brief.select(F.col("position").cast("long").alias("position"), "text", "stance", cited.alias("citations"))
+    """P5: every search's brief, each citation with its place and hash."""
+    brief = search.evidence_brief(*searched(spark, sf_dir), "search")
+    cited = F.array_join(F.transform("citations", lambda c: F.concat_ws(":", c["paper"], c["char_start"].cast("string"), c["char_end"].cast("string"), c["snippet_hash"])), ",")
+    return brief.select("search", F.col("position").cast("long").alias("position"), "text", "stance", cited.alias("citations"))
 
 
 def search_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -326,10 +333,34 @@ cut AS (SELECT study_id, unnest(list_filter(list_transform(string_split(regexp_r
 lowered AS (SELECT *, lower(sentence) AS l FROM cut),
 claims AS (SELECT study_id, at_, sentence, coalesce(nullif(array_to_string(list_filter(regexp_split_to_array(regexp_replace(l, '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda w: length(w) > 2 AND NOT list_contains({_LIST(CLAIM_STOP_WORDS + X.EFFECT_TERMS)}, w))[1:6], ' '), ''), 'outcome') AS outcome,
   CASE WHEN {_any('l', X.NULL_TERMS)} THEN 'neutral' WHEN {_count('l', X.POSITIVE_TERMS)} > {_count('l', X.NEGATIVE_TERMS)} THEN 'positive' WHEN {_count('l', X.NEGATIVE_TERMS)} > {_count('l', X.POSITIVE_TERMS)} THEN 'negative' ELSE 'neutral' END AS direction
-  FROM lowered WHERE {_any('l', X.EFFECT_TERMS)}),
-clusters AS (SELECT *, CASE WHEN positive > 0 AND negative > 0 THEN 'conflicting' WHEN positive > 0 AND neutral = 0 THEN 'consensus_positive' WHEN negative > 0 AND neutral = 0 THEN 'consensus_negative' ELSE 'mixed' END AS disposition FROM
-  (SELECT outcome, count(*) FILTER (direction = 'positive') AS positive, count(*) FILTER (direction = 'negative') AS negative, count(*) FILTER (direction = 'neutral') AS neutral, count(*) AS claims FROM claims GROUP BY outcome)),
-stances AS (SELECT study_id, CASE WHEN min(disposition) = max(disposition) THEN min(disposition) ELSE 'mixed' END AS proposition FROM claims JOIN clusters USING (outcome) GROUP BY study_id)"""
+  FROM lowered WHERE {_any('l', X.EFFECT_TERMS)})"""
+
+
+#: FNV-1a over the characters of a text, 32 bits in eight hex digits.
+_FNV = "lpad(lower(to_hex(list_reduce(list_prepend(2166136261::bigint, list_transform(range(1, length({0}) + 1), lambda i: unicode(substr({0}, i, 1))::bigint)), lambda h, c: (xor(h, c) * 16777619) & 4294967295))), 8, '0')"
+
+
+def _fold(claims: str) -> str:
+    """CTEs that put the rows (search, study_id, ord, at_, sentence, outcome) of ``claims`` into
+    clusters, one claim after the other: ``picked`` (search, i, study_id, at_, cluster from 1)."""
+    return f""",
+steps AS (SELECT search, study_id, at_, row_number() OVER (PARTITION BY search ORDER BY ord, at_)::int AS i, list_distinct(list_filter(regexp_split_to_array(lower(concat(outcome, ' ', sentence)), '[^a-z0-9]+'), lambda w: length(w) > 2 AND NOT list_contains(['a','an','and','are','as','at','by','for','from','in','is','it','of','on','or','that','the','to','with'], w))) AS tokens FROM {claims}),
+fold AS (SELECT DISTINCT search, 0 AS i, []::varchar[][] AS sets, []::int[] AS picks FROM steps UNION ALL
+  SELECT search, i, CASE WHEN pick > len(sets) THEN list_append(sets, tokens) ELSE list_transform(sets, lambda s, j: CASE WHEN j = pick THEN list_distinct(list_concat(s, tokens)) ELSE s END) END, list_append(picks, pick)
+  FROM (SELECT *, CASE WHEN list_max(scores) >= 0.42::double THEN list_position(scores, list_max(scores)) ELSE len(sets) + 1 END::int AS pick
+    FROM (SELECT f.search, s.i, s.tokens, f.sets, f.picks, list_transform(f.sets, lambda x: len(list_intersect(x, s.tokens))::double / len(list_distinct(list_concat(x, s.tokens)))) AS scores FROM fold f JOIN steps s ON s.search = f.search AND s.i = f.i + 1))),
+picked AS (SELECT s.search, s.i, study_id, at_, f.picks[s.i] AS cluster FROM steps s JOIN (SELECT search, arg_max(picks, i) AS picks FROM fold GROUP BY search) f ON f.search = s.search)"""
+
+
+def _searched_sql() -> str:
+    """Ranked papers, claims in clusters (``clustered``), clusters and stances of each search."""
+    return (_quality_sql(1900, 2100, False) + _claims_sql()).replace("WITH", "WITH RECURSIVE", 1) + """,
+ranked AS (SELECT *, (study_id // 50)::varchar AS search, row_number() OVER (PARTITION BY study_id // 50 ORDER BY q_total DESC, citation_count DESC, study_id) AS rank FROM judged WHERE reject_reason IS NULL),
+kept_claims AS (SELECT r.search, r.rank AS ord, c.*, instr(r.abstract, c.sentence) - 1 AS char_start FROM claims c JOIN ranked r ON r.study_id = c.study_id)""" + _fold("kept_claims") + f""",
+clustered AS (SELECT k.*, p.cluster, row_number() OVER (PARTITION BY k.search, p.cluster ORDER BY ord, k.at_) AS nth, concat_ws(':', k.study_id, char_start, char_start + length(sentence), {_FNV.format('sentence')}) AS cited FROM kept_claims k JOIN picked p ON p.search = k.search AND p.study_id = k.study_id AND p.at_ = k.at_),
+counted AS (SELECT search, cluster, count(*) AS claims, count(*) FILTER (direction = 'positive') AS positive, count(*) FILTER (direction = 'negative') AS negative, count(*) FILTER (direction = 'neutral') AS neutral, arg_min(outcome, nth) AS label, arg_min(concat(study_id, '|', sentence), nth) AS opening FROM clustered GROUP BY ALL),
+clusters AS (SELECT *, concat('cluster_', {_FNV.format('opening')}) AS cluster_id, CASE WHEN positive > 0 AND negative > 0 THEN 'conflicting' WHEN positive > 0 AND neutral = 0 THEN 'consensus_positive' WHEN negative > 0 AND neutral = 0 THEN 'consensus_negative' ELSE 'mixed' END AS disposition FROM counted),
+stances AS (SELECT c.search, c.study_id, CASE WHEN min(disposition) = max(disposition) THEN min(disposition) ELSE 'mixed' END AS proposition FROM clustered c JOIN clusters k ON k.search = c.search AND k.cluster = c.cluster GROUP BY ALL)"""
 
 
 UNDERSTOOD = _questions_sql()
@@ -376,21 +407,22 @@ FROM (SELECT *, CASE source WHEN 'pubmed' THEN 0.98 WHEN 'openalex' THEN 0.92 WH
     "search_quality_filter": _quality_sql(1995, 2020, True) + "SELECT study_id, source_authority, study_design_strength, methods_transparency, citation_impact, recency_fit, q_total, reject_reason FROM judged",
     "search_kept": _quality_sql(1900, 2100, False) + "SELECT study_id, row_number() OVER (ORDER BY q_total DESC, citation_count DESC, study_id) AS rank, citation_count FROM judged WHERE reject_reason IS NULL QUALIFY rank <= 2000",
     "claims_direction": STUDIES + _claims_sql() + " SELECT study_id, at_::bigint AS at, sentence, outcome, direction FROM claims".replace(" AS at,", ' AS "at",'),
-    "claims_clusters": STUDIES + _claims_sql() + " SELECT * FROM clusters",
-    "claims_propositions": STUDIES + _claims_sql() + " SELECT * FROM stances",
-    "evidence_table": _quality_sql(1900, 2100, False) + _claims_sql() + """, ranked AS (SELECT *, row_number() OVER (ORDER BY q_total DESC, citation_count DESC, study_id) AS rank FROM judged WHERE reject_reason IS NULL)
-SELECT rank, r.study_id, title, year, CASE WHEN length(s) <= 280 THEN s ELSE concat(substr(s, 1, 279), '...') END AS snippet, coalesce(proposition, 'mixed') AS proposition
-FROM (SELECT *, trim(regexp_replace(abstract, '\\s+', ' ', 'g')) AS s FROM ranked WHERE rank <= 200) r LEFT JOIN stances t ON t.study_id = r.study_id""",
-    "evidence_brief": _quality_sql(1900, 2100, False) + _claims_sql() + """, ranked AS (SELECT *, row_number() OVER (ORDER BY q_total DESC, citation_count DESC, study_id) AS rank FROM judged WHERE reject_reason IS NULL),
-o AS (SELECT string_agg(concat(study_id, ':-'), ',' ORDER BY rank) AS cited FROM ranked WHERE rank <= 3),
-nth AS (SELECT *, row_number() OVER (PARTITION BY outcome ORDER BY study_id, at_) AS k FROM claims),
-heads AS (SELECT outcome, string_agg(concat(study_id, ':', at_), ',' ORDER BY k) AS cited, string_agg(concat(study_id, ':', at_), ',' ORDER BY k) FILTER (k <= 2) AS two FROM nth WHERE k <= 3 GROUP BY outcome),
-placed AS (SELECT c.*, h.cited, h.two, row_number() OVER (ORDER BY claims DESC, f.study_id, f.at_) AS place, row_number() OVER (PARTITION BY disposition ORDER BY claims DESC, f.study_id, f.at_) AS torn FROM clusters c JOIN heads h USING (outcome) JOIN nth f ON f.outcome = c.outcome AND f.k = 1)
-SELECT 0::bigint AS position, concat('The search retained ', (SELECT count(*) FROM ranked), ' quality-screened studies after multi-source retrieval and strict filtering.') AS text, 'neutral' AS stance, coalesce((SELECT cited FROM o), '') AS citations
-UNION ALL SELECT place, CASE disposition WHEN 'conflicting' THEN concat('Evidence for ', outcome, ' is conflicting across the retrieved studies, with both positive and negative directions reported.') WHEN 'consensus_positive' THEN concat('Most studies indicate a positive association for ', outcome, '.')
-  WHEN 'consensus_negative' THEN concat('Most studies indicate a negative association for ', outcome, '.') ELSE concat('Findings related to ', outcome, ' are mixed and likely context-dependent.') END, CASE disposition WHEN 'conflicting' THEN 'conflicting' WHEN 'consensus_positive' THEN 'positive' WHEN 'consensus_negative' THEN 'negative' ELSE 'mixed' END, cited FROM placed WHERE place <= 3
-UNION ALL SELECT 4, 'At least one major proposition remains unresolved, so conclusions should be interpreted with explicit uncertainty.', 'conflicting', array_to_string(string_split(string_agg(two, ',' ORDER BY torn), ',')[1:3], ',') FROM placed WHERE disposition = 'conflicting' AND torn <= 3 HAVING count(*) > 0
-UNION ALL SELECT 1, 'No high-confidence effect statements were extractable from abstracts, so interpretation remains limited.', 'neutral', coalesce((SELECT cited FROM o), '') WHERE NOT EXISTS (SELECT 1 FROM claims)""",
+    "claims_clusters": _searched_sql() + " SELECT search, cluster - 1 AS cluster, cluster_id, label, claims, positive, negative, neutral, disposition FROM clusters".replace("cluster - 1", "(cluster - 1)::bigint"),
+    "claims_propositions": _searched_sql() + " SELECT * FROM stances",
+    "claims_greedy": (STUDIES + _claims_sql()).replace("WITH", "WITH RECURSIVE", 1) + ", all_claims AS (SELECT *, (study_id // 50)::varchar AS search, study_id AS ord FROM claims)" + _fold("all_claims") + ' SELECT search AS batch, study_id, at_::int AS "at", (cluster - 1)::int AS cluster FROM picked',
+    "evidence_table": _searched_sql() + """
+SELECT r.search, rank, r.study_id, title, year, CASE WHEN r.study_id % 2 = 0 THEN concat('10.5555/', r.study_id) END AS doi, CASE WHEN r.study_id % 5 = 1 THEN concat('pm', r.study_id) END AS pubmed_id, CASE WHEN r.study_id % 5 = 2 THEN r.study_id::varchar END AS arxiv_id,
+  source_authority, study_design_strength, methods_transparency, citation_impact, recency_fit, q_total, CASE WHEN length(s) <= 280 THEN s ELSE concat(substr(s, 1, 279), '...') END AS snippet, coalesce(proposition, 'mixed') AS proposition, concat_ws(':', source, r.study_id, source_authority) AS provenance
+FROM (SELECT *, trim(regexp_replace(abstract, '\\s+', ' ', 'g')) AS s FROM ranked WHERE rank <= 200) r LEFT JOIN stances t ON t.search = r.search AND t.study_id = r.study_id""",
+    "evidence_brief": _searched_sql() + f""",
+o AS (SELECT search, count(*) AS n, string_agg(concat_ws(':', study_id, 0, least(160, length(abstract)), {_FNV.format("concat(study_id, '|overview')")}), ',' ORDER BY rank) FILTER (rank <= 3) AS cited FROM ranked GROUP BY search),
+heads AS (SELECT search, cluster, string_agg(cited, ',' ORDER BY nth) AS cited, string_agg(cited, ',' ORDER BY nth) FILTER (nth <= 2) AS two FROM clustered WHERE nth <= 3 GROUP BY ALL),
+placed AS (SELECT c.*, h.cited, h.two, row_number() OVER (PARTITION BY c.search ORDER BY claims DESC, c.cluster) AS place, row_number() OVER (PARTITION BY c.search, disposition ORDER BY claims DESC, c.cluster) AS torn FROM clusters c JOIN heads h ON h.search = c.search AND h.cluster = c.cluster)
+SELECT search, 0::bigint AS position, concat('The search retained ', n, ' quality-screened studies after multi-source retrieval and strict filtering.') AS text, 'neutral' AS stance, cited AS citations FROM o
+UNION ALL SELECT search, place, CASE disposition WHEN 'conflicting' THEN concat('Evidence for ', label, ' is conflicting across the retrieved studies, with both positive and negative directions reported.') WHEN 'consensus_positive' THEN concat('Most studies indicate a positive association for ', label, '.')
+  WHEN 'consensus_negative' THEN concat('Most studies indicate a negative association for ', label, '.') ELSE concat('Findings related to ', label, ' are mixed and likely context-dependent.') END, CASE disposition WHEN 'conflicting' THEN 'conflicting' WHEN 'consensus_positive' THEN 'positive' WHEN 'consensus_negative' THEN 'negative' ELSE 'mixed' END, cited FROM placed WHERE place <= 3
+UNION ALL SELECT search, (SELECT least(3, count(*)) FROM clusters k WHERE k.search = p.search) + 1, 'At least one major proposition remains unresolved, so conclusions should be interpreted with explicit uncertainty.', 'conflicting', array_to_string(string_split(string_agg(two, ',' ORDER BY torn), ',')[1:3], ',') FROM placed p WHERE disposition = 'conflicting' AND torn <= 2 GROUP BY search
+UNION ALL SELECT search, 1, 'No high-confidence effect statements were extractable from abstracts, so interpretation remains limited.', 'neutral', cited FROM o WHERE search NOT IN (SELECT search FROM clusters)""",
     "query_first_version": f"""WITH questions AS ({_QUESTIONS}),
 n AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(trim(query), '\\b(better|best|worse|worst|superior|inferior)\\b', 'associated with', 'gi'), '\\b(more|less)\\s+(effective|efficient|beneficial)\\b', 'outcomes of', 'gi'), '\\beffects?\\s+of\\b', 'reported outcomes associated with', 'gi') AS q2,
   list_filter(regexp_split_to_array(regexp_replace(lower(query), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda w: w <> '' AND NOT list_contains({_LIST(_stop("RETRIEVAL_STOP_WORDS"))}, w)) AS kw FROM questions)

@@ -6,12 +6,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import doi as D
+from ..functions.hashing import fnv1a
 from ..functions import extraction as X
 from ..functions import scores as S
 from ..functions import similarity as H
 from ..functions import text as T
-from .graph import components
 
 #: Concepts: id, preferred term, synonyms, terms never added, and how many are.
 ONTOLOGY = [
@@ -270,31 +269,17 @@ def disposition(positive: Column, negative: Column, neutral: Column) -> Column:
     return F.when((positive > 0) & (negative > 0), "conflicting").when((positive > 0) & (neutral == 0), "consensus_positive").when((negative > 0) & (neutral == 0), "consensus_negative").otherwise("mixed")
 
 
-def claim_clusters(found: DataFrame, by: str = "outcome") -> DataFrame:
-    """Claims of one label together: how many of each direction, and the disposition."""
-    counts = {d: F.count_if(F.col("direction") == d).alias(d) for d in ("positive", "negative", "neutral")}
-    grouped = found.groupBy(by).agg(*counts.values(), F.count(F.lit(1)).alias("claims"))
-    return grouped.withColumn("disposition", disposition(F.col("positive"), F.col("negative"), F.col("neutral")))
-
-
-def propositions(found: DataFrame, clusters: DataFrame, key: str = "study_id", by: str = "outcome") -> DataFrame:
-    """Each paper's disposition over its claims' clusters; ``mixed`` where they differ."""
-    joined = found.join(clusters.select(by, "disposition"), by)
-    per = joined.groupBy(key).agg(F.min("disposition").alias("least"), F.max("disposition").alias("most"))
-    return per.select(key, F.when(F.col("least") == F.col("most"), F.col("least")).otherwise("mixed").alias("proposition"))
-
-
-def greedy_clusters(found: DataFrame, batch: str, key: str = "study_id", threshold: float = 0.42) -> DataFrame:
+def greedy_clusters(found: DataFrame, batch: str, key: str = "study_id", threshold: float = 0.42, order: str | None = None) -> DataFrame:
     """Claims of each query's batch (column ``batch``, at most some thousand claims by the limits
-    of a search) in order: each joins the cluster of the best Jaccard, at least ``threshold``,
+    of a search) by ``order`` (the key unless given) and sentence: each joins the cluster of the best Jaccard, at least ``threshold``,
     whose token set grows by it, or opens one.  Order decides, so a batch is one task's."""
     schema = f"{batch} string, {key} {dict(found.dtypes)[key]}, at int, cluster int"
-    rows = found.select(F.col(batch).cast("string").alias(batch), key, F.col("at").cast("int").alias("at"), H.claim_tokens(F.concat_ws(" ", "outcome", "sentence")).alias("tokens"))
+    rows = found.select(F.col(batch).cast("string").alias(batch), key, F.col(order or key).alias("order"), F.col("at").cast("int").alias("at"), H.claim_tokens(F.concat_ws(" ", "outcome", "sentence")).alias("tokens"))
 
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
         held: list[set] = []
         out = []
-        for _, row in pdf.sort_values([key, "at"]).iterrows():
+        for _, row in pdf.sort_values(["order", "at"]).iterrows():
             own = set(row["tokens"])
             scores = [len(own & h) / len(own | h) if own and h else 0.0 for h in held]
             best = max(range(len(held)), key=lambda i: (scores[i], -i), default=-1)
@@ -309,9 +294,57 @@ def greedy_clusters(found: DataFrame, batch: str, key: str = "study_id", thresho
     return rows.groupBy(batch).applyInPandas(cluster, schema)
 
 
-def evidence_table(ranked: DataFrame, stances: DataFrame, most: int = 200, key: str = "study_id") -> DataFrame:
-    """The first ``most`` ranked papers with their snippet and proposition."""
-    return ranked.where(F.col("rank") <= most).join(stances, key, "left").select("rank", key, "title", "year", "q_total", T.shortened(F.col("abstract"), 280).alias("snippet"), F.coalesce("proposition", F.lit("mixed")).alias("proposition"))
+def kept_by_search(scored: DataFrame, batch: str, most: int = 2000, key: str = "study_id") -> DataFrame:
+    """``kept_papers`` of every search of the column ``batch``, each ranked from 1."""
+    order = [F.col("reject_reason").isNotNull(), F.desc("q_total"), F.desc("citation_count"), F.col(key)]
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy(batch).orderBy(*order)))
+    return ranked.where(F.col("reject_reason").isNull() & (F.col("rank") <= most))
+
+
+def anchored_claims(papers: DataFrame, batch: str, key: str = "study_id") -> DataFrame:
+    """``claims`` of ranked papers of searches, with their place in the abstract (from 0) and the
+    sentence's hash: (batch, key, rank, at, sentence, outcome, direction, char_start, char_end, snippet_hash)."""
+    places = claim_offsets(papers.select(F.struct(batch, key, "rank").alias("of"), "abstract"), "of")
+    each = claims(papers.select(F.struct(batch, key, "rank").alias("of"), "abstract"), "of")
+    return each.join(places, ["of", "at"]).select("of.*", "at", "sentence", "outcome", "direction", "char_start", "char_end", fnv1a(F.col("sentence")).alias("snippet_hash"))
+
+
+def clustered_claims(found: DataFrame, batch: str, key: str = "study_id", threshold: float = 0.42) -> DataFrame:
+    """``anchored_claims`` with the cluster of each, in order of rank and sentence."""
+    numbers = greedy_clusters(found, batch, key, threshold, order="rank")
+    return found.withColumn(batch, F.col(batch).cast("string")).withColumn("at", F.col("at").cast("int")).join(numbers, [batch, key, "at"])
+
+
+def claim_clusters(clustered: DataFrame, batch: str, key: str = "study_id") -> DataFrame:
+    """Every search's clusters: (batch, cluster, cluster_id, label, claims, positive, negative,
+    neutral, disposition); label and id are those of the claim that opened it."""
+    counts = [F.count_if(F.col("direction") == d).alias(d) for d in ("positive", "negative", "neutral")]
+    first = F.min(F.struct("rank", "at", key, "outcome", "sentence")).alias("first")
+    grouped = clustered.groupBy(batch, "cluster").agg(F.count(F.lit(1)).alias("claims"), *counts, first)
+    name = F.concat(F.lit("cluster_"), fnv1a(F.concat_ws("|", F.col(f"first.{key}").cast("string"), "first.sentence")))
+    return grouped.select(batch, "cluster", name.alias("cluster_id"), F.col("first.outcome").alias("label"), "claims", "positive", "negative", "neutral", disposition(F.col("positive"), F.col("negative"), F.col("neutral")).alias("disposition"))
+
+
+def propositions(clustered: DataFrame, clusters: DataFrame, batch: str, key: str = "study_id") -> DataFrame:
+    """Each paper's disposition over its claims' clusters; ``mixed`` where they differ."""
+    joined = clustered.join(clusters.select(batch, "cluster", "disposition"), [batch, "cluster"])
+    per = joined.groupBy(batch, key).agg(F.min("disposition").alias("least"), F.max("disposition").alias("most"))
+    return per.select(batch, key, F.when(F.col("least") == F.col("most"), F.col("least")).otherwise("mixed").alias("proposition"))
+
+
+#: A paper's identifiers and parts of quality in the evidence table, as far as it has them.
+IDENTIFIERS = ("authors", "venue", "doi", "pubmed_id", "openalex_id", "arxiv_id")
+QUALITY = ("source_authority", "study_design_strength", "methods_transparency", "citation_impact", "recency_fit", "q_total")
+
+
+def evidence_table(ranked: DataFrame, stances: DataFrame, batch: str, most: int = 200, key: str = "study_id") -> DataFrame:
+    """The first ``most`` papers of every search: identifiers, snippet (of the abstract, else the
+    title), proposition, the parts of quality and where the paper came from."""
+    rows = ranked.where(F.col("rank") <= most).withColumn(batch, F.col(batch).cast("string")).join(stances, [batch, key], "left")
+    snippet = T.shortened(F.coalesce(F.nullif("abstract", F.lit("")), "title"), 280).alias("snippet")
+    came = F.struct(F.col("source").alias("provider"), F.col(key).cast("string").alias("external_id"), S.provider_confidence(F.col("source")).alias("metadata_confidence")).alias("provenance")
+    held = [c for c in (*IDENTIFIERS, *QUALITY) if c in ranked.columns]
+    return rows.select(batch, "rank", key, "title", "year", *held, snippet, F.coalesce("proposition", F.lit("mixed")).alias("proposition"), came)
 
 
 # --- the brief --------------------------------------------------------------------------------
@@ -328,36 +361,35 @@ UNRESOLVED = "At least one major proposition remains unresolved, so conclusions
 NOTHING = "No high-confidence effect statements were extractable from abstracts, so interpretation remains limited."
 
 
-def evidence_brief(ranked: DataFrame, found: DataFrame, by: str = "outcome", key: str = "study_id") -> DataFrame:
-    """Rows (position, text, stance, citations): a brief of ``ranked`` papers (key, rank) and the
-    claims found in them (key, at, outcome, direction), clustered by the column ``by``.
+def evidence_brief(ranked: DataFrame, clustered: DataFrame, clusters: DataFrame, batch: str, key: str = "study_id") -> DataFrame:
+    """Rows (batch, position, text, stance, citations): the brief of every search with a kept paper.
 
     An overview that cites the three best papers; a sentence for each of the three largest
-    clusters (ties by first claim) with its first three claims; a warning if any cluster is
+    clusters (ties by their opening) with its first three claims; a warning if any cluster is
     conflicting, with two claims of each of these and three in all; one sentence of its own if
-    there are no claims.  Citations are (paper, number of the sentence, null for the overview).
+    there are no claims.  A citation is (paper, char_start, char_end, snippet_hash), a place in
+    the paper's abstract and the hash of what stands there.
     """
-    cite = F.struct(F.col(key).alias("paper"), F.col("at").cast("int").alias("at"))
-    kind = "array<struct<paper:long,at:int>>"
-    best = ranked.where("rank <= 3").agg(F.array_sort(F.collect_list(F.struct("rank", F.col(key).cast("long").alias("paper")))).alias("c"))
-    overview = F.transform("c", lambda x: F.struct(x["paper"].alias("paper"), F.lit(None).cast("int").alias("at"))).cast(kind)
-    counts = {d: F.count_if(F.col("direction") == d).alias(d) for d in ("positive", "negative", "neutral")}
-    clusters = found.groupBy(by).agg(*counts.values(), F.count(F.lit(1)).alias("claims"), F.min(F.struct(key, "at", "outcome")).alias("first"))
-    clusters = clusters.withColumn("disposition", disposition(F.col("positive"), F.col("negative"), F.col("neutral")))
-    order = [F.desc("claims"), F.col(f"first.{key}"), F.col("first.at")]
-    # The first claims of every cluster are kept where they are made; no cluster meets whole.
-    early = found.withColumn("nth", F.row_number().over(Window.partitionBy(by).orderBy(key, "at"))).where("nth <= 3")
-    numbered = lambda rows: rows.orderBy(*order).limit(3).withColumn("position", F.row_number().over(Window.orderBy(*order)))
-    anchors = early.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", cite.alias("c")))), lambda x: x["c"]).cast(kind).alias("citations"))
-    top = numbered(clusters).join(anchors, by)
+    ranked = ranked.withColumn(batch, F.col(batch).cast("string"))
+    cite = lambda start, end, text: F.struct(F.col(key).cast("string").alias("paper"), start.cast("int").alias("char_start"), end.cast("int").alias("char_end"), text.alias("snippet_hash"))
+    in_order = lambda *by: F.transform(F.array_sort(F.collect_list(F.struct(*by, "c"))), lambda x: x["c"])
+    shown = F.least(F.length(F.coalesce(F.nullif("abstract", F.lit("")), "title")), F.lit(160))
+    best = ranked.where("rank <= 3").select(batch, "rank", cite(F.lit(0), shown, fnv1a(F.concat(F.col(key).cast("string"), F.lit("|overview")))).alias("c"))
+    number = ranked.groupBy(batch).agg(F.count(F.lit(1)).alias("n")).join(best.groupBy(batch).agg(in_order("rank").alias("citations")), batch)
+    # The first claims of every cluster are kept where they are made.
+    nth = F.row_number().over(Window.partitionBy(batch, "cluster").orderBy("rank", "at"))
+    early = clustered.withColumn("nth", nth).where("nth <= 3").select(batch, "cluster", "nth", cite(F.col("char_start"), F.col("char_end"), F.col("snippet_hash")).alias("c"))
+    anchors = early.groupBy(batch, "cluster").agg(in_order("nth").alias("citations"))
+    order = [F.desc("claims"), F.col("cluster")]
+    placed = clusters.withColumns({"place": F.row_number().over(Window.partitionBy(batch).orderBy(*order)), "torn": F.row_number().over(Window.partitionBy(batch, "disposition").orderBy(*order))})
     text, stance = F, F
     for name, (sentence, word) in BRIEF.items():
-        text, stance = text.when(F.col("disposition") == name, F.format_string(sentence, "first.outcome")), stance.when(F.col("disposition") == name, word)
-    said = top.select("position", text.alias("text"), stance.alias("stance"), "citations")
-    torn = numbered(clusters.where("disposition = 'conflicting'")).join(anchors, by)
-    pairs = F.slice(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("position", "citations"))), lambda x: F.slice(x["citations"], 1, 2))), 1, 3)
-    warning = torn.agg(F.count(F.lit(1)).alias("n"), pairs.alias("citations")).where("n > 0").select(F.lit(4).alias("position"), F.lit(UNRESOLVED).alias("text"), F.lit("conflicting").alias("stance"), "citations")
-    number = ranked.agg(F.count(F.lit(1)).alias("n")).withColumn("k", F.lit(1)).join(best.withColumn("k", F.lit(1)), "k").join(found.limit(1).agg(F.count(F.lit(1)).alias("some")).withColumn("k", F.lit(1)), "k")
-    opened = number.select(F.lit(0).alias("position"), F.format_string(OVERVIEW, "n").alias("text"), F.lit("neutral").alias("stance"), overview.alias("citations"))
-    silent = number.where("some = 0").select(F.lit(1).alias("position"), F.lit(NOTHING).alias("text"), F.lit("neutral").alias("stance"), overview.alias("citations"))
+        text, stance = text.when(F.col("disposition") == name, F.format_string(sentence, "label")), stance.when(F.col("disposition") == name, word)
+    said = placed.where("place <= 3").join(anchors, [batch, "cluster"]).select(batch, F.col("place").alias("position"), text.alias("text"), stance.alias("stance"), "citations")
+    # A conflicting cluster has two claims at least, so two of them give the three citations.
+    torn = placed.where("disposition = 'conflicting' and torn <= 2").join(anchors, [batch, "cluster"]).select(batch, "torn", F.slice("citations", 1, 2).alias("c"))
+    after = placed.groupBy(batch).agg((F.least(F.max("place"), F.lit(3)) + 1).alias("position"))
+    warning = torn.groupBy(batch).agg(F.slice(F.flatten(in_order("torn")), 1, 3).alias("citations")).join(after, batch).select(batch, "position", F.lit(UNRESOLVED).alias("text"), F.lit("conflicting").alias("stance"), "citations")
+    opened = number.select(batch, F.lit(0).alias("position"), F.format_string(OVERVIEW, "n").alias("text"), F.lit("neutral").alias("stance"), "citations")
+    silent = number.join(clusters.select(batch).distinct(), batch, "left_anti").select(batch, F.lit(1).alias("position"), F.lit(NOTHING).alias("text"), F.lit("neutral").alias("stance"), "citations")
     return opened.unionByName(said).unionByName(warning).unionByName(silent)

@@ -64,9 +64,11 @@ def answer(papers: DataFrame, question: str, current_year: int, rows: int = 200,
     plan = search.understand(spark.createDataFrame([(question,)], "query string")).select("normalized", "terms", "confidence").first()
     ranked = search.rank_candidates(search.eligible(papers), list(plan["terms"]), candidates)
     scored = materialise(search.score_papers(ranked, current_year), "scored")
-    found = search.claims(scored)
-    kept = search.kept_papers(scored)
-    evidence = search.evidence_table(kept, search.propositions(found, search.claim_clusters(found)), rows)
+    kept = search.kept_papers(scored).withColumn("search", F.lit("0"))
+    clustered = materialise(search.clustered_claims(search.anchored_claims(kept, "search"), "search"), "clustered")
+    clusters = search.claim_clusters(clustered, "search")
+    evidence = search.evidence_table(kept, search.propositions(clustered, clusters, "search"), "search", rows).drop("search")
+    brief = search.evidence_brief(kept, clustered, clusters, "search").drop("search")
     extracted = studies.tier(studies.studies(kept.limit(45)))
     funnel = scored.agg(F.count(F.lit(1)).alias("ranked"), F.count_if(F.col("reject_reason").isNull()).alias("kept"))
-    return {"evidence": evidence, "studies": extracted, "funnel": funnel}
+    return {"evidence": evidence, "brief": brief, "studies": extracted, "funnel": funnel}
