@@ -86,7 +86,7 @@ def run_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 def latency_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 95th percentile sample of each kind of event."""
     e = table(spark, sf_dir, "events").select("event_type", F.round("value", 4).alias("value"))
-    return operations.percentile_95(e, "value", ["event_type"])
+    return operations.percentile_95(e, "value", "event_type")
 
 
 def hourly_requests(spark: SparkSession, sf_dir: str) -> DataFrame:

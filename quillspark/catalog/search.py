@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import canonical, search
+from ..operators import canonical, search, slices
 from ..storage import materialise
 from ..views import CURRENT_YEAR, duck, table, view
 
@@ -58,10 +58,8 @@ def search_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sources one after the other, with reciprocal ranks, eligible alone."""
     papers = view(spark, sf_dir, "studies")
     parts = [papers.where(F.col("source") == s).select("study_id", "source", "abstract") for s in ("semantic_scholar", "openalex", "pubmed", "arxiv")]
-    from pyspark.sql import Window
-
-    signal = F.round(1.0 / F.row_number().over(Window.partitionBy("source").orderBy("study_id")), 6)
-    return search.eligible(search.fan_out(parts)).withColumn("rank_signal", signal).select("study_id", "source", "provider_ordinal", "rank_signal")
+    ranked = slices.numbered(search.eligible(search.fan_out(parts)), "source", "study_id")
+    return ranked.withColumn("rank_signal", F.round(1.0 / F.col("place"), 6)).select("study_id", "source", "provider_ordinal", "rank_signal")
 
 
 def search_rank_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:

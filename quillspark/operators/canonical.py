@@ -16,7 +16,7 @@ from ..functions import doi as D
 from ..functions import similarity as H
 from ..storage import materialise, release
 from .graph import components
-from .titles import latest_before
+from .slices import latest_before
 
 #: Jaccard of titles and of authors from which two papers are one.
 TITLES, AUTHORS = 0.78, 0.2

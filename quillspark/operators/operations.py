@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import backoff_seconds
+from .slices import order_statistic
 
 #: Requests an hour by function.
 HOURLY_LIMITS = {"search": 10, "synthesis": 20, "chat": 30, "download": 15}
@@ -89,9 +90,6 @@ def run_states(log: DataFrame) -> DataFrame:
     return last.withColumn("ended", F.col("state").isin("RUN_COMPLETED", "RUN_FAILED"))
 
 
-def percentile_95(samples: DataFrame, column: str, by: list[str]) -> DataFrame:
-    """The sample at place floor(0.95 n) of each group, counted from 0, from ranks and counts."""
-    order = Window.partitionBy(*by).orderBy(column)
-    n = F.count(F.lit(1)).over(Window.partitionBy(*by))
-    placed = samples.select(*by, column, (F.row_number().over(order) - 1).alias("place"), n.alias("n"))
-    return placed.where(F.col("place") == F.floor(F.col("n") * 0.95)).select(*by, F.col(column).alias("p95"))
+def percentile_95(samples: DataFrame, column: str, by: str) -> DataFrame:
+    """The sample at place floor(0.95 n) of each group, counted from 0."""
+    return order_statistic(samples, column, by, 0.95).withColumnRenamed("value", "p95")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..storage import materialise
 from .graph import components
+from .slices import latest_before
 
 #: Titles of at most SHORT characters may differ by FEW edits, longer ones by MORE.
 SHORT, FEW, MORE = 40, 2, 3
@@ -61,26 +62,6 @@ def edit_pairs(probes: DataFrame, known: DataFrame) -> DataFrame:
     return near.where("distance <= most").select("probe_id", "known_id", "distance")
 
 
-def latest_before(events: DataFrame, key: str, order: str, value: str, slices: int = 1000) -> DataFrame:
-    """``events`` with ``latest``: the last non-null ``value`` of the same ``key`` in an earlier ``order``.
-
-    ``order`` is a number of its own for every row.  A key is looked through in slices of the
-    order, and the slices' last values carry over, so no task holds all rows of a key.  Rows
-    with a null key have no latest.
-    """
-    bounds = events.agg(F.min(order).alias("low"), F.max(order).alias("high")).first()
-    low, width = bounds["low"] or 0, max(1, ((bounds["high"] or 0) - (bounds["low"] or 0)) // slices + 1)
-    sliced = events.withColumn("slice_", F.floor((F.col(order) - low) / width))
-    inside = Window.partitionBy(key, "slice_").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    ends = sliced.where(F.col(value).isNotNull() & F.col(key).isNotNull()).groupBy(key, "slice_").agg(F.max_by(value, order).alias("end_"))
-    # Each slice with values tells the next ones; a slice asks the last one before it.
-    slots = sliced.where(F.col(key).isNotNull()).select(key, "slice_").distinct().join(ends, [key, "slice_"], "left")
-    across = slots.withColumn("before_", F.last("end_", ignorenulls=True).over(Window.partitionBy(key).orderBy("slice_").rowsBetween(Window.unboundedPreceding, -1))).select(key, "slice_", "before_")
-    held = sliced.withColumn("own_", F.last(value, ignorenulls=True).over(inside)).join(across, [key, "slice_"], "left")
-    found = F.when(F.col(key).isNotNull(), F.coalesce("own_", "before_"))
-    return held.select(*events.columns, found.alias("latest"))
-
-
 def arrival_parents(papers: DataFrame) -> DataFrame:
     """Rows (arrival, parent, reason): the earlier paper that each paper of ``papers`` (arrival,
     doi, title) is merged into, null if it opens a group.

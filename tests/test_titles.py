@@ -73,13 +73,3 @@ def test_merge_against_a_plain_loop(spark, sf):
         group = sorted((p for p in papers if leader[p["arrival"]] == at), key=lambda p: p["arrival"])
         assert row["papers"] == len(group) and row["title"] == group[0]["title"] and row["citation_count"] == max(p["citation_count"] for p in group)
         assert row["doi"] == next((p["doi"] for p in group if p["doi"]), None)
-
-
-def test_latest_before_by_slices(spark):
-    rng = random.Random(2)
-    rows = [(k, rng.choice(["a", "a", "a", "b", None]), k if rng.random() < 0.6 else None) for k in rng.sample(range(500), 200)]
-    df = spark.createDataFrame(rows, "at long, key string, value long")
-    for slices in (1, 7, 1000):
-        got = {r["at"]: r["latest"] for r in titles.latest_before(df, "key", "at", "value", slices).collect()}
-        assert got == {a: max((v for b, j, v in rows if j == k and b < a and v is not None), default=None) if k else None for a, k, _ in rows}
-    assert titles.latest_before(df.where("false"), "key", "at", "value").count() == 0
