@@ -244,6 +244,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4) -> DataF
 BUCKETS, PARITY = 1 << 16, 2048
 #: Remainders of text keys that may be broadcast to pick the texts to compare.
 FILTER = 1 << 20
+#: Nodes of a key from which it is thinned out by pivots before its pairs are made, and how often at most.
+DENSE, PIVOTS = 16, 8
 
 
 def with_keys(docs: DataFrame) -> DataFrame:
@@ -371,30 +373,48 @@ def alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, simil
     return found
 
 
+#: Columns of a posting that tell its set: its size, and the parity map folded into four numbers.
+_SET = ("n", "p0", "p1", "p2", "p3")
+
+
+def _folded(bits: Column) -> list[Column]:
+    """A parity map folded by exclusive or into 256 bits; sets still differ in as many shingles as these do."""
+    return [F.aggregate(F.sequence(F.lit(k), F.lit(PARITY // 64 - 1), F.lit(4)), F.lit(0).cast("long"), lambda x, i: x.bitwiseXOR(F.get(bits, i))).alias(f"p{k}") for k in range(4)]
+
+
 def _can_reach(a: str, b: str, similarity: float) -> Column:
     """Whether two postings may be the first that sets of ``similarity`` have in common: what
-    follows them in the shorter rest must make up the overlap that the sizes ask for."""
+    follows them in the shorter rest must make up the overlap that the sizes ask for, and their
+    parity maps must not differ in more bits than such sets in shingles."""
     na, nb, at, bt = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.at"), F.col(f"{b}.at")
     sizes = (na >= similarity * nb - 1e-6) & (nb >= similarity * na - 1e-6)
-    return sizes & (F.least(na - at, nb - bt) >= (na + nb) * (similarity / (1 + similarity)) - 1e-6)
+    differ = sum((F.bit_count(F.col(f"{a}.p{k}").bitwiseXOR(F.col(f"{b}.p{k}"))) for k in range(1, 4)), F.bit_count(F.col(f"{a}.p0").bitwiseXOR(F.col(f"{b}.p0"))))
+    reach = F.least(na - at, nb - bt) >= (na + nb) * (similarity / (1 + similarity)) - 1e-6
+    return sizes & reach & (differ <= (na + nb) * ((1 - similarity) / (1 + similarity)) + 1e-6)
 
 
 def shared_postings(docs: DataFrame, nodes: DataFrame, ranks: np.ndarray, words: int, similarity: float) -> DataFrame:
-    """Rows (key, at, node, n): prefix shingles that several nodes have."""
-    mine = nodes.select(F.col("node").alias("_node"), F.col("doc_id").alias("_id"), F.col("text_key").alias("_text"))
+    """Rows (key, at, node, n, p0 to p3): prefix shingles that several nodes have."""
+    mine = nodes.select(F.col("node").alias("_node"), F.col("doc_id").alias("_id"), F.col("text_key").alias("_text"), *_folded(F.col("bits")))
     held = prefixes(docs, ranks, words, similarity)
     held = held.join(mine, (F.col("node") == F.col("_node")) & (F.col("text_key") == F.col("_text")) & F.col("doc_id").eqNullSafe(F.col("_id")))
     same = Window.partitionBy("key")
-    each = held.select("node", "n", F.posexplode("prefix").alias("at", "key")).withColumns({"_low": F.min("node").over(same), "_high": F.max("node").over(same)})
+    each = held.select("node", *_SET, F.posexplode("prefix").alias("at", "key")).withColumns({"_low": F.min("node").over(same), "_high": F.max("node").over(same)})
     return materialise(each.where("_low <> _high").drop("_low", "_high"), "postings")
 
 
-def to_first(postings: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of each node and the smallest node of a key, if they can be alike: no more
-    than there are postings, however many share a key."""
-    first = F.min(F.struct("node", "n", "at")).over(Window.partitionBy("key"))
-    p = postings.withColumn("f", first).select(F.struct("node", "n", "at").alias("p"), "f")
-    return p.where((F.col("p.node") != F.col("f.node")) & _can_reach("p", "f", similarity)).select(F.col("f.node").alias("a"), F.col("p.node").alias("b")).distinct()
+def to_first(postings: DataFrame, similarity: float, turn: int = 0) -> DataFrame:
+    """Pairs (a, b) of each node and one node of a key, if they can be alike: no more than there
+    are postings, however many share a key.
+
+    The one is the smallest by a hash that changes with ``turn``.  If ``postings`` have a
+    ``component``, pairs within one are left out."""
+    apart = ["component"] if "component" in postings.columns else []
+    first = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "at", *_SET, *apart)).over(Window.partitionBy("key"))
+    p = postings.withColumn("f", first).select(F.struct("node", "at", *_SET, *apart).alias("p"), "f")
+    if apart:
+        p = p.where(F.col("p.component") != F.col("f.component"))
+    return p.where((F.col("p.node") != F.col("f.node")) & _can_reach("p", "f", similarity)).select(F.least("f.node", "p.node").alias("a"), F.greatest("f.node", "p.node").alias("b")).distinct()
 
 
 def prefix_pairs(postings: DataFrame, similarity: float) -> DataFrame:
@@ -441,6 +461,21 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     met = equal.unionByName(named(first_links(firsts.select("simhash"), keys, distance))).unionByName(to_first(postings, similarity))
     known = alike(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), nodes, docs, words, similarity)
     labelled = label(known)
+    # Near copies that aren't like the first node of their keys are like another: in dense keys pivots
+    # take turns, each drawing together all that are like it, until few pairs are left to be made.
+    crowd = postings.groupBy("key").agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > DENSE).select("key")
+    dense = materialise(postings.join(crowd, "key"), "dense")
+    for turn in range(1, PIVOTS):
+        met = materialise(to_first(dense.join(labelled, "node"), similarity, turn), "met")
+        if met.isEmpty():
+            break
+        new = alike(met, nodes, docs, words, similarity)
+        release(met)
+        if not new.isEmpty():
+            known = known.unionByName(new)
+            release(labelled)
+            labelled = label(known)
+    release(dense)
     prints = firsts.join(labelled, F.col("first") == F.col("node")).select("simhash", "component")
     met = named(links(prints, keys, distance, apart=True)).unionByName(prefix_pairs(postings.join(labelled, "node"), similarity))
     known = known.unionByName(alike(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), nodes, docs, words, similarity))
