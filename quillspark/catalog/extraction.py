@@ -63,11 +63,15 @@ def paper_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merged_studies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A10: studies that two extractions hold."""
-    s = view(spark, sf_dir, "studies").select("study_id", "title", "abstract", "study_design", "citation_count", "outcome_measured")
-    again = s.where("study_id % 2 = 0").withColumns({"study_design": F.lit("RCT"), "abstract": F.substring("abstract", 1, 40), "citation_count": F.col("citation_count") + 3, "outcome_measured": F.lit("mood")})
-    merged = S.merge_studies(s.withColumn("ordinal", F.lit(0)).unionByName(again.withColumn("ordinal", F.lit(1))))
-    return merged.select("study_id", "study_design", "title", F.length("abstract").cast("long").alias("chars"), "citation_count", "outcomes")
+    """A10: studies that two extractions hold, with their outcomes as structs."""
+    outcome = lambda measured, result: F.struct(measured.alias("outcome_measured"), F.col("title").alias("citation_snippet"), result.alias("key_result"), F.col("effect_size"))
+    own = outcome(F.col("outcome_measured"), F.col("key_result"))
+    s = view(spark, sf_dir, "studies")
+    parts = s.select("study_id", "title", F.col("abstract").alias("abstract_excerpt"), "study_design", (F.col("citation_count") % 4).alias("citation_count"), F.array(own, own).alias("outcomes"), F.lit(0).alias("ordinal"))
+    again = s.where("study_id % 2 = 0").select("study_id", F.upper("title").alias("title"), F.substring("abstract", 1, 40).alias("abstract_excerpt"), F.lit("RCT").alias("study_design"), (F.col("citation_count") % 3).alias("citation_count"), F.array(own, outcome(F.lit("mood"), F.lit(None).cast("string"))).alias("outcomes"), F.lit(1).alias("ordinal"))
+    merged = S.merge_studies(parts.unionByName(again))
+    shown = F.transform("outcomes", lambda o: F.concat_ws("|", F.coalesce(o["outcome_measured"], F.lit("")), o["citation_snippet"], F.coalesce(o["key_result"], F.lit("")), F.coalesce(o["effect_size"], F.lit(""))))
+    return merged.select("study_id", "study_design", "title", F.length("abstract_excerpt").cast("long").alias("chars"), F.col("citation_count").cast("int").alias("citation_count"), F.array_join(shown, ";").alias("outcomes"))
 
 
 def result_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,8 +189,9 @@ SELECT study_id, title, CASE WHEN study_id % 3 > 0 THEN year ELSE {CURRENT_YEAR}
 f AS (SELECT k, min(position) AS position FROM src GROUP BY k)
 SELECT s.study_id AS paper_id, 'https://e.org/p/' || coalesce(a.position, f.position) AS pdf_url, 'https://e.org/l/' || coalesce(a.position, f.position) AS landing_page_url
 FROM (SELECT study_id, CASE WHEN study_id % 3 > 0 THEN study_id // 4 END AS k FROM studies) s LEFT JOIN src a ON a.paper_id = s.study_id LEFT JOIN f ON f.k = s.k""",
-    "merged_studies": STUDIES + """ SELECT study_id, CASE WHEN study_id % 2 = 0 THEN 'RCT' ELSE study_design END AS study_design, title, length(abstract) AS chars, CASE WHEN study_id % 2 = 0 THEN citation_count + 3 ELSE citation_count END::integer AS citation_count,
-  CASE WHEN study_id % 2 = 0 THEN array_to_string(list_sort([outcome_measured, 'mood']), '|') ELSE outcome_measured END AS outcomes FROM studies""",
+    "merged_studies": STUDIES + """, o AS (SELECT *, concat_ws('|', coalesce(outcome_measured, ''), title, key_result, coalesce(effect_size, '')) AS own, concat_ws('|', 'mood', title, '', coalesce(effect_size, '')) AS other FROM studies)
+SELECT study_id, CASE WHEN study_id % 2 = 0 THEN 'RCT' ELSE study_design END AS study_design, CASE WHEN study_id % 2 = 0 THEN upper(title) ELSE title END AS title, length(abstract) AS chars,
+  nullif(CASE WHEN study_id % 2 = 0 THEN greatest(citation_count % 4, citation_count % 3) ELSE citation_count % 4 END, 0)::integer AS citation_count, CASE WHEN study_id % 2 = 0 THEN concat(own, ';', other) ELSE concat(own, ';', own) END AS outcomes FROM o""",
     "result_directions": _directions_sql(),
     "page_links": """WITH p AS (SELECT page_id, html, concat(html, CASE page_id % 3 WHEN 0 THEN concat('<iframe src="//host/', page_id, '.pdf#view"></iframe>') WHEN 1 THEN concat('<a class=x href="/d/', page_id, '.pdf">get</a>') ELSE '' END) AS h FROM pages)
 SELECT page_id, coalesce(nullif(regexp_extract(h, '<iframe[^>]+src=["'']([^"'']+\\.pdf[^"'']*)["'']', 1, 'i'), ''), nullif(regexp_extract(h, '<a[^>]+href=["'']([^"'']+\\.pdf[^"'']*)["'']', 1, 'i'), '')) AS pdf, length(regexp_replace(html, '<[^>]+>', '', 'g')) AS text_chars FROM p""",

@@ -142,6 +142,20 @@ def runs_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.cells(view(spark, sf_dir, "studies"), ["study_id"], CELLS).select("study_id", "column_key", F.col("position").cast("long").alias("position"), "value", "status")
 
 
+def runs_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells of the columns that each row's run shows."""
+    s = view(spark, sf_dir, "studies").withColumn("run_id", F.col("study_id") % 7)
+    named = F.array(*[F.struct(F.lit(c).alias("column_key"), F.lit(k + 1).cast("long").alias("position")) for k, c in enumerate([*CELLS, "venue"])])
+    columns = s.select("run_id").distinct().select("run_id", F.explode(named).alias("c")).select("run_id", "c.*").where("(position + run_id) % 3 > 0")
+    return runs.cells_by_run(s, columns, ["study_id"], CELLS)
+
+
+def run_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run names by time, full runs at two o'clock, incremental ones else."""
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", F.when(F.hour("ts") == 2, runs.run_id(F.col("ts"), "full")).otherwise(runs.run_id(F.col("ts"))).alias("run_id"))
+
+
 def runs_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells back in columns."""
     return runs.wide(runs.cells(view(spark, sf_dir, "studies"), ["study_id"], CELLS), ["study_id"], ["title", "year", "study_design", "effect_size"])
@@ -216,7 +230,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         report_relevance, report_page, report_tiers, context_select, report_warnings, report_merged_warnings, report_themes, report_findings, report_opening, report_references,
-        export_csv, export_paper_csv, export_ris, design_filters, search_progress, runs_cells, runs_wide, runs_chain, typed_cells, recent_reports, report_ages,
+        export_csv, export_paper_csv, export_ris, design_filters, search_progress, runs_cells, runs_columns, run_ids, runs_wide, runs_chain, typed_cells, recent_reports, report_ages,
     )
 }
 ORACLE_SQL = {
@@ -249,6 +263,10 @@ SELECT mode, count(*) AS studies FROM (SELECT 'all' AS mode FROM r UNION ALL SEL
     "search_progress": """WITH e AS (SELECT event_id, 75 - extract(second FROM ts) AS s FROM events)
 SELECT event_id, CASE WHEN s < 10 THEN 'searching' WHEN s < 30 THEN 'extracting' ELSE 'synthesising' END AS stage, round(least(s::double / 50 * 95, 95), 4) AS percent, greatest(0, 50 - s)::bigint AS seconds_left FROM e""",
     "runs_cells": STUDIES + f", u AS (SELECT study_id, unnest([{_UNPIVOT}]) AS c FROM studies) SELECT study_id, c.column_key AS column_key, c.position AS position, c.value AS value, CASE WHEN coalesce(c.value, '') = '' THEN 'missing' ELSE 'filled' END AS status FROM u",
+    "runs_columns": STUDIES + f""", c AS (SELECT unnest({[*CELLS, "venue"]}) AS column_key, unnest(range(1, {len(CELLS) + 2})) AS position), u AS (SELECT study_id, unnest([{_UNPIVOT}]) AS v FROM studies)
+SELECT s.study_id % 7 AS run_id, s.study_id, c.column_key, c.position, u.v.value AS value, CASE WHEN coalesce(u.v.value, '') = '' THEN 'missing' ELSE 'filled' END AS status
+FROM studies s JOIN c ON (c.position + s.study_id % 7) % 3 > 0 LEFT JOIN u ON u.study_id = s.study_id AND u.v.column_key = c.column_key""",
+    "run_ids": "SELECT event_id, concat(CASE WHEN hour(ts) = 2 THEN 'full_' ELSE 'inc_' END, strftime(ts, '%Y%m%d%H%M%S%g')) AS run_id FROM events",
     "runs_wide": STUDIES + " SELECT study_id, title, year::varchar AS year, study_design, effect_size FROM studies",
     "runs_chain": "WITH c AS (SELECT o_custkey AS report_id, o_orderkey AS run_id, row_number() OVER w AS run_index, lag(o_orderkey) OVER w AS parent_run_id FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)) SELECT *, run_index = max(run_index) OVER (PARTITION BY report_id) AS is_active FROM c",
     "typed_cells": "WITH e AS (SELECT event_id, props, unnest(json_keys(props)) AS field FROM events) SELECT event_id, field, 'number' AS kind, json_extract_string(props, concat('$.', field)) AS value FROM e",

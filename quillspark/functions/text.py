@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
+from unicodedata import normalize
 
-import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .doi import none_if_empty
 
@@ -73,10 +74,28 @@ def normalize_record_text(raw: Column) -> Column:
     return none_if_empty(collapse(F.regexp_replace(F.lower(F.trim(raw)), r"\p{Punct}+", " ")))
 
 
-@F.pandas_udf(T.StringType())
-def nfkc(text: pd.Series) -> pd.Series:
-    """Unicode compatibility composition; optional, ahead of the normalisers."""
-    return text.str.normalize("NFKC")
+#: Characters that compatibility composition leaves as they are, whatever stands beside them.
+_COMPOSED = r"^[\x00-\x7F\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]*$"
+
+
+def with_nfkc(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``df`` with text or array-of-text ``columns`` in Unicode's compatibility composition.
+
+    Rows of plain characters alone stay in the JVM; the others go through Python in Arrow batches."""
+    kinds = dict(df.dtypes)
+    plain = F.lit(True)
+    for c in columns:
+        text = F.array_join(F.col(c), "") if kinds[c].startswith("array") else F.col(c)
+        plain = plain & F.coalesce(text.rlike(_COMPOSED), F.lit(True))
+
+    def form(value: str | list | None) -> str | list | None:
+        return normalize("NFKC", value) if isinstance(value, str) else [form(v) for v in value] if value is not None else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([form(v) for v in c.to_pylist()], c.type) if name in columns else c for name, c in zip(batch.schema.names, batch.columns, strict=True)], names=batch.schema.names)
+
+    return df.where(plain).unionByName(df.where(~plain).mapInArrow(run, df.schema))
 
 
 def normalize_ascii(raw: Column) -> Column:

@@ -41,7 +41,9 @@ def in_window(records: DataFrame, since: str | None, column: str = "source_updat
 
 def normalize_records(records: DataFrame, run_ts: str) -> DataFrame:
     """Identifiers, text keys, score parts and quality of each record, and the key it is grouped
-    by: its identifier where that is valid, else its fingerprint."""
+    by: its identifier where that is valid, else its fingerprint.  Identifiers, titles and names
+    are put into Unicode's compatibility composition first."""
+    records = T.with_nfkc(records, ["raw_doi", "title", "authors"])
     doi, title = D.normalize_doi(F.col("raw_doi")), T.normalize_record_text(F.col("title"))
     base = with_priority(records).withColumns({"doi_norm": doi, "title_norm": title, "authors_norm": T.authors_key(F.col("authors"))})
     base = base.withColumns(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -14,6 +14,24 @@ def cells(rows: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
     return each.withColumn("status", F.when(F.coalesce("value", F.lit("")) == "", "missing").otherwise("filled"))
 
 
+def cells_by_run(rows: DataFrame, columns: DataFrame, key: list[str], fields: list[str]) -> DataFrame:
+    """``cells`` of the columns of each row's own run: ``rows`` has run_id, the key and ``fields``,
+    ``columns`` (run_id, column_key, position) says which of them a run shows, and where.
+
+    A column that isn't among the fields is missing in all rows; a run without columns has none.
+    """
+    entries = F.map_from_entries(F.array(*[F.struct(F.lit(c), F.col(c).cast("string")) for c in fields]))
+    held = rows.select("run_id", *key, entries.alias("fields"))
+    each = held.join(columns.select("run_id", "column_key", "position"), "run_id")
+    made = each.select("run_id", *key, "column_key", "position", F.try_element_at("fields", F.col("column_key")).alias("value"))
+    return made.withColumn("status", F.when(F.coalesce("value", F.lit("")) == "", "missing").otherwise("filled"))
+
+
+def run_id(at: Column, kind: str = "inc") -> Column:
+    """A run's name by its time in UTC, to the millisecond: ``inc_20240131235959123``."""
+    return F.concat(F.lit(f"{kind}_"), F.date_format(at, "yyyyMMddHHmmssSSS"))
+
+
 def wide(found: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
     """Cells back in columns; the columns are named, so no pass is made to find them."""
     return found.groupBy(*key).pivot("column_key", columns).agg(F.first("value"))

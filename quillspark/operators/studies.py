@@ -129,16 +129,32 @@ def extraction_stats(tiered: DataFrame) -> DataFrame:
     return tiered.groupBy("tier", "study_design").agg(F.count(F.lit(1)).alias("studies"), F.count("sample_size").alias("with_sample_size"), F.sum(F.size("outcomes")).alias("outcomes"))
 
 
+def _distinct_outcomes(outcomes: Column) -> Column:
+    """Outcomes without those whose measure, snippet and result an earlier one has; in order."""
+    text = lambda o, c: F.coalesce(o[c], F.lit(""))
+    name = lambda o: F.concat_ws("|", text(o, "outcome_measured"), text(o, "citation_snippet"), text(o, "key_result"))
+    named = F.transform(outcomes, lambda o: F.struct(name(o).alias("name"), o.alias("o")))
+    names = F.transform(named, lambda x: x["name"])
+    first = F.filter(named, lambda x, i: F.array_position(names, x["name"]) == i + 1)
+    return F.transform(first, lambda x: x["o"])
+
+
 def merge_studies(parts: DataFrame, key: str = "study_id") -> DataFrame:
-    """Studies that several extractions hold: last scalars, longest excerpt, most citations.
+    """Studies that several extractions hold: every scalar of the last, the longest
+    ``abstract_excerpt`` (the first of several), the most citations (null for none), and the
+    ``outcomes`` of all, one of each measure, snippet and result.
 
-    ``parts`` has an ``ordinal`` that says which came last.
+    ``parts`` has an ``ordinal`` that says which came last, and one row a study and extraction.
+    Studies of one extraction stay as they are; rows without a key go.
     """
-    last = F.struct("ordinal")
-    return parts.groupBy(key).agg(
-        F.max_by("study_design", last).alias("study_design"),
-        F.max_by("title", last).alias("title"),
-        F.max_by("abstract", F.struct(F.length("abstract"), "ordinal")).alias("abstract"),
-        F.max("citation_count").alias("citation_count"),
-        F.array_join(F.array_sort(F.collect_set("outcome_measured")), "|").alias("outcomes"),
+    scalars = [c for c in parts.columns if c not in (key, "ordinal", "outcomes", "abstract_excerpt", "citation_count")]
+    longest = F.max_by("abstract_excerpt", F.struct(F.length(F.coalesce("abstract_excerpt", F.lit(""))), -F.col("ordinal"))).alias("abstract_excerpt")
+    held = F.array_sort(F.collect_list(F.struct("ordinal", F.coalesce("outcomes", F.array().cast(parts.schema["outcomes"].dataType)).alias("o"))))
+    merged = parts.where(has(F.col(key).cast("string"))).groupBy(key).agg(
+        *[F.max_by(c, "ordinal").alias(c) for c in scalars],
+        longest,
+        F.nullif(F.max("citation_count"), F.lit(0)).alias("citation_count"),
+        F.flatten(F.transform(held, lambda x: x["o"])).alias("outcomes"),
+        F.count(F.lit(1)).alias("n"),
     )
+    return merged.withColumn("outcomes", F.when(F.col("n") > 1, _distinct_outcomes(F.col("outcomes"))).otherwise(F.col("outcomes"))).drop("n")

@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import operations
+from ..operators.runs import run_id
 
 
 def request_counts(events: DataFrame, every: str = "1 minute", window: str = "60 minutes", late: str = "2 hours") -> DataFrame:
@@ -52,14 +54,29 @@ def breaker_states(attempts: DataFrame) -> DataFrame:
     return attempts.groupBy("key").applyInPandasWithState(step, "key string, attempt_id long, allowed boolean", "held array<long>, open_until long", "append", GroupStateTimeout.NoTimeout)
 
 
+def _named_once(spark: SparkSession, ledger: str, number: int) -> str:
+    """The run id of a batch: by the time at which it was first tried, kept in a row of its own."""
+    path, schema = f"{ledger}/batch={number}", "run_id string"
+    try:
+        held = spark.read.schema(schema).parquet(path).collect()
+    except AnalysisException:  # not tried yet
+        held = []
+    if not held:
+        # A try that ended before its row was committed left none, and used no id.
+        spark.range(1).select(run_id(F.current_timestamp()).alias("run_id")).coalesce(1).write.mode("overwrite").parquet(path)
+        held = spark.read.schema(schema).parquet(path).collect()
+    return held[0]["run_id"]
+
+
 def incremental(stream: DataFrame, run: Callable[[DataFrame, str], None], checkpoint: str) -> StreamingQuery:
     """Feed all that is new to ``run(batch, run_id)``, batch by batch, and stop.
 
-    Run ids follow from the batch number, so a batch that is tried again overwrites its own run.
+    A run id holds the time of its batch.  It is written down under the batch's number before the
+    run begins, so a batch that is tried again has the same one and overwrites its own run.
     """
 
     def each(batch: DataFrame, number: int) -> None:
         if not batch.isEmpty():
-            run(batch, f"inc_{number:012d}")
+            run(batch, _named_once(batch.sparkSession, f"{checkpoint}/run_ids", number))
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,3 +1,5 @@
+import re
+
 from pyspark.sql import functions as F
 
 from quillspark.streaming import streams
@@ -38,3 +40,12 @@ def test_incremental_batches(spark, sf, tmp_path):
     q = streams.incremental(spark.readStream.schema(rows.schema).parquet(path), lambda b, r: seen.append((r, b.count())), str(tmp_path / "cp"))
     q.awaitTermination()
     assert sum(n for _, n in seen) == rows.count()
+    assert all(re.fullmatch(r"inc_\d{17}", r) for r, _ in seen)
+
+
+def test_a_retried_batch_keeps_its_run_id(spark, tmp_path):
+    ledger = str(tmp_path / "ids")
+    first = streams._named_once(spark, ledger, 3)
+    assert streams._named_once(spark, ledger, 3) == first != streams._named_once(spark, ledger, 4)
+    (tmp_path / "ids" / "batch=5").mkdir()  # a try that left nothing
+    assert streams._named_once(spark, ledger, 5).startswith("inc_20")
