@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import doi as D
 from ..functions import text as T
 from ..functions.hashing import fnv1a
-from ..operators import dedup
+from ..operators import dedup, slices
 from ..storage import materialise
 from ..views import RUN_TS, duck, table, view
 
@@ -102,13 +102,14 @@ def dedup_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labelled_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbouring records by id, expected to be duplicates where their texts open alike and
-    both have an identifier form of the same kind."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 60).alias("opening"))
-    key = F.concat(F.lit("doc-"), F.lpad(F.col("doc_id").cast("string"), 6, "0"))
-    other = docs.select((F.col("doc_id") - 4).alias("doc_id"), F.col("opening").alias("next_opening"))
-    right = F.concat(F.lit("doc-"), F.lpad((F.col("doc_id") + 4).cast("string"), 6, "0"))
-    return docs.join(other, "doc_id").select(key.alias("left_id"), right.alias("right_id"), (F.col("opening") == F.col("next_opening")).alias("expected"))
+    """Records four apart and each record with the last one before it of the same text, expected
+    to be duplicates where their whole texts are equal."""
+    name = lambda i: F.concat(F.lit("doc-"), F.lpad(i.cast("string"), 6, "0"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
+    other = docs.select((F.col("doc_id") - 4).alias("doc_id"), F.col("digest").alias("next_digest"))
+    apart = docs.join(other, "doc_id").select(name(F.col("doc_id")).alias("left_id"), name(F.col("doc_id") + 4).alias("right_id"), (F.col("digest") == F.col("next_digest")).alias("expected"))
+    before = slices.latest_before(docs.withColumn("own", F.col("doc_id")), "digest", "doc_id", "own").where("latest <> doc_id - 4")
+    return apart.unionByName(before.select(name(F.col("latest")).alias("left_id"), name(F.col("doc_id")).alias("right_id"), F.lit(True).alias("expected")))
 
 
 def dedup_precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,8 +126,8 @@ def identifier_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text keys of every record."""
-    title = F.regexp_replace("title", "[^ -~\\n]", "x")
-    return view(spark, sf_dir, "publications").select("record_id", T.normalize_ascii(title).alias("ascii_key"), T.sorted_title_key(title).alias("sorted_key"), fnv1a(F.substring(title, 1, 80)).alias("fnv"))
+    title = F.col("title")
+    return view(spark, sf_dir, "publications").select("record_id", T.normalize_ascii(title).alias("ascii_key"), T.sorted_title_key(title).alias("sorted_key"), fnv1a(title).alias("fnv"))
 
 
 NORM = duck("publications") + """,
@@ -192,15 +193,17 @@ FROM now_ n FULL JOIN old o ON n.canonical_id = o.canonical_id WHERE n.record_id
     "dedup_components": GROUPS + " SELECT record_id, root, group_size, cluster_key, confidence::double AS confidence FROM grouped",
     "dedup_duplicate_rate": LINKED + " SELECT source, count(*) AS records, count(*) FILTER (record_id <> best) AS duplicates, round(100.0::double * count(*) FILTER (record_id <> best) / count(*), 3) AS rate FROM places GROUP BY source",
     "dedup_coverage": LINKED + " SELECT count(*) AS records, round(100.0::double * count(*) FILTER (NOT doi_is_valid) / count(*), 3) AS pct_missing_doi, round(100.0::double * count(*) FILTER (key_type = 'fingerprint' AND record_id <> best) / count(*), 3) AS pct_fallback_matched FROM places",
-    "dedup_precision_recall": NORM + """, labelled AS (SELECT concat('doc-', lpad(a.doc_id::varchar, 6, '0')) AS l, concat('doc-', lpad(b.doc_id::varchar, 6, '0')) AS r, substr(a.text, 1, 60) = substr(b.text, 1, 60) AS e FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 4),
+    "dedup_precision_recall": NORM + """, d AS (SELECT doc_id, text, lag(doc_id) OVER (PARTITION BY text ORDER BY doc_id) AS before FROM documents),
+near AS (SELECT a.doc_id AS i, b.doc_id AS j, a.text = b.text AS e FROM d a JOIN d b ON b.doc_id = a.doc_id + 4 UNION ALL SELECT before, doc_id, true FROM d WHERE before <> doc_id - 4),
+labelled AS (SELECT concat('doc-', lpad(i::varchar, 6, '0')) AS l, concat('doc-', lpad(j::varchar, 6, '0')) AS r, e FROM near),
 judged AS (SELECT e, concat(x.key_type, ':', x.dedup_key) = concat(y.key_type, ':', y.dedup_key) AS s FROM labelled JOIN norm x ON x.record_id = l JOIN norm y ON y.record_id = r),
 n AS (SELECT count(*) FILTER (s AND e) AS tp, count(*) FILTER (s AND NOT e) AS fp, count(*) FILTER (NOT s AND e) AS fn, count(*) AS samples FROM judged)
 SELECT *, round(100.0::double * tp / nullif(tp + fp, 0), 3) AS precision_pct, round(100.0::double * tp / nullif(tp + fn, 0), 3) AS recall_pct FROM n""",
     "identifier_forms": duck("publications") + r""", r AS (SELECT record_id, raw_doi, regexp_replace(lower(trim(raw_doi)), '^https?://(dx\.)?doi\.org/', '') AS retrieval FROM publications),
 e AS (SELECT *, nullif(trim(regexp_replace(retrieval, '^doi:\s*', '')), '') AS enrichment FROM r)
 SELECT record_id, retrieval, enrichment, trim(regexp_replace(trim(raw_doi), '^https?://(dx\.)?doi\.org/', '', 'i')) AS download, coalesce(regexp_matches(enrichment, '^10\.[0-9]{4,9}/[-._;()/:a-z0-9]+$', 'i'), false) AS valid FROM e""",
-    "text_keys": duck("publications") + r""", p AS (SELECT record_id, regexp_replace(title, '[^ -~\n]', 'x', 'g') AS t FROM publications)
+    "text_keys": duck("publications") + r""", p AS (SELECT record_id, title AS t FROM publications)
 SELECT record_id, trim(regexp_replace(regexp_replace(lower(t), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g')) AS ascii_key,
   array_to_string(list_sort(list_filter(regexp_split_to_array(lower(t), '[^\p{L}\p{N}]+'), lambda w: w <> '')), ' ') AS sorted_key,
-  lpad(lower(to_hex(list_reduce(list_prepend(2166136261::bigint, list_transform(range(1, length(substr(t, 1, 80)) + 1), lambda i: unicode(substr(t, i, 1))::bigint)), lambda h, c: (xor(h, c) * 16777619) & 4294967295))), 8, '0') AS fnv FROM p""",
+  lpad(lower(to_hex(list_reduce(list_prepend(2166136261::bigint, list_transform(range(1, length(t) + 1), lambda i: unicode(substr(t, i, 1))::bigint)), lambda h, c: (xor(h, c) * 16777619) & 4294967295))), 8, '0') AS fnv FROM p""",
 }

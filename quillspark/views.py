@@ -1,7 +1,9 @@
 """Scholarly views over the given tables, each as Spark SQL and as DuckDB SQL.
 
 The tables hold invented prose; the views derive publications, studies and events from them, so
-every query's work grows with the tables it reads.
+every query's work grows with the tables it reads.  A publication's title is its text's first
+sentence, its identifier, year and second author follow from the whole text, its first author from
+the title.
 """
 
 from __future__ import annotations
@@ -17,16 +19,15 @@ SELECT concat('doc-', lpad(cast(d.doc_id AS string), 6, '0')) AS record_id,
   {sources} AS source,
   {updated} AS source_updated_at,
   CASE d.doc_id % 4
-    WHEN 0 THEN concat('https://doi.org/10.', cast(1000 + length(d.text) % 97 AS string), '/', upper(substr({sha}(substr(d.text,1,60){bits}),1,10)))
-    WHEN 1 THEN concat('doi: 10.', cast(1000 + length(d.text) % 97 AS string), '/', substr({sha}(substr(d.text,1,60){bits}),1,10))
+    WHEN 0 THEN concat('https://doi.org/10.', cast(1000 + length(d.text) % 97 AS string), '/', upper(substr(d.of_text, 1, 10)))
+    WHEN 1 THEN concat('doi: 10.', cast(1000 + length(d.text) % 97 AS string), '/', substr(d.of_text, 1, 10))
     WHEN 2 THEN NULL ELSE 'not-a-doi' END AS raw_doi,
-  substr(d.text, 1, 400) AS title,
-  {array}(concat('a', substr({sha}(substr(d.text,1,20){bits}),1,2)), concat('b', substr({sha}(substr(d.text,1,20){bits}),3,2))) AS authors,
-  cast(1990 + ({code}(substr({sha}(substr(d.text,1,20){bits}),1,1)) * 31 + {code}(substr({sha}(substr(d.text,1,20){bits}),2,1)) * 7
-     + {code}(substr({sha}(substr(d.text,1,20){bits}),3,1))) % 35 AS int) AS pub_year,
+  d.opening AS title,
+  {array}(concat('a', substr({sha}(d.opening{bits}), 1, 2)), concat('b', substr(d.of_text, 3, 2))) AS authors,
+  cast(1990 + ({code}(substr(d.of_text, 1, 1)) * 31 + {code}(substr(d.of_text, 2, 1)) * 7 + {code}(substr(d.of_text, 3, 1))) % 35 AS int) AS pub_year,
   cast(d.n_chars % 501 AS int) AS citation_count,
   coalesce(l.toxic = 1, false) AS is_deleted
-FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id
+FROM (SELECT *, regexp_extract(text, '^[^.!?\\n]*[.!?]?', 0) AS opening, {sha}(text{bits}) AS of_text FROM documents) d LEFT JOIN labels l ON l.doc_id = d.doc_id
 """
 
 _STUDIES = """
