@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -12,10 +13,14 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; only where that is unset, as in tests on one
-    machine, a temporary folder is made and remembered."""
+    """The session's ``spark.checkpoint.dir``.  Where that is unset and all tasks run in this
+    process, as in tests, a temporary folder is made and remembered; on a cluster it raises,
+    since executors wouldn't see that folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.quill.shared.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that driver and executors share (master: {master})")
         found = "file://" + tempfile.mkdtemp(prefix="spark-quill-", dir="/tmp")
         spark.conf.set("spark.quill.shared.dir", found)
     return found.rstrip("/")
