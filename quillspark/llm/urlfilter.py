@@ -68,21 +68,39 @@ def bloom_blocks(listed: DataFrame, key: str, bits_per_key: int = 16) -> tuple[D
     return each.groupBy("_block").agg(*[F.bit_or(F.when(word == k, one).otherwise(0)).alias(f"_w{k}") for k in range(WORDS)]), blocks
 
 
+#: Blocks of a filter that may be broadcast: 32 bytes and a number each, 48 MB at most.
+BROADCAST_BLOCKS = 1 << 20
+
+
+def _possible(keys: DataFrame, key: str, blooms: DataFrame, blocks: int) -> DataFrame:
+    """``keys`` with ``_possible``: whether the filter has all bits of a key; false for null keys."""
+    block, bits = _bits(F.col(key), blocks)
+    few = F.broadcast(blooms) if blocks <= BROADCAST_BLOCKS else blooms
+    probe = keys.withColumns({"_block": block, "_bits": bits}).join(few, "_block", "left")
+    words = F.array(*[f"_w{k}" for k in range(WORDS)])
+    held = F.forall("_bits", lambda b: F.getbit(F.get(words, F.shiftright(b, 5)).cast("long"), b.bitwiseAND(F.lit(31))) == 1)
+    return probe.select(*keys.columns, F.coalesce(F.col(key).isNotNull() & F.col("_w0").isNotNull() & held, F.lit(False)).alias("_possible"))
+
+
 def listed_pages(pages: DataFrame, key: str, listed: DataFrame) -> DataFrame:
     """``pages`` with ``listed`` (boolean): whether the non-null ``key`` is among listed's keys.
 
     ``listed`` holds keys in a column of the same name; it is made distinct, pre-aggregated
-    before its shuffle.  Keys of pages are made distinct as well before the filter, so a URL of
-    a third of all rows is probed once; possible hits alone go to the exact join, and what it
-    finds is joined to the pages, where Spark may split a large key.
+    before its shuffle.  A filter of up to ``BROADCAST_BLOCKS`` blocks (some 16 million keys) is
+    broadcast and probed where the pages are read: only possible hits are shuffled, to the exact
+    join, where Spark may split a large key.  A larger filter is joined by block to the distinct
+    keys, and what passes goes the same way.
     """
     wanted = materialise(listed.select(key).where(F.col(key).isNotNull()).distinct(), "listed")
     blooms, blocks = bloom_blocks(wanted, key)
+    if blocks <= BROADCAST_BLOCKS:
+        probed = _possible(pages, key, materialise(blooms, "blooms"), blocks)
+        hits = wanted.select(F.col(key).alias("_hit"))
+        maybe = probed.where("_possible").drop("_possible")
+        found = maybe.join(hits, F.col(key) == F.col("_hit"), "left").withColumn("listed", F.col("_hit").isNotNull()).drop("_hit")
+        return found.unionByName(probed.where("not _possible").drop("_possible").withColumn("listed", F.lit(False)))
     keys = pages.select(key).where(F.col(key).isNotNull()).distinct()
-    block, bits = _bits(F.col(key), blocks)
-    probe = keys.withColumn("_block", block).withColumn("_bits", bits).join(blooms, "_block")
-    words = F.array(*[f"_w{k}" for k in range(WORDS)])
-    possible = probe.where(F.forall("_bits", lambda b: F.getbit(F.get(words, F.shiftright(b, 5)).cast("long"), b.bitwiseAND(F.lit(31))) == 1)).select(key)
+    possible = _possible(keys, key, blooms, blocks).where("_possible").select(key)
     hits = possible.join(wanted, key).select(F.col(key).alias("_hit"))
     return pages.join(hits, F.col(key) == F.col("_hit"), "left").withColumn("listed", F.col("_hit").isNotNull()).drop("_hit")
 
