@@ -244,8 +244,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4) -> DataF
 BUCKETS, PARITY = 1 << 16, 2048
 #: Remainders of text keys that may be broadcast to pick the texts to compare.
 FILTER = 1 << 20
-#: Nodes of a key from which it is thinned out by pivots before its pairs are made, and how often at most.
-DENSE, PIVOTS = 16, 8
+#: Nodes of a key that all others of it are compared with before pairs are made.
+PIVOTS = 4
 
 
 def with_keys(docs: DataFrame) -> DataFrame:
@@ -403,17 +403,15 @@ def shared_postings(docs: DataFrame, nodes: DataFrame, ranks: np.ndarray, words:
     return materialise(each.where("_low <> _high").drop("_low", "_high"), "postings")
 
 
-def to_first(postings: DataFrame, similarity: float, turn: int = 0) -> DataFrame:
-    """Pairs (a, b) of each node and one node of a key, if they can be alike: no more than there
-    are postings, however many share a key.
+def to_first(postings: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of each node and ``PIVOTS`` nodes of a key, if they can be alike: no more than
+    so many times the postings, however many share a key.
 
-    The one is the smallest by a hash that changes with ``turn``.  If ``postings`` have a
-    ``component``, pairs within one are left out."""
-    apart = ["component"] if "component" in postings.columns else []
-    first = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "at", *_SET, *apart)).over(Window.partitionBy("key"))
-    p = postings.withColumn("f", first).select(F.struct("node", "at", *_SET, *apart).alias("p"), "f")
-    if apart:
-        p = p.where(F.col("p.component") != F.col("f.component"))
+    The pivots are the smallest nodes by as many hashes.  In a group of near copies, some of which
+    aren't like each other, one of several pivots is like most."""
+    same, given = Window.partitionBy("key"), F.struct("node", "at", *_SET)
+    pivots = F.array(*[F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "at", *_SET)).over(same) for k in range(PIVOTS)])
+    p = postings.select(given.alias("p"), pivots.alias("f")).select("p", F.explode("f").alias("f"))
     return p.where((F.col("p.node") != F.col("f.node")) & _can_reach("p", "f", similarity)).select(F.least("f.node", "p.node").alias("a"), F.greatest("f.node", "p.node").alias("b")).distinct()
 
 
@@ -435,8 +433,8 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     one order, two sets of similarity t share one of their first n - ceil(t n) + 1.  Every pair
     is compared by its sets, those of equal fingerprints too.
 
-    Both searches run twice: each node is first compared with the smallest one that has a key
-    in common with it, which puts dense groups of copies together without their pairs; then
+    Both searches run twice: each node is first compared with one that has a key in common
+    with it, which puts dense groups of copies together without their pairs; then
     with all others that are still in a different component.
     """
     docs = with_keys(docs).drop("doc")
@@ -461,21 +459,6 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     met = equal.unionByName(named(first_links(firsts.select("simhash"), keys, distance))).unionByName(to_first(postings, similarity))
     known = alike(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), nodes, docs, words, similarity)
     labelled = label(known)
-    # Near copies that aren't like the first node of their keys are like another: in dense keys pivots
-    # take turns, each drawing together all that are like it, until few pairs are left to be made.
-    crowd = postings.groupBy("key").agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > DENSE).select("key")
-    dense = materialise(postings.join(crowd, "key"), "dense")
-    for turn in range(1, PIVOTS):
-        met = materialise(to_first(dense.join(labelled, "node"), similarity, turn), "met")
-        if met.isEmpty():
-            break
-        new = alike(met, nodes, docs, words, similarity)
-        release(met)
-        if not new.isEmpty():
-            known = known.unionByName(new)
-            release(labelled)
-            labelled = label(known)
-    release(dense)
     prints = firsts.join(labelled, F.col("first") == F.col("node")).select("simhash", "component")
     met = named(links(prints, keys, distance, apart=True)).unionByName(prefix_pairs(postings.join(labelled, "node"), similarity))
     known = known.unionByName(alike(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), nodes, docs, words, similarity))
