@@ -12,6 +12,8 @@ from .slices import latest_before
 
 #: Titles of at most SHORT characters may differ by FEW edits, longer ones by MORE.
 SHORT, FEW, MORE = 40, 2, 3
+#: Stands before short titles, so that the empty one has a tail too; equal beginnings change no distance.
+_PAD = "\x01" * 3
 
 
 def edits(length: Column) -> Column:
@@ -33,20 +35,18 @@ def _key(block: Column, length: Column, part: Column, text: Column) -> Column:
     return F.xxhash64(block, length, part, text)
 
 
-def edit_pairs(probes: DataFrame, known: DataFrame) -> DataFrame:
-    """Rows (probe_id, known_id, distance): titles of one block within ``edits`` of the probe's length.
+def _by_segments(probes: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows (a, b): ids of probes and known titles of a block that have a part in common.
 
-    Both have id, block and title.  Of a known title's parts one at least is intact in every
-    title that few edits away, and moved by no more than these edits leave room for; so titles
-    meet by block, length, part and the part's text, and only then are distances taken.  Null
-    titles or blocks meet nothing; equal titles are at distance 0, and an id may meet itself.
+    Of a known title's parts one at least is intact in every title that few edits away, and moved
+    by no more than these edits leave room for; so titles meet by block, length, part and the
+    part's text.
     """
     n, length, part = F.length("title"), F.col("length"), F.col("part")
-    whole = known.where("title is not null and block is not null")
-    parts = whole.select("id", "block", "title", n.alias("length"), F.explode(F.sequence(F.lit(0), _segments(n) - 1)).alias("part"))
+    parts = known.select("id", "block", "title", n.alias("length"), F.explode(F.sequence(F.lit(0), _segments(n) - 1)).alias("part"))
     begin, end = _begin(length, part), _begin(length, part + 1)
     index = parts.select(F.col("id").alias("known_id"), _key(F.col("block"), length, part, F.substring("title", begin + 1, end - begin)).alias("key"))
-    asked = probes.where("title is not null and block is not null").withColumns({"n": n, "most": edits(n)})
+    asked = probes.withColumns({"n": n, "most": edits(n)})
     by_length = asked.select("id", "block", "title", "n", "most", F.explode(F.sequence(F.greatest(F.col("n") - F.col("most"), F.lit(0)), F.col("n") + F.col("most"))).alias("length"))
     by_part = by_length.select("*", F.explode(F.sequence(F.lit(0), _segments(length) - 1)).alias("part")).withColumns({"begin": begin, "size": end - begin, "more": F.col("n") - length})
     # A part moved by x leaves |x| edits before it and |more - x| after it.
@@ -54,12 +54,92 @@ def edit_pairs(probes: DataFrame, known: DataFrame) -> DataFrame:
     placed = by_part.withColumns({"first": F.greatest(first, F.lit(0)), "last": F.least(last, F.col("n") - F.col("size"))}).where("last >= first")
     keys = F.transform(F.sequence("first", "last"), lambda at: _key(F.col("block"), length, part, F.substring(F.col("title"), at.cast("int") + 1, F.col("size"))))
     asks = placed.select(F.col("id").alias("probe_id"), F.explode(F.array_distinct(keys)).alias("key"))
+    return asks.join(index, "key").select(F.col("probe_id").alias("a"), F.col("known_id").alias("b"))
+
+
+def _tail(length: Column) -> Column:
+    """How many last characters of a short title of this length are its tail."""
+    return F.greatest(F.ceil(length / 3).cast("int"), F.lit(1))
+
+
+def _less(rows: DataFrame, count: int) -> DataFrame:
+    """Rows (id, key) of ``rows`` (id, block, kind, length, head, part): keys by what is left of
+    ``part`` without ``count`` of its characters, chosen in all ways."""
+    cut = lambda text, at: F.concat(F.substring(text, F.lit(1), F.col(at) - 1), F.substring(text, F.col(at) + 1, F.length(text)))
+    for k in range(count):
+        last = F.col("at") - 1 if k else F.length("part")
+        rows = rows.withColumn("last", last).where("last >= 1").withColumn("at", F.explode(F.sequence(F.lit(1), "last"))).withColumn("part", cut(F.col("part"), "at"))
+    return rows.select("id", F.xxhash64("kind", "block", "length", "head", "part").alias("key"))
+
+
+def _by_tails(shorter: DataFrame, longer: DataFrame, backwards: bool) -> DataFrame:
+    """Rows (a, b): ids of short titles of a block that may be ``FEW`` (two) edits apart, b's title as long as
+    a's or longer.
+
+    Either at most one of the edits is in the tail of the longer title, so the tails meet by what is left of
+    them without a character; or both are, so the heads are equal, and the tails meet by what is
+    left without two.  Families that share their heads thus make no pairs beyond those nearly
+    alike, and those that share their tails none if they are read ``backwards``.
+    """
+    text = F.concat(F.lit(_PAD), F.reverse("title") if backwards else F.col("title"))
+    n, none, length = F.length("title"), F.lit(""), F.col("length")
+
+    def last(size: Column) -> Column:
+        return F.substring("text", F.length("text") - size + 1, size)
+
+    def keyed(rows: DataFrame, kind: str, head: Column, part: Column, count: int) -> DataFrame:
+        return _less(rows.select("id", "block", F.lit(kind).alias("kind"), "length", head.alias("head"), part.alias("part")), count)
+
+    size = _tail(length)
+    before = length + len(_PAD) - size
+    head, rest = F.substring("text", F.lit(1), before), F.substring("text", before + 1, size)
+    held = longer.select("id", "block", text.alias("text"), n.alias("length"))
+    index = keyed(held, "whole", none, rest, 0).unionByName(keyed(held, "less", none, rest, 1)).unionByName(keyed(held, "both", head, rest, 2))
+    asked = shorter.select("id", "block", text.alias("text"), n.alias("n"))
+    asks = None
+    for more in range(FEW + 1):
+        of = asked.select("id", "block", "text", (F.col("n") + more).alias("length"))
+        # The tail of the other title has as many characters in this one, or one less or more.
+        found = [keyed(of, "less", none, last(size), 1), keyed(of, "less", none, last(size - 1), 0), keyed(of, "both", head, rest, FEW - more)]
+        if more == 0:
+            found.append(keyed(of, "whole", none, last(size + 1), 1))
+        for each in found:
+            asks = each if asks is None else asks.unionByName(each)
+    return asks.withColumnRenamed("id", "a").join(index.withColumnRenamed("id", "b"), "key").select("a", "b")
+
+
+def _backwards(known: DataFrame) -> bool:
+    """Whether the first characters of titles tell them apart better than the last ones."""
+    size = _tail(F.length("title"))
+    ends = {"last": F.substring("title", F.length("title") - size + 1, size), "first": F.substring("title", F.lit(1), size)}
+    pairs = {k: known.groupBy("block", c.alias("end")).agg(F.count(F.lit(1)).cast("double").alias("n")).agg(F.sum(F.col("n") * F.col("n")).alias("n")).first()["n"] or 0 for k, c in ends.items()}
+    return pairs["first"] < pairs["last"]
+
+
+def edit_pairs(probes: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows (probe_id, known_id, distance): titles of one block within ``edits`` of the probe's length.
+
+    Both have id, block and title.  Titles of up to ``SHORT`` characters meet by heads and tails,
+    longer ones by parts, and only then are distances taken.  Null titles or blocks meet nothing;
+    equal titles are at distance 0, and an id may meet itself.
+    """
+    n = F.length("title")
+    slim = lambda df: materialise(df.where("title is not null and block is not null").select("id", "block", "title"), "titles")
+    asked = slim(probes)
+    held = asked if probes is known else slim(known)
+    brief, near = asked.where(n <= SHORT), held.where(n <= SHORT + FEW)
+    backwards = _backwards(near)
+    met = _by_tails(brief, near, backwards).unionByName(_by_segments(asked.where(n > SHORT), held.where(n >= SHORT + 1 - MORE)))
+    if probes is known:
+        # Pairs of short titles are found from the shorter one alone; those of a longer probe were found by parts.
+        met = met.unionByName(met.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    else:
+        met = met.unionByName(_by_tails(near.where(n < SHORT), brief, backwards).select(F.col("b").alias("a"), F.col("a").alias("b")))
     # Ids alone meet; titles come back for the pairs that are left.
-    met = asks.join(index, "key").select("probe_id", "known_id").distinct()
-    left = met.join(asked.select(F.col("id").alias("probe_id"), F.col("title").alias("asked"), "most", F.col("block").alias("of_asked")), "probe_id")
-    both = left.join(whole.select(F.col("id").alias("known_id"), F.col("title").alias("held"), F.col("block").alias("of_held")), "known_id")
+    left = met.distinct().join(asked.select(F.col("id").alias("a"), F.col("title").alias("asked"), F.col("block").alias("of_asked")), "a")
+    both = left.join(held.select(F.col("id").alias("b"), F.col("title").alias("held"), F.col("block").alias("of_held")), "b")
     near = both.where(F.col("of_asked") == F.col("of_held")).withColumn("distance", F.levenshtein("asked", "held"))
-    return near.where("distance <= most").select("probe_id", "known_id", "distance")
+    return near.where(F.col("distance") <= edits(F.length("asked"))).select(F.col("a").alias("probe_id"), F.col("b").alias("known_id"), "distance")
 
 
 def arrival_parents(papers: DataFrame) -> DataFrame:

@@ -73,3 +73,16 @@ def test_merge_against_a_plain_loop(spark, sf):
         group = sorted((p for p in papers if leader[p["arrival"]] == at), key=lambda p: p["arrival"])
         assert row["papers"] == len(group) and row["title"] == group[0]["title"] and row["citation_count"] == max(p["citation_count"] for p in group)
         assert row["doi"] == next((p["doi"] for p in group if p["doi"]), None)
+
+
+def test_families_make_few_pairs(spark):
+    """Titles that share their first or last words meet only where they are nearly alike."""
+    rng = random.Random(3)
+    numbers = rng.sample(range(10**6, 10**7), 1500)
+    for rows in ([f"large ring trial {n}" for n in numbers], [f"{n} large ring trial" for n in numbers]):
+        df = spark.createDataFrame([(k, 0, t) for k, t in enumerate(rows)], "id long, block int, title string")
+        backwards = titles._backwards(df)
+        assert titles._by_tails(df, df, backwards).where("a < b").distinct().count() < 10 * len(rows)
+        want = {(i, j) for i, a in enumerate(numbers) for j, b in enumerate(numbers) if sum(x != y for x, y in zip(str(a), str(b))) <= 2}
+        got = {(r["probe_id"], r["known_id"]) for r in titles.edit_pairs(df, df).where("distance <= 2").collect()}
+        assert want <= got
