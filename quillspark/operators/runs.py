@@ -33,8 +33,12 @@ def run_id(at: Column, kind: str = "inc") -> Column:
 
 
 def wide(found: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
-    """Cells back in columns; the columns are named, so no pass is made to find them."""
-    return found.groupBy(*key).pivot("column_key", columns).agg(F.first("value"))
+    """Cells back in columns; the columns are named, so no pass is made to find them.
+
+    Cells of other columns are left out (a key with none of the named ones has all of them
+    null), and rows are dealt by key before they are sorted for it, not within the tasks that made them."""
+    kept = found.select(*key, "column_key", F.when(F.col("column_key").isin(columns), F.col("value")).alias("value"))
+    return kept.repartition(*key).groupBy(*key).pivot("column_key", columns).agg(F.first("value"))
 
 
 def chain(runs: DataFrame) -> DataFrame:
