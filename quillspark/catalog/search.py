@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import canonical, search, slices
 from ..storage import materialise
-from ..views import CURRENT_YEAR, duck, table, view
+from ..views import CURRENT_YEAR, duck, spread, table, view
 
 #: The research question that ranking is measured against.
 KEYWORDS = ["placebo", "sleep", "quality", "small", "ring"]
@@ -22,7 +22,7 @@ FROM part
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(_QUESTIONS.replace("FROM part", "FROM {part}"), part=table(spark, sf_dir, "part"))
+    return spark.sql(_QUESTIONS.replace("FROM part", "FROM {part}"), part=spread(table(spark, sf_dir, "part"), "p_partkey"))
 
 
 def query_understanding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,15 +67,25 @@ DUCK = {
     "studies": _STUDIES,
 }
 _NEEDS = {"publications": ["documents", "labels"], "studies": ["part"]}
+#: Narrow tables whose rows become much work each, and their keys.
+_SPREAD = {"part": "p_partkey"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt over all cores by ``key``: a narrow table of millions of rows may be one row
+    group, which a single task would read and take all the way to the first shuffle."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived view; its tables are passed by reference, so sessions keep no names."""
-    return spark.sql(_bound(SPARK[name], _NEEDS[name]), **{t: table(spark, sf_dir, t) for t in _NEEDS[name]})
+    held = {t: table(spark, sf_dir, t) for t in _NEEDS[name]}
+    return spark.sql(_bound(SPARK[name], _NEEDS[name]), **{t: spread(df, _SPREAD[t]) if t in _SPREAD else df for t, df in held.items()})
 
 
 def _bound(sql: str, tables: list[str]) -> str:
