@@ -2,6 +2,7 @@
 
 from quillspark.catalog.report import runs_wide
 from quillspark.catalog.search import questions
+from quillspark.operators import runs
 from quillspark.views import view
 
 
@@ -12,5 +13,11 @@ def test_narrow_tables_are_dealt_over_all_cores(spark, sf):
 
 
 def test_cells_are_dealt_by_key_before_they_are_aggregated(spark, sf):
-    plan = runs_wide(spark, sf)._jdf.queryExecution().executedPlan().toString()
-    assert plan.rindex("REPARTITION_BY_COL") > plan.rindex("Aggregate(")
+    rows = spark.createDataFrame([(1, "x", None), (2, None, "y"), (3, None, None)], "id long, a string, b string")
+    # A key without any of the named columns stays, with nulls.
+    alone = spark.createDataFrame([(4, "b", 2, "z", "filled")], "id long, column_key string, position int, value string, status string")
+    for df in (runs.wide(runs.cells(rows, ["id"], ["a", "b"]).unionByName(alone), ["id"], ["a"]), runs_wide(spark, sf)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.rindex("Exchange hashpartitioning(") > plan.rindex("Aggregate(")
+    got = runs.wide(runs.cells(rows, ["id"], ["a", "b"]).unionByName(alone), ["id"], ["a"]).collect()
+    assert sorted(map(tuple, got)) == [(1, "x"), (2, None), (3, None), (4, None)]
