@@ -96,7 +96,7 @@ def hourly_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("function_name", w.alias("w")).agg(F.count(F.lit(1)).alias("requests")).select("function_name", F.unix_seconds("w.start").alias("hour"), "requests")
 
 
-RATE = "WITH r AS (SELECT event_id, event_type AS function_name, user_id % 20 AS client, epoch(ts)::bigint AS at_ FROM events)"
+RATE = "WITH r AS (SELECT event_id, event_type AS function_name, user_id % 20 AS client, epoch_us(ts) AS at_ FROM events)"
 CACHE = "WITH c AS (SELECT user_id AS lookup_key, event_id, props AS payload, ts AS fetched_at, ts + to_days((event_id % 9)::int) AS expires_at FROM events)"
 JOBS = "WITH j AS (SELECT event_id AS job_id, CASE event_id % 4 WHEN 0 THEN 'queued' WHEN 1 THEN 'processing' ELSE 'completed' END AS status, (event_id % 7)::int AS attempt_count, ts AS created_at, ts + to_hours((event_id % 48)::int) AS next_run_at, event_id % 3 = 0 AS succeeded FROM events)"
 QUERIES = {
@@ -104,7 +104,7 @@ QUERIES = {
     for f in (rate_limit_counts, rate_limit_admitted, circuit_breaker, cache_upsert, cache_insert_ignore, cache_states, cache_valid, jobs_claim, jobs_after_attempt, run_states, latency_p95, hourly_requests)
 }
 ORACLE_SQL = {
-    "rate_limit_counts": RATE + " SELECT event_id, count(*) OVER w AS in_window, count(*) OVER w <= 10 AS within FROM r WINDOW w AS (PARTITION BY function_name, client ORDER BY at_ RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW)",
+    "rate_limit_counts": RATE + " SELECT event_id, count(*) OVER w AS in_window, count(*) OVER w <= 10 AS within FROM r WINDOW w AS (PARTITION BY function_name, client ORDER BY at_ RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW)",
     "circuit_breaker": "WITH a AS (SELECT event_id, event_type AS k, floor(floor(epoch(ts)) / 60)::bigint AS at_, event_id % 3 = 0 AS failed FROM events), n AS (SELECT *, count(*) OVER w AS attempts, (count(*) FILTER (failed) OVER w)::bigint AS failures FROM a WINDOW w AS (PARTITION BY k ORDER BY at_ RANGE BETWEEN 300 PRECEDING AND CURRENT ROW)) SELECT event_id, attempts, failures, failed AND attempts >= 8 AND failures::double / attempts >= 0.4 AS opens FROM n",
     "cache_upsert": CACHE + " SELECT lookup_key, event_id, payload FROM (SELECT *, row_number() OVER (PARTITION BY lookup_key ORDER BY fetched_at DESC, event_id DESC) AS place FROM c) WHERE place = 1",
     "cache_insert_ignore": CACHE + ", o AS (SELECT * FROM c WHERE lookup_key % 3 = 0 AND event_id % 2 = 0) SELECT lookup_key, event_id FROM o UNION ALL SELECT lookup_key, event_id FROM c WHERE event_id % 2 = 1 AND lookup_key NOT IN (SELECT lookup_key FROM o)",

@@ -32,9 +32,10 @@ def unexpired(cache: DataFrame, now: Column) -> DataFrame:
 
 
 def rate_counts(events: DataFrame, seconds: int = 3600) -> DataFrame:
-    """Each event with how many of its function and client the window up to it holds."""
-    at = F.unix_seconds(F.col("created_at").cast("timestamp"))
-    window = Window.partitionBy("function_name", "client").orderBy("at").rangeBetween(-seconds, 0)
+    """Each event with how many of its function and client the window up to it holds, both ends
+    included, to the microsecond."""
+    at = F.unix_micros(F.col("created_at").cast("timestamp"))
+    window = Window.partitionBy("function_name", "client").orderBy("at").rangeBetween(-seconds * 1_000_000, 0)
     return events.withColumn("at", at).withColumn("in_window", F.count(F.lit(1)).over(window)).drop("at")
 
 

@@ -33,3 +33,19 @@ def test_greedy_clusters_by_plain_loop(spark, sf):
         groups[k] |= own
         want[study, at] = k
     assert {(r["study_id"], r["at"]): r["cluster"] for r in claims_greedy(spark, sf).collect()} == want
+
+
+def test_rate_counts_to_the_microsecond(spark):
+    """Neither a request of the same second that comes later counts, nor one more than an hour ago by a fraction."""
+    from quillspark.catalog.operations import ORACLE_SQL
+    from quillspark.operators.operations import rate_counts
+
+    times = ["2024-01-01 00:00:00.400000", "2024-01-01 00:00:00.600000", "2024-01-01 01:00:00.400000", "2024-01-01 01:00:00.500000", "2024-01-01 01:00:00.700000"]
+    df = spark.createDataFrame([(k, "search", 1, t) for k, t in enumerate(times)], "event_id long, function_name string, client long, t string").selectExpr("*", "cast(t as timestamp_ntz) created_at")
+    got = {r["event_id"]: r["in_window"] for r in rate_counts(df).collect()}
+    assert got == {0: 1, 1: 2, 2: 3, 3: 3, 4: 3}
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("create table events as select * from (values " + ", ".join(f"({k}, 'search', 1, timestamp '{t}')" for k, t in enumerate(times)) + ") v(event_id, event_type, user_id, ts)")
+    assert {k: n for k, n, _ in con.execute(ORACLE_SQL["rate_limit_counts"]).fetchall()} == got
