@@ -65,7 +65,8 @@ def best_titles(papers: DataFrame, references: DataFrame, k: int = 5, least: flo
     title of fewer tokens, then to the smaller id.  A paper's tokens are looked up from the
     heaviest on, as long as those that are left weigh enough to reach ``least``: titles without
     any of these can't.  Equal token sets are looked up once and stand in the index once, with
-    their k smallest ids, so copies of a title make no pairs.
+    their k smallest ids, so copies of a title make no pairs.  Joins are by sorted shuffles, as
+    tables of titles are many times what their compressed files let Spark expect.
     """
     asked, held = title_sets(papers.withColumn("provider", F.lit(None).cast("string"))), materialise(title_sets(references), "held")
     size = held.count()
@@ -74,26 +75,26 @@ def best_titles(papers: DataFrame, references: DataFrame, k: int = 5, least: flo
     each = asked.select("of_set", "tokens").dropDuplicates(["of_set"]).select("of_set", F.posexplode("tokens").alias("at", "token"))
     # Rounded as decimals, so that sums don't depend on their order.
     weight = F.round(F.log(1.0 + size / F.coalesce("uses", F.lit(1))), 6).cast("decimal(18,6)")
-    weighed = each.join(uses, "token", "left").select("of_set", "token", "uses", weight.alias("w"))
+    weighed = each.join(uses.hint("merge"), "token", "left").select("of_set", "token", "uses", weight.alias("w"))
     order = Window.partitionBy("of_set").orderBy(F.desc("w"), "token")
     rest = F.sum("w").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
     total = F.sum("w").over(Window.partitionBy("of_set"))
     ranged = materialise(weighed.withColumns({"rest": rest, "total": total}), "weighed")
     asks = ranged.where((F.col("rest") >= F.col("total") * least) & F.col("uses").isNotNull()).select(F.col("of_set").alias("p_set"), "token")
     index = known.select(F.col("of_set").alias("r_set"), F.explode("tokens").alias("token"))
-    met = asks.join(index, "token").select("p_set", "r_set").distinct()
+    met = asks.join(index.hint("merge"), "token").select("p_set", "r_set").distinct()
     mine = ranged.groupBy(F.col("of_set").alias("p_set")).agg(F.collect_list(F.struct("token", "w")).alias("weights"), F.max("total").alias("total"))
-    both = met.join(mine, "p_set").join(known.select(F.col("of_set").alias("r_set"), F.col("tokens").alias("r_tokens")), "r_set")
+    both = met.join(mine.hint("merge"), "p_set").join(known.select(F.col("of_set").alias("r_set"), F.col("tokens").alias("r_tokens")).hint("merge"), "r_set")
     shared = F.aggregate(F.filter("weights", lambda x: F.array_contains(F.col("r_tokens"), x["token"])), F.lit(0).cast("decimal(28,6)"), lambda s, x: (s + x["w"]).cast("decimal(28,6)"))
     scored = both.select("p_set", "r_set", shared.alias("score"), F.size("r_tokens").alias("n"), "total").where(F.col("score") >= F.col("total") * least)
-    rows = scored.join(_first_of_sets(held, k).withColumnRenamed("of_set", "r_set"), "r_set").select("p_set", "provider", "score", "n", F.explode("ids").alias("r_id"))
+    rows = scored.join(_first_of_sets(held, k).withColumnRenamed("of_set", "r_set").hint("merge"), "r_set").select("p_set", "provider", "score", "n", F.explode("ids").alias("r_id"))
     best = Window.partitionBy("p_set", "provider").orderBy(F.desc("score"), "n", "r_id")
     top = rows.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).select("p_set", "provider", "r_id")
-    return asked.select(F.col("id").alias("p_id"), F.col("of_set").alias("p_set")).join(top, "p_set").select("p_id", "r_id", "provider")
+    return asked.select(F.col("id").alias("p_id"), F.col("of_set").alias("p_set")).join(top.hint("merge"), "p_set").select("p_id", "r_id", "provider")
 
 
 def candidates(papers: DataFrame, references: DataFrame, sources: tuple[str, str] = ("crossref", "openalex"), k: int = 5) -> DataFrame:
-    """Pairs of a paper and a reference, with what their comparison needs.
+    """Pairs of a paper and a reference, with what their comparison needs and their ``confidence``.
 
     Both have id, doi, title, authors, year, venue, journal, citation_count; papers have source,
     references provider.  Of the first source a paper gets the references of its identifier, or
@@ -111,9 +112,9 @@ def candidates(papers: DataFrame, references: DataFrame, sources: tuple[str, str
     of = lambda pairs, source: pairs.where(F.col("provider") == source).select("p_id", "r_id")
     known = of(by_doi, first)
     asked = known.unionByName(of(by_title, first).join(known.select("p_id"), "p_id", "left_anti"))
-    featured = lambda pairs: pairs.join(p, "p_id").join(r, "r_id")
+    featured = lambda pairs: pairs.join(p.hint("merge"), "p_id").join(r.hint("merge"), "r_id").withColumn("confidence", candidate_confidence())
     one = materialise(featured(asked), "first")
-    sure = one.where(candidate_confidence() >= ACCEPTED).select("p_id").distinct()
+    sure = one.where(F.col("confidence") >= ACCEPTED).select("p_id").distinct()
     more = of(by_doi, second).unionByName(of(by_title, second).join(keys.select("p_id"), "p_id", "left_anti")).join(sure, "p_id", "left_anti")
     return one.unionByName(featured(more))
 
@@ -135,7 +136,7 @@ def trust(source: Column) -> Column:
 
 def best_candidates(pairs: DataFrame) -> DataFrame:
     """The best candidate of each paper: confidence, then trust in its provider, then id."""
-    scored = pairs.withColumn("confidence", candidate_confidence()).withColumn("trust", trust(F.col("r_provider")))
+    scored = pairs.withColumn("trust", trust(F.col("r_provider")))
     order = Window.partitionBy("p_id").orderBy(F.desc("confidence"), F.desc("trust"), "r_id")
     best = scored.withColumn("place", F.row_number().over(order)).where("place = 1").drop("place")
     return best.withColumn("outcome", S.enrichment_outcome(F.col("confidence")))

@@ -21,3 +21,12 @@ def test_cells_are_dealt_by_key_before_they_are_aggregated(spark, sf):
         assert plan.rindex("Exchange hashpartitioning(") > plan.rindex("Aggregate(")
     got = runs.wide(runs.cells(rows, ["id"], ["a", "b"]).unionByName(alone), ["id"], ["a"]).collect()
     assert sorted(map(tuple, got)) == [(1, "x"), (2, None), (3, None), (4, None)]
+
+
+def test_titles_and_features_are_not_broadcast(spark, sf):
+    """Files of titles are small for what they hold, so no join may rest on their size."""
+    from quillspark.catalog.enrichment import enrich_titles, pairs
+
+    for df in (enrich_titles(spark, sf), pairs(spark, sf).select("p_id", "confidence")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin [r_set" not in plan and "BroadcastHashJoin [p_set" not in plan and "BroadcastHashJoin [r_id" not in plan
