@@ -373,13 +373,8 @@ def alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, simil
     return found
 
 
-#: Columns of a posting that tell its set: its size, and the parity map folded into four numbers.
-_SET = ("n", "p0", "p1", "p2", "p3")
-
-
-def _folded(bits: Column) -> list[Column]:
-    """A parity map folded by exclusive or into 256 bits; sets still differ in as many shingles as these do."""
-    return [F.aggregate(F.sequence(F.lit(k), F.lit(PARITY // 64 - 1), F.lit(4)), F.lit(0).cast("long"), lambda x, i: x.bitwiseXOR(F.get(bits, i))).alias(f"p{k}") for k in range(4)]
+#: Columns of a posting that tell its set: its size and its parity map.
+_SET = ("n", "bits")
 
 
 def _can_reach(a: str, b: str, similarity: float) -> Column:
@@ -388,19 +383,31 @@ def _can_reach(a: str, b: str, similarity: float) -> Column:
     parity maps must not differ in more bits than such sets in shingles."""
     na, nb, at, bt = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.at"), F.col(f"{b}.at")
     sizes = (na >= similarity * nb - 1e-6) & (nb >= similarity * na - 1e-6)
-    differ = sum((F.bit_count(F.col(f"{a}.p{k}").bitwiseXOR(F.col(f"{b}.p{k}"))) for k in range(1, 4)), F.bit_count(F.col(f"{a}.p0").bitwiseXOR(F.col(f"{b}.p0"))))
+    differ = sum((F.bit_count(F.get(f"{a}.bits", F.lit(k)).bitwiseXOR(F.get(f"{b}.bits", F.lit(k)))) for k in range(PARITY // 64)), F.lit(0))
     reach = F.least(na - at, nb - bt) >= (na + nb) * (similarity / (1 + similarity)) - 1e-6
     return sizes & reach & (differ <= (na + nb) * ((1 - similarity) / (1 + similarity)) + 1e-6)
 
 
+def merged_postings(postings: DataFrame) -> DataFrame:
+    """Rows (key, at, node) of prefix shingles that several nodes have, those that the same nodes have as one.
+
+    A passage that some texts share is many shingles of the same nodes, each of which would bring
+    all their pairs again.  A node keeps its first place among them, which rules no pair out that
+    one of them allows; sets of nodes that fall together by their hashes only bring more pairs.
+    """
+    same = Window.partitionBy("key")
+    nodes = [F.sum(F.shiftright(F.xxhash64("node", F.lit(k)), 32)).over(same) for k in range(2)]
+    each = postings.withColumns({"_low": F.min("node").over(same), "_high": F.max("node").over(same), "_of": F.xxhash64(*nodes, F.count(F.lit(1)).over(same))})
+    return each.where("_low <> _high").groupBy(F.col("_of").alias("key"), "node").agg(F.min("at").alias("at"))
+
+
 def shared_postings(docs: DataFrame, nodes: DataFrame, ranks: np.ndarray, words: int, similarity: float) -> DataFrame:
-    """Rows (key, at, node, n, p0 to p3): prefix shingles that several nodes have."""
-    mine = nodes.select(F.col("node").alias("_node"), F.col("doc_id").alias("_id"), F.col("text_key").alias("_text"), *_folded(F.col("bits")))
+    """Rows (key, at, node, n, bits): prefix shingles that several nodes have, with their sets."""
+    mine = nodes.select(F.col("node").alias("_node"), F.col("doc_id").alias("_id"), F.col("text_key").alias("_text"))
     held = prefixes(docs, ranks, words, similarity)
     held = held.join(mine, (F.col("node") == F.col("_node")) & (F.col("text_key") == F.col("_text")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    same = Window.partitionBy("key")
-    each = held.select("node", *_SET, F.posexplode("prefix").alias("at", "key")).withColumns({"_low": F.min("node").over(same), "_high": F.max("node").over(same)})
-    return materialise(each.where("_low <> _high").drop("_low", "_high"), "postings")
+    merged = merged_postings(held.select("node", F.posexplode("prefix").alias("at", "key")))
+    return materialise(merged.join(nodes.select("node", *_SET), "node"), "postings")
 
 
 def to_first(postings: DataFrame, similarity: float) -> DataFrame:

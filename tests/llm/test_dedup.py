@@ -102,6 +102,32 @@ def test_every_pair_just_over_the_similarity_is_found(spark):
     assert got == want
 
 
+def test_a_shared_passage_is_one_key(spark):
+    passage = prose(700, 120)
+    docs = simhash.with_keys(table_of(spark, [(k, passage + " " + prose(701 + k, 30)) for k in range(6)])).drop("doc")
+    table = simhash.set_digests(docs, 5).where("bucket is null").localCheckpoint()
+    nodes = table.select("node", "n", "bits", "doc_id", "text_key")
+    shared = simhash.shared_postings(docs, nodes, np.arange(simhash.BUCKETS, dtype=np.uint64), 5, 0.8)
+    many = shared.groupBy("key").agg(F.count(F.lit(1)).alias("nodes"), F.sort_array(F.collect_list("node")).alias("of"), F.count_distinct("node").alias("distinct")).collect()
+    assert many and len({tuple(r["of"]) for r in many}) == len(many)  # no two keys of the same nodes
+    assert all(r["nodes"] == r["distinct"] > 1 for r in many)
+
+
+def test_merged_postings_lose_no_pair(spark):
+    rng = np.random.default_rng(8)
+    given = [(int(n), int(at), int(k)) for k in range(80) for n, at in zip(rng.choice(12, rng.integers(1, 5), replace=False), rng.integers(0, 50, 5), strict=False)]
+    got = simhash.merged_postings(spark.createDataFrame([*given, *[(n, at + 1, k + 100) for n, at, k in given]], "node long, at int, key long")).collect()
+    at = {(r["key"], r["node"]): r["at"] for r in got}
+    assert len(at) == len(got) < len(given)
+    by = {}
+    for key, node in at:
+        by.setdefault(key, []).append(node)
+    for n, p, k in given:
+        for m, q, other in given:
+            if k == other and n < m:
+                assert any(n in of and m in of and at[key, n] <= p and at[key, m] <= q for key, of in by.items())
+
+
 def test_equal_fingerprints_of_different_texts_stay_apart(spark):
     line = "one two three four five\n" * 120
     texts = [(k, line + prose(60 + k, 40)) for k in range(1, 6)] + [(9, line + prose(63, 40) + " end")]
