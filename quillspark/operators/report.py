@@ -162,9 +162,14 @@ def opening(studies: DataFrame, query: str) -> DataFrame:
 def reference_numbers(claims: DataFrame) -> DataFrame:
     """Papers of each report numbered by their first appearance in its ``claims`` (report_id,
     position, paper_ids)."""
-    each = claims.select("report_id", "position", F.posexplode("paper_ids").alias("at", "paper_id"))
+    return first_references(claims.select("report_id", "position", F.posexplode("paper_ids").alias("at", "paper_id")))
+
+
+def first_references(each: DataFrame) -> DataFrame:
+    """``reference_numbers`` of claims given as rows (report_id, position, at, paper_id), one for each
+    paper of a claim; papers at one place are taken by their ids."""
     first = each.groupBy("report_id", "paper_id").agg(F.min(F.struct("position", "at")).alias("seen"))
-    order = Window.partitionBy("report_id").orderBy("seen.position", "seen.at")
+    order = Window.partitionBy("report_id").orderBy("seen.position", "seen.at", "paper_id")
     return first.select("report_id", "paper_id", F.row_number().over(order).alias("number"))
 
 

@@ -82,6 +82,12 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
 
 
+def parts_of(df: DataFrame, rows: int = 500_000) -> int:
+    """The tasks to deal ``df`` to so that each gets about ``rows`` rows: narrow rows are packed so well
+    that adaptive execution would give one task many millions of them, to sort in memory."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived view; its tables are passed by reference, so sessions keep no names."""
     held = {t: table(spark, sf_dir, t) for t in _NEEDS[name]}

@@ -30,3 +30,18 @@ def test_titles_and_features_are_not_broadcast(spark, sf):
     for df in (enrich_titles(spark, sf), pairs(spark, sf).select("p_id", "confidence")):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "BroadcastHashJoin [r_set" not in plan and "BroadcastHashJoin [p_set" not in plan and "BroadcastHashJoin [r_id" not in plan
+
+
+def test_references_are_dealt_by_rows_and_gather_no_lists(spark, sf):
+    from quillspark.catalog.report import report_references
+    from quillspark.operators import report
+    from quillspark.views import parts_of
+
+    assert parts_of(spark.range(1000), rows=10) == 100
+    plan = report_references(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and plan.count("REPARTITION_BY_NUM") == 3
+    rows = [(1, 10, 1, 7), (1, 10, 1, 5), (1, 9, 4, 7), (1, 12, 1, 5), (2, 3, 1, None)]
+    each = spark.createDataFrame(rows, "report_id long, position long, at int, paper_id long")
+    assert sorted(map(tuple, report.first_references(each).collect())) == [(1, 5, 2), (1, 7, 1), (2, None, 1)]
+    claims = spark.createDataFrame([(1, 9, [4, 3]), (1, 8, [3, 6])], "report_id long, position long, paper_ids array<long>")
+    assert sorted(map(tuple, report.reference_numbers(claims).collect())) == [(1, 3, 1), (1, 4, 3), (1, 6, 2)]
