@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from ..functions.hashing import fnv1a
 from ..functions import extraction as X
 from ..functions import scores as S
 from ..functions import similarity as H
 from ..functions import text as T
+from ..views import spread
 
 #: Concepts: id, preferred term, synonyms, terms never added, and how many are.
 ONTOLOGY = [
@@ -273,25 +277,33 @@ def greedy_clusters(found: DataFrame, batch: str, key: str = "study_id", thresho
     """Claims of each query's batch (column ``batch``, at most some thousand claims by the limits
     of a search) by ``order`` (the key unless given) and sentence: each joins the cluster of the best Jaccard, at least ``threshold``,
     whose token set grows by it, or opens one.  Order decides, so a batch is one task's."""
-    schema = f"{batch} string, {key} {dict(found.dtypes)[key]}, at int, cluster int"
+    schema = T_.StructType([T_.StructField(batch, T_.StringType()), T_.StructField(key, found.schema[key].dataType), T_.StructField("at", T_.IntegerType()), T_.StructField("cluster", T_.IntegerType())])
     rows = found.select(F.col(batch).cast("string").alias(batch), key, F.col(order or key).alias("order"), F.col("at").cast("int").alias("at"), H.claim_tokens(F.concat_ws(" ", "outcome", "sentence")).alias("tokens"))
-
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        held: list[set] = []
-        out = []
-        for _, row in pdf.sort_values(["order", "at"]).iterrows():
-            own = set(row["tokens"])
-            scores = [len(own & h) / len(own | h) if own and h else 0.0 for h in held]
-            best = max(range(len(held)), key=lambda i: (scores[i], -i), default=-1)
-            if best >= 0 and scores[best] >= threshold:
-                held[best] |= own
-            else:
-                best = len(held)
-                held.append(own)
-            out.append((row[batch], row[key], row["at"], best))
-        return pd.DataFrame(out, columns=[batch, key, "at", "cluster"])
-
-    return rows.groupBy(batch).applyInPandas(cluster, schema)
+    # Dealt over all cores by search: claims are small for the work they are, and would be given to few tasks.
+    rows = spread(rows, batch).sortWithinPartitions(batch, F.asc_nulls_last("order"), "at")
+
+    def cluster(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, held = object(), []
+        for part in batches:
+            numbers = []
+            for name, tokens in zip(part.column(batch).to_pylist(), part.column("tokens").to_pylist(), strict=True):
+                if name != of:
+                    of, held = name, []
+                own, best, score = set(tokens), -1, -1.0
+                for i, h in enumerate(held):
+                    shared = len(own & h)
+                    s = shared / (len(own) + len(h) - shared) if shared else 0.0
+                    if s > score:
+                        best, score = i, s
+                if best >= 0 and score >= threshold:
+                    held[best] |= own
+                else:
+                    best = len(held)
+                    held.append(own)
+                numbers.append(best)
+            yield pa.RecordBatch.from_arrays([part.column(batch), part.column(key), part.column("at"), pa.array(numbers, pa.int32())], names=[batch, key, "at", "cluster"])
+
+    return rows.mapInArrow(cluster, schema)
 
 
 def kept_by_search(scored: DataFrame, batch: str, most: int = 2000, key: str = "study_id") -> DataFrame:

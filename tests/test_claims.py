@@ -48,3 +48,11 @@ def test_no_papers(spark):
     clustered = search.clustered_claims(search.anchored_claims(none, "search"), "search")
     clusters = search.claim_clusters(clustered, "search")
     assert clusters.count() == 0 and search.evidence_brief(none, clustered, clusters, "search").count() == 0
+
+
+def test_searches_are_clustered_on_all_cores_each_in_its_order(spark):
+    claims = [(f"s{b}", k, 0, "pain", t) for b in range(40) for k, t in enumerate(["drug eases pain quickly", "exercise helps sleep", "drug eases pain slowly", "exercise helps deep sleep"])]
+    found = spark.createDataFrame(claims, "search string, study_id long, at int, outcome string, sentence string")
+    got = search.greedy_clusters(found.orderBy(F.desc("study_id")), "search")
+    assert sorted(map(tuple, got.collect())) == sorted((f"s{b}", k, 0, k % 2) for b in range(40) for k in range(4))
+    assert sum(n > 0 for n in got.rdd.glom().map(len).collect()) >= spark.sparkContext.defaultParallelism
