@@ -23,8 +23,8 @@ def normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
 def clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalised records with the keys of their groups, written once: several steps read them."""
     rows = materialise(normalized(spark, sf_dir), "normalized")
-    edges = materialise(dedup.fuzzy_edges(rows), "edges")
-    return materialise(dedup.with_clusters(rows, dedup.fuzzy_groups(rows, edges)), "clustered")
+    links = materialise(dedup.fuzzy_links(rows), "links")
+    return materialise(dedup.with_clusters(rows, dedup.fuzzy_groups(rows, links)), "clustered")
 
 
 def dedup_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,8 +82,8 @@ def dedup_fuzzy_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dedup_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of fuzzy duplicates, their keys and confidence."""
     rows = materialise(normalized(spark, sf_dir), "normalized")
-    edges = materialise(dedup.fuzzy_edges(rows), "edges")
-    groups = dedup.fuzzy_groups(rows, edges)
+    links = materialise(dedup.fuzzy_links(rows), "links")
+    groups = dedup.fuzzy_groups(rows, links)
     return groups.select("record_id", "root", "group_size", "cluster_key", F.col("confidence").cast("double").alias("confidence"))
 
 

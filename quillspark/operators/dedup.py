@@ -64,6 +64,15 @@ def normalize_records(records: DataFrame, run_ts: str) -> DataFrame:
     )
 
 
+def rarest(sets: DataFrame, by: list[str], similarity: float) -> DataFrame:
+    """Rows (``by``, firsts) for sets (``by``, grams, n), n being among ``by``: the n - ceil(t n) + 1
+    rarest grams of each, of which two sets of Jaccard t share one."""
+    each = sets.select(*by, F.explode("grams").alias("gram"))
+    rarity = each.groupBy("gram").agg(F.count(F.lit(1)).alias("uses"))
+    ranked = each.join(rarity, "gram").groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("uses", "gram"))).alias("ordered"))
+    return ranked.select(*by, F.slice("ordered", F.lit(1), F.col("n") - F.ceil(F.lit(similarity) * F.col("n")).cast("int") + 1).alias("firsts"))
+
+
 def fuzzy_edges(normalized: DataFrame, title_similarity: float = TITLE_SIMILARITY, overlap: float = AUTHOR_OVERLAP) -> DataFrame:
     """Pairs (a, b, similarity, author_overlap), a < b, of active records without a valid
     identifier: same year (or none), titles alike by trigrams, authors in common.
@@ -75,12 +84,9 @@ def fuzzy_edges(normalized: DataFrame, title_similarity: float = TITLE_SIMILARIT
     """
     held = normalized.where("key_type = 'fingerprint' and not is_deleted").select("record_id", "pub_year", "authors_norm", H.trigrams(F.coalesce("title_norm", F.lit(""))).alias("grams"))
     held = materialise(held.where(F.size("grams") > 0).withColumn("n", F.size("grams")), "grams")
-    each = held.select("record_id", "pub_year", "n", "authors_norm", F.explode("grams").alias("gram"))
-    rarity = each.groupBy("gram").agg(F.count(F.lit(1)).alias("uses"))
-    ranked = each.join(rarity, "gram").groupBy("record_id", "pub_year", "n", "authors_norm").agg(F.array_sort(F.collect_list(F.struct("uses", "gram"))).alias("ordered"))
-    prefix = F.slice("ordered", F.lit(1), F.col("n") - F.ceil(F.lit(title_similarity) * F.col("n")).cast("int") + 1)
     names = F.array_distinct(T.words(F.coalesce("authors_norm", F.lit("")), r"\|"))
-    keys = ranked.select("record_id", "pub_year", "n", F.explode(names).alias("name"), prefix.alias("firsts")).select("record_id", "pub_year", "n", "name", F.explode("firsts").alias("k"))
+    ranked = rarest(held, ["record_id", "pub_year", "n", "authors_norm"], title_similarity)
+    keys = ranked.select("record_id", "pub_year", "n", F.explode(names).alias("name"), "firsts").select("record_id", "pub_year", "n", "name", F.explode("firsts").alias("k"))
     keys = keys.select("record_id", "pub_year", "n", F.xxhash64(F.coalesce(F.col("pub_year"), F.lit(-1)), "name", "k.gram").alias("block"))
     a, b = keys.alias("a"), keys.alias("b")
     # A length of at least t times the other's is needed for a Jaccard of t.
@@ -93,9 +99,75 @@ def fuzzy_edges(normalized: DataFrame, title_similarity: float = TITLE_SIMILARIT
     return scored.where((F.col("raw") >= title_similarity) & (F.col("author_overlap") >= overlap)).select("a", "b", F.col("raw").cast("decimal(4,3)").alias("similarity"), "author_overlap")
 
 
+def _shared_names(names: Column, overlap: float) -> Column:
+    """Structs (key, enough) of a record's subsets of names by which it can have enough authors in
+    common with another: ``enough`` if the subset is all that the record itself asks for.
+
+    Of a record of m names a fewest number s(m) must be shared with one of as many or more; it
+    never falls as m grows.  So two records are alike if they share a subset that is enough for
+    one of them.  ``normalize_records`` keeps three names at most.
+    """
+    fewest = [next((k for k in range(1, m + 1) if round(k / m, 3) >= overlap), 0) for m in range(1, 17)]
+    need, n = F.array(*map(F.lit, fewest)), F.size(names)
+    masks = F.sequence(F.lit(1), F.pow(F.lit(2), n).cast("int") - 1)
+    subset = lambda mask: F.array_join(F.filter(names, lambda _, i: F.getbit(mask, i) == 1), "|")
+    wanted = F.filter(masks, lambda mask: F.array_contains(F.slice(need, F.lit(1), n), F.bit_count(mask)))
+    return F.transform(wanted, lambda mask: F.struct(subset(mask).alias("key"), (F.bit_count(mask) == F.element_at(need, n)).alias("enough")))
+
+
+def fuzzy_links(normalized: DataFrame, title_similarity: float = TITLE_SIMILARITY, overlap: float = AUTHOR_OVERLAP) -> DataFrame:
+    """Some of the pairs of ``fuzzy_edges``, (a, b, similarity): they have the same connected
+    components, and each record its highest similarity, but don't grow with the square of a title's records.
+
+    A cell holds the records of one year and set of grams that share a subset of names
+    (``_shared_names``).  One for which the subset is enough, its hub, is a duplicate of all others
+    in the cell, so they link to the hub alone.  Cells of different titles meet by (year, subset, rare gram), as
+    records do in ``fuzzy_edges``, and link by one record each: hubs, or where a cell has none,
+    its first record.  The others of such a cell link to the hub of the title most like theirs.
+    """
+    names = F.array_sort(F.array_distinct(T.words(F.coalesce("authors_norm", F.lit("")), r"\|")))
+    held = normalized.where("key_type = 'fingerprint' and not is_deleted").select("record_id", "pub_year", names.alias("names"), H.trigrams(F.coalesce("title_norm", F.lit(""))).alias("grams"))
+    # Grams are letters, digits and spaces.
+    title = F.md5(F.concat_ws("|", F.coalesce(F.col("pub_year").cast("string"), F.lit("")), F.array_join(F.array_sort("grams"), "|")))
+    held = materialise(held.where((F.size("grams") > 0) & (F.size("names") > 0)).withColumn("title", title), "grams")
+    rows = held.select("record_id", "title", "pub_year", F.explode(_shared_names(F.col("names"), overlap)).alias("s")).select("record_id", "title", "pub_year", "s.key", "s.enough")
+    hub = F.min(F.when(F.col("enough"), F.col("record_id")))
+    cells = materialise(rows.groupBy("title", "pub_year", "key").agg(hub.alias("hub"), F.min("record_id").alias("least")), "cells")
+    near = materialise(_near_cells(held, cells, title_similarity), "near")
+    own = rows.join(cells.where("hub is not null").select("title", "key", "hub"), ["title", "key"]).where("record_id <> hub").select("hub", "record_id", F.lit("1.000").cast("decimal(4,3)").alias("similarity"))
+    first = near.select("one", "other", "similarity")
+    sides = [near.where(f"not hub_{y}").select(F.col(f"title_{y}").alias("title"), "key", F.col(x).alias("hub"), "similarity") for x, y in (("one", "other"), ("other", "one"))]
+    best = sides[0].union(sides[1]).groupBy("title", "key").agg(F.max_by("hub", F.struct("similarity", "hub")).alias("hub"), F.max("similarity").alias("similarity"))
+    rest = rows.join(best, ["title", "key"]).select("hub", "record_id", "similarity")
+    a, b = F.col("hub"), F.col("record_id")
+    links = own.union(first.toDF("hub", "record_id", "similarity")).union(rest).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), "similarity")
+    return links.distinct()
+
+
+def _near_cells(held: DataFrame, cells: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of cells of different but similar titles, at least one of them with a hub:
+    (title_one, title_other, key, one, hub_one, other, hub_other, similarity), ``one`` and ``other`` being their records."""
+    titles = materialise(held.groupBy("title").agg(F.any_value("grams").alias("grams")).withColumn("n", F.size("grams")), "titles")
+    firsts = rarest(titles, ["title", "n"], similarity)
+    record = F.coalesce("hub", "least")
+    at = cells.join(firsts, "title").select("title", "n", "pub_year", "key", record.alias("record"), F.col("hub").isNotNull().alias("hub"), F.explode("firsts.gram").alias("gram"))
+    at = at.withColumn("block", F.xxhash64(F.coalesce("pub_year", F.lit(-1)), "key", "gram"))
+    a, b = at.alias("a"), at.alias("b")
+    # A length of at least t times the other's is needed for a Jaccard of t.
+    lengths = (F.col("a.n") >= similarity * F.col("b.n")) & (F.col("b.n") >= similarity * F.col("a.n"))
+    met = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.title") < F.col("b.title")) & lengths & F.col("a.pub_year").eqNullSafe(F.col("b.pub_year")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.hub") | F.col("b.hub")))
+    met = met.select(F.col("a.title").alias("title_one"), F.col("b.title").alias("title_other"), "a.key", F.col("a.record").alias("one"), F.col("a.hub").alias("hub_one"), F.col("b.record").alias("other"), F.col("b.hub").alias("hub_other"))
+    met = materialise(met.distinct(), "met")
+    sets = titles.select("title", "grams")
+    pairs = met.select("title_one", "title_other").distinct().join(sets.toDF("title_one", "grams_one"), "title_one").join(sets.toDF("title_other", "grams_other"), "title_other")
+    alike = pairs.select("title_one", "title_other", H.jaccard(F.col("grams_one"), F.col("grams_other")).alias("raw")).where(F.col("raw") >= similarity)
+    return met.join(alike.select("title_one", "title_other", F.col("raw").cast("decimal(4,3)").alias("similarity")), ["title_one", "title_other"])
+
+
 def fuzzy_groups(normalized: DataFrame, edges: DataFrame) -> DataFrame:
     """Rows (record_id, root, group_size, cluster_key, confidence) of the active records without
-    a valid identifier; alone, a record is its own root with confidence 1."""
+    a valid identifier; alone, a record is its own root with confidence 1.  ``edges`` are those of
+    ``fuzzy_edges``, or of ``fuzzy_links``, which give the same groups."""
     held = normalized.where("key_type = 'fingerprint' and not is_deleted").select("record_id", "fingerprint")
     found = components(edges.select("a", "b"))
     both = edges.select(F.col("a").alias("record_id"), "similarity").union(edges.select("b", "similarity"))

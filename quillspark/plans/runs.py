@@ -30,8 +30,8 @@ def dedup_run(records: DataFrame, base: str, run_id: str, run_ts: str, pairs: Da
             kept = writers.published(spark, f"{base}/normalized").join(fresh.select("record_id"), "record_id", "left_anti")
             fresh = dedup.without_orphans(kept.unionByName(fresh), records)
         rows = materialise(fresh, "normalized")
-        edges = materialise(dedup.fuzzy_edges(rows), "edges")
-        keyed = materialise(dedup.with_clusters(rows, dedup.fuzzy_groups(rows, edges)), "keyed")
+        links = materialise(dedup.fuzzy_links(rows), "links")
+        keyed = materialise(dedup.with_clusters(rows, dedup.fuzzy_groups(rows, links)), "keyed")
         canonical = materialise(dedup.elect_canonical(keyed), "canonical")
         out = {"normalized": rows, "canonical": canonical, "links": dedup.duplicate_links(keyed, canonical)}
         if pairs is not None:
