@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -120,15 +121,16 @@ def repeated_spans(docs: DataFrame, min_words: int = 20) -> DataFrame:
     seen = each.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last"), F.bool_or(F.col("doc_id").isNull()).alias("null_too"), F.count(F.lit(1)).alias("n"))
     shared = materialise(seen.where("first_doc_id is not null and (first_doc_id <> last or null_too)").select("digest", "first_doc_id", "n"), "shared")
     # Digests of more than a thousandth of all shared chunks are less than a thousand: they are
-    # broadcast, so that no digest of any size makes a large task of the join.
+    # looked up where the chunks lie, one row a document, so that no digest of any size makes a
+    # large task or many rows of the join and of the shuffle by document.
     least = (shared.agg(F.sum("n").alias("n")).first()["n"] or 0) / 1000
-    hot = F.broadcast(shared.where(F.col("n") > least).select("digest", F.col("first_doc_id").alias("hot_first")))
-    marked = each.join(hot, "digest", "left")
-    cold = marked.where("hot_first is null").drop("hot_first").join(shared.where(F.col("n") <= least).select("digest", "first_doc_id"), "digest")
-    hits = cold.unionByName(marked.where("hot_first is not null").withColumnRenamed("hot_first", "first_doc_id"))
-    across = hits.where(~F.col("first_doc_id").eqNullSafe(F.col("doc_id"))).select("doc_id", "text_hash", "place", "first_doc_id")
+    hot = shared.where(F.col("n") > least).select("digest", "first_doc_id")
+    rare = shared.where(F.col("n") <= least).select("digest", "first_doc_id")
+    cold = each.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(rare, "digest")
+    across = cold.where(~F.col("first_doc_id").eqNullSafe(F.col("doc_id"))).select("doc_id", "text_hash", "place", "first_doc_id")
     inside = each.where("place % 2 = 1").select("doc_id", "text_hash", "place", F.col("doc_id").alias("first_doc_id"))
-    hits = across.unionByName(inside).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("place", "first_doc_id")).alias("hits"))
+    single = across.unionByName(inside).select("doc_id", "text_hash", F.array(F.struct("place", "first_doc_id")).alias("hits"))
+    hits = single.union(_frequent(table, hot)).groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_set("hits")).alias("hits"))
     schema = T.StructType(
         [docs.schema["doc_id"], T.StructField("text_hash", T.LongType()), T.StructField("span_start", T.LongType()), T.StructField("span_end", T.LongType()), T.StructField("words", T.LongType()), T.StructField("first_doc_id", docs.schema["doc_id"].dataType)]
     )
@@ -149,6 +151,35 @@ def repeated_spans(docs: DataFrame, min_words: int = 20) -> DataFrame:
     return hits.mapInArrow(run, schema)
 
 
+def _frequent(table: DataFrame, hot: DataFrame) -> DataFrame:
+    """Rows (doc_id, text_hash, hits): the chunks of each row of ``table`` whose digest is one of
+    the less than a thousand of ``hot`` and first in another document."""
+    first = T.StructField("first_doc_id", table.schema["doc_id"].dataType)
+    hits = T.ArrayType(T.StructType([T.StructField("place", T.LongType()), first]))
+    schema = T.StructType([table.schema["doc_id"], T.StructField("text_hash", T.LongType()), T.StructField("hits", hits)])
+    known = sorted((r["digest"], r["first_doc_id"]) for r in hot.collect())
+    if not known:
+        return table.sparkSession.createDataFrame([], schema)
+    keys, ids = np.array([d for d, _ in known], np.int64), [x for _, x in known]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, held = batch.column("doc_id"), batch.column("digests")
+            digests, places = held.flatten().to_numpy(zero_copy_only=False), batch.column("places").flatten()
+            at = np.minimum(np.searchsorted(keys, digests), len(keys) - 1)
+            found = np.flatnonzero(keys[at] == digests)
+            firsts, row = pa.array(ids, own.type).take(pa.array(at[found])), pc.list_parent_indices(held).take(pa.array(found))
+            other = pc.fill_null(pc.not_equal(firsts, own.take(row)), True)
+            firsts, row, found = firsts.filter(other), row.filter(other), pa.array(found).filter(other)
+            n = np.bincount(row.to_numpy(zero_copy_only=False), minlength=batch.num_rows)
+            some = pa.array(np.flatnonzero(n))
+            ends = pa.array(np.r_[0, np.cumsum(n[n > 0])].astype(np.int32))
+            lists = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([places.take(found), firsts], names=["place", "first_doc_id"]))
+            yield pa.RecordBatch.from_arrays([own.take(some), batch.column("text_hash").take(some), lists], names=["doc_id", "text_hash", "hits"])
+
+    return table.mapInArrow(run, schema)
+
+
 def runs(hits: Iterator[tuple[int, object]], min_words: int) -> list[tuple[int, int, int, object]]:
     """(start, end, words, first document) of the runs of touching repeats with enough words."""
     found: dict[int, list[object]] = {}
