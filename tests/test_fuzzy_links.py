@@ -41,3 +41,9 @@ def test_links_of_one_title_grow_with_its_records(spark, monkeypatch):
     monkeypatch.setattr(dedup, "fuzzy_groups", lambda records, edges: seen.append(edges.count()) or fuzzy_groups(records, edges))
     found = catalog.dedup_components(spark, "").collect()
     assert seen[0] <= 600 and {(r["root"], r["group_size"], r["confidence"]) for r in found} == {("r0000", 300, 1.0)}
+
+
+def test_coverage_groups_by_links(spark, sf, monkeypatch):
+    """The records of one title that share names make all pairs; ``dedup_coverage`` mustn't list them."""
+    monkeypatch.setattr(dedup, "fuzzy_edges", lambda *_: pytest.fail("all pairs were listed"))
+    assert catalog.dedup_coverage(spark, sf).first()["records"] > 0
