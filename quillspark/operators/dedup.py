@@ -141,7 +141,7 @@ def fuzzy_links(normalized: DataFrame, title_similarity: float = TITLE_SIMILARIT
     rest = rows.join(best, ["title", "key"]).select("hub", "record_id", "similarity")
     a, b = F.col("hub"), F.col("record_id")
     links = own.union(first.toDF("hub", "record_id", "similarity")).union(rest).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), "similarity")
-    return links.distinct()
+    return links.where("a <> b").distinct()
 
 
 def _near_cells(held: DataFrame, cells: DataFrame, similarity: float) -> DataFrame:
@@ -167,14 +167,18 @@ def _near_cells(held: DataFrame, cells: DataFrame, similarity: float) -> DataFra
 def fuzzy_groups(normalized: DataFrame, edges: DataFrame) -> DataFrame:
     """Rows (record_id, root, group_size, cluster_key, confidence) of the active records without
     a valid identifier; alone, a record is its own root with confidence 1.  ``edges`` are those of
-    ``fuzzy_edges``, or of ``fuzzy_links``, which give the same groups."""
-    held = normalized.where("key_type = 'fingerprint' and not is_deleted").select("record_id", "fingerprint")
+    ``fuzzy_edges``, or of ``fuzzy_links``, which give the same groups.
+
+    One row per id: where records share one, a row each would join with each of them, their square.
+    """
+    active = normalized.where("key_type = 'fingerprint' and not is_deleted")
+    held = active.groupBy("record_id").agg(F.count(F.lit(1)).alias("records"), F.min("fingerprint").alias("least"))
     found = components(edges.select("a", "b"))
     both = edges.select(F.col("a").alias("record_id"), "similarity").union(edges.select("b", "similarity"))
     nearest = both.groupBy("record_id").agg(F.max("similarity").alias("nearest"))
     labelled = held.join(found.withColumnRenamed("node", "record_id"), "record_id", "left").withColumn("label", F.coalesce("component", "record_id"))
-    group = labelled.groupBy("label").agg(F.min("record_id").alias("root"), F.count(F.lit(1)).alias("group_size"), F.min("fingerprint").alias("least"))
-    rows = labelled.join(group, "label").join(nearest, "record_id", "left")
+    group = labelled.groupBy("label").agg(F.min("record_id").alias("root"), F.sum("records").alias("group_size"), F.min("least").alias("least"))
+    rows = labelled.select("record_id", "label").join(group, "label").join(nearest, "record_id", "left")
     confidence = F.when(F.col("group_size") == 1, F.lit("1.000").cast("decimal(4,3)")).otherwise(F.greatest(F.lit("0.920").cast("decimal(4,3)"), F.col("nearest")))
     return rows.select("record_id", "root", "group_size", F.concat(F.lit("fp:"), F.sha2("least", 256)).alias("cluster_key"), confidence.alias("confidence"))
 
@@ -185,11 +189,15 @@ def with_clusters(normalized: DataFrame, groups: DataFrame) -> DataFrame:
     return normalized.join(keys, "record_id", "left").withColumn("dedup_key", F.coalesce("cluster_key", "dedup_key")).drop("cluster_key")
 
 
+def _canonical_id() -> Column:
+    return F.sha2(F.concat(F.lit("canon:"), "key_type", F.lit(":"), "dedup_key"), 256)
+
+
 def elect_canonical(records: DataFrame) -> DataFrame:
     """The canonical record of each key: best quality, latest update, best source, smallest id."""
     order = Window.partitionBy("key_type", "dedup_key").orderBy(F.desc("quality"), F.desc("source_updated_at"), "source_rank", "record_id")
     best = records.where("not is_deleted").withColumn("place", F.row_number().over(order)).where("place = 1")
-    return best.withColumn("canonical_id", F.sha2(F.concat(F.lit("canon:"), "key_type", F.lit(":"), "dedup_key"), 256)).drop("place")
+    return best.withColumn("canonical_id", _canonical_id()).drop("place")
 
 
 def duplicate_links(records: DataFrame, canonical: DataFrame) -> DataFrame:
@@ -216,18 +224,20 @@ def percent(part: Column, whole: Column) -> Column:
 
 
 def duplicate_rate(records: DataFrame, links: DataFrame) -> DataFrame:
-    """Records, linked records and their share, by source."""
-    marked = records.where("not is_deleted").join(links.select("record_id", F.lit(1).alias("linked")).distinct(), "record_id", "left")
+    """Records, linked records and their share, by source.  Ids are compared within a key, as
+    records of several keys may share one."""
+    linked = links.select("record_id", "canonical_id", F.lit(1).alias("linked")).distinct()
+    marked = records.where("not is_deleted").withColumn("canonical_id", _canonical_id()).join(linked, ["record_id", "canonical_id"], "left")
     by = marked.groupBy("source").agg(F.count(F.lit(1)).alias("records"), F.count("linked").alias("duplicates"))
     return by.withColumn("rate", percent(F.col("duplicates"), F.col("records")))
 
 
 def coverage(records: DataFrame, links: DataFrame) -> DataFrame:
-    """One row: share without an identifier, and share linked by fingerprint."""
-    fallback = links.where("key_type = 'fingerprint'").select("record_id", F.lit(1).alias("fallback")).distinct()
-    marked = records.where("not is_deleted").join(fallback, "record_id", "left")
-    total = F.count(F.lit(1))
-    return marked.agg(total.alias("records"), percent(F.count_if(~F.col("doi_is_valid")), total).alias("pct_missing_doi"), percent(F.count("fallback"), total).alias("pct_fallback_matched"))
+    """One row: share without an identifier, and share linked by fingerprint; ``links`` are those of
+    ``duplicate_links``, one for each linked record."""
+    fallback = links.where("key_type = 'fingerprint'").agg(F.count(F.lit(1)).alias("fallback"))
+    counts = records.where("not is_deleted").agg(F.count(F.lit(1)).alias("records"), F.count_if(~F.col("doi_is_valid")).alias("missing"))
+    return counts.crossJoin(fallback).select("records", percent(F.col("missing"), F.col("records")).alias("pct_missing_doi"), percent(F.col("fallback"), F.col("records")).alias("pct_fallback_matched"))
 
 
 def precision_recall(pairs: DataFrame, records: DataFrame) -> DataFrame:

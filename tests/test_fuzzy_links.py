@@ -1,5 +1,6 @@
 import random
 
+import duckdb
 import pytest
 
 from quillspark.catalog import dedup as catalog
@@ -7,6 +8,8 @@ from quillspark.operators import dedup
 from quillspark.operators.dedup import fuzzy_edges, fuzzy_groups
 from quillspark.storage import materialise
 
+from .oracle import TABLES, assert_same
+
 SCHEMA = "record_id string, pub_year int, authors_norm string, title_norm string, key_type string, is_deleted boolean, fingerprint string"
 
 
@@ -47,3 +50,15 @@ def test_coverage_groups_by_links(spark, sf, monkeypatch):
     """The records of one title that share names make all pairs; ``dedup_coverage`` mustn't list them."""
     monkeypatch.setattr(dedup, "fuzzy_edges", lambda *_: pytest.fail("all pairs were listed"))
     assert catalog.dedup_coverage(spark, sf).first()["records"] > 0
+
+
+@pytest.mark.parametrize("name", ["dedup_components", "dedup_coverage", "dedup_duplicate_rate"])
+def test_records_that_share_an_id_stay_single_rows(spark, tmp_path, name):
+    """The views keep six digits of an id, so from a million documents on ten share one."""
+    full = "/root/testdata/sf0.01"
+    for t in TABLES:
+        if t in ("documents", "labels"):
+            duckdb.sql(f"copy (select * replace (doc_id + 999500 as doc_id) from '{full}/{t}.parquet') to '{tmp_path}/{t}.parquet' (format parquet)")
+        else:
+            (tmp_path / f"{t}.parquet").symlink_to(f"{full}/{t}.parquet")
+    assert_same(catalog.QUERIES[name](spark, str(tmp_path)), catalog.ORACLE_SQL[name], str(tmp_path))
