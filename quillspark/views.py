@@ -19,15 +19,15 @@ SELECT concat('doc-', lpad(cast(d.doc_id AS string), 6, '0')) AS record_id,
   {sources} AS source,
   {updated} AS source_updated_at,
   CASE d.doc_id % 4
-    WHEN 0 THEN concat('https://doi.org/10.', cast(1000 + length(d.text) % 97 AS string), '/', upper(substr(d.of_text, 1, 10)))
-    WHEN 1 THEN concat('doi: 10.', cast(1000 + length(d.text) % 97 AS string), '/', substr(d.of_text, 1, 10))
+    WHEN 0 THEN concat('https://doi.org/10.', cast(1000 + {length} % 97 AS string), '/', upper(substr(d.of_text, 1, 10)))
+    WHEN 1 THEN concat('doi: 10.', cast(1000 + {length} % 97 AS string), '/', substr(d.of_text, 1, 10))
     WHEN 2 THEN NULL ELSE 'not-a-doi' END AS raw_doi,
   d.opening AS title,
   {array}(concat('a', substr({sha}(d.opening{bits}), 1, 2)), concat('b', substr(d.of_text, 3, 2))) AS authors,
   cast(1990 + ({code}(substr(d.of_text, 1, 1)) * 31 + {code}(substr(d.of_text, 2, 1)) * 7 + {code}(substr(d.of_text, 3, 1))) % 35 AS int) AS pub_year,
   cast(d.n_chars % 501 AS int) AS citation_count,
   coalesce(l.toxic = 1, false) AS is_deleted
-FROM (SELECT *, regexp_extract(text, '^[^.!?\\n]*[.!?]?', 0) AS opening, {sha}(text{bits}) AS of_text FROM documents) d LEFT JOIN labels l ON l.doc_id = d.doc_id
+FROM (SELECT {kept}, regexp_extract(text, '^[^.!?\\n]*[.!?]?', 0) AS opening, {sha}(text{bits}) AS of_text FROM documents) d LEFT JOIN labels l ON l.doc_id = d.doc_id
 """
 
 _STUDIES = """
@@ -55,6 +55,8 @@ SPARK = {
         sources="element_at(array('pubmed','openalex','semantic_scholar','crossref','arxiv','unlisted'), cast(d.doc_id % 6 AS int) + 1)",
         updated="timestampadd(DAY, cast((d.doc_id * 37) % 700 AS int), timestamp_ntz'2023-01-01 00:00:00')",
         sha="sha2", bits=",256", array="array", code="ascii",
+        # The join with labels moves these rows, without the whole text.
+        kept="doc_id, n_chars, length(text) AS text_length", length="d.text_length",
     ),
     "studies": _STUDIES,
 }
@@ -63,6 +65,7 @@ DUCK = {
         sources="(['pubmed','openalex','semantic_scholar','crossref','arxiv','unlisted'])[cast(d.doc_id % 6 AS int) + 1]",
         updated="timestamp '2023-01-01 00:00:00' + to_days(cast((d.doc_id * 37) % 700 AS int))",
         sha="sha256", bits="", array="list_value", code="unicode",
+        kept="*", length="length(d.text)",
     ),
     "studies": _STUDIES,
 }
