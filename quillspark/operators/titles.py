@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -14,6 +16,10 @@ from .slices import latest_before
 SHORT, FEW, MORE = 40, 2, 3
 #: Stands before short titles, so that the empty one has a tail too; equal beginnings change no distance.
 _PAD = "\x01" * 3
+#: Titles of equal heads up to which their keys are made in one task.
+FAMILY = 300_000
+#: Stands for a slot in keys; the places of slots are part of a key, so it may be in a title too.
+_SLOT = "\x02"
 
 
 def edits(length: Column) -> Column:
@@ -116,6 +122,15 @@ def _backwards(known: DataFrame) -> bool:
     return pairs["first"] < pairs["last"]
 
 
+def _verified(met: DataFrame, asked: DataFrame, held: DataFrame) -> DataFrame:
+    """Rows (probe_id, known_id, distance) of ``met`` (a, b) within ``edits`` of the probe's length."""
+    # Ids alone meet; titles come back for the pairs that are left.
+    left = met.distinct().join(asked.select(F.col("id").alias("a"), F.col("title").alias("asked"), F.col("block").alias("of_asked")), "a")
+    both = left.join(held.select(F.col("id").alias("b"), F.col("title").alias("held"), F.col("block").alias("of_held")), "b")
+    near = both.where(F.col("of_asked") == F.col("of_held")).withColumn("distance", F.levenshtein("asked", "held"))
+    return near.where(F.col("distance") <= edits(F.length("asked"))).select(F.col("a").alias("probe_id"), F.col("b").alias("known_id"), "distance")
+
+
 def edit_pairs(probes: DataFrame, known: DataFrame) -> DataFrame:
     """Rows (probe_id, known_id, distance): titles of one block within ``edits`` of the probe's length.
 
@@ -135,11 +150,147 @@ def edit_pairs(probes: DataFrame, known: DataFrame) -> DataFrame:
         met = met.unionByName(met.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         met = met.unionByName(_by_tails(near.where(n < SHORT), brief, backwards).select(F.col("b").alias("a"), F.col("a").alias("b")))
-    # Ids alone meet; titles come back for the pairs that are left.
-    left = met.distinct().join(asked.select(F.col("id").alias("a"), F.col("title").alias("asked"), F.col("block").alias("of_asked")), "a")
-    both = left.join(held.select(F.col("id").alias("b"), F.col("title").alias("held"), F.col("block").alias("of_held")), "b")
-    near = both.where(F.col("of_asked") == F.col("of_held")).withColumn("distance", F.levenshtein("asked", "held"))
-    return near.where(F.col("distance") <= edits(F.length("asked"))).select(F.col("a").alias("probe_id"), F.col("b").alias("known_id"), "distance")
+    return _verified(met, asked, held)
+
+
+def _slots(rows: DataFrame, rounds: int) -> DataFrame:
+    """``rows`` (group, part, steps, ...) with key and also instead of part and steps: all ways to put slots into ``part``.
+
+    ``steps`` says which, from right to left, ``rounds`` at most.  A slot takes the place of a
+    character (w) or stands between two (i), and takes one character or none; d leaves a
+    character out, and without steps the part stays whole.  So the titles of a group that have one
+    slotted part are as many edits apart at most as it has slots, those that are one without a
+    character two, and titles that few edits apart have one, if the shorter is given the slots
+    between.  Two hashes tell parts apart, of 96 bits in all.
+    """
+    kept = [c for c in rows.columns if c not in ("part", "steps")]
+    rows = rows.withColumns({"last": F.length("part"), "places": F.lit(0)})
+    for k in range(rounds):
+        step = F.substring("steps", k + 1, 1)
+        most = F.when(step == "i", F.col("last") + 1).when(step == "", 1).otherwise(F.col("last"))
+        rows = rows.where(most >= 1).withColumn("at", F.explode(F.sequence(F.lit(1), most)))
+        rest = F.substring(F.col("part"), F.col("at") + F.when(step == "i", 0).otherwise(1), F.length("part"))
+        cut = F.concat(F.substring("part", F.lit(1), F.col("at") - 1), F.when(step == "d", "").otherwise(_SLOT), rest)
+        places = F.when(step.isin("w", "i"), F.col("places") * 64 + F.length(rest)).otherwise(F.col("places"))
+        rows = rows.select(*kept, "steps", F.when(step == "", F.col("part")).otherwise(cut).alias("part"), (F.col("at") - 1).alias("last"), places.alias("places"))
+    named = (F.col("group"), F.when(F.col("steps") == "d", 0).otherwise(F.length("steps")), F.col("places"), F.col("part"))
+    return rows.select(*kept, F.xxhash64(*named).alias("key"), F.hash(*named).alias("also"))
+
+
+def _firsts(rows: DataFrame, rounds: int, distance: int, tasks: int) -> DataFrame:
+    """Rows (id, distance, first) of ``rows`` (id, asks, group, n, part, steps, an array): the smallest id that
+    has a key in common with one that asks, if it is smaller.
+
+    A group of up to ``FAMILY`` rows stays in one task, which makes its keys; keys of larger ones are dealt.
+    """
+    slotted = lambda df: _slots(df.withColumn("steps", F.explode("steps")), rounds)
+    first = F.min("id").over(Window.partitionBy("key", "also", "group"))
+    told = [slotted(rows.where(F.col("n") <= FAMILY).repartition(tasks, "group")).withColumn("first", first), slotted(rows.where(F.col("n") > FAMILY)).repartition(tasks, "key").withColumn("first", first)]
+    found = told[0].unionByName(told[1]).where("asks and first < id")
+    return found.groupBy("id").agg(F.min("first").alias("first")).select("id", F.lit(distance).alias("distance"), "first")
+
+
+def _steps(by: Column, steps: dict[int, list[str]]) -> Column:
+    """The steps of each row by a number, none for numbers that aren't listed."""
+    return reduce(lambda c, k: c.when(by == k, F.array(*map(F.lit, steps[k]))), steps, F.when(F.lit(False), F.array().cast("array<string>")))
+
+
+def _placed(near: DataFrame, shifts: list[tuple[int, int]]) -> DataFrame:
+    """``near`` (id, block, text, asks) cut where a title ``more`` characters longer has its tail, and ``shift`` from there."""
+    cuts = F.explode(F.array(*[F.struct(F.lit(m).alias("more"), F.lit(s).alias("shift")) for m, s in shifts]))
+    rows = near.withColumn("cut", cuts).select("id", "block", "text", "asks", "cut.*").withColumn("length", F.length("text") - len(_PAD) + F.col("more"))
+    return rows.withColumn("size", _tail(F.col("length"))).withColumn("before", F.col("length") + len(_PAD) - F.col("size") + F.col("shift")).where(F.length("text") >= F.col("before"))
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """``rows`` (id, asks, group, more) of groups with a title as long as their place, and another
+    one, up to the last one that asks; with ``n``, how many rows their group has."""
+    groups = rows.groupBy("group").agg(F.min("more").alias("least"), F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("asks"), F.col("id"))).alias("latest"))
+    kept = materialise(groups.where("least = 0 and n > 1 and latest is not null").select("group", "n", "latest"), "groups")
+    return rows.join(kept, "group").where("id <= latest")
+
+
+def _families(near: DataFrame) -> DataFrame:
+    """Titles by their heads: rows (id, asks, more, group, n, part), where part is the tail."""
+    rows = _placed(near, [(m, 0) for m in range(FEW + 1)])
+    head = F.substring("text", F.lit(1), F.col("before"))
+    return _shared(rows.select("id", "asks", "more", F.xxhash64("block", "length", head).alias("group"), F.substring(F.col("text"), F.col("before") + 1, F.col("size")).alias("part")))
+
+
+def _same_tails(near: DataFrame) -> DataFrame:
+    """Rows (a, b), a later: ids of titles of equal tails that have one of three parts of their heads in common."""
+    rows = _placed(near, [(m, 0) for m in range(FEW + 1)])
+    end = F.length("text") - F.col("size")
+    rows = _shared(rows.select("id", "asks", "more", "before", F.xxhash64("block", "length", F.substring(F.col("text"), end + 1, F.col("size"))).alias("group"), F.substring("text", F.lit(1), end).alias("head")))
+    parts = rows.withColumn("part", F.explode(F.array(*[F.lit(k) for k in range(FEW + 1)])))
+    begin = F.floor(F.col("part") * F.col("before") / (FEW + 1)).cast("int")
+    size = F.floor((F.col("part") + 1) * F.col("before") / (FEW + 1)).cast("int") - begin
+    # A part moved by x leaves |x| edits before it and |more + x| after it.
+    moved = F.sequence(-F.floor((FEW + F.col("more")) / 2).cast("int"), F.floor((FEW - F.col("more")) / 2).cast("int"))
+    asked = parts.withColumn("moved", F.explode(moved)).where((begin + F.col("moved") >= 0) & (begin + F.col("moved") + size <= F.length("head")))
+    key = lambda at: F.xxhash64("group", "part", F.substring(F.col("head"), at + 1, size))
+    left = asked.select("id", "asks", key(begin + F.col("moved")).alias("key")).alias("l")
+    right = parts.where("more = 0").select("id", "asks", key(begin).alias("key")).alias("r")
+    met = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.id") != F.col("r.id")))
+    met = met.where(F.when(F.col("l.id") > F.col("r.id"), F.col("l.asks")).otherwise(F.col("r.asks")))
+    return met.select(F.greatest("l.id", "r.id").alias("a"), F.least("l.id", "r.id").alias("b"))
+
+
+def _near_heads(near: DataFrame) -> DataFrame:
+    """Rows (id, asks, group, n, part, steps) for ``_firsts``: titles by pairs of heads that are one edit apart, such
+    that their tails are one edit apart if they have a key in common.
+
+    Heads are compared once for all titles that have them: families have few.
+    """
+    cuts = _placed(near, [(0, 0), (0, -1), (1, 0), (1, -1), (2, -1)])
+    head = F.substring("text", F.lit(1), F.col("before"))
+    cuts = cuts.select("id", "asks", "more", "shift", "block", "length", head.alias("head"), F.xxhash64("block", "length", head).alias("of_head"), F.substring(F.col("text"), F.col("before") + 1, F.length("text")).alias("part"))
+    heads = cuts.groupBy("of_head", "block", "length", "head", "shift").agg(F.min("more").alias("least"), F.count(F.lit(1)).alias("n"), F.max("asks").alias("asks"))
+    # Of two heads one is that of a title as long as the place.
+    heads = materialise(heads.select("of_head", "n", "asks", F.expr("shift = 0 and least = 0").alias("whole"), F.xxhash64("block", "length").alias("group"), F.col("head").alias("part"), F.when(F.col("shift") == 0, "w").otherwise("i").alias("steps")), "heads")
+    keyed = _slots(heads, 1).drop("group")
+    one, other = keyed.where("whole").alias("one"), keyed.alias("other")
+    pairs = one.join(other, ["key", "also"]).where("one.of_head <> other.of_head and (one.asks or other.asks)").select(F.col("one.of_head").alias("one"), F.col("other.of_head").alias("other"), F.expr("one.n + other.n").alias("n")).distinct()
+    pairs = materialise(pairs.withColumn("group", F.xxhash64("one", "other")), "pairs")
+    held = cuts.where("more = 0 and shift = 0").join(pairs.select(F.col("one").alias("of_head"), "group", "n"), "of_head").withColumn("steps", F.array(F.lit("w"), F.lit("")))
+    # A tail that is one character shorter than the other's gets the slot; one that is longer by one leaves a character out.
+    asked = cuts.join(pairs.select(F.col("other").alias("of_head"), "group", "n"), "of_head").withColumn("steps", _steps(F.col("more") + F.col("shift"), {-1: ["d"], 0: ["w"], 1: ["i"]}))
+    return held.unionByName(asked).select("id", "asks", "group", "n", "part", "steps")
+
+
+def nearest_before(titles: DataFrame) -> DataFrame:
+    """Rows (id, distance, first): of each title of ``titles`` (id, block, title, asks) that asks, the title of its
+    block of a smaller id within ``edits`` of its length that is the fewest edits away, of several the smallest id.
+
+    Titles are distinct in a block.  Those of up to ``SHORT`` characters aren't paired with all that are near, of
+    which a family has a square: titles of equal heads, or heads one edit apart, get keys by their tails
+    such that all that have one in common are near, and of each key only the first is told to the others.
+    Two edits are looked for where one has found nothing.  Titles of equal tails meet by parts of their
+    heads, longer ones by parts, and are compared.
+    """
+    held = materialise(titles.where("title is not null and block is not null").select("id", "block", "title", "asks"), "titles")
+    n = F.length("title")
+    brief = held.where(n <= SHORT + FEW)
+    backwards = _backwards(brief)
+    near = materialise(brief.select("id", "block", F.concat(F.lit(_PAD), F.reverse("title") if backwards else F.col("title")).alias("text"), (F.col("asks") & (n <= SHORT)).alias("asks")), "near")
+    # A title has some fifteen keys of one slot, ninety of two.
+    count = near.count()
+    tasks = lambda keys: max(titles.sparkSession.sparkContext.defaultParallelism, count * keys // 2_000_000)
+    ones = _families(near).withColumn("steps", _steps(F.col("more"), {0: ["w"], 1: ["i"]}))
+    ones = materialise(_firsts(ones, 1, 1, tasks(15)), "ones")
+    still = near.where("asks").join(ones, "id", "left_anti").select("id")
+    latest = still.agg(F.max("id")).first()[0]
+    twos = []
+    if latest is not None:
+        left = near.where(F.col("id") <= latest).drop("asks").join(still.withColumn("asks", F.lit(True)), "id", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
+        left = materialise(left, "left")
+        family = _families(left).withColumn("steps", _steps(F.col("more"), {0: ["ww", "d"], 1: ["wi", "iw"], 2: ["ii"]}))
+        twos = [_firsts(family, 2, 2, tasks(90)), _firsts(_near_heads(left), 1, 2, tasks(30))]
+    long = held.where("asks").where(n > SHORT)
+    met = _same_tails(near).unionByName(_by_segments(long, held.where(n >= SHORT + 1 - MORE)).where("b < a"))
+    compared = _verified(met, held, held).select(F.col("probe_id").alias("id"), "distance", F.col("known_id").alias("first"))
+    found = reduce(DataFrame.unionByName, [ones, *twos, compared])
+    return found.groupBy("id").agg(F.min(F.struct("distance", "first")).alias("best")).select("id", "best.distance", "best.first")
 
 
 def arrival_parents(papers: DataFrame) -> DataFrame:
@@ -156,10 +307,11 @@ def arrival_parents(papers: DataFrame) -> DataFrame:
     by_title = latest_before(keys.withColumn("own", F.col("arrival")), "key", "arrival", "own").select("arrival", F.col("latest").alias("by_title"))
     known = materialise(keys.groupBy("key").agg(F.min("arrival").alias("id")).select("id", F.lit(0).alias("block"), F.col("key").alias("title")), "titles")
     exact = materialise(by_doi.join(by_title, "arrival"), "exact")
-    # Only the first paper of a title can get here; the pairs are of distinct titles.
+    # Only the first paper of a title can get here, and each title is known by its first paper.
     open_ = exact.where("by_doi is null and by_title is null").select(F.col("arrival").alias("id"))
-    pairs = edit_pairs(known.join(open_, "id", "left_semi"), known).where("known_id < probe_id")
-    best = pairs.groupBy(F.col("probe_id").alias("arrival")).agg(F.min(F.struct("distance", "known_id")).alias("b")).select("arrival", F.col("b.known_id").alias("id"))
+    asking = known.join(open_.withColumn("asks", F.lit(True)), "id", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
+    # Read twice below, once for the range of arrivals.
+    best = materialise(nearest_before(asking).select(F.col("id").alias("arrival"), F.col("first").alias("id")), "best")
     asked = best.join(known, "id").select("arrival", F.col("title").alias("key"), F.lit(None).cast("long").alias("own"))
     seen = keys.select("arrival", "key", F.col("arrival").alias("own")).join(asked.select("key").distinct(), "key", "left_semi").select("arrival", "key", "own")
     by_edits = latest_before(seen.unionByName(asked), "key", "arrival", "own").where("own is null").select("arrival", F.col("latest").alias("by_edits"))

@@ -3,6 +3,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from quillspark.catalog.enrichment import arriving, legacy_dedup, legacy_reasons
 from quillspark.operators import titles
 
@@ -86,3 +88,51 @@ def test_families_make_few_pairs(spark):
         want = {(i, j) for i, a in enumerate(numbers) for j, b in enumerate(numbers) if sum(x != y for x, y in zip(str(a), str(b))) <= 2}
         got = {(r["probe_id"], r["known_id"]) for r in titles.edit_pairs(df, df).where("distance <= 2").collect()}
         assert want <= got
+
+
+def test_nearest_before_against_all_pairs(spark, monkeypatch):
+    rng, rows = random.Random(11), set()
+    for size in (0, 1, 2, 3, 4, 5, 8, 12, 20, 36, 37, 38, 39, 40, 41, 42, 43, 44, 60):
+        for alphabet in ("abé", "a\x01\x02b"):
+            base = "".join(rng.choice(alphabet) for _ in range(size))
+            for _ in range(8):
+                t = list(base)
+                for _ in range(rng.randint(0, 4)):
+                    at, kind = rng.randint(0, len(t)), rng.choice("idr")
+                    if kind == "i":
+                        t.insert(at, rng.choice(alphabet))
+                    elif at < len(t):
+                        t[at : at + 1] = [] if kind == "d" else [rng.choice(alphabet)]
+                rows.add("".join(t))
+    rows |= {f"{rng.randint(0, 12000)} {a} {b} trial" for a in ("old", "cold", "red") for b in ("bolt", "rod") for _ in range(25)}
+    rows = sorted(rows)
+    rng.shuffle(rows)
+    # Once in tasks of their own, once with the keys of all but the smallest families dealt.
+    for way, most in ((str, titles.FAMILY), (lambda t: t[::-1], 2)):
+        monkeypatch.setattr(titles, "FAMILY", most)
+        held = [(3 * k, k % 2 if len(t) < 10 else 0, way(t), rng.random() < 0.8) for k, t in enumerate(rows)]
+        df = spark.createDataFrame([*held, (100000, 0, None, True), (100001, None, "abc", True)], "id long, block long, title string, asks boolean")
+        want = {}
+        for i, x, a, asks in held:
+            near = [(d, j) for j, y, b, _ in held if asks and j < i and x == y and abs(len(a) - len(b)) <= 3 and (d := distance(a, b)) <= (2 if len(a) <= 40 else 3)]
+            if near:
+                want[i] = min(near)
+        assert {r["id"]: (r["distance"], r["first"]) for r in titles.nearest_before(df).collect()} == want
+    assert titles.nearest_before(df.where("false")).count() == 0
+
+
+def test_families_are_not_paired(spark, monkeypatch):
+    """All titles of a family are near each other; what is shuffled for them grows as their number does."""
+    shuffled = []
+    firsts, verified = titles._firsts, titles._verified
+    monkeypatch.setattr(titles, "_firsts", lambda rows, *rest: shuffled.append(rows.count()) or firsts(rows, *rest))
+    monkeypatch.setattr(titles, "_verified", lambda met, *rest: shuffled.append(met.count()) or verified(met, *rest))
+    counts = []
+    for copies in (50, 100):
+        rows = [(k * 1000 + n, "large ring", f"{1000000 + 7000 * k + n} large ring trial") for n in range(20) for k in range(copies)]
+        papers = spark.createDataFrame(rows, "arrival long, doi string, title string").withColumn("doi", F.lit(None).cast("string"))
+        shuffled.clear()
+        reasons = {r["arrival"]: r["reason"] for r in titles.arrival_parents(papers).collect()}
+        assert [a for a, why in reasons.items() if why is None] == [0]
+        counts.append(sum(shuffled))
+    assert counts[0] < 10 * 50 * 20 and counts[1] < 2.2 * counts[0]
