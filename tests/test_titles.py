@@ -136,3 +136,21 @@ def test_families_are_not_paired(spark, monkeypatch):
         assert [a for a, why in reasons.items() if why is None] == [0]
         counts.append(sum(shuffled))
     assert counts[0] < 10 * 50 * 20 and counts[1] < 2.2 * counts[0]
+
+
+def test_merge_of_a_family_against_a_plain_loop(spark, monkeypatch):
+    """A family is merged without pairs of its titles, whether one task makes its keys or many."""
+    monkeypatch.setattr(titles, "edit_pairs", None)
+    rng = random.Random(7)
+    numbers = rng.sample(range(1, 40000), 250)
+    rows = [{"arrival": 5 * k, "doi": f"10.1/{n % 40}" if n % 3 == 0 else None, "title": f"{rng.choice(['old', 'cold'])} ring {n}", "abstract": "x" * (n % 7), "citation_count": n % 11, "pubmed_id": None} for k, n in enumerate(numbers)]
+    leader, _ = looped(rows)
+    papers = spark.createDataFrame(rows, "arrival long, doi string, title string, abstract string, citation_count long, pubmed_id string")
+    for most in (titles.FAMILY, 10):
+        monkeypatch.setattr(titles, "FAMILY", most)
+        got = {r["arrival"]: (r["papers"], r["title"], r["citation_count"]) for r in titles.arrival_merge(papers).collect()}
+        want = {}
+        for at in set(leader.values()):
+            group = [p for p in rows if leader[p["arrival"]] == at]
+            want[at] = (len(group), group[0]["title"], max(p["citation_count"] for p in group))
+        assert got == want
